@@ -11,7 +11,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from formbook.operators import enrich, form, innings
+from formbook.operators import enrich, form, innings, phases, profiles
 from formbook.sources import fixtures as fx
 
 
@@ -95,3 +95,58 @@ class Gold:
     @property
     def bowl_venue(self) -> DataFrame:
         return form.bowling_form_by_venue(self.bowl)
+
+    # ------------------------------------------------------------ phases / situational
+    @property
+    def bat_phase(self) -> DataFrame:
+        return phases.batting_phase_splits(self.enriched)
+
+    @property
+    def bowl_phase(self) -> DataFrame:
+        return phases.bowling_phase_splits(self.enriched)
+
+    @property
+    def bat_phase_wide(self) -> DataFrame:
+        return phases.batting_phase_wide(self.bat_phase)
+
+    @property
+    def bowl_phase_wide(self) -> DataFrame:
+        return phases.bowling_phase_wide(self.bowl_phase)
+
+    @property
+    def bat_sit(self) -> DataFrame:
+        return phases.batting_situational(self.bat)
+
+    @property
+    def bowl_sit(self) -> DataFrame:
+        return phases.bowling_situational(self.bowl)
+
+    @property
+    def allrounders(self) -> DataFrame:
+        return phases.allrounder_profile(self.bat_t20, self.bowl_t20)
+
+    # ------------------------------------------------------------ profiles
+    @property
+    def positions(self) -> DataFrame:
+        return profiles.batting_positions(self.deliveries)
+
+    @property
+    def position_summary(self) -> DataFrame:
+        return profiles.batting_position_summary(self.positions)
+
+    @property
+    def registry(self) -> DataFrame:
+        return fx.registry_from_deliveries(self.d1)
+
+    @property
+    def keeper(self) -> DataFrame:
+        return profiles.keeper_signal(self.deliveries, self.registry)
+
+    @property
+    def batter_profile(self) -> DataFrame:
+        return profiles.batter_profile(self.bat_recent, self.bat_t20, self.position_summary,
+                                       self.bat_sit, self.bat_phase_wide, self.keeper)
+
+    @property
+    def bowler_profile(self) -> DataFrame:
+        return profiles.bowler_profile(self.bowl_recent, self.bowl_t20, self.bowl_sit, self.bowl_phase_wide)

@@ -270,3 +270,150 @@ def with_ctes(names: tuple[str, ...] | list[str], select: str) -> str:
         visit(n)
     body = ",\n".join(f"{n} AS ({CTES[n][1]}\n)" for n in order)
     return f"WITH {body}\n{select}"
+
+
+# ------------------------------------------------------------ phases / situational
+_LABEL_BAT = "arg_max(batter, concat_ws('|', match_date, match_id, batter))"
+_LABEL_BOWL = "arg_max(bowler, concat_ws('|', match_date, match_id, bowler))"
+_INN = "count(DISTINCT concat(match_id, '#', CAST(innings_seq AS VARCHAR)))"
+
+cte("bat_phase", ("enp",), f"""
+  SELECT *, {rate('runs', 'balls_faced', '100')} AS strike_rate,
+            {rate('boundaries', 'balls_faced', '100')} AS boundary_pct
+  FROM (
+    SELECT batter_key, phase, {_LABEL_BAT} AS player_name, {_INN} AS innings,
+           CAST(sum(runs_batter) AS BIGINT) AS runs,
+           CAST(sum(CASE WHEN legal THEN 1 ELSE 0 END) AS BIGINT) AS balls_faced,
+           CAST(sum(CASE WHEN runs_batter IN (4, 6) AND NOT non_boundary THEN 1 ELSE 0 END) AS BIGINT) AS boundaries
+    FROM enp WHERE competition IN {T20} AND phase IS NOT NULL
+    GROUP BY batter_key, phase) t
+  WHERE balls_faced >= 30""")
+cte("bowl_phase", ("enp",), f"""
+  SELECT *, {rate('runs_conceded', 'balls_bowled', '6')} AS economy
+  FROM (
+    SELECT bowler_key, phase, {_LABEL_BOWL} AS player_name, {_INN} AS innings,
+           CAST(sum(conceded) AS BIGINT) AS runs_conceded,
+           CAST(sum(CASE WHEN legal THEN 1 ELSE 0 END) AS BIGINT) AS balls_bowled,
+           CAST(sum(credited) AS BIGINT) AS wickets
+    FROM enp WHERE competition IN {T20} AND phase IS NOT NULL
+    GROUP BY bowler_key, phase) t
+  WHERE balls_bowled >= 30""")
+cte("bat_phase_wide", ("bat_phase",), """
+  SELECT batter_key,
+         max(CASE WHEN phase = 'powerplay' THEN strike_rate END) AS powerplay_sr,
+         max(CASE WHEN phase = 'powerplay' THEN balls_faced END) AS powerplay_balls,
+         max(CASE WHEN phase = 'middle' THEN strike_rate END) AS middle_sr,
+         max(CASE WHEN phase = 'middle' THEN balls_faced END) AS middle_balls,
+         max(CASE WHEN phase = 'death' THEN strike_rate END) AS death_sr,
+         max(CASE WHEN phase = 'death' THEN balls_faced END) AS death_balls
+  FROM bat_phase GROUP BY batter_key""")
+cte("bowl_phase_wide", ("bowl_phase",), """
+  SELECT bowler_key,
+         max(CASE WHEN phase = 'powerplay' THEN economy END) AS powerplay_economy,
+         max(CASE WHEN phase = 'powerplay' THEN balls_bowled END) AS powerplay_balls,
+         max(CASE WHEN phase = 'middle' THEN economy END) AS middle_economy,
+         max(CASE WHEN phase = 'middle' THEN balls_bowled END) AS middle_balls,
+         max(CASE WHEN phase = 'death' THEN economy END) AS death_economy,
+         max(CASE WHEN phase = 'death' THEN balls_bowled END) AS death_balls
+  FROM bowl_phase GROUP BY bowler_key""")
+
+
+def _csum(cond: str, col: str) -> str:
+    return f"CAST(sum(CASE WHEN {cond} THEN {col} ELSE 0 END) AS BIGINT)"
+
+
+cte("bat_sit", ("bat",), f"""
+  SELECT *, {rate('chase_runs', 'chase_balls', '100')} AS chase_sr,
+            {rate('defend_runs', 'defend_balls', '100')} AS defend_sr,
+            {rate('close_match_runs', 'close_match_balls', '100')} AS close_match_sr,
+            {rate('knockout_runs', 'knockout_balls', '100')} AS knockout_sr,
+            {rate('innings_total - dismissals_total', 'innings_total', '100')} AS finisher_pct
+  FROM (
+    SELECT batter_key, {_LABEL_BAT} AS player_name,
+           {_csum('is_chase', 'runs')} AS chase_runs, {_csum('is_chase', 'balls_faced')} AS chase_balls,
+           {_csum('NOT is_chase', 'runs')} AS defend_runs, {_csum('NOT is_chase', 'balls_faced')} AS defend_balls,
+           {_csum('is_close_match', 'runs')} AS close_match_runs,
+           {_csum('is_close_match', 'balls_faced')} AS close_match_balls,
+           {_csum('is_knockout', 'runs')} AS knockout_runs, {_csum('is_knockout', 'balls_faced')} AS knockout_balls,
+           {_csum('is_out', '1')} AS dismissals_total, {_INN} AS innings_total
+    FROM bat WHERE competition IN {T20} GROUP BY batter_key) t
+  WHERE innings_total >= 10""")
+cte("bowl_sit", ("bowl",), f"""
+  SELECT *, {rate('chase_runs_conceded', 'chase_balls_bowled', '6')} AS chase_economy,
+            {rate('close_match_runs_conceded', 'close_match_balls_bowled', '6')} AS close_match_economy,
+            {rate('knockout_runs_conceded', 'knockout_balls_bowled', '6')} AS knockout_economy
+  FROM (
+    SELECT bowler_key, {_LABEL_BOWL} AS player_name,
+           {_csum('is_chase', 'runs_conceded')} AS chase_runs_conceded,
+           {_csum('is_chase', 'balls_bowled')} AS chase_balls_bowled,
+           {_csum('is_close_match', 'runs_conceded')} AS close_match_runs_conceded,
+           {_csum('is_close_match', 'balls_bowled')} AS close_match_balls_bowled,
+           {_csum('is_close_match', 'wickets')} AS close_match_wickets,
+           {_csum('is_knockout', 'runs_conceded')} AS knockout_runs_conceded,
+           {_csum('is_knockout', 'balls_bowled')} AS knockout_balls_bowled,
+           {_csum('is_knockout', 'wickets')} AS knockout_wickets,
+           {_INN} AS innings_total
+    FROM bowl WHERE competition IN {T20} GROUP BY bowler_key) t
+  WHERE innings_total >= 10""")
+cte("allround", ("bat_t20", "bowl_t20"), f"""
+  SELECT b.batter_key AS player_key, b.player_name, b.innings AS batting_innings, b.runs, b.strike_rate,
+         b.average AS batting_average, w.innings AS bowling_innings, w.wickets, w.economy, w.bowling_average,
+         {r('w.innings * 100.0 / b.innings', 1)} AS bowling_involvement_pct
+  FROM bat_t20 b JOIN bowl_t20 w ON b.batter_key = w.bowler_key""")
+
+# ------------------------------------------------------------ positions / keeper / profiles
+cte("pos", ("en",), f"""
+  SELECT match_id, innings_seq, batter_key, fbo AS first_ball_ordinal,
+         CAST(row_number() OVER (PARTITION BY match_id, innings_seq ORDER BY fbo, batter_key) AS BIGINT)
+           AS batting_position
+  FROM (SELECT match_id, innings_seq, batter_key, min(over_number * 1000 + delivery_seq) AS fbo
+        FROM en WHERE competition IN {T20} GROUP BY match_id, innings_seq, batter_key) t""")
+cte("pos_sum", ("pos",), """
+  SELECT batter_key, CAST(quantile_disc(batting_position, 0.5) AS BIGINT) AS usual_batting_position,
+         count(*) AS position_sample_innings
+  FROM pos GROUP BY batter_key""")
+cte("keeper", ("d1",), f"""
+  SELECT coalesce(fielder_id, concat('name:', fielder_name)) AS fielder_key, count(*) AS likely_keeper_signal
+  FROM d1 WHERE competition IN {T20} AND is_wicket AND wicket_kind = 'stumped' GROUP BY 1""")
+cte("batter_profile", ("bat_recent", "bat_t20", "pos_sum", "bat_sit", "bat_phase_wide", "keeper"), """
+  SELECT r.batter_key, r.player_name, r.innings AS recent_innings, r.runs AS recent_runs,
+         r.balls_faced AS recent_balls_faced, r.average AS recent_average, r.strike_rate AS recent_strike_rate,
+         r.regressed_strike_rate, r.not_out_pct AS recent_not_out_pct, r.boundary_pct AS recent_boundary_pct,
+         c.innings AS career_innings, c.runs AS career_runs, c.average AS career_average,
+         c.strike_rate AS career_strike_rate,
+         p.usual_batting_position, p.position_sample_innings,
+         s.chase_sr, s.defend_sr, s.close_match_sr, s.knockout_sr, s.finisher_pct,
+         w.powerplay_sr, w.powerplay_balls, w.middle_sr, w.middle_balls, w.death_sr, w.death_balls,
+         coalesce(k.likely_keeper_signal, 0) AS likely_keeper_signal
+  FROM bat_recent r
+  LEFT JOIN bat_t20 c ON c.batter_key = r.batter_key
+  LEFT JOIN pos_sum p ON p.batter_key = r.batter_key
+  LEFT JOIN bat_sit s ON s.batter_key = r.batter_key
+  LEFT JOIN bat_phase_wide w ON w.batter_key = r.batter_key
+  LEFT JOIN keeper k ON k.fielder_key = r.batter_key""")
+cte("bowler_base", ("bowl_recent", "bowl_t20", "bowl_sit", "bowl_phase_wide"), """
+  SELECT r.bowler_key, r.player_name, r.innings AS recent_innings, r.wickets AS recent_wickets,
+         r.balls_bowled AS recent_balls_bowled, r.runs_conceded AS recent_runs_conceded,
+         r.economy AS recent_economy, r.regressed_economy, r.bowling_strike_rate AS recent_bowling_strike_rate,
+         r.bowling_average AS recent_bowling_average, r.dot_pct AS recent_dot_pct,
+         c.innings AS career_innings, c.wickets AS career_wickets, c.economy AS career_economy,
+         c.bowling_strike_rate AS career_bowling_strike_rate,
+         s.chase_economy, s.close_match_economy, s.knockout_economy,
+         w.powerplay_economy, w.powerplay_balls, w.middle_economy, w.middle_balls, w.death_economy, w.death_balls
+  FROM bowl_recent r
+  LEFT JOIN bowl_t20 c ON c.bowler_key = r.bowler_key
+  LEFT JOIN bowl_sit s ON s.bowler_key = r.bowler_key
+  LEFT JOIN bowl_phase_wide w ON w.bowler_key = r.bowler_key""")
+cte("bowler_ranked", ("bowler_base",), f"""
+  SELECT *,
+         {r('percent_rank() OVER (ORDER BY regressed_economy ASC NULLS FIRST)', 3)} AS economy_percentile,
+         {r('percent_rank() OVER (ORDER BY recent_bowling_strike_rate ASC NULLS FIRST)', 3)}
+           AS strike_rate_percentile
+  FROM bowler_base""")
+cte("bowler_profile", ("bowler_ranked",), """
+  SELECT *,
+         CASE WHEN recent_wickets = 0 THEN NULL
+              WHEN strike_rate_percentile + 0.15 < economy_percentile THEN 'strike bowler'
+              WHEN economy_percentile + 0.15 < strike_rate_percentile THEN 'containment bowler'
+              ELSE 'balanced' END AS bowler_type
+  FROM bowler_ranked""")

@@ -41,6 +41,17 @@ for _name, _cte, _attr in (
     ("bowling_form_recent", "bowl_recent", "bowl_recent"),
     ("batting_form_by_venue", "bat_venue", "bat_venue"),
     ("bowling_form_by_venue", "bowl_venue", "bowl_venue"),
+    ("batting_phase_splits", "bat_phase", "bat_phase"),
+    ("bowling_phase_splits", "bowl_phase", "bowl_phase"),
+    ("batting_phase_wide", "bat_phase_wide", "bat_phase_wide"),
+    ("bowling_phase_wide", "bowl_phase_wide", "bowl_phase_wide"),
+    ("batting_situational", "bat_sit", "bat_sit"),
+    ("bowling_situational", "bowl_sit", "bowl_sit"),
+    ("allrounders", "allround", "allrounders"),
+    ("batting_position", "pos_sum", "position_summary"),
+    ("keeper_signal", "keeper", "keeper"),
+    ("batter_profile", "batter_profile", "batter_profile"),
+    ("bowler_profile", "bowler_profile", "bowler_profile"),
 ):
     query(_name, with_ctes([_cte], f"SELECT * FROM {_cte}"))(
         (lambda attr: lambda spark, sf_dir: getattr(Gold(spark, sf_dir), attr))(_attr))
