@@ -417,3 +417,229 @@ cte("bowler_profile", ("bowler_ranked",), """
               WHEN economy_percentile + 0.15 < strike_rate_percentile THEN 'containment bowler'
               ELSE 'balanced' END AS bowler_type
   FROM bowler_ranked""")
+
+
+# ------------------------------------------------------------ D3 league state
+cte("franchises", (), """
+  SELECT CAST(n_nationkey AS BIGINT) AS franchise_id, n_name AS name,
+         CAST(125 AS DECIMAL(10,2)) AS purse_total_cr,
+         CAST(5 + n_nationkey % 20 AS DECIMAL(10,2)) AS purse_remaining_cr,
+         25 AS max_squad_size, 8 AS max_overseas,
+         concat('Venue ', CAST(n_nationkey % 7 AS VARCHAR)) AS home_venue,
+         n_nationkey % 12 <> 11 AS is_active
+  FROM nation""")
+cte("roster", (), """
+  SELECT c_custkey AS roster_id, CAST(c_nationkey AS BIGINT) AS franchise_id,
+         concat(chr(CAST(65 + c_custkey % 26 AS INT)), CASE WHEN c_custkey % 2 = 1 THEN 'lex' ELSE '' END,
+                ' Surname', CAST(CAST(floor(c_custkey / 4) AS BIGINT) AS VARCHAR)) AS player_name,
+         CASE c_custkey % 4 WHEN 0 THEN 'batter' WHEN 1 THEN 'bowler' WHEN 2 THEN 'all-rounder'
+              ELSE 'wicketkeeper' END AS role,
+         CASE c_custkey % 3 WHEN 0 THEN 'pace' WHEN 1 THEN 'spin' ELSE 'na' END AS bowling_style,
+         c_custkey % 3 = 0 AS is_overseas,
+         CASE WHEN c_custkey % 5 = 0 THEN 'auction' ELSE 'imported' END AS acquisition_type,
+         CAST(c_custkey % 9 AS DECIMAL(10,2)) AS price_cr,
+         CASE WHEN c_custkey % 11 = 0 THEN 'released' ELSE 'active' END AS status
+  FROM customer""")
+cte("pool", (), """
+  SELECT s_suppkey AS pool_id, s_suppkey + 1 AS sr_no,
+         concat(chr(CAST(65 + (s_suppkey * 7) % 26 AS INT)), ' Surname',
+                CAST(CAST(floor(s_suppkey * 7 / 4) AS BIGINT) AS VARCHAR)) AS player_name,
+         concat('Country ', CAST(s_nationkey AS VARCHAR)) AS country,
+         20 + s_suppkey % 20 AS age,
+         CASE s_suppkey % 4 WHEN 0 THEN 'batter' WHEN 1 THEN 'bowler' WHEN 2 THEN 'all-rounder'
+              ELSE 'wicketkeeper' END AS role,
+         CASE WHEN s_suppkey % 2 = 0 THEN 'capped' ELSE 'uncapped' END AS capped_status,
+         s_suppkey % 3 = 0 AS is_overseas,
+         CAST(30 + (s_suppkey % 5) * 40 AS DECIMAL(10,2)) AS base_price_lakh,
+         s_suppkey % 13 <> 12 AS is_current_reference
+  FROM supplier""")
+cte("bids", (), """
+  SELECT o_orderkey AS bid_id, o_orderkey % 4 AS auction_id, o_custkey % 27 AS franchise_id,
+         o_orderkey % 110 AS pool_id, CAST(floor(o_totalprice / 1000) AS DOUBLE) / 100 AS price_cr
+  FROM orders""")
+
+SUR = "list_extract(string_split_regex(lower(trim({x})), '\\s+'), -1)"
+INI = "substring(lower(trim({x})), 1, 1)"
+
+
+def sur(x: str) -> str:
+    return SUR.format(x=x)
+
+
+def ini(x: str) -> str:
+    return INI.format(x=x)
+
+
+def resolve_sql(src: str, src_name: str, prof: str, key: str, out: str, extra_keys: str = "") -> str:
+    """Exact -> unique surname -> unique surname+initial, as a SELECT
+    adding ``out`` (and ``out``_tier) to every row of ``src``."""
+    return f"""
+  SELECT s.*,
+         CASE WHEN trim(coalesce(s.{src_name}, '')) = '' THEN NULL
+              WHEN e.k IS NOT NULL THEN e.k WHEN su.n = 1 THEN su.k WHEN si.n = 1 THEN si.k END AS {out},
+         CASE WHEN trim(coalesce(s.{src_name}, '')) = '' THEN NULL
+              WHEN e.k IS NOT NULL THEN 'exact' WHEN su.n = 1 THEN 'surname'
+              WHEN si.n = 1 THEN 'surname_initial' END AS {out}_tier
+  FROM {src} s
+  LEFT JOIN (SELECT lower(player_name) AS l, min({key}) AS k FROM {prof} GROUP BY 1) e
+    ON e.l = lower(trim(s.{src_name}))
+  LEFT JOIN (SELECT {sur('player_name')} AS su, count(*) AS n, min({key}) AS k FROM {prof} GROUP BY 1) su
+    ON su.su = {sur('s.' + src_name)}
+  LEFT JOIN (SELECT {sur('player_name')} AS su, {ini('player_name')} AS i, count(*) AS n, min({key}) AS k
+             FROM {prof} GROUP BY 1, 2) si
+    ON si.su = {sur('s.' + src_name)} AND si.i = {ini('s.' + src_name)}"""
+
+
+cte("resolved_roster", ("roster", "batter_profile"),
+    resolve_sql("roster", "player_name", "batter_profile", "batter_key", "matched_key"))
+
+
+def search_sql(terms: str, tid: str, term: str, prof: str, key: str, k: int) -> str:
+    t = f"(SELECT {tid} AS tid, lower(trim({term})) AS term FROM {terms} WHERE length(trim({term})) > 0)"
+    return f"""
+  SELECT tid AS {tid}, pk AS {key}, pname AS player_name, tier AS match_tier, match_rank FROM (
+    SELECT *, CAST(row_number() OVER (PARTITION BY tid ORDER BY pname, pk) AS BIGINT) AS match_rank FROM (
+      SELECT t.tid, p.{key} AS pk, p.player_name AS pname, 'substring' AS tier
+      FROM {t} t JOIN {prof} p ON contains(lower(p.player_name), t.term)
+      UNION ALL
+      SELECT x.tid, p.{key}, p.player_name, x.tier FROM (
+        SELECT t.tid, string_split_regex(t.term, '\\s+')[-1] AS su,
+               substring(string_split_regex(t.term, '\\s+')[1], 1, 1) AS i,
+               CASE WHEN EXISTS (SELECT 1 FROM {prof} p2
+                                 WHERE {sur('p2.player_name')} = string_split_regex(t.term, '\\s+')[-1]
+                                   AND {ini('p2.player_name')} = substring(string_split_regex(t.term, '\\s+')[1], 1, 1))
+                    THEN 'surname_initial' ELSE 'surname' END AS tier
+        FROM {t} t
+        WHERE NOT EXISTS (SELECT 1 FROM {prof} p3 WHERE contains(lower(p3.player_name), t.term))) x
+      JOIN {prof} p ON {sur('p.player_name')} = x.su AND (x.tier = 'surname' OR {ini('p.player_name')} = x.i)
+    ) a
+  ) b WHERE match_rank <= {k}"""
+
+
+cte("searched_roster", ("roster", "batter_profile"),
+    search_sql("roster", "roster_id", "player_name", "batter_profile", "batter_key", 3))
+
+# ------------------------------------------------------------ league analytics
+cte("league_summary", ("franchises", "roster"), """
+  SELECT f.franchise_id, f.name, f.purse_total_cr, f.purse_remaining_cr, f.max_squad_size, f.max_overseas,
+         f.home_venue,
+         count(r.roster_id) AS squad_size,
+         count(r.roster_id) FILTER (WHERE r.is_overseas) AS overseas_count,
+         count(r.roster_id) FILTER (WHERE r.role = 'batter') AS batters,
+         count(r.roster_id) FILTER (WHERE r.role = 'bowler') AS bowlers,
+         count(r.roster_id) FILTER (WHERE r.role = 'all-rounder') AS all_rounders,
+         count(r.roster_id) FILTER (WHERE r.role = 'wicketkeeper') AS wicketkeepers
+  FROM franchises f LEFT JOIN roster r ON r.franchise_id = f.franchise_id AND r.status = 'active'
+  WHERE f.is_active
+  GROUP BY f.franchise_id, f.name, f.purse_total_cr, f.purse_remaining_cr, f.max_squad_size, f.max_overseas,
+           f.home_venue""")
+cte("cap_status", ("league_summary",), f"""
+  SELECT franchise_id, name, squad_size, max_squad_size, overseas_count, max_overseas,
+         max_squad_size - squad_size AS slots_left, max_overseas - overseas_count AS overseas_left,
+         CASE WHEN max_squad_size - squad_size >= 0 THEN concat(CAST(max_squad_size - squad_size AS VARCHAR), ' LEFT')
+              ELSE concat('OVER BY ', CAST(squad_size - max_squad_size AS VARCHAR)) END AS squad_slots_label,
+         CASE WHEN max_overseas - overseas_count >= 0
+              THEN concat(CAST(max_overseas - overseas_count AS VARCHAR), ' LEFT')
+              ELSE concat('OVER BY ', CAST(overseas_count - max_overseas AS VARCHAR)) END AS overseas_slots_label,
+         squad_size > max_squad_size AS over_squad_cap, overseas_count > max_overseas AS over_overseas_cap,
+         CASE WHEN purse_total_cr > 0 THEN
+              {r('CAST(purse_remaining_cr AS DOUBLE) / CAST(purse_total_cr AS DOUBLE) * 100')} END AS purse_pct_left
+  FROM league_summary""")
+cte("purse_board", ("franchises",), """
+  SELECT franchise_id, name, CAST(purse_remaining_cr AS DOUBLE) AS remaining_cr,
+         CAST(purse_total_cr - purse_remaining_cr AS DOUBLE) AS spent_cr
+  FROM franchises WHERE is_active""")
+cte("league_totals", ("league_summary",), f"""
+  SELECT {r('sum(CAST(purse_remaining_cr AS DOUBLE))')} AS total_purse_left_cr,
+         arg_max(name, CAST(purse_remaining_cr AS DOUBLE) * 1000000 - franchise_id) AS max_purse_team,
+         max(CAST(purse_remaining_cr AS DOUBLE)) AS max_purse_cr,
+         count(*) FILTER (WHERE squad_size > max_squad_size) AS teams_over_cap
+  FROM league_summary""")
+cte("unowned", ("pool", "roster"), """
+  SELECT p.* FROM pool p
+  WHERE p.is_current_reference
+    AND NOT EXISTS (SELECT 1 FROM roster r WHERE lower(r.player_name) = lower(p.player_name)
+                    AND r.status = 'active')""")
+cte("pool_comp", ("pool",), """
+  SELECT role, is_overseas, capped_status, count(*) AS players FROM pool GROUP BY 1, 2, 3""")
+cte("franchise_status", ("franchises", "roster"), """
+  SELECT q.query, f.franchise_id IS NOT NULL AS found, f.franchise_id, f.name,
+         CAST(f.purse_total_cr AS DOUBLE) AS purse_total_cr, CAST(f.purse_remaining_cr AS DOUBLE) AS purse_remaining_cr,
+         f.max_squad_size, f.max_overseas,
+         CASE WHEN f.franchise_id IS NOT NULL THEN coalesce(c.squad_size, 0) END AS squad_size,
+         CASE WHEN f.franchise_id IS NOT NULL THEN coalesce(c.overseas_count, 0) END AS overseas_count
+  FROM (SELECT DISTINCT c_mktsegment AS query FROM customer
+        UNION SELECT DISTINCT n_name FROM nation) q
+  LEFT JOIN franchises f ON lower(f.name) = lower(q.query)
+  LEFT JOIN (SELECT franchise_id, count(*) AS squad_size, count(*) FILTER (WHERE is_overseas) AS overseas_count
+             FROM roster WHERE status = 'active' GROUP BY 1) c ON c.franchise_id = f.franchise_id""")
+
+
+def resolve_in_group_sql(src: str, src_name: str, grp: str, sub: str, rowid: str, out: str) -> str:
+    """Resolution restricted to the rows of ``sub`` with the same ``grp``."""
+    return f"""
+  SELECT s.*,
+         CASE WHEN e.k IS NOT NULL THEN e.k WHEN su.n = 1 THEN su.k WHEN si.n = 1 THEN si.k END AS {out}
+  FROM {src} s
+  LEFT JOIN (SELECT {grp} AS g, lower(player_name) AS l, min({rowid}) AS k FROM {sub} GROUP BY 1, 2) e
+    ON e.g = s.{grp} AND e.l = lower(trim(s.{src_name}))
+  LEFT JOIN (SELECT {grp} AS g, {sur('player_name')} AS su, count(*) AS n, min({rowid}) AS k FROM {sub} GROUP BY 1, 2) su
+    ON su.g = s.{grp} AND su.su = {sur('s.' + src_name)}
+  LEFT JOIN (SELECT {grp} AS g, {sur('player_name')} AS su, {ini('player_name')} AS i, count(*) AS n,
+                    min({rowid}) AS k FROM {sub} GROUP BY 1, 2, 3) si
+    ON si.g = s.{grp} AND si.su = {sur('s.' + src_name)} AND si.i = {ini('s.' + src_name)}"""
+
+
+cte("targets_base", ("unowned",), """
+  SELECT pool_id, sr_no, player_name, role, country, age, is_overseas, capped_status,
+         CAST(base_price_lakh AS DOUBLE) / 100.0 AS base_price_cr FROM unowned""")
+cte("targets_bat", ("targets_base", "batter_profile"),
+    resolve_sql("targets_base", "player_name", "batter_profile", "batter_key", "bat_k"))
+cte("targets_both", ("targets_bat", "bowler_profile"),
+    resolve_sql("targets_bat", "player_name", "bowler_profile", "bowler_key", "bowl_k"))
+cte("auction_targets", ("targets_both",), """
+  SELECT t.pool_id, t.sr_no, t.player_name, t.role, t.country, t.age, t.is_overseas, t.capped_status,
+         t.base_price_cr,
+         b.recent_innings AS bat_innings, b.recent_strike_rate AS bat_strike_rate, b.recent_average AS bat_average,
+         w.recent_innings AS bowl_innings, w.recent_economy AS bowl_economy, w.recent_wickets AS bowl_wickets,
+         w.bowler_type AS bowl_bowler_type,
+         (b.recent_innings IS NOT NULL OR w.recent_innings IS NOT NULL) AS has_data
+  FROM targets_both t
+  LEFT JOIN batter_profile b ON b.batter_key = t.bat_k
+  LEFT JOIN bowler_profile w ON w.bowler_key = t.bowl_k
+  ORDER BY has_data DESC, sr_no, pool_id LIMIT 12""")
+
+cte("fv", ("franchises", "bat_venue", "bowl_venue"), """
+  SELECT DISTINCT f.franchise_id, v.venue
+  FROM franchises f
+  JOIN (SELECT venue FROM bat_venue UNION SELECT venue FROM bowl_venue) v
+    ON f.is_active AND f.home_venue IS NOT NULL AND contains(lower(v.venue), lower(f.home_venue))""")
+cte("ret_base", ("roster", "franchises"), """
+  SELECT r.roster_id, r.franchise_id, f.name AS franchise_name, f.home_venue, r.player_name, r.role, r.is_overseas
+  FROM roster r JOIN franchises f ON f.franchise_id = r.franchise_id AND f.is_active
+  WHERE r.status = 'active'""")
+cte("ret_bat", ("ret_base", "batter_profile"),
+    resolve_sql("ret_base", "player_name", "batter_profile", "batter_key", "bat_k"))
+cte("ret_both", ("ret_bat", "bowler_profile"),
+    resolve_sql("ret_bat", "player_name", "bowler_profile", "bowler_key", "bowl_k"))
+cte("vbat_sub", ("bat_venue", "fv"), """
+  SELECT fv.franchise_id, b.*, concat_ws('|', b.batter_key, b.venue) AS rowid FROM bat_venue b JOIN fv USING (venue)""")
+cte("vbowl_sub", ("bowl_venue", "fv"), """
+  SELECT fv.franchise_id, b.*, concat_ws('|', b.bowler_key, b.venue) AS rowid FROM bowl_venue b JOIN fv USING (venue)""")
+cte("ret_vbat", ("ret_both", "vbat_sub"),
+    resolve_in_group_sql("ret_both", "player_name", "franchise_id", "vbat_sub", "rowid", "vbat_k"))
+cte("ret_all", ("ret_vbat", "vbowl_sub"),
+    resolve_in_group_sql("ret_vbat", "player_name", "franchise_id", "vbowl_sub", "rowid", "vbowl_k"))
+cte("retention", ("ret_all", "batter_profile", "bowler_profile", "vbat_sub", "vbowl_sub"), """
+  SELECT t.roster_id, t.franchise_id, t.franchise_name, t.home_venue, t.player_name, t.role, t.is_overseas,
+         b.recent_innings AS bat_recent_innings, b.recent_strike_rate AS bat_recent_strike_rate,
+         b.regressed_strike_rate AS bat_recent_regressed_strike_rate, b.recent_average AS bat_recent_average,
+         w.recent_innings AS bowl_recent_innings, w.recent_economy AS bowl_recent_economy,
+         w.regressed_economy AS bowl_recent_regressed_economy, w.recent_wickets AS bowl_recent_wickets,
+         vb.innings AS venue_bat_innings, vb.strike_rate AS venue_bat_strike_rate, vb.average AS venue_bat_average,
+         vw.innings AS venue_bowl_innings, vw.economy AS venue_bowl_economy, vw.wickets AS venue_bowl_wickets
+  FROM ret_all t
+  LEFT JOIN batter_profile b ON b.batter_key = t.bat_k
+  LEFT JOIN bowler_profile w ON w.bowler_key = t.bowl_k
+  LEFT JOIN vbat_sub vb ON vb.franchise_id = t.franchise_id AND vb.rowid = t.vbat_k
+  LEFT JOIN vbowl_sub vw ON vw.franchise_id = t.franchise_id AND vw.rowid = t.vbowl_k""")
