@@ -643,3 +643,178 @@ cte("retention", ("ret_all", "batter_profile", "bowler_profile", "vbat_sub", "vb
   LEFT JOIN bowler_profile w ON w.bowler_key = t.bowl_k
   LEFT JOIN vbat_sub vb ON vb.franchise_id = t.franchise_id AND vb.rowid = t.vbat_k
   LEFT JOIN vbowl_sub vw ON vw.franchise_id = t.franchise_id AND vw.rowid = t.vbowl_k""")
+
+
+# ------------------------------------------------------------ bids
+cte("bid_ctx", ("bids", "franchises", "pool", "roster"), """
+  SELECT b.*, f.franchise_id IS NOT NULL AS franchise_known, p.pool_id IS NOT NULL AS player_known,
+         p.player_name, p.is_overseas, CAST(p.base_price_lakh AS DOUBLE) / 100.0 AS base_price_cr,
+         CAST(f.purse_remaining_cr AS DOUBLE) AS purse_remaining_cr, f.max_squad_size, f.max_overseas,
+         coalesce(c.squad_size, 0) AS squad_size, coalesce(c.overseas_count, 0) AS overseas_count,
+         EXISTS (SELECT 1 FROM roster r WHERE r.status = 'active' AND lower(r.player_name) = lower(p.player_name))
+           AS owned
+  FROM bids b
+  LEFT JOIN franchises f ON f.franchise_id = b.franchise_id
+  LEFT JOIN pool p ON p.pool_id = b.pool_id
+  LEFT JOIN (SELECT franchise_id, count(*) AS squad_size, count(*) FILTER (WHERE is_overseas) AS overseas_count
+             FROM roster WHERE status = 'active' GROUP BY 1) c ON c.franchise_id = b.franchise_id""")
+cte("bid_validation", ("bid_ctx",), """
+  SELECT bid_id, auction_id, franchise_id, pool_id, price_cr, player_name,
+         reasons IS NULL AS accepted,
+         CASE WHEN reasons IS NULL THEN 'success' ELSE concat('blocked: ', reasons) END AS result_status
+  FROM (
+    SELECT *,
+      CASE WHEN NOT franchise_known THEN 'unknown franchise'
+           WHEN NOT player_known THEN 'unknown player'
+           ELSE nullif(concat_ws('; ',
+                  CASE WHEN owned THEN 'already on an active roster' END,
+                  CASE WHEN price_cr > purse_remaining_cr THEN 'bid exceeds remaining purse' END,
+                  CASE WHEN squad_size >= max_squad_size THEN 'squad at max size' END,
+                  CASE WHEN is_overseas AND overseas_count >= max_overseas THEN 'overseas cap reached' END,
+                  CASE WHEN price_cr < base_price_cr THEN 'bid below base price' END), '') END AS reasons
+    FROM bid_ctx) t""")
+
+# ------------------------------------------------------------ D4 change log
+cte("change_log", (), """
+  SELECT event_id + 1 AS event_id,
+         CASE WHEN event_type IN ('purchase', 'signup') THEN 'data_change' ELSE 'tool_call' END AS event_type,
+         CASE event_type WHEN 'click' THEN 'get_player_form_profile' WHEN 'view' THEN 'search_player_news'
+              WHEN 'purchase' THEN 'save_strategy_note' ELSE 'execute_player_bid' END AS tool_name,
+         CASE WHEN user_id % 5 = 0 THEN NULL ELSE user_id % 25 END AS franchise_id,
+         props AS payload,
+         CASE event_type WHEN 'error' THEN 'blocked: purse' WHEN 'signup' THEN 'success'
+              WHEN 'purchase' THEN 'success' ELSE 'found' END AS result_status,
+         ts AS created_at
+  FROM events""")
+cte("audit_trail", ("change_log", "franchises"), """
+  SELECT c.event_id, c.event_type, c.tool_name, c.result_status, c.payload, c.created_at, f.name AS franchise_name
+  FROM change_log c LEFT JOIN franchises f ON f.franchise_id = c.franchise_id
+  ORDER BY c.event_id DESC LIMIT 25""")
+cte("tool_usage", ("change_log",), "SELECT tool_name, count(*) AS calls FROM change_log GROUP BY 1")
+cte("bid_outcomes", ("change_log",), """
+  SELECT count(*) FILTER (WHERE result_status = 'success') AS successful_bids,
+         count(*) FILTER (WHERE starts_with(result_status, 'blocked')) AS blocked_bids,
+         count(*) AS bid_events
+  FROM change_log WHERE tool_name = 'execute_player_bid'""")
+cte("activity", ("change_log",), """
+  SELECT *, CAST(row_number() OVER (ORDER BY created_at, event_id) AS BIGINT) AS running_count FROM change_log""")
+
+# ------------------------------------------------------------ D6 notes
+cte("notes_src", (), """
+  SELECT conv_id * 100 + turn AS note_id, conv_id % 30 AS franchise_id,
+         CASE turn % 6 WHEN 0 THEN 'retention_plan' WHEN 1 THEN 'auction_targets' WHEN 2 THEN 'playing_xi'
+              WHEN 3 THEN 'scouting' WHEN 4 THEN 'general' ELSE 'unlisted_type' END AS note_type,
+         CASE WHEN conv_id % 17 = 0 THEN '  ' ELSE text END AS content,
+         role AS created_by
+  FROM conversations""")
+cte("notes_valid", ("notes_src", "franchises"), """
+  SELECT n.note_id, n.franchise_id,
+         CASE WHEN n.note_type IN ('retention_plan', 'auction_targets', 'playing_xi', 'scouting', 'general')
+              THEN n.note_type ELSE 'general' END AS note_type,
+         CASE WHEN NOT (n.content IS NULL OR length(trim(n.content)) = 0) THEN trim(n.content) END AS content,
+         CAST(length(n.content) AS INTEGER) AS chars, n.created_by,
+         NOT (n.content IS NULL OR length(trim(n.content)) = 0)
+           AND NOT (n.franchise_id IS NOT NULL AND f.franchise_id IS NULL) AS accepted,
+         CASE WHEN n.content IS NULL OR length(trim(n.content)) = 0 THEN 'empty note content'
+              WHEN n.franchise_id IS NOT NULL AND f.franchise_id IS NULL THEN 'unknown franchise' END AS reason
+  FROM notes_src n LEFT JOIN franchises f ON f.franchise_id = n.franchise_id""")
+cte("notes_latest", ("notes_valid", "franchises"), """
+  SELECT n.note_id, n.note_type, n.content, n.created_by, f.name AS franchise_name
+  FROM notes_valid n LEFT JOIN franchises f ON f.franchise_id = n.franchise_id
+  WHERE n.accepted ORDER BY n.note_id DESC LIMIT 20""")
+cte("notes_audit", ("notes_valid",), """
+  SELECT note_id, 'data_change' AS event_type, 'strategy_notes' AS table_name, 'save_strategy_note' AS tool_name,
+         franchise_id,
+         json_object('note_id', note_id, 'note_type', note_type, 'chars', chars)::VARCHAR AS payload,
+         'success' AS result_status
+  FROM notes_valid WHERE accepted""")
+
+# ------------------------------------------------------------ D5 articles
+cte("articles", (), """
+  SELECT concat('r', CAST((page_id + k) % 150 AS VARCHAR)) AS player_key,
+         url, html AS content, CAST(page_id % 100 AS DOUBLE) / 100 AS score,
+         DATE '2024-01-01' + CAST(page_id % 30 AS INT) AS ingested_on
+  FROM pages CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 10 AS k) x
+  WHERE k = 0 OR page_id % 10 = 0""")
+cte("article_ids", ("articles",), """
+  SELECT player_key, url, score, ingested_on, length(content) AS content_chars,
+         sha256(concat_ws('|', player_key, url)) AS article_id
+  FROM (SELECT *, row_number() OVER (PARTITION BY sha256(concat_ws('|', player_key, url))
+                                     ORDER BY ingested_on DESC, score DESC) AS rn FROM articles) t
+  WHERE rn = 1""")
+cte("shortlist", ("batter_profile", "bowler_profile"), """
+  SELECT player_key, min(player_name) AS player_name FROM (
+    (SELECT batter_key AS player_key, player_name FROM batter_profile
+     ORDER BY recent_innings DESC, batter_key LIMIT 100)
+    UNION ALL
+    (SELECT batter_key, player_name FROM batter_profile WHERE recent_balls_faced >= 60
+     ORDER BY regressed_strike_rate DESC, batter_key LIMIT 75)
+    UNION ALL
+    (SELECT bowler_key, player_name FROM bowler_profile ORDER BY recent_innings DESC, bowler_key LIMIT 100)
+    UNION ALL
+    (SELECT bowler_key, player_name FROM bowler_profile WHERE recent_balls_bowled >= 60
+     ORDER BY regressed_economy ASC, bowler_key LIMIT 75)) u
+  GROUP BY player_key""")
+cte("refresh", ("shortlist", "articles"), """
+  SELECT s.* FROM shortlist s
+  WHERE NOT EXISTS (SELECT 1 FROM articles a WHERE a.player_key = s.player_key
+                    AND a.ingested_on >= DATE '2024-01-30' - INTERVAL 7 DAY)""")
+cte("freshness", ("articles",), """
+  SELECT player_key, count(*) AS articles, max(ingested_on) AS last_fetched FROM articles
+  GROUP BY 1 ORDER BY last_fetched DESC, articles DESC, player_key LIMIT 20""")
+cte("urls", (), """
+  SELECT conv_id * 100 + turn AS msg_id, CAST(i - 1 AS INTEGER) AS pos, u AS url FROM (
+    SELECT conv_id, turn,
+           unnest(regexp_extract_all(text, '(href="|\\()?(https?://[^\\s<>")\\]]+)', 1)) AS g,
+           unnest(regexp_extract_all(text, '(href="|\\()?(https?://[^\\s<>")\\]]+)', 2)) AS u,
+           unnest(generate_series(1, len(regexp_extract_all(text, '(href="|\\()?(https?://[^\\s<>")\\]]+)', 2))))
+             AS i
+    FROM conversations) t
+  WHERE g = ''""")
+
+# ------------------------------------------------------------ vectors
+cte("centroid_dims", (), """
+  SELECT label, dim, avg(x) AS x FROM (
+    SELECT label, CAST(unnest(generate_series(0, len(embedding) - 1)) AS BIGINT) AS dim,
+           CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) t
+  GROUP BY 1, 2""")
+cte("vec_dims", (), """
+  SELECT vec_id, CAST(unnest(generate_series(0, len(embedding) - 1)) AS BIGINT) AS dim,
+         CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings""")
+cte("similar_vecs", ("centroid_dims", "vec_dims"), f"""
+  SELECT label, vec_id, {r('s', 6)} AS score, rank FROM (
+    SELECT *, CAST(row_number() OVER (PARTITION BY label ORDER BY s DESC, vec_id) AS BIGINT) AS rank FROM (
+      SELECT c.label, v.vec_id, sum(v.x * c.x) / (sqrt(sum(v.x * v.x)) * sqrt(sum(c.x * c.x))) AS s
+      FROM vec_dims v JOIN centroid_dims c ON c.dim = v.dim GROUP BY 1, 2) a) b
+  WHERE rank <= 5""")
+
+# ------------------------------------------------------------ quality
+cte("kind_hist", ("d1",), """
+  SELECT wicket_kind AS dismissal_kind, count(*) AS dismissals FROM d1 WHERE is_wicket GROUP BY 1""")
+cte("volume", ("d1",), f"""
+  SELECT competition, count(DISTINCT match_id) AS matches, count(*) AS deliveries,
+         {r('count(*) * 1.0 / count(DISTINCT match_id)', 1)} AS avg_deliveries_per_match
+  FROM d1 GROUP BY 1""")
+cte("coverage", ("d1",), f"""
+  SELECT competition, count(*) AS deliveries, count(batter_id) AS deliveries_with_batter_id,
+         {r('count(batter_id) * 100.0 / count(*)')} AS batter_id_coverage_pct
+  FROM d1 GROUP BY 1""")
+
+# ------------------------------------------------------------ boards
+cte("top_recent_economy", ("bowl_recent",), """
+  SELECT bowler_key, player_name, innings, balls_bowled, economy, regressed_economy FROM bowl_recent
+  ORDER BY regressed_economy ASC, bowler_key LIMIT 10""")
+cte("death_specialists", ("bat_phase",), """
+  SELECT batter_key, player_name, balls_faced, strike_rate FROM bat_phase WHERE phase = 'death'
+  ORDER BY strike_rate DESC, batter_key LIMIT 10""")
+cte("genuine_allrounders", ("allround",), """
+  SELECT * FROM allround WHERE bowling_involvement_pct >= 40 ORDER BY runs DESC, player_key LIMIT 10""")
+cte("name_board", ("batter_profile",), """
+  SELECT batter_key, player_name, recent_innings, recent_strike_rate, usual_batting_position, likely_keeper_signal
+  FROM batter_profile WHERE contains(lower(player_name), 'surname1')""")
+cte("radar", ("batter_profile",), """
+  SELECT batter_key, player_name,
+         [coalesce(powerplay_sr, 0.0), coalesce(middle_sr, 0.0), coalesce(death_sr, 0.0), coalesce(chase_sr, 0.0),
+          CASE WHEN coalesce(finisher_pct, 0.0) <= 1 THEN coalesce(finisher_pct, 0.0) * 100
+               ELSE finisher_pct END] AS radar
+  FROM batter_profile""")
