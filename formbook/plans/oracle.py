@@ -818,3 +818,21 @@ cte("radar", ("batter_profile",), """
           CASE WHEN coalesce(finisher_pct, 0.0) <= 1 THEN coalesce(finisher_pct, 0.0) * 100
                ELSE finisher_pct END] AS radar
   FROM batter_profile""")
+
+
+# ------------------------------------------------------------ bronze -> silver round trip
+cte("roundtrip", ("d1",), """
+  SELECT match_id, competition, innings_seq, over_number, delivery_seq, batting_team, batter, batter_id,
+         bowler, bowler_id, runs_batter,
+         runs_batter + extras_wides + extras_noballs + extras_byes + extras_legbyes AS runs_total,
+         CAST(extras_wides AS BIGINT) AS extras_wides, CAST(extras_noballs AS BIGINT) AS extras_noballs,
+         CAST(extras_byes AS BIGINT) AS extras_byes, CAST(extras_legbyes AS BIGINT) AS extras_legbyes,
+         is_wicket, wicket_kind, in_powerplay, innings_target_runs
+  FROM d1""")
+cte("silver_matches", ("d1",), """
+  SELECT match_id, max(competition) AS competition, max(match_date) AS start_date, max(match_date) AS end_date,
+         1 AS num_days, max(season) AS season, max(venue) AS venue, max(team_1) AS team_1, max(team_2) AS team_2,
+         max(outcome_by_runs) AS outcome_by_runs, max(outcome_by_wickets) AS outcome_by_wickets,
+         max(event_stage) AS event_stage, max(match_type) AS match_type,
+         count(DISTINCT innings_seq) AS num_innings
+  FROM d1 GROUP BY match_id""")

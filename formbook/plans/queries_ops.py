@@ -228,3 +228,39 @@ def radar_vectors_q(spark, sf_dir):
 
 
 _ = phases
+
+
+# ------------------------------------------------------------------ bronze / silver
+ROUNDTRIP_COLS = ("match_id", "competition", "innings_seq", "over_number", "delivery_seq", "batting_team",
+                  "batter", "batter_id", "bowler", "bowler_id", "runs_batter", "runs_total", "extras_wides",
+                  "extras_noballs", "extras_byes", "extras_legbyes", "is_wicket", "wicket_kind", "in_powerplay",
+                  "innings_target_runs")
+
+
+def _bronze(spark, sf_dir):
+    from formbook.sources import bronze as br
+    g = Gold(spark, sf_dir)
+    root = f"{checkpoint_dir(spark).rstrip('/')}/docs-{uuid.uuid4().hex}"
+    br.write_documents(br.nested_documents(g.d1), root)
+    config = (g.d1.select(F.col("competition").alias("competition_code")).distinct()
+              .withColumn("is_active", F.lit(True)))
+    bronze_df, _status = br.read_competitions(spark, root, config, id_pattern=r"match_id=([0-9]+)/",
+                                              folder="competition={code}/*/*.json")
+    return bronze_df
+
+
+@query("bronze_silver_roundtrip", with_ctes(["roundtrip"], "SELECT * FROM roundtrip"))
+def bronze_silver_roundtrip_q(spark, sf_dir):
+    from formbook.sources import silver
+    s = silver.silver_deliveries(_bronze(spark, sf_dir))
+    return s.select(*[c for c in ROUNDTRIP_COLS if c not in ("wicket_kind", "in_powerplay")],
+                    F.get("wickets", 0)["kind"].alias("wicket_kind"),
+                    F.col("powerplay_type").isNotNull().alias("in_powerplay")).select(*ROUNDTRIP_COLS)
+
+
+@query("silver_matches", with_ctes(["silver_matches"], "SELECT * FROM silver_matches"))
+def silver_matches_q(spark, sf_dir):
+    from formbook.sources import silver
+    m = silver.silver_matches(_bronze(spark, sf_dir))
+    return m.select("match_id", "competition", "start_date", "end_date", "num_days", "season", "venue", "team_1",
+                    "team_2", "outcome_by_runs", "outcome_by_wickets", "event_stage", "match_type", "num_innings")
