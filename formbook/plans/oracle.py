@@ -836,3 +836,73 @@ cte("silver_matches", ("d1",), """
          max(event_stage) AS event_stage, max(match_type) AS match_type,
          count(DISTINCT innings_seq) AS num_innings
   FROM d1 GROUP BY match_id""")
+
+
+# ------------------------------------------------------------ table maintenance
+cte("cfg_src", (), """
+  SELECT CAST(r_regionkey AS BIGINT) AS franchise_id, r_name AS name, CAST(125 AS DECIMAL(10,2)) AS purse_total_cr,
+         CAST(50 + r_regionkey AS DECIMAL(10,2)) AS purse_remaining_cr, 25 AS max_squad_size, 8 AS max_overseas,
+         concat('Venue ', CAST(r_regionkey AS VARCHAR)) AS home_venue, true AS is_active
+  FROM region
+  UNION ALL
+  SELECT CAST(100 + r_regionkey AS BIGINT), concat(r_name, ' XI'), CAST(125 AS DECIMAL(10,2)),
+         CAST(125 AS DECIMAL(10,2)), 25, 8, NULL, true
+  FROM region""")
+cte("config_upsert", ("franchises", "cfg_src"), """
+  SELECT * FROM franchises WHERE franchise_id NOT IN (SELECT franchise_id FROM cfg_src)
+  UNION ALL SELECT * FROM cfg_src""")
+cte("pool_candidates", ("roster",), """
+  SELECT 1000000 + roster_id AS pool_id, 1000000 + roster_id AS sr_no, player_name, 'Unknown' AS country,
+         CAST(NULL AS BIGINT) AS age, role, 'uncapped' AS capped_status, is_overseas,
+         CAST(30 AS DECIMAL(10,2)) AS base_price_lakh, true AS is_current_reference
+  FROM roster""")
+cte("insert_absent", ("pool", "pool_candidates"), """
+  SELECT * FROM pool
+  UNION ALL
+  SELECT * FROM pool_candidates c WHERE NOT EXISTS (SELECT 1 FROM pool p WHERE p.player_name = c.player_name)""")
+cte("rules_v", (), """
+  SELECT CAST(r_regionkey AS BIGINT) AS rule_version, CAST(100 + 5 * r_regionkey AS DECIMAL(10,2)) AS max_purse_cr,
+         25 AS max_squad_size, 8 AS max_overseas_players,
+         r_regionkey = (SELECT max(r_regionkey) FROM region) AS is_current
+  FROM region""")
+cte("flip_current", ("rules_v",), """
+  SELECT rule_version, max_purse_cr, max_squad_size, max_overseas_players, false AS is_current FROM rules_v
+  UNION ALL
+  SELECT max(rule_version) + 1, CAST(125 AS DECIMAL(10,2)), 25, 8, true FROM rules_v""")
+cte("partition_replace", ("roster", "franchises"), """
+  SELECT * FROM roster WHERE franchise_id NOT IN (SELECT franchise_id FROM franchises WHERE NOT is_active)
+  UNION ALL
+  SELECT roster_id, franchise_id, player_name, role, bowling_style, is_overseas, acquisition_type, price_cr,
+         'released' AS status
+  FROM roster WHERE franchise_id IN (SELECT franchise_id FROM franchises WHERE NOT is_active)""")
+cte("backfill", ("articles",), """
+  SELECT player_key, url, ingested_on, sha256(concat_ws('|', player_key, url)) AS article_id FROM articles""")
+cte("roster_new", ("roster",), """
+  SELECT r.roster_id, r.franchise_id, r.player_name, r.role, r.bowling_style, r.is_overseas, r.acquisition_type,
+         r.price_cr, CASE WHEN c.c_mktsegment = 'BUILDING' THEN 'released' ELSE r.status END AS status
+  FROM roster r JOIN customer c ON c.c_custkey = r.roster_id
+  WHERE c.c_acctbal >= 0
+  UNION ALL
+  SELECT 1000000 + s_suppkey, CAST(s_nationkey AS BIGINT), s_name, 'batter', 'na', false, 'auction',
+         CAST(1 AS DECIMAL(10,2)), 'active'
+  FROM supplier""")
+cte("snapshot_diff", ("roster", "roster_new"), """
+  SELECT n.*, CASE WHEN o.roster_id IS NULL THEN 'insert' ELSE 'update' END AS change_type
+  FROM roster_new n LEFT JOIN roster o ON o.roster_id = n.roster_id
+  WHERE o.roster_id IS NULL OR o.status IS DISTINCT FROM n.status
+  UNION ALL
+  SELECT o.*, 'delete' FROM roster o WHERE o.roster_id NOT IN (SELECT roster_id FROM roster_new)""")
+cte("cf_src", ("roster",), """
+  SELECT r.roster_id, r.franchise_id, upper(r.player_name) AS player_name, r.role, r.bowling_style, r.is_overseas,
+         r.acquisition_type, CAST(r.price_cr + 1 AS DECIMAL(10,2)) AS price_cr, r.status
+  FROM roster r JOIN customer c ON c.c_custkey = r.roster_id WHERE c.c_mktsegment = 'MACHINERY'
+  UNION ALL
+  SELECT NULL, CAST(s_nationkey AS BIGINT), s_name, 'bowler', 'pace', false, 'auction', CAST(2 AS DECIMAL(10,2)),
+         'active'
+  FROM supplier""")
+cte("case_folded_upsert", ("roster", "cf_src"), """
+  SELECT count(*) FILTER (WHERE r.roster_id IS NULL) AS inserted, count(*) FILTER (WHERE r.roster_id IS NOT NULL)
+         AS updated
+  FROM cf_src s LEFT JOIN roster r
+    ON r.franchise_id = s.franchise_id AND lower(r.player_name) = lower(s.player_name)
+   AND r.acquisition_type = s.acquisition_type AND r.status = s.status""")

@@ -27,4 +27,4 @@ def query(name: str, oracle: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from formbook.plans import queries, queries_ops  # noqa: F401
+    from formbook.plans import queries, queries_ops, queries_tables  # noqa: F401
