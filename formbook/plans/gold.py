@@ -22,6 +22,24 @@ from formbook.session import checkpoint_dir
 from formbook.sources import fixtures as fx
 
 
+# Staged tables of this process, keyed by (input folder, input signature,
+# table name): app-level queries read gold tables built once, like the
+# reference's app reads the tables its batch job wrote.
+_SHARED: dict[tuple[str, str, str], str] = {}
+
+
+def input_signature(spark: SparkSession, sf_dir: str) -> str:
+    """(name, size, mtime) of every entry of the input folder, hashed —
+    from file-system metadata only, so changed inputs get new tables."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    parts = sorted(f"{st.getPath().getName()}:{st.getLen()}:{st.getModificationTime()}"
+                   for st in fs.listStatus(p))
+    import hashlib
+    return hashlib.sha256("|".join(parts).encode()).hexdigest()[:16]
+
+
 class Gold:
     def __init__(self, spark: SparkSession, sf_dir: str, staged: bool = False):
         self.spark = spark
@@ -29,21 +47,27 @@ class Gold:
         self.staged = staged
         self._bat: DataFrame | None = None
         self._bowl: DataFrame | None = None
+        self._enriched: DataFrame | None = None
         self._stages: dict[str, DataFrame] = {}
         self._stage_root: str | None = None
 
     def stage(self, name: str, build: Callable[[], DataFrame], partition_by: str | None = None) -> DataFrame:
-        """Materialise ``build()`` once (when staging is on) and read it back."""
+        """Materialise ``build()`` once (when staging is on) and read it back;
+        a table already staged in this process for the same inputs is reused."""
         if not self.staged:
             return build()
         if name not in self._stages:
-            if self._stage_root is None:
-                self._stage_root = f"{checkpoint_dir(self.spark).rstrip('/')}/formbook-{uuid.uuid4().hex}"
-            path = f"{self._stage_root}/{name}"
-            writer = build().write.mode("overwrite")
-            if partition_by:
-                writer = writer.partitionBy(partition_by)
-            writer.parquet(path)
+            key = (self.sf_dir, input_signature(self.spark, self.sf_dir), name)
+            path = _SHARED.get(key)
+            if path is None:
+                if self._stage_root is None:
+                    self._stage_root = f"{checkpoint_dir(self.spark).rstrip('/')}/formbook-{uuid.uuid4().hex}"
+                path = f"{self._stage_root}/{name}"
+                writer = build().write.mode("overwrite")
+                if partition_by:
+                    writer = writer.partitionBy(partition_by)
+                writer.parquet(path)
+                _SHARED[key] = path
             self._stages[name] = self.spark.read.parquet(path)
         return self._stages[name]
 
@@ -63,9 +87,19 @@ class Gold:
     def matches(self) -> DataFrame:
         return fx.matches_from_deliveries(self.d1)
 
-    @cached_property
+    @property
     def enriched(self) -> DataFrame:
-        return enrich.enrich_deliveries(self.deliveries, self.matches)
+        if self._enriched is None:
+            self._enriched = enrich.enrich_deliveries(self.deliveries, self.matches)
+        return self._enriched
+
+    @property
+    def balls(self) -> DataFrame:
+        """Ball rows for the delivery-grain profile inputs: the written
+        enriched table once materialised, else the lazy silver view."""
+        return self._enriched if self._materialized else self.deliveries
+
+    _materialized = False
 
     # ------------------------------------------------------------ innings facts
     @property
@@ -81,8 +115,13 @@ class Gold:
         return self.stage("bowling_innings", lambda: innings.bowling_innings(self.enriched), "competition")
 
     def materialize(self, path: str) -> "Gold":
-        """Write both innings fact tables partitioned by competition and
-        read them back (partition pruning for the T20 slices)."""
+        """The batch's write points: the enriched ball table (the one full
+        ball-grain derivation), then both innings fact tables computed from
+        it — all partitioned by competition (partition pruning for the T20
+        slices) and read back, so every later table starts from Parquet."""
+        self.enriched.write.mode("overwrite").partitionBy("competition").parquet(f"{path}/deliveries_enriched")
+        self._enriched = self.spark.read.parquet(f"{path}/deliveries_enriched")
+        self._materialized = True
         innings.batting_innings(self.enriched).write.mode("overwrite") \
             .partitionBy("competition").parquet(f"{path}/batting_innings")
         innings.bowling_innings(self.enriched).write.mode("overwrite") \
@@ -157,7 +196,7 @@ class Gold:
     # ------------------------------------------------------------ profiles
     @property
     def positions(self) -> DataFrame:
-        return profiles.batting_positions(self.deliveries)
+        return profiles.batting_positions(self.balls)
 
     @property
     def position_summary(self) -> DataFrame:
@@ -165,11 +204,11 @@ class Gold:
 
     @property
     def registry(self) -> DataFrame:
-        return fx.registry_from_deliveries(self.d1)
+        return fx.registry_from_deliveries(self.balls)
 
     @property
     def keeper(self) -> DataFrame:
-        return profiles.keeper_signal(self.deliveries, self.registry)
+        return profiles.keeper_signal(self.balls, self.registry)
 
     @property
     def batter_profile(self) -> DataFrame:

@@ -48,17 +48,20 @@ def _apply_sql_confs(spark: SparkSession, shuffle_partitions: int | None) -> Non
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared lineage-cut folder: ``spark.checkpoint.dir`` from the session.
+    """The shared lineage-cut / staging folder.
 
-    Only when the cluster names none (local tests) a private temp folder
-    is created and registered.
+    Read from the session (``spark.checkpoint.dir`` given at cluster or
+    session start, or an earlier ``setCheckpointDir``). Only when none is
+    named — local tests — a private temp folder is registered.
+    ``spark.checkpoint.dir`` is a core setting and cannot be changed at
+    runtime, so this never calls ``spark.conf.set`` on it.
     """
-    conf = spark.sparkContext.getConf()
-    path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    path = sc.getCheckpointDir()
     if not path:
-        path = tempfile.mkdtemp(prefix="formbook-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+        named = sc.getConf().get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="formbook-ckpt-"))
+        path = sc.getCheckpointDir()
     return path
 
 

@@ -12,6 +12,8 @@ sys.path.insert(0, ROOT)
 def spark():
     from pyspark.sql import SparkSession
     s = (SparkSession.builder.master("local[*]")
+         # tests name their own checkpoint folder; a cluster names a shared one
+         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="formbook-test-ckpt-"))
          .appName("formbook-tests")
          .config("spark.sql.shuffle.partitions", "8")
          .config("spark.ui.enabled", "false")
@@ -20,9 +22,6 @@ def spark():
          .config("spark.driver.memory", "8g")
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
-    # tests name their own checkpoint folder; a cluster names a shared one
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="formbook-test-ckpt-"))
     yield s
     s.stop()
 
