@@ -41,6 +41,11 @@ def news_shortlist(batter_profile: DataFrame, bowler_profile: DataFrame,
     return u.groupBy("player_key").agg(F.min("player_name").alias("player_name"))
 
 
+def article_text(raw_col: str, content_col: str):
+    """The raw body when it has any non-blank text, else the summary."""
+    return F.coalesce(F.when(F.length(F.trim(F.col(raw_col))) > 0, F.col(raw_col)), F.col(content_col))
+
+
 def with_article_id(articles: DataFrame) -> DataFrame:
     """Deterministic key sha256(player_key|url); one row per key
     (latest ingestion, then highest score)."""

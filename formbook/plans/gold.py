@@ -18,7 +18,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from formbook.operators import enrich, form, innings, league, phases, profiles
-from formbook.session import checkpoint_dir
+from formbook.session import apply_plan_confs, checkpoint_dir
 from formbook.sources import fixtures as fx
 
 
@@ -45,6 +45,7 @@ class Gold:
         self.spark = spark
         self.sf_dir = sf_dir
         self.staged = staged
+        apply_plan_confs(spark)
         self._bat: DataFrame | None = None
         self._bowl: DataFrame | None = None
         self._enriched: DataFrame | None = None

@@ -906,3 +906,81 @@ cte("case_folded_upsert", ("roster", "cf_src"), """
   FROM cf_src s LEFT JOIN roster r
     ON r.franchise_id = s.franchise_id AND lower(r.player_name) = lower(s.player_name)
    AND r.acquisition_type = s.acquisition_type AND r.status = s.status""")
+
+
+# ------------------------------------------------------------ coverage additions
+def gold_hit(name: str, prof: str) -> str:
+    """B7 membership: exact (case-sensitive) name, or exactly one distinct
+    name with the surname, or with surname + initial."""
+    return f"""(length(trim({name})) > 0 AND (
+      {name} IN (SELECT player_name FROM {prof})
+      OR (SELECT count(DISTINCT player_name) FROM {prof} q WHERE {sur('q.player_name')} = {sur(name)}) = 1
+      OR (SELECT count(DISTINCT player_name) FROM {prof} q WHERE {sur('q.player_name')} = {sur(name)}
+            AND {ini('q.player_name')} = substring(string_split_regex(lower(trim({name})), '\\s+')[1], 1, 1)) = 1))"""
+
+
+cte("role_inf", ("roster", "pool", "batter_profile", "bowler_profile"), f"""
+  SELECT roster_id, franchise_id, player_name,
+         CASE WHEN prole IS NOT NULL THEN prole WHEN hb AND hw THEN 'all-rounder' WHEN hw THEN 'bowler'
+              ELSE 'batter' END AS inferred_role,
+         CASE WHEN prole IS NOT NULL THEN 'player_pool' WHEN hb AND hw THEN 'gold (bat+bowl)'
+              WHEN hw THEN 'gold (bowl only)' WHEN hb THEN 'gold (bat only)' ELSE 'default' END AS role_source,
+         prole IS NULL AND NOT hb AND NOT hw AS needs_review
+  FROM (
+    SELECT r.roster_id, r.franchise_id, r.player_name, p.prole,
+           coalesce({gold_hit('r.player_name', 'batter_profile')}, false) AS hb,
+           coalesce({gold_hit('r.player_name', 'bowler_profile')}, false) AS hw
+    FROM roster r
+    LEFT JOIN (SELECT lower(player_name) AS l, arg_min(role, pool_id) AS prole FROM pool
+               WHERE is_current_reference GROUP BY 1) p ON p.l = lower(r.player_name)) t""")
+cte("universe_names", ("batter_profile", "bowler_profile", "pool"), """
+  SELECT DISTINCT player_name FROM (
+    SELECT player_name FROM batter_profile UNION ALL SELECT player_name FROM bowler_profile
+    UNION ALL SELECT player_name FROM pool WHERE is_current_reference) u""")
+cte("universe_bat", ("universe_names", "batter_profile"),
+    resolve_sql("universe_names", "player_name", "batter_profile", "batter_key", "bat_k"))
+cte("universe_both", ("universe_bat", "bowler_profile"),
+    resolve_sql("universe_bat", "player_name", "bowler_profile", "bowler_key", "bowl_k"))
+cte("universe", ("universe_both", "pool"), """
+  SELECT player_name,
+         lower(player_name) IN (SELECT lower(player_name) FROM pool WHERE is_current_reference) AS in_pool,
+         CASE WHEN bat_k IS NOT NULL AND bowl_k IS NOT NULL THEN 'all-rounder'
+              WHEN bowl_k IS NOT NULL THEN 'bowler' ELSE 'batter' END AS role_read
+  FROM universe_both""")
+cte("lookup_bat", ("pool", "batter_profile"), search_sql("pool", "pool_id", "player_name", "batter_profile",
+                                                         "batter_key", 3))
+cte("lookup_bowl", ("pool", "bowler_profile"), search_sql("pool", "pool_id", "player_name", "bowler_profile",
+                                                          "bowler_key", 3))
+cte("lookup_merged", ("lookup_bat", "lookup_bowl", "batter_profile", "bowler_profile"), """
+  SELECT coalesce(b.pool_id, w.pool_id) AS pool_id, coalesce(b.batter_key, w.bowler_key) AS player_key,
+         coalesce(b.player_name, w.player_name) AS player_name,
+         bp.recent_innings AS bat_recent_innings, bp.recent_strike_rate AS bat_recent_strike_rate,
+         bp.regressed_strike_rate AS bat_regressed_strike_rate,
+         wp.recent_innings AS bowl_recent_innings, wp.recent_economy AS bowl_recent_economy,
+         wp.recent_wickets AS bowl_recent_wickets, wp.bowler_type AS bowl_bowler_type
+  FROM lookup_bat b
+  FULL OUTER JOIN lookup_bowl w ON b.pool_id = w.pool_id AND b.batter_key = w.bowler_key
+  LEFT JOIN batter_profile bp ON bp.batter_key = b.batter_key
+  LEFT JOIN bowler_profile wp ON wp.bowler_key = w.bowler_key""")
+cte("player_lookup", ("lookup_merged",), """
+  SELECT *, count(*) OVER (PARTITION BY pool_id) AS match_count,
+         count(*) OVER (PARTITION BY pool_id) > 1 AS is_ambiguous
+  FROM lookup_merged""")
+cte("recent_vs_career", ("batter_profile",), """
+  SELECT batter_key, player_name, recent_strike_rate, career_strike_rate FROM batter_profile""")
+cte("role_map", ("bowler_profile",), """
+  SELECT bowler_key, player_name, economy_percentile, strike_rate_percentile, bowler_type FROM bowler_profile
+  WHERE economy_percentile IS NOT NULL AND strike_rate_percentile IS NOT NULL""")
+cte("partition_rows", ("d1",), """
+  SELECT competition, count(DISTINCT match_id) AS matches FROM d1 GROUP BY 1""")
+cte("current_rules", ("flip_current",), "SELECT * FROM flip_current WHERE is_current")
+cte("activity_feed", ("change_log", "franchises"), """
+  SELECT c.event_id, f.name AS franchise_name, c.result_status,
+         array_to_string(list_transform(string_split(replace(c.tool_name, '_', ' '), ' '),
+                         lambda x: upper(x[1]) || lower(x[2:])), ' ') AS tool_label,
+         strftime(c.created_at, '%b %d, %H:%M') AS time_label
+  FROM change_log c LEFT JOIN franchises f ON f.franchise_id = c.franchise_id
+  ORDER BY c.event_id DESC LIMIT 25""")
+cte("message_text", (), """
+  SELECT conv_id, turn, concat_ws(' ', text, role) AS message FROM conversations""")
+cte("index_refresh", ("article_ids",), "SELECT article_id, player_key, url FROM article_ids")

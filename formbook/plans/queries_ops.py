@@ -264,3 +264,102 @@ def silver_matches_q(spark, sf_dir):
     m = silver.silver_matches(_bronze(spark, sf_dir))
     return m.select("match_id", "competition", "start_date", "end_date", "num_days", "season", "venue", "team_1",
                     "team_2", "outcome_by_runs", "outcome_by_wickets", "event_stage", "match_type", "num_innings")
+
+
+# ------------------------------------------------------------------ coverage additions
+from formbook.functions import display  # noqa: E402
+from formbook.operators import boards, league, names  # noqa: E402
+
+
+@query("role_inference", with_ctes(["role_inf"], "SELECT * FROM role_inf"))
+def role_inference_q(spark, sf_dir):
+    """B7 for every roster row."""
+    g = Gold(spark, sf_dir, staged=True)
+    return league.role_inference(g.roster, g.pool, g.batter_profile, g.bowler_profile)
+
+
+@query("pool_universe", with_ctes(["universe"], "SELECT * FROM universe"))
+def pool_universe_q(spark, sf_dir):
+    """U2 + J11 + B18."""
+    g = Gold(spark, sf_dir, staged=True)
+    return league.player_universe(g.batter_profile, g.bowler_profile, g.pool)
+
+
+@query("player_lookup", with_ctes(["player_lookup"], "SELECT * FROM player_lookup"))
+def player_lookup_q(spark, sf_dir):
+    """B1 + J16 for every pool name (3 hits per side), flattened."""
+    g = Gold(spark, sf_dir, staged=True)
+    out = names.player_lookup(g.pool.select("pool_id", "player_name"), "player_name", "pool_id",
+                              g.batter_profile, g.bowler_profile, max_matches=3)
+    return out.select(
+        "pool_id", "player_key", "player_name",
+        F.col("batting.recent_innings").alias("bat_recent_innings"),
+        F.col("batting.recent_strike_rate").alias("bat_recent_strike_rate"),
+        F.col("batting.regressed_strike_rate").alias("bat_regressed_strike_rate"),
+        F.col("bowling.recent_innings").alias("bowl_recent_innings"),
+        F.col("bowling.recent_economy").alias("bowl_recent_economy"),
+        F.col("bowling.recent_wickets").alias("bowl_recent_wickets"),
+        F.col("bowling.bowler_type").alias("bowl_bowler_type"),
+        "match_count", "is_ambiguous")
+
+
+@query("recent_vs_career", with_ctes(["recent_vs_career"], "SELECT * FROM recent_vs_career"))
+def recent_vs_career_q(spark, sf_dir):
+    return boards.recent_vs_career(Gold(spark, sf_dir, staged=True).batter_profile)
+
+
+@query("bowler_role_map", with_ctes(["role_map"], "SELECT * FROM role_map"))
+def bowler_role_map_q(spark, sf_dir):
+    return boards.bowler_role_map(Gold(spark, sf_dir, staged=True).bowler_profile)
+
+
+@query("partition_rows", with_ctes(["partition_rows"], "SELECT * FROM partition_rows"))
+def partition_rows_q(spark, sf_dir):
+    """Matches per competition partition."""
+    return Gold(spark, sf_dir).matches.groupBy("competition").agg(F.count("*").alias("matches"))
+
+
+@query("current_rules", with_ctes(["current_rules"], "SELECT * FROM current_rules"))
+def current_rules_q(spark, sf_dir):
+    """The current rule row after the version flip."""
+    from formbook.plans.queries_tables import flip_current_q
+    return flip_current_q(spark, sf_dir).where(F.col("is_current"))
+
+
+@query("activity_feed", with_ctes(["activity_feed"], "SELECT * FROM activity_feed"))
+def activity_feed_q(spark, sf_dir):
+    """Newest events with display labels (tool name, short time)."""
+    g = Gold(spark, sf_dir)
+    log = _log(g).join(g.franchises.select("franchise_id", F.col("name").alias("franchise_name")),
+                       "franchise_id", "left")
+    return (log.select("event_id", "franchise_name", "result_status",
+                       display.tool_label("tool_name").alias("tool_label"),
+                       display.time_label("created_at").alias("time_label"))
+            .orderBy(F.desc("event_id")).limit(25))
+
+
+@query("message_text", with_ctes(["message_text"], "SELECT * FROM message_text"))
+def message_text_q(spark, sf_dir):
+    """Typed content blocks -> text with the reasoning block dropped."""
+    conv = Gold(spark, sf_dir).table("conversations")
+    blocks = F.to_json(F.array(
+        F.struct(F.lit("text").alias("type"), F.col("text").alias("text")),
+        F.struct(F.lit("reasoning").alias("type"), F.lit("internal notes").alias("text")),
+        F.struct(F.lit("text").alias("type"), F.col("role").alias("text"))))
+    return conv.select("conv_id", "turn", display.blocks_text(blocks).alias("message"))
+
+
+@query("index_refresh", with_ctes(["index_refresh"], "SELECT * FROM index_refresh"))
+def index_refresh_q(spark, sf_dir):
+    """Articles land in two arrivals (the second re-delivers the first);
+    the triggered index refresh holds every article once."""
+    from formbook.streaming import index
+    a = news.with_article_id(_articles(Gold(spark, sf_dir)))
+    root = f"{checkpoint_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    args = dict(source=f"{root}/landing", schema=a.schema, index_path=f"{root}/index",
+                checkpoint=f"{root}/_checkpoint")
+    a.where(F.col("ingested_on") < F.lit("2024-01-15").cast("date")).write.parquet(f"{root}/landing/arrival=1")
+    index.refresh_index(spark, **args)
+    a.write.parquet(f"{root}/landing/arrival=2")
+    index.refresh_index(spark, **args)
+    return spark.read.parquet(f"{root}/index").select("article_id", "player_key", "url")

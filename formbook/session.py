@@ -39,10 +39,20 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
+def apply_plan_confs(spark: SparkSession) -> None:
+    """SQL settings the plans are designed for (runtime-settable):
+    joins may reuse a partitioning on a subset of their keys — the ball
+    grain is hash-partitioned by ``match_id`` once and the innings-level
+    joins and aggregates (keys that contain ``match_id``) add no shuffle.
+    A match is bounded in size, so the coarser key cannot skew."""
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+
+
 def _apply_sql_confs(spark: SparkSession, shuffle_partitions: int | None) -> None:
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    apply_plan_confs(spark)
     if shuffle_partitions:
         spark.conf.set("spark.sql.shuffle.partitions", str(shuffle_partitions))
 

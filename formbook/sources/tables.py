@@ -69,6 +69,22 @@ class VersionedTable:
         return write_counted(df, f"{self.root}/v={v}", partition_by=partition_by)
 
 
+def ensure_database(spark: SparkSession, name: str) -> None:
+    """CREATE DATABASE IF NOT EXISTS."""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{name}`")
+
+
+def with_not_null(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """NOT NULL enforced lazily — a NULL in any listed column fails
+    the job that writes (or reads) the frame, naming the column."""
+    out = df
+    for col in columns:
+        out = out.withColumn(col, F.when(F.col(col).isNull(),
+                                         F.raise_error(F.lit(f"NULL in NOT NULL column {col}")))
+                             .otherwise(F.col(col)))
+    return out
+
+
 # ------------------------------------------------------------------ rewrites (new content)
 
 def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
