@@ -30,3 +30,13 @@ def test_every_query_has_oracle_or_is_declared():
 def test_oracle_equal_sf0001(spark, name):
     qs, orc = entry.queries(), entry.oracle_sql()
     assert compare(spark, duck(SF), name, qs[name], orc[name], SF)
+
+
+def test_no_cross_product_in_any_plan(spark):
+    """Every registered query plans without CartesianProduct or
+    BroadcastNestedLoopJoin."""
+    bad = []
+    for name, fn in sorted(entry.queries().items()):
+        plan = fn(spark, SF)._jdf.queryExecution().executedPlan().toString()
+        bad += [(name, op) for op in ("CartesianProduct", "BroadcastNestedLoopJoin") if op in plan]
+    assert bad == []

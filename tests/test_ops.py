@@ -168,3 +168,34 @@ def test_snapshot_diff(spark):
     new = spark.createDataFrame([(1, "a"), (2, "B"), (4, "d")], "k long, v string")
     got = sorted((r.k, r.change_type, r.v) for r in T.snapshot_diff(old, new, ["k"]).collect())
     assert got == [(2, "update", "B"), (3, "delete", "c"), (4, "insert", "d")]
+
+
+def test_not_null_enforced_and_display(spark, tmp_dir):
+    import pytest
+    from formbook.functions import display
+    ok = spark.createDataFrame([(1, "a")], "k long, v string")
+    assert T.with_not_null(ok, ["k", "v"]).count() == 1
+    bad = spark.createDataFrame([(1, None)], "k long, v string")
+    with pytest.raises(Exception):
+        T.with_not_null(bad, ["v"]).write.mode("overwrite").parquet(f"{tmp_dir}/nn")
+    df = spark.createDataFrame([("get_player_form_profile", None), ("x_y", 2.25)], "t string, x double")
+    got = df.select(display.tool_label("t").alias("l"), display.fmt_num("x", 1).alias("n")).collect()
+    assert [tuple(r) for r in got] == [("Get Player Form Profile", "—"), ("X Y", "2.3")]
+
+
+def test_inferred_and_declared_scan_agree_on_ids(spark, tmp_dir):
+    import json
+    import os
+    from formbook.sources import bronze
+    os.makedirs(f"{tmp_dir}/IPL")
+    doc = {"info": {"dates": ["2024-01-01"], "teams": ["A", "B"], "extra_field": 1},
+           "innings": [{"team": "A", "overs": [{"over": 0, "deliveries": [
+               {"batter": "x", "bowler": "y", "runs": {"batter": 1, "extras": 0, "total": 1}}]}]}]}
+    with open(f"{tmp_dir}/IPL/123.json", "w") as fh:
+        json.dump(doc, fh, indent=2)
+    declared = bronze.read_match_documents(spark, f"{tmp_dir}/IPL/*.json", "IPL").first()
+    inferred = bronze.read_match_documents(spark, f"{tmp_dir}/IPL/*.json", "IPL", infer_schema=True).first()
+    assert declared.match_id == inferred.match_id == "123"
+    assert declared.overs_per_innings is None and declared.event is None     # absent optional fields
+    assert "extra_field" not in str(spark.read.schema(bronze.MATCH_SCHEMA).option("multiLine", True)
+                                    .json(f"{tmp_dir}/IPL/*.json").schema)  # undeclared field dropped
