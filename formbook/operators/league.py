@@ -197,6 +197,17 @@ def home_venue_matches(franchises: DataFrame, keywords: DataFrame, venues: DataF
         franchises.select("franchise_id"), "franchise_id")
 
 
+def venue_keyword_table(franchises: DataFrame, keywords: dict | None = None) -> DataFrame:
+    """The fixed keyword dimension joined to franchises by
+    case-folded name -> (franchise_id, keyword)."""
+    from formbook.schema import VENUE_KEYWORDS
+    kw = keywords if keywords is not None else VENUE_KEYWORDS
+    rows = [(name.lower(), k) for name, ks in kw.items() for k in ks]
+    dim = franchises.sparkSession.createDataFrame(rows, "_lname string, keyword string")
+    return franchises.select("franchise_id", F.lower("name").alias("_lname")).join(dim, "_lname") \
+        .select("franchise_id", "keyword")
+
+
 def venue_keywords_from_home(franchises: DataFrame) -> DataFrame:
     """Keyword dimension when only ``home_venue`` is known: the venue text."""
     return franchises.where(F.col("home_venue").isNotNull()) \
