@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from formbook.operators import audit, bids, news, notes, phases
+from formbook.operators import audit, bids, news, notes
 from formbook.plans.gold import Gold
 from formbook.plans.oracle import with_ctes
 from formbook.plans.registry import query
@@ -227,8 +227,6 @@ def radar_vectors_q(spark, sf_dir):
     return batting_radar(Gold(spark, sf_dir, staged=True).batter_profile)
 
 
-_ = phases
-
 
 # ------------------------------------------------------------------ bronze / silver
 ROUNDTRIP_COLS = ("match_id", "competition", "innings_seq", "over_number", "delivery_seq", "batting_team",

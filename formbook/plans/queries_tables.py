@@ -99,7 +99,6 @@ def partition_replace_q(spark, sf_dir):
 @query("backfill_key", with_ctes(["backfill"], "SELECT * FROM backfill"))
 def backfill_key_q(spark, sf_dir):
     """Older article rows were stored without a key; fill only those."""
-    from formbook.operators.news import with_article_id  # noqa: F401
     a = fx.articles(Gold(spark, sf_dir).table("pages")).select("player_key", "url", "ingested_on")
     key = F.sha2(F.concat_ws("|", "player_key", "url"), 256)
     partial = a.withColumn("article_id", F.when(F.col("ingested_on") >= F.lit("2024-01-15").cast("date"), key))

@@ -10,7 +10,6 @@ re-delivered files add nothing.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from formbook.streaming.sync import _path_exists

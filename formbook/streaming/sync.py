@@ -41,21 +41,27 @@ def sync_change_log(spark: SparkSession, source: str, schema: StructType, target
     stream = reader.parquet(source)
 
     def apply_batch(batch: DataFrame, epoch_id: int) -> None:
-        new = batch.dropDuplicates([key])
-        if _path_exists(spark, target):
-            lo = new.agg(F.min(key)).first()[0]
-            if lo is None:
-                return
-            have = spark.read.parquet(target).where(F.col(key) >= lo).select(key)
-            new = new.join(have, key, "left_anti")
-        obs = Observation(f"sync_{epoch_id}")
-        observed = new.observe(obs, F.count(F.lit(1)).alias("rows"), F.max(key).alias("max_id"))
-        observed.write.mode("append").parquet(target)
-        stats = obs.get
-        if stats.get("rows"):
-            last = max(int(stats["max_id"]), read_watermark(spark, watermark))
-            spark.createDataFrame([(last,)], "last_event_id long").coalesce(1) \
-                .write.mode("overwrite").parquet(watermark)
+        # the micro-batch (bounded by the trigger) is read once: persisted for
+        # the id-range probe and the write
+        dedup = batch.dropDuplicates([key]).persist()
+        try:
+            new = dedup
+            if _path_exists(spark, target):
+                lo = dedup.agg(F.min(key)).first()[0]
+                if lo is None:
+                    return
+                have = spark.read.parquet(target).where(F.col(key) >= lo).select(key)
+                new = dedup.join(have, key, "left_anti")
+            obs = Observation(f"sync_{epoch_id}")
+            observed = new.observe(obs, F.count(F.lit(1)).alias("rows"), F.max(key).alias("max_id"))
+            observed.write.mode("append").parquet(target)
+            stats = obs.get
+            if stats.get("rows"):
+                last = max(int(stats["max_id"]), read_watermark(spark, watermark))
+                spark.createDataFrame([(last,)], "last_event_id long").coalesce(1) \
+                    .write.mode("overwrite").parquet(watermark)
+        finally:
+            dedup.unpersist()
 
     q = (stream.writeStream.foreachBatch(apply_batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
