@@ -984,3 +984,10 @@ cte("activity_feed", ("change_log", "franchises"), """
 cte("message_text", (), """
   SELECT conv_id, turn, concat_ws(' ', text, role) AS message FROM conversations""")
 cte("index_refresh", ("article_ids",), "SELECT article_id, player_key, url FROM article_ids")
+cte("bowler_roles", ("bowler_profile",), "SELECT bowler_type, count(*) AS bowlers FROM bowler_profile GROUP BY 1")
+cte("top_activity", ("batter_profile",), """
+  SELECT batter_key, player_name, recent_innings FROM batter_profile
+  ORDER BY recent_innings DESC, batter_key LIMIT 100""")
+cte("top_quality", ("bowler_profile",), """
+  SELECT bowler_key, player_name, recent_balls_bowled, regressed_economy FROM bowler_profile
+  WHERE recent_balls_bowled >= 60 ORDER BY regressed_economy ASC, bowler_key LIMIT 75""")

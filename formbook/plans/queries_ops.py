@@ -361,3 +361,27 @@ def index_refresh_q(spark, sf_dir):
     a.write.parquet(f"{root}/landing/arrival=2")
     index.refresh_index(spark, **args)
     return spark.read.parquet(f"{root}/index").select("article_id", "player_key", "url")
+
+
+@query("bowler_roles", with_ctes(["bowler_roles"], "SELECT * FROM bowler_roles"))
+def bowler_roles_q(spark, sf_dir):
+    """W4 breakdown: bowlers per role label."""
+    bp = Gold(spark, sf_dir, staged=True).bowler_profile
+    return bp.groupBy("bowler_type").agg(F.count("*").alias("bowlers"))
+
+
+@query("top_activity", with_ctes(["top_activity"], "SELECT * FROM top_activity"))
+def top_activity_q(spark, sf_dir):
+    """O1: the most active recent batters (shortlist lens 1)."""
+    bp = Gold(spark, sf_dir, staged=True).batter_profile
+    return (bp.select("batter_key", "player_name", "recent_innings")
+            .orderBy(F.desc("recent_innings"), "batter_key").limit(100))
+
+
+@query("top_quality", with_ctes(["top_quality"], "SELECT * FROM top_quality"))
+def top_quality_q(spark, sf_dir):
+    """O2: best regressed economy with a 60-ball recent sample (lens 2)."""
+    bp = Gold(spark, sf_dir, staged=True).bowler_profile
+    return (bp.where(F.col("recent_balls_bowled") >= 60)
+            .select("bowler_key", "player_name", "recent_balls_bowled", "regressed_economy")
+            .orderBy("regressed_economy", "bowler_key").limit(75))
