@@ -737,7 +737,7 @@ cte("articles", (), """
   FROM pages CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 10 AS k) x
   WHERE k = 0 OR page_id % 10 = 0""")
 cte("article_ids", ("articles",), """
-  SELECT player_key, url, score, ingested_on, length(content) AS content_chars,
+  SELECT player_key, url, score, ingested_on, CAST(length(content) AS INTEGER) AS content_chars,
          sha256(concat_ws('|', player_key, url)) AS article_id
   FROM (SELECT *, row_number() OVER (PARTITION BY sha256(concat_ws('|', player_key, url))
                                      ORDER BY ingested_on DESC, score DESC) AS rn FROM articles) t
@@ -822,8 +822,8 @@ cte("radar", ("batter_profile",), """
 
 # ------------------------------------------------------------ bronze -> silver round trip
 cte("roundtrip", ("d1",), """
-  SELECT match_id, competition, innings_seq, over_number, delivery_seq, batting_team, batter, batter_id,
-         bowler, bowler_id, runs_batter,
+  SELECT match_id, competition, CAST(innings_seq AS INTEGER) AS innings_seq, over_number, delivery_seq,
+         batting_team, batter, batter_id, bowler, bowler_id, runs_batter,
          runs_batter + extras_wides + extras_noballs + extras_byes + extras_legbyes AS runs_total,
          CAST(extras_wides AS BIGINT) AS extras_wides, CAST(extras_noballs AS BIGINT) AS extras_noballs,
          CAST(extras_byes AS BIGINT) AS extras_byes, CAST(extras_legbyes AS BIGINT) AS extras_legbyes,
@@ -834,7 +834,7 @@ cte("silver_matches", ("d1",), """
          1 AS num_days, max(season) AS season, max(venue) AS venue, max(team_1) AS team_1, max(team_2) AS team_2,
          max(outcome_by_runs) AS outcome_by_runs, max(outcome_by_wickets) AS outcome_by_wickets,
          max(event_stage) AS event_stage, max(match_type) AS match_type,
-         count(DISTINCT innings_seq) AS num_innings
+         CAST(count(DISTINCT innings_seq) AS INTEGER) AS num_innings
   FROM d1 GROUP BY match_id""")
 
 

@@ -109,8 +109,8 @@ def log_sync_q(spark, sf_dir):
     return _synced(spark, sf_dir)[1]
 
 
-@query("sync_lag", "SELECT count(*) AS live_events, count(*) AS synced_events, 0 AS missing_ids, 0 AS lag "
-                   "FROM events")
+@query("sync_lag", "SELECT count(*) AS live_events, count(*) AS synced_events, CAST(0 AS BIGINT) AS missing_ids, "
+                   "CAST(0 AS BIGINT) AS lag FROM events")
 def sync_lag_q(spark, sf_dir):
     live, target, _ = _synced(spark, sf_dir)
     return sync.sync_lag(live, target)

@@ -93,7 +93,7 @@ def partition_replace_q(spark, sf_dir):
     staged = _root(spark, "roster-staged")
     T.write_counted(repl, staged)  # never overwrite from a plan that reads the same path
     T.replace_partition(spark.read.parquet(staged), path, "franchise_id")
-    return spark.read.parquet(path).select(*g.roster.columns)
+    return spark.read.schema(g.roster.schema).parquet(path).select(*g.roster.columns)
 
 
 @query("backfill_key", with_ctes(["backfill"], "SELECT * FROM backfill"))

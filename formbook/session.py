@@ -70,7 +70,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     path = sc.getCheckpointDir()
     if not path:
         named = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="formbook-ckpt-"))
+        if not named:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors; "
+                                   "a machine-local temp folder does not survive executor loss")
+            named = tempfile.mkdtemp(prefix="formbook-ckpt-")  # local[...] runs only
+        sc.setCheckpointDir(named)
         path = sc.getCheckpointDir()
     return path
 

@@ -50,6 +50,24 @@ def rows_key(cols, rows):
     return sorted(out, key=lambda t: tuple((x is None, str(x)) for x in t))
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP", "float": "FLOAT",
+                 "smallint": "SMALLINT", "timestamp": "TIMESTAMP WITH TIME ZONE"}
+
+
+def spark_type(t: str) -> str:
+    if t.startswith("array<"):
+        return "LIST"
+    if t.startswith("decimal"):
+        return t.upper()
+    return SPARK_TO_DUCK.get(t, t)
+
+
+def duck_type(t) -> str:
+    t = str(t)
+    return "LIST" if t.endswith("[]") else t
+
+
 def spark_rows(df):
     rows = df.collect()
     return df.columns, [tuple(r) for r in rows]
@@ -60,17 +78,22 @@ def compare(spark, con, name, builder, sql, sf_dir):
     df = builder(spark, sf_dir)
     scols, srows = spark_rows(df)
     t1 = time.time()
+    rel = con.sql(sql)
+    dtypes = {c: duck_type(t) for c, t in zip(rel.columns, rel.types)}
     res = con.execute(sql)
     dcols = [d[0] for d in res.description]
     drows = res.fetchall()
-    ok_cols = sorted(scols) == sorted(dcols)
+    stypes = {f.name: spark_type(f.dataType.simpleString()) for f in df.schema.fields}
+    ok_types = all(stypes.get(c) == dtypes.get(c) for c in stypes)
+    ok_cols = sorted(scols) == sorted(dcols) and ok_types
     ok_n = len(srows) == len(drows)
     ok_v = ok_cols and rows_key(scols, srows) == rows_key(dcols, drows)
     status = "OK " if (ok_cols and ok_n and ok_v) else "BAD"
     print(f"{status} {name:34s} rows spark={len(srows):6d} duck={len(drows):6d} "
           f"cols={'ok' if ok_cols else 'DIFF'} values={'ok' if ok_v else 'DIFF'} {t1 - t0:.1f}s", flush=True)
     if not ok_cols:
-        print("   spark-only:", sorted(set(scols) - set(dcols)), "duck-only:", sorted(set(dcols) - set(scols)))
+        print("   spark-only:", sorted(set(scols) - set(dcols)), "duck-only:", sorted(set(dcols) - set(scols)),
+              "type diffs:", {c: (stypes[c], dtypes.get(c)) for c in stypes if stypes[c] != dtypes.get(c)})
     elif not ok_v:
         a, b = rows_key(scols, srows), rows_key(dcols, drows)
         sa, sb = set(a), set(b)
