@@ -256,6 +256,9 @@ cte("bat_recent", ("bat_recent_base",), regressed_bat("bat_recent_base"))
 cte("bowl_recent", ("bowl_recent_base",), regressed_bowl("bowl_recent_base"))
 
 
+RECURSIVE = {"ledger_rec"}
+
+
 def with_ctes(names: tuple[str, ...] | list[str], select: str) -> str:
     order: list[str] = []
 
@@ -269,7 +272,8 @@ def with_ctes(names: tuple[str, ...] | list[str], select: str) -> str:
     for n in names:
         visit(n)
     body = ",\n".join(f"{n} AS ({CTES[n][1]}\n)" for n in order)
-    return f"WITH {body}\n{select}"
+    kw = "WITH RECURSIVE" if RECURSIVE & set(order) else "WITH"
+    return f"{kw} {body}\n{select}"
 
 
 # ------------------------------------------------------------ phases / situational
@@ -991,3 +995,62 @@ cte("top_activity", ("batter_profile",), """
 cte("top_quality", ("bowler_profile",), """
   SELECT bowler_key, player_name, recent_balls_bowled, regressed_economy FROM bowler_profile
   WHERE recent_balls_bowled >= 60 ORDER BY regressed_economy ASC, bowler_key LIMIT 75""")
+
+
+# ------------------------------------------------------------ T5 ledger (recursive, per auction in bid order)
+cte("ledger_in", ("bid_ctx",), """
+  SELECT bid_id, auction_id, franchise_id, pool_id, price_cr, player_name, franchise_known, player_known,
+         coalesce(is_overseas, false) AS is_overseas, base_price_cr, purse_remaining_cr, max_squad_size,
+         max_overseas, squad_size, overseas_count, coalesce(owned, false) AS owned,
+         row_number() OVER (PARTITION BY auction_id ORDER BY bid_id) AS rn
+  FROM bid_ctx""")
+
+_LEDGER_STEP = """
+    SELECT auction_id, rn, bid_id, franchise_id, pool_id, price_cr, player_name, accepted, result_status,
+           purse_after_cr,
+           CASE WHEN accepted THEN map_concat(sp, MAP([franchise_id], [spent_f + price_cr])) ELSE sp END AS sp,
+           CASE WHEN accepted THEN map_concat(bo, MAP([franchise_id], [bought_f + 1])) ELSE bo END AS bo,
+           CASE WHEN accepted THEN map_concat(ov, MAP([franchise_id],
+                                                       [os_f + CASE WHEN is_overseas THEN 1 ELSE 0 END]))
+                ELSE ov END AS ov,
+           CASE WHEN accepted THEN list_append(own, lower(player_name)) ELSE own END AS own
+    FROM (
+      SELECT y.*,
+             franchise_known AND player_known AND reasons = '' AS accepted,
+             CASE WHEN NOT franchise_known THEN 'blocked: unknown franchise'
+                  WHEN NOT player_known THEN 'blocked: unknown player'
+                  WHEN reasons = '' THEN 'success' ELSE concat('blocked: ', reasons) END AS result_status,
+             CASE WHEN NOT franchise_known OR NOT player_known THEN NULL
+                  WHEN reasons = '' THEN round(purse_remaining_cr - spent_f - price_cr, 2)
+                  ELSE round(purse_remaining_cr - spent_f, 2) END AS purse_after_cr
+      FROM (
+        SELECT x.*, concat_ws('; ',
+                 CASE WHEN owned OR list_contains(own, lower(player_name)) THEN 'already on an active roster' END,
+                 CASE WHEN price_cr > purse_remaining_cr - spent_f THEN 'bid exceeds remaining purse' END,
+                 CASE WHEN squad_size + bought_f >= max_squad_size THEN 'squad at max size' END,
+                 CASE WHEN is_overseas AND overseas_count + os_f >= max_overseas THEN 'overseas cap reached' END,
+                 CASE WHEN price_cr < base_price_cr THEN 'bid below base price' END) AS reasons
+        FROM (
+          SELECT z.*, coalesce(sp[franchise_id], 0.0) AS spent_f, coalesce(bo[franchise_id], 0) AS bought_f,
+                 coalesce(ov[franchise_id], 0) AS os_f
+          FROM {src} z) x) y) w"""
+
+_LEDGER_FIRST = """(SELECT i.*, MAP()::MAP(BIGINT, DOUBLE) AS sp, MAP()::MAP(BIGINT, BIGINT) AS bo,
+                          MAP()::MAP(BIGINT, BIGINT) AS ov, []::VARCHAR[] AS own
+                   FROM ledger_in i WHERE i.rn = 1)"""
+_LEDGER_NEXT = """(SELECT i.*, r.sp, r.bo, r.ov, r.own
+                   FROM ledger_rec r JOIN ledger_in i ON i.auction_id = r.auction_id AND i.rn = r.rn + 1)"""
+
+cte("ledger_rec", ("ledger_in",),
+    _LEDGER_STEP.format(src=_LEDGER_FIRST) + "\n  UNION ALL\n" + _LEDGER_STEP.format(src=_LEDGER_NEXT))
+cte("bid_ledger", ("ledger_rec",), """
+  SELECT bid_id, auction_id, franchise_id, pool_id, price_cr, player_name, accepted, result_status, purse_after_cr
+  FROM ledger_rec""")
+cte("bid_effects", ("bid_ledger",), """
+  SELECT bid_id, auction_id, CASE WHEN accepted THEN 'data_change' ELSE 'tool_call' END AS event_type,
+         'franchise_roster' AS table_name, 'execute_player_bid' AS tool_name, franchise_id,
+         CASE WHEN player_name IS NULL THEN json_object('franchise_id', franchise_id, 'price_cr', price_cr)
+              ELSE json_object('franchise_id', franchise_id, 'player_name', player_name, 'price_cr', price_cr)
+         END::VARCHAR AS payload,
+         result_status
+  FROM bid_ledger""")

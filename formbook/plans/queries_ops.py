@@ -25,14 +25,14 @@ def bid_validation_q(spark, sf_dir):
     return bids.validate_bids(g.bids, g.franchises, g.pool, g.roster)
 
 
-@query("bid_ledger")
+@query("bid_ledger", with_ctes(["bid_ledger"], "SELECT * FROM bid_ledger"))
 def bid_ledger_q(spark, sf_dir):
-    """T5: sequential ledger (stateful stream); rows-only check."""
+    """T5: sequential ledger (stateful stream); oracle: recursive CTE per auction."""
     g = Gold(spark, sf_dir)
     return ledger.run_bid_ledger(spark, bids.bid_context(g.bids, g.franchises, g.pool, g.roster))
 
 
-@query("bid_effects")
+@query("bid_effects", with_ctes(["bid_effects"], "SELECT * FROM bid_effects"))
 def bid_effects_q(spark, sf_dir):
     """Purse after the auction per (auction, franchise) from the ledger."""
     g = Gold(spark, sf_dir)

@@ -23,7 +23,7 @@ def test_entry_smoke(spark):
 def test_every_query_has_oracle_or_is_declared():
     qs, orc = entry.queries(), entry.oracle_sql()
     assert set(orc) <= set(qs)
-    assert set(qs) - set(orc) == {"bid_ledger", "bid_effects", "text_embed_topk", "manifest_skip"}
+    assert set(qs) - set(orc) == {"text_embed_topk", "manifest_skip"}
 
 
 @pytest.mark.parametrize("name", CORE)
