@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -123,10 +124,13 @@ class Gold:
         self.enriched.write.mode("overwrite").partitionBy("competition").parquet(f"{path}/deliveries_enriched")
         self._enriched = self.spark.read.parquet(f"{path}/deliveries_enriched")
         self._materialized = True
-        innings.batting_innings(self.enriched).write.mode("overwrite") \
-            .partitionBy("competition").parquet(f"{path}/batting_innings")
-        innings.bowling_innings(self.enriched).write.mode("overwrite") \
-            .partitionBy("competition").parquet(f"{path}/bowling_innings")
+        facts = {"batting_innings": innings.batting_innings(self.enriched),
+                 "bowling_innings": innings.bowling_innings(self.enriched)}
+        # both fact tables read the written balls independently: two concurrent jobs
+        with ThreadPoolExecutor(max_workers=2) as pool:
+            for f in [pool.submit(df.write.mode("overwrite").partitionBy("competition").parquet, f"{path}/{name}")
+                      for name, df in facts.items()]:
+                f.result()
         self._bat = self.spark.read.parquet(f"{path}/batting_innings")
         self._bowl = self.spark.read.parquet(f"{path}/bowling_innings")
         return self

@@ -199,3 +199,21 @@ def test_inferred_and_declared_scan_agree_on_ids(spark, tmp_dir):
     assert declared.overs_per_innings is None and declared.event is None     # absent optional fields
     assert "extra_field" not in str(spark.read.schema(bronze.MATCH_SCHEMA).option("multiLine", True)
                                     .json(f"{tmp_dir}/IPL/*.json").schema)  # undeclared field dropped
+
+
+def test_hot_surname_resolution_is_exact_and_row_preserving(spark):
+    """A third of all profile rows share one surname; resolution must stay
+    exact (ambiguous -> NULL, unique initial -> match) and never multiply
+    the queried rows."""
+    n = 300
+    prof = [(f"k{i}", f"{chr(65 + i % 26)}{i} Hot") for i in range(n // 3)] + \
+           [(f"c{i}", f"Z Cold{i}") for i in range(2 * n // 3)]
+    p = spark.createDataFrame(prof, "batter_key string, player_name string")
+    q = spark.createDataFrame([(i, "Q Hot") for i in range(50)] + [(100 + i, f"Zed Cold{i}") for i in range(50)]
+                              + [(200, "A0 Hot")], "id long, name string")
+    out = names.resolve_names(q, "name", p, key_col="batter_key")
+    rows = {r.id: (r.matched_key, r.match_tier) for r in out.collect()}
+    assert out.count() == q.count() == len(rows)
+    assert all(rows[i] == (None, None) for i in range(50))          # 'Hot' + 'q': no unique candidate
+    assert all(rows[100 + i] == (f"c{i}", "surname") for i in range(50))
+    assert rows[200] == ("k0", "exact")
