@@ -80,18 +80,27 @@ def _ledger_step(key, pdfs, state):
     yield pd.DataFrame(out, columns=[f.name for f in LEDGER_SCHEMA.fields])
 
 
-def stage_arrivals(ctx: DataFrame, root: str, chunks: int = 8) -> tuple[str, StructType]:
-    """Write the bid contexts as ``chunks`` sequential arrivals in bid_id
-    order (each arrival one file, bounded by construction)."""
+def stage_arrivals(ctx: DataFrame, root: str, chunks: int = 8,
+                   max_rows_per_arrival: int = 1_000_000) -> tuple[str, StructType]:
+    """Land the bid contexts as sequential arrivals in bid_id order.
+
+    The number of arrivals grows with the data (at most
+    ``max_rows_per_arrival`` bids each), so every micro-batch stays bounded.
+    The contexts are written once, partitioned by arrival; each arrival is
+    then copied from its own (pruned) partition into one landing file, in
+    order, so the file stream sees them in bid order."""
     ctx = ctx.withColumn("bid_id", F.col("bid_id").cast("bigint"))
-    # arrival number from the bid_id range (bounds are two scalars)
-    bounds = ctx.agg(F.min("bid_id").alias("lo"), F.max("bid_id").alias("hi")).first()
-    lo, hi = int(bounds["lo"] or 0), int(bounds["hi"] or 0)
-    width = max(1, (hi - lo + chunks) // chunks)
-    staged = ctx.withColumn("_arrival", ((F.col("bid_id") - lo) / width).cast("int"))
-    for i in range(chunks):
-        (staged.where(F.col("_arrival") == i).drop("_arrival").coalesce(1)
-         .write.mode("overwrite").parquet(f"{root}/arrival={i:05d}"))
+    stats = ctx.agg(F.min("bid_id").alias("lo"), F.max("bid_id").alias("hi"), F.count("*").alias("n")).first()
+    lo, hi, n = int(stats["lo"] or 0), int(stats["hi"] or 0), int(stats["n"] or 0)
+    arrivals = max(chunks, -(-n // max_rows_per_arrival))
+    width = max(1, (hi - lo + arrivals) // arrivals)
+    staged = f"{root}/_by_arrival"
+    ctx.withColumn("_arrival", ((F.col("bid_id") - lo) / width).cast("int")) \
+        .write.mode("overwrite").partitionBy("_arrival").parquet(staged)
+    spark = ctx.sparkSession
+    for i in range(arrivals):
+        part = spark.read.parquet(staged).where(F.col("_arrival") == i).select(*ctx.columns)
+        part.coalesce(1).write.mode("overwrite").parquet(f"{root}/arrival={i:05d}")
     return f"{root}/arrival=*/*.parquet", ctx.schema
 
 
