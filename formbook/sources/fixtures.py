@@ -131,21 +131,15 @@ def deliveries(events: DataFrame) -> DataFrame:
 
 
 def matches_from_deliveries(d: DataFrame) -> DataFrame:
-    """Match dimension (1 row per match) from ball rows; shuffle-free
-    when ``d`` is already partitioned by ``match_id``."""
-    return d.groupBy("match_id").agg(
-        F.max("competition").alias("competition"),
-        F.max("season").alias("season"),
-        F.max("match_date").alias("start_date"),
-        F.max("venue").alias("venue"),
-        F.max("match_type").alias("match_type"),
-        F.lit("male").alias("team_type"),
-        F.max("team_1").alias("team_1"),
-        F.max("team_2").alias("team_2"),
-        F.max("outcome_by_runs").alias("outcome_by_runs"),
-        F.max("outcome_by_wickets").alias("outcome_by_wickets"),
-        F.max("event_stage").alias("event_stage"),
-    )
+    """Match dimension (1 row per match) from ball rows. The attributes are
+    constant within a match, so this is a key-only distinct (a hash
+    aggregate, no string buffers); shuffle-free when ``d`` is already
+    partitioned by ``match_id``."""
+    return d.select(
+        "match_id", "competition", "season", F.col("match_date").alias("start_date"), "venue", "match_type",
+        F.lit("male").alias("team_type"), "team_1", "team_2", "outcome_by_runs", "outcome_by_wickets",
+        "event_stage",
+    ).distinct()
 
 
 def silver_deliveries(d: DataFrame) -> DataFrame:
