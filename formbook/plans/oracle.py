@@ -1054,3 +1054,9 @@ cte("bid_effects", ("bid_ledger",), """
          END::VARCHAR AS payload,
          result_status
   FROM bid_ledger""")
+cte("quality_report", ("kind_hist", "volume", "coverage"), """
+  SELECT 'dismissal_kind' AS check_name, dismissal_kind AS subject, CAST(dismissals AS DOUBLE) AS value FROM kind_hist
+  UNION ALL SELECT 'matches', competition, CAST(matches AS DOUBLE) FROM volume
+  UNION ALL SELECT 'deliveries', competition, CAST(deliveries AS DOUBLE) FROM volume
+  UNION ALL SELECT 'avg_deliveries_per_match', competition, avg_deliveries_per_match FROM volume
+  UNION ALL SELECT 'batter_id_coverage_pct', competition, batter_id_coverage_pct FROM coverage""")

@@ -385,3 +385,21 @@ def top_quality_q(spark, sf_dir):
     return (bp.where(F.col("recent_balls_bowled") >= 60)
             .select("bowler_key", "player_name", "recent_balls_bowled", "regressed_economy")
             .orderBy("regressed_economy", "bowler_key").limit(75))
+
+
+@query("quality_report", with_ctes(["quality_report"], "SELECT * FROM quality_report"))
+def quality_report_q(spark, sf_dir):
+    """The data-quality gates as one long table (check, subject, value)."""
+    def long(df, subject, metrics):
+        parts = [df.select(F.lit(m).alias("check_name"), F.col(subject).alias("subject"),
+                           F.col(m).cast("double").alias("value")) for m in metrics]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+    kinds = kind_histogram_q(spark, sf_dir).select(
+        F.lit("dismissal_kind").alias("check_name"), F.col("dismissal_kind").alias("subject"),
+        F.col("dismissals").cast("double").alias("value"))
+    vol = long(volume_check_q(spark, sf_dir), "competition", ["matches", "deliveries", "avg_deliveries_per_match"])
+    cov = long(key_coverage_q(spark, sf_dir), "competition", ["batter_id_coverage_pct"])
+    return kinds.unionByName(vol).unionByName(cov)
