@@ -19,7 +19,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from formbook.operators import enrich, form, innings, league, phases, profiles
-from formbook.session import apply_plan_confs, checkpoint_dir
+from formbook.session import apply_plan_confs, checkpoint_dir, shuffle_partitions_for
 from formbook.sources import fixtures as fx
 
 
@@ -79,7 +79,8 @@ class Gold:
     # ------------------------------------------------------------ silver
     @cached_property
     def d1(self) -> DataFrame:
-        return fx.deliveries(self.table("events"))
+        path = f"{self.sf_dir.rstrip('/')}/events.parquet"
+        return fx.deliveries(self.table("events"), partitions=shuffle_partitions_for(self.spark, path))
 
     @cached_property
     def deliveries(self) -> DataFrame:

@@ -57,6 +57,23 @@ def _apply_sql_confs(spark: SparkSession, shuffle_partitions: int | None) -> Non
         spark.conf.set("spark.sql.shuffle.partitions", str(shuffle_partitions))
 
 
+def input_bytes(spark: SparkSession, path: str) -> int:
+    """On-disk size of a file or folder (Hadoop content summary, metadata only)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return int(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength())
+
+
+def shuffle_partitions_for(spark: SparkSession, path: str, target_bytes: int = 256 << 20,
+                           expansion: float = 2.0) -> int:
+    """Partitions for a shuffle of the data at ``path``: its in-memory size
+    (on-disk bytes x ``expansion`` for decompression) over ``target_bytes``,
+    never fewer than the session's ``spark.sql.shuffle.partitions``. AQE
+    can only coalesce partitions, so the count must grow with the input."""
+    floor = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(floor, -(-int(input_bytes(spark, path) * expansion) // target_bytes))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared lineage-cut / staging folder.
 
