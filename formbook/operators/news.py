@@ -142,10 +142,12 @@ def cosine_topk(corpus: DataFrame, queries: DataFrame, *, corpus_id: str, corpus
                        F.round("score", digits).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
-def tfidf_vectors(docs: DataFrame, text_col: str, num_features: int = 1 << 12) -> tuple[DataFrame, object]:
+def tfidf_vectors(docs: DataFrame, text_col: str, num_features: int = 1 << 12,
+                  dense: bool = False) -> tuple[DataFrame, object]:
     """Deterministic offline text embedding — RegexTokenizer ->
-    HashingTF -> IDF (fitted distributed) -> L2 Normalizer, exposed as a
-    dense ``array<double>`` column ``embedding``."""
+    HashingTF -> IDF (fitted distributed) -> L2 Normalizer. The column
+    ``embedding`` stays a sparse ML vector (only the document's terms are
+    stored); ``dense=True`` exposes it as ``array<double>`` instead."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
     from pyspark.ml.functions import vector_to_array
@@ -158,16 +160,70 @@ def tfidf_vectors(docs: DataFrame, text_col: str, num_features: int = 1 << 12) -
     model = pipe.fit(docs)
 
     def embed(df: DataFrame) -> DataFrame:
-        return model.transform(df).withColumn("embedding", vector_to_array("_vec")) \
-            .drop("_tok", "_tf", "_idf", "_vec")
+        out = model.transform(df)
+        vec = vector_to_array("_vec") if dense else F.col("_vec")
+        return out.withColumn("embedding", vec).drop("_tok", "_tf", "_idf", "_vec")
     return embed(docs), embed
 
 
+def _densify(vectors, width: int) -> np.ndarray:
+    """ML vectors (Arrow struct dicts: type 0 sparse, 1 dense; or vector
+    objects) -> a dense (n, width) block for one slice of a batch."""
+    out = np.zeros((len(vectors), width))
+    for r, v in enumerate(vectors):
+        if isinstance(v, dict):                      # Arrow batches carry the vector struct
+            if v["type"] == 0:
+                out[r, np.asarray(v["indices"], dtype=np.int64)] = v["values"]
+            else:
+                out[r, :] = v["values"]
+        else:                                        # driver-side ML vector objects
+            out[r, :] = v.toArray()
+    return out
+
+
+def sparse_cosine_topk(corpus: DataFrame, queries: DataFrame, *, corpus_id: str, query_id: str,
+                       vec_col: str, width: int, k: int = 5, max_queries: int = 10_000,
+                       digits: int = 6, slice_rows: int = 1000) -> DataFrame:
+    """B21 over L2-normalised sparse vectors: like ``cosine_topk`` but the
+    corpus rows carry only their non-zero terms; each Arrow batch is
+    densified a slice of ``slice_rows`` documents at a time and scored as
+    one matrix product against the (size-checked) query block."""
+    n_q = queries.count()
+    if n_q > max_queries:
+        raise ValueError(f"{n_q} queries exceed the broadcast bound {max_queries}")
+    q = queries.select(F.col(query_id).alias("qid"), F.col(vec_col).alias("v")).toPandas()
+    qids = q["qid"].to_numpy()
+    qmat = _densify(list(q["v"]), width) if len(q) else np.zeros((0, width))
+    shipped = corpus.sparkSession.sparkContext.broadcast((qids, qmat.T.copy()))
+
+    def score(batches):
+        ids, qt = shipped.value
+        for pdf in batches:
+            if len(pdf) == 0 or len(ids) == 0:
+                continue
+            for lo in range(0, len(pdf), slice_rows):
+                part = pdf.iloc[lo:lo + slice_rows]
+                s = _densify(list(part["v"]), width) @ qt        # (docs, queries)
+                kk = min(k, len(part))
+                idx = np.argpartition(-s, kk - 1, axis=0)[:kk]
+                rows = [(ids[j], part["cid"].iat[i], float(s[i, j])) for j in range(len(ids)) for i in idx[:, j]]
+                yield pd.DataFrame(rows, columns=["qid", "cid", "score"])
+
+    cols = corpus.select(F.col(corpus_id).alias("cid"), F.col(vec_col).alias("v"))
+    qtype = queries.schema[query_id].dataType.simpleString()
+    ctype = corpus.schema[corpus_id].dataType.simpleString()
+    local = cols.mapInPandas(score, f"qid {qtype}, cid {ctype}, score double")
+    best = top_k(local, ["qid"], [F.desc("score"), F.col("cid")], k, rank_col="rank")
+    return best.select(F.col("qid").alias(query_id), F.col("cid").alias(corpus_id),
+                       F.round("score", digits).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
 def text_embed_topk(docs: DataFrame, doc_id: str, doc_text: str, queries: DataFrame, query_id: str,
                     query_text: str, k: int = 5, num_features: int = 1 << 12) -> DataFrame:
     """B21 over B22 embeddings: for each query text, the k most similar
-    documents of the whole corpus (IDF fitted on the corpus)."""
+    documents of the whole corpus (IDF fitted on the corpus); vectors stay
+    sparse in the rows."""
     corpus, embed = tfidf_vectors(docs.select(doc_id, doc_text), doc_text, num_features)
     q = embed(queries.select(query_id, F.col(query_text).alias(doc_text)))
-    return cosine_topk(corpus, q, corpus_id=doc_id, corpus_vec="embedding", query_id=query_id,
-                       query_vec="embedding", k=k)
+    return sparse_cosine_topk(corpus, q, corpus_id=doc_id, query_id=query_id, vec_col="embedding",
+                              width=num_features, k=k)

@@ -57,3 +57,15 @@ def test_ledger_never_breaks_a_cap(spark, tmp_dir):
         assert r.spent <= lim.purse_remaining_cr + 1e-9
     # a player is bought at most once per auction
     assert acc.groupBy("auction_id", "pool_id").count().where("count > 1").count() == 0
+
+
+def test_sparse_text_topk_equals_dense(spark):
+    from formbook.operators import news
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    sparse = sorted(tuple(r) for r in news.text_embed_topk(docs, "doc_id", "text", bench, "item_id", "text").collect())
+    corpus, embed = news.tfidf_vectors(docs.select("doc_id", "text"), "text", dense=True)
+    q = embed(bench.select("item_id", "text"))
+    dense = sorted(tuple(r) for r in news.cosine_topk(corpus, q, corpus_id="doc_id", corpus_vec="embedding",
+                                                      query_id="item_id", query_vec="embedding", k=5).collect())
+    assert sparse == dense and len(sparse) > 0
