@@ -92,15 +92,19 @@ class Gold:
 
     @property
     def enriched(self) -> DataFrame:
+        """Enriched balls; with staging on, written once (partitioned by
+        competition) and read back by every ball-grain consumer."""
         if self._enriched is None:
-            self._enriched = enrich.enrich_deliveries(self.deliveries, self.matches)
+            def build() -> DataFrame:
+                return enrich.enrich_deliveries(self.deliveries, self.matches)
+            self._enriched = self.stage("deliveries_enriched", build, "competition") if self.staged else build()
         return self._enriched
 
     @property
     def balls(self) -> DataFrame:
         """Ball rows for the delivery-grain profile inputs: the written
-        enriched table once materialised, else the lazy silver view."""
-        return self._enriched if self._materialized else self.deliveries
+        enriched table when staged or materialised, else the lazy silver view."""
+        return self.enriched if (self.staged or self._materialized) else self.deliveries
 
     _materialized = False
 
