@@ -88,7 +88,7 @@ class Gold:
 
     @cached_property
     def matches(self) -> DataFrame:
-        return fx.matches_from_deliveries(self.d1)
+        return fx.matches_from_events(self.table("events"))
 
     @property
     def enriched(self) -> DataFrame:

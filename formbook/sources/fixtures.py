@@ -131,6 +131,32 @@ def deliveries(events: DataFrame, partitions: int | None = None) -> DataFrame:
     )
 
 
+def matches_from_events(events: DataFrame) -> DataFrame:
+    """Match dimension straight from ``events``: the only non-derived
+    attribute is the date (first timestamp by event id), a
+    ``min_by`` hash aggregate per match with partial aggregation — one row
+    per match crosses the shuffle, not one per ball. The other attributes
+    are functions of the match number."""
+    m = events.groupBy(F.floor(F.col("event_id") / 240).cast("bigint").alias("match_no")).agg(
+        F.min_by("ts", "event_id").alias("_ts0"))
+    mno = F.col("match_no")
+    date = F.col("_ts0").cast("date")
+    return m.select(
+        F.concat(F.lit("1"), F.lpad(mno.cast("string"), 6, "0")).alias("match_id"),
+        _case(mno % 9, COMPETITION_BY_MOD9).alias("competition"),
+        F.year(date).cast("string").alias("season"),
+        date.cast("string").alias("start_date"),
+        F.concat(F.lit("Venue "), (mno % 7).cast("string")).alias("venue"),
+        F.when(mno % 9 == 8, "Test").when(mno % 9 == 7, "ODI").otherwise("T20").alias("match_type"),
+        F.lit("male").alias("team_type"),
+        F.concat(F.lit("Team "), (mno % 10).cast("string")).alias("team_1"),
+        F.concat(F.lit("Team "), ((mno + 3) % 10).cast("string")).alias("team_2"),
+        F.when(mno % 3 == 0, mno % 25).alias("outcome_by_runs"),
+        F.when(mno % 3 == 1, mno % 10).alias("outcome_by_wickets"),
+        F.when(mno % 8 == 0, F.lit("Final")).alias("event_stage"),
+    )
+
+
 def matches_from_deliveries(d: DataFrame) -> DataFrame:
     """Match dimension (1 row per match) from ball rows. The attributes are
     constant within a match, so this is a key-only distinct (a hash
