@@ -209,7 +209,9 @@ def death_specialists_q(spark, sf_dir):
 
 @query("genuine_allrounders", with_ctes(["genuine_allrounders"], "SELECT * FROM genuine_allrounders"))
 def genuine_allrounders_q(spark, sf_dir):
-    return (Gold(spark, sf_dir, staged=True).allrounders.where(F.col("bowling_involvement_pct") >= 40)
+    from formbook.schema import GENUINE_ALLROUNDER_PCT
+    return (Gold(spark, sf_dir, staged=True).allrounders
+            .where(F.col("bowling_involvement_pct") >= GENUINE_ALLROUNDER_PCT)
             .orderBy(F.desc("runs"), "player_key").limit(10))
 
 

@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from formbook.functions.exprs import entity_key
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -304,8 +303,3 @@ def notes(conversations: DataFrame) -> DataFrame:
         F.when(F.col("conv_id") % 17 == 0, F.lit("  ")).otherwise(F.col("text")).alias("content"),
         F.col("role").alias("created_by"),
     )
-
-
-def keyed(d: DataFrame) -> DataFrame:
-    return d.withColumn("batter_key", entity_key("batter_id", "batter")) \
-            .withColumn("bowler_key", entity_key("bowler_id", "bowler"))
