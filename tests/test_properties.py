@@ -69,3 +69,11 @@ def test_sparse_text_topk_equals_dense(spark):
     dense = sorted(tuple(r) for r in news.cosine_topk(corpus, q, corpus_id="doc_id", corpus_vec="embedding",
                                                       query_id="item_id", query_vec="embedding", k=5).collect())
     assert sparse == dense and len(sparse) > 0
+
+
+def test_match_dimension_from_events_equals_ball_view(spark):
+    from formbook.sources import fixtures as fx
+    ev = spark.read.parquet(f"{SF}/events.parquet")
+    m = fx.matches_from_events(ev)
+    via_balls = fx.matches_from_deliveries(fx.deliveries(ev)).select(*m.columns)
+    assert sorted(map(tuple, m.collect())) == sorted(map(tuple, via_balls.collect()))
