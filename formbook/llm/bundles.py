@@ -27,7 +27,7 @@ from formbook.llm.common import chunks, record_batch, utf8
 
 NULL_ID = np.iinfo(np.int64).max  # a null doc_id ranks above every other
 BUCKET_BYTES = 48 << 20
-BUNDLE_BYTES = 2 << 20
+BUNDLE_BYTES = 1 << 20
 
 BUNDLE = pa.schema([("bid", pa.int64()), ("docs", pa.binary())])
 SENT = pa.schema([("bucket", pa.int32()), ("bid", pa.int64()), ("payload", pa.binary())])

@@ -44,7 +44,7 @@ class Windows:
         least = sliding_min(Rolling(self.words).grams(k), size - k + 1)
         n = len(least)
         self.at = np.flatnonzero(self.doc[:n] == self.doc[size - 1:size - 1 + n]) if n else np.zeros(0, np.int64)
-        self.anchor = least[self.at]
+        self.anchor = mix64(least[self.at])  # least hashes are small: spread them over the buckets
         # anchors by document, each once
         new = np.ones(len(self.at), bool)
         new[1:] = (self.anchor[1:] != self.anchor[:-1]) | (self.doc[self.at[1:]] != self.doc[self.at[:-1]])

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from formbook.llm import bundles as B
-from formbook.llm.common import Rolling, sliding_min, text_bytes, width
+from formbook.llm.common import Rolling, mix64, sliding_min, text_bytes, width
 
 GRAM = 32
 
@@ -84,7 +84,8 @@ class Samples:
         self.last = np.minimum(np.minimum(hi[run], at), later)
         use = self.first <= self.last
         self.at, self.first, self.last, key = at[use], self.first[use], self.last[use], key[use]
-        self.keys, self.key, count = np.unique(values[key], return_inverse=True, return_counts=True)
+        # least hashes are small: spread them over the buckets
+        self.keys, self.key, count = np.unique(mix64(values)[key], return_inverse=True, return_counts=True)
         self.local = count > 1
 
     def seeds(self, n: int):
