@@ -24,21 +24,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formbook.llm.common import chunks, record_batch, utf8
-from formbook.llm.tokens import Encoder, default_tokenizer
+from formbook.llm.common import chunks, record_batch, release, utf8
+from formbook.llm.tokens import CACHE_WORDS, Encoder, default_tokenizer
 
 CAPACITY = 4096
 END_ID = 1
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
+def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, end_id: int = END_ID,
+           cache_words: int = CACHE_WORDS) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document's ids."""
     path = tokenizer or default_tokenizer()
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()),
                         ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def make(batches):
-        encoder = Encoder.of(path)
+        release()
+        encoder = Encoder.of(path, cache_words)
         for chunk in chunks(batches, limit=1 << 20):
             data, offsets = utf8(chunk.column("text"))
             raw = data.tobytes()
@@ -124,5 +126,5 @@ def pack(table: DataFrame, capacity: int = CAPACITY, open_bins: int = 4096, ahea
     return table.repartition(*table.columns).mapInArrow(place, f"{schema}, sequence_id long, offset long")
 
 
-def digest(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    return pack(pieces(docs, tokenizer=tokenizer))
+def digest(docs: DataFrame, tokenizer: str | None = None, cache_words: int = CACHE_WORDS) -> DataFrame:
+    return pack(pieces(docs, tokenizer=tokenizer, cache_words=cache_words))

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formbook.llm.common import chunks, record_batch, utf8
+from formbook.llm.common import chunks, record_batch, release, utf8
 
 NULL_ID = np.iinfo(np.int64).max  # a null doc_id ranks above every other
 BUCKET_BYTES = 48 << 20
@@ -97,11 +97,12 @@ def answers(table: DataFrame, emit: Callable, reduce: Callable, n: int, name: st
                 got = list(emit(row, n))
                 if got:
                     yield record_batch(SENT, [[b for b, _ in got], [row["bid"]] * len(got), [p for _, p in got]])
+        release()
 
     def merge(group: pa.Table) -> pa.Table:
-        payloads = group.column("payload").to_pylist()
-        return pa.table([group.column("bid"), group.column("bucket"), pa.array(reduce(payloads), pa.binary())],
-                        schema=REPLY)
+        replies = pa.array(reduce(group.column("payload").to_pylist()), pa.binary())
+        release()
+        return pa.table([group.column("bid"), group.column("bucket"), replies], schema=REPLY)
 
     sent = table.mapInArrow(send, "bucket int, bid long, payload binary")
     back = sent.groupBy("bucket").applyInArrow(merge, "bid long, bucket int, reply binary")

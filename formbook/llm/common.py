@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -53,6 +54,16 @@ def utf8(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
+def release() -> None:
+    """Give freed memory back to the system, so that a reused worker holds
+    no more between tasks than it needs (where the C library can)."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+    pa.default_memory_pool().release_unused()
+
+
 def chunks(batches: Iterator[pa.RecordBatch], col: str = "text",
            limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of at most ``limit`` text bytes (or one row)."""
@@ -66,6 +77,7 @@ def chunks(batches: Iterator[pa.RecordBatch], col: str = "text",
             to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    release()
 
 
 def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from formbook.llm import bundles as B
-from formbook.llm.common import Rolling, mix64, sliding_min, text_bytes, width, word_bounds
+from formbook.llm.common import Rolling, mix64, release, sliding_min, text_bytes, width, word_bounds
 
 H2 = np.uint64(0xA5A5B4C3D2E1F00F)
 
@@ -170,6 +170,7 @@ def substring_dedup(docs: DataFrame, min_words: int = 13, carry: tuple[str, ...]
                         pa.array(spans, SPANS), *bundle.carried()]
                 names = ["doc_id", "n_words", "n_removed", "kept", "text", "removed", *carry]
                 yield pa.RecordBatch.from_arrays(cols, names)
+        release()
 
     first = B.answers(table, seeds, B.seen_elsewhere, n, "seeds")
     joined = table.join(first, "bid", "left")

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from formbook.llm import bundles as B
-from formbook.llm.common import Rolling, mix64, sliding_min, text_bytes, width
+from formbook.llm.common import Rolling, mix64, release, sliding_min, text_bytes, width
 
 GRAM = 32
 
@@ -306,6 +306,7 @@ def suffix_dedup(docs: DataFrame, min_bytes: int = 400) -> DataFrame:
                      pa.array(list(map(len, spans)), pa.int64()), pa.array(kept, pa.binary()),
                      pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
                     ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "removed"])
+        release()
 
     first = B.answers(table, seeds, B.seen_elsewhere, n, "seeds")
     joined = table.join(first, "bid", "left")
