@@ -147,6 +147,7 @@ def _places(first: list[int], cuts: list[tuple[int, int, int]], shards: int) ->
 def shard(rows: DataFrame, shards: int, tolerance: float = 0.005) -> DataFrame:
     """``rows`` (with ``doc_id``, ``size`` and the text's ``_hash``) plus
     shard and slot, the gapless place in the shard."""
+    rows = rows.drop("shard", "slot")
     keys = stage(rows.select("doc_id", "size", "_hash"), "shard-keys")
     first, cuts = splitters(keys, shards, tolerance)
     places = _places(first, cuts, shards)

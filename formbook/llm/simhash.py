@@ -81,30 +81,27 @@ def cuts(mask: int, parts: int) -> list[int]:
 def under_patterns(fps: DataFrame, distance: int) -> DataFrame:
     """(mask, pattern, fp): every fingerprint below its upper nodes, none of
     which has more than ``NODE_ROWS``."""
-    parts = distance + 1
+    spark, parts, old = fps.sparkSession, distance + 1, 0
 
     def hang(table, masks):
-        return table.select("fp", F.explode(masks).alias("mask")).withColumn(
-            "pattern", F.col("fp").bitwiseAND(F.col("mask")))
-
-    done, level = None, cuts(0, parts)
-    nodes = hang(fps, F.array(*[F.lit(signed(m)).cast("long") for m in level]))
+        """Rows of ``table`` under every part of the mask they came from."""
+        pairs = [(signed(m), signed(c)) for m in masks for c in cuts(m, parts)]
+        below = spark.createDataFrame(pairs, "old long, mask long")  # a row for each way to cut: bounded by 64 bits
+        return (table.join(F.broadcast(below), "old").select("fp", "mask")
+                .withColumn("pattern", F.col("fp").bitwiseAND(F.col("mask"))))
+
+    done, keys = None, ["mask", "pattern"]
+    nodes = hang(fps.select("fp", F.lit(old).cast("long").alias("old")), [old])
     while True:
-        hot = stage(nodes.groupBy("mask", "pattern").count().where(F.col("count") > NODE_ROWS)
-                    .select("mask", "pattern"), "hot")
-        keys = ["mask", "pattern"]
-        if hot.isEmpty():
-            return nodes if done is None else done.unionByName(nodes.select(done.columns))
+        hot = stage(nodes.groupBy(keys).count().where(F.col("count") > NODE_ROWS).select(keys), "hot")
+        masks = [r[0] & (1 << 64) - 1 for r in hot.select("mask").distinct().collect()]
+        if not masks:
+            return nodes if done is None else done.unionByName(nodes)
         nodes = stage(nodes, "nodes")
-        fit = nodes.join(hot, keys, "left_anti")
-        done = fit if done is None else done.unionByName(fit.select(done.columns))
-        below = {m: cuts(m, parts) for m in level}
-        pick = F.lit(None).cast("array<bigint>")
-        for m, children in below.items():
-            pick = F.when(F.col("old") == F.lit(signed(m)),
-                          F.array(*[F.lit(signed(c)).cast("long") for c in children])).otherwise(pick)
-        nodes = hang(nodes.join(hot, keys, "left_semi").select("fp", F.col("mask").alias("old")), pick)
-        level = sorted({c for children in below.values() for c in children})
+        fit = nodes.join(hot, keys, "left_anti").select("fp", *keys)
+        done = fit if done is None else done.unionByName(fit)
+        # two cuts in different order can give one mask: each fingerprint once
+        nodes = hang(nodes.join(hot, keys, "left_semi").select("fp", F.col("mask").alias("old")), masks).distinct()
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
