@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -93,55 +94,64 @@ def label_centroids(vectors: DataFrame, vec_col: str = "embedding", label_col: s
         F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("centroid"))
 
 
-def cosine_topk(corpus: DataFrame, queries: DataFrame, *, corpus_id: str, corpus_vec: str,
-                query_id: str, query_vec: str, k: int = 5, max_queries: int = 10_000,
-                digits: int = 6) -> DataFrame:
-    """Exact cosine top-k of every query over the whole corpus.
-
-    The query set must be small (checked: at most ``max_queries`` rows);
-    it is shipped once to the executors and each corpus partition is
-    scored as a numpy matrix product inside ``mapInPandas`` (Arrow
-    batches), keeping its local top-k per query. A salted two-stage top-k
-    then merges the partition winners — never all (query, doc) pairs.
-    """
-    n_q = queries.count()
-    if n_q > max_queries:
-        raise ValueError(f"{n_q} query vectors exceed the broadcast bound {max_queries}; "
-                         "use an LSH candidate join for large query sets")
-    q = queries.select(F.col(query_id).alias("qid"), F.col(query_vec).alias("v")).toPandas()
-    spark = corpus.sparkSession
-    qids = q["qid"].to_numpy()
-    qmat = np.vstack([np.asarray(v, dtype=np.float64) for v in q["v"]]) if len(q) else np.zeros((0, 1))
-    qnorm = np.linalg.norm(qmat, axis=1)
-    qmat = qmat / np.where(qnorm == 0, 1.0, qnorm)[:, None]
-    shipped = spark.sparkContext.broadcast((qids, qmat))
-
-    def score(batches):
-        ids, mat = shipped.value
-        for pdf in batches:
-            if len(pdf) == 0 or len(ids) == 0:
-                continue
-            x = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf["v"]])
-            xn = np.linalg.norm(x, axis=1)
-            x = x / np.where(xn == 0, 1.0, xn)[:, None]
-            s = x @ mat.T                                  # (docs, queries)
-            kk = min(k, len(pdf))
-            idx = np.argpartition(-s, kk - 1, axis=0)[:kk]  # local top-k per query
-            rows = []
-            for j in range(len(ids)):
-                for i in idx[:, j]:
-                    rows.append((ids[j], pdf["cid"].iat[i], float(s[i, j])))
-            yield pd.DataFrame(rows, columns=["qid", "cid", "score"])
-
-    cols = corpus.select(F.col(corpus_id).alias("cid"), F.col(corpus_vec).alias("v"))
-    qtype = queries.schema[query_id].dataType.simpleString()
-    ctype = corpus.schema[corpus_id].dataType.simpleString()
-    local = cols.mapInPandas(score, f"qid {qtype}, cid {ctype}, score double")
+def _blocked_topk(corpus: DataFrame, queries: DataFrame, corpus_id: str, query_id: str, vec_col: tuple[str, str],
+                  block_of, score, k: int, block: int, digits: int, slice_rows: int) -> DataFrame:
+    """Exact top-k of every query, ``block`` queries a pass.
+
+    A pass ships one block of queries (``block_of`` a list of vectors) to
+    the executors; a task scores its corpus rows a slice at a time
+    (``score(vectors, block)``: rows x queries) and keeps one running top-k
+    a query, so it gives out at most k rows a query. Scores are compared at
+    12 decimals and ties go to the smaller corpus id, in the slice, in the
+    task and in the final ranking alike."""
+    cols = corpus.select(F.col(corpus_id).alias("cid"), F.col(vec_col[0]).alias("v"))
+    schema = (f"qid {queries.schema[query_id].dataType.simpleString()}, "
+              f"cid {corpus.schema[corpus_id].dataType.simpleString()}, score double")
+    sc = corpus.sparkSession.sparkContext
+
+    def scan(shipped):
+        def run(batches):
+            ids, mat = shipped.value
+            best = [[] for _ in ids]
+            for pdf in batches:
+                for lo in range(0, len(pdf), slice_rows):
+                    part = pdf.iloc[lo:lo + slice_rows]
+                    s, cids = np.round(score(list(part["v"]), mat), 12) + 0.0, part["cid"].tolist()
+                    for j in range(len(ids)):
+                        col = s[:, j]
+                        least = np.partition(col, len(col) - k)[len(col) - k] if len(col) > k else -np.inf
+                        found = [(-float(col[i]), cids[i]) for i in np.flatnonzero(col >= least)]
+                        best[j] = sorted(best[j] + found)[:k]
+            rows = [(q, c, -x) for q, top in zip(ids, best) for x, c in top]
+            if rows:
+                yield pd.DataFrame(rows, columns=["qid", "cid", "score"])
+        return run
+
+    local = corpus.sparkSession.createDataFrame([], schema)
+    rows = queries.select(F.col(query_id).alias("qid"), F.col(vec_col[1]).alias("v")).toLocalIterator()
+    while part := list(islice(rows, block)):
+        shipped = sc.broadcast(([r["qid"] for r in part], block_of([r["v"] for r in part])))
+        local = local.unionByName(cols.mapInPandas(scan(shipped), schema))
     best = top_k(local, ["qid"], [F.desc("score"), F.col("cid")], k, rank_col="rank")
     return best.select(F.col("qid").alias(query_id), F.col("cid").alias(corpus_id),
                        F.round("score", digits).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
+def cosine_topk(corpus: DataFrame, queries: DataFrame, *, corpus_id: str, corpus_vec: str,
+                query_id: str, query_vec: str, k: int = 5, block: int = 10_000,
+                digits: int = 6) -> DataFrame:
+    """Exact cosine top-k of every query over the whole corpus, for any
+    number of queries: blocks of ``block`` queries are scored as matrix
+    products, ties by corpus id (see ``_blocked_topk``)."""
+    def unit(vectors):
+        x = np.vstack([np.asarray(v, dtype=np.float64) for v in vectors])
+        norm = np.linalg.norm(x, axis=1)
+        return x / np.where(norm == 0, 1.0, norm)[:, None]
+
+    return _blocked_topk(corpus, queries, corpus_id, query_id, (corpus_vec, query_vec), unit,
+                         lambda vectors, mat: unit(vectors) @ mat.T, k, block, digits, 1000)
+
+
 def tfidf_vectors(docs: DataFrame, text_col: str, num_features: int = 1 << 12,
                   dense: bool = False) -> tuple[DataFrame, object]:
     """Deterministic offline text embedding — RegexTokenizer ->
@@ -182,40 +192,14 @@ def _densify(vectors, width: int) -> np.ndarray:
 
 
 def sparse_cosine_topk(corpus: DataFrame, queries: DataFrame, *, corpus_id: str, query_id: str,
-                       vec_col: str, width: int, k: int = 5, max_queries: int = 10_000,
+                       vec_col: str, width: int, k: int = 5, block: int = 10_000,
                        digits: int = 6, slice_rows: int = 1000) -> DataFrame:
     """B21 over L2-normalised sparse vectors: like ``cosine_topk`` but the
     corpus rows carry only their non-zero terms; each Arrow batch is
-    densified a slice of ``slice_rows`` documents at a time and scored as
-    one matrix product against the (size-checked) query block."""
-    n_q = queries.count()
-    if n_q > max_queries:
-        raise ValueError(f"{n_q} queries exceed the broadcast bound {max_queries}")
-    q = queries.select(F.col(query_id).alias("qid"), F.col(vec_col).alias("v")).toPandas()
-    qids = q["qid"].to_numpy()
-    qmat = _densify(list(q["v"]), width) if len(q) else np.zeros((0, width))
-    shipped = corpus.sparkSession.sparkContext.broadcast((qids, qmat.T.copy()))
-
-    def score(batches):
-        ids, qt = shipped.value
-        for pdf in batches:
-            if len(pdf) == 0 or len(ids) == 0:
-                continue
-            for lo in range(0, len(pdf), slice_rows):
-                part = pdf.iloc[lo:lo + slice_rows]
-                s = _densify(list(part["v"]), width) @ qt        # (docs, queries)
-                kk = min(k, len(part))
-                idx = np.argpartition(-s, kk - 1, axis=0)[:kk]
-                rows = [(ids[j], part["cid"].iat[i], float(s[i, j])) for j in range(len(ids)) for i in idx[:, j]]
-                yield pd.DataFrame(rows, columns=["qid", "cid", "score"])
-
-    cols = corpus.select(F.col(corpus_id).alias("cid"), F.col(vec_col).alias("v"))
-    qtype = queries.schema[query_id].dataType.simpleString()
-    ctype = corpus.schema[corpus_id].dataType.simpleString()
-    local = cols.mapInPandas(score, f"qid {qtype}, cid {ctype}, score double")
-    best = top_k(local, ["qid"], [F.desc("score"), F.col("cid")], k, rank_col="rank")
-    return best.select(F.col("qid").alias(query_id), F.col("cid").alias(corpus_id),
-                       F.round("score", digits).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+    densified a slice of ``slice_rows`` documents at a time."""
+    return _blocked_topk(corpus, queries, corpus_id, query_id, (vec_col, vec_col),
+                         lambda vectors: _densify(vectors, width),
+                         lambda vectors, mat: _densify(vectors, width) @ mat.T, k, block, digits, slice_rows)
 
 
 def text_embed_topk(docs: DataFrame, doc_id: str, doc_text: str, queries: DataFrame, query_id: str,

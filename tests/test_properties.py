@@ -92,3 +92,13 @@ def test_innings_fact_plan_shape(spark):
             assert "SortAggregate" not in plan
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_topk_ties_and_query_blocks(spark):
+    """Equal vectors rank by id, and more queries than one block all get answers."""
+    from formbook.operators import news
+    corpus = spark.createDataFrame([(i, [1.0, 2.0, 0.5]) for i in range(200)] + [(500, [0.0, 0.0, 0.0])],
+                                   "id long, v array<double>").repartition(6)
+    queries = spark.createDataFrame([(q, [float(q), 1.0, 1.0]) for q in range(7)], "q long, v array<double>")
+    rows = news.cosine_topk(corpus, queries, corpus_id="id", corpus_vec="v", query_id="q", query_vec="v", k=5, block=3).collect()
+    assert sorted((r.q, r["rank"], r.id) for r in rows) == [(q, i + 1, i) for q in range(7) for i in range(5)]
