@@ -30,15 +30,18 @@ _SHARED: dict[tuple[str, str, str], str] = {}
 
 
 def input_signature(spark: SparkSession, sf_dir: str) -> str:
-    """(name, size, mtime) of every entry of the input folder, hashed —
-    from file-system metadata only, so changed inputs get new tables."""
+    """(path, size, mtime) of every file below the input folder, hashed —
+    from file-system metadata only, so changed inputs get new tables, also
+    where a table is a folder of part files."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(sf_dir)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    parts = sorted(f"{st.getPath().getName()}:{st.getLen()}:{st.getModificationTime()}"
-                   for st in fs.listStatus(p))
+    parts, files = [], fs.listFiles(p, True)
+    while files.hasNext():
+        st = files.next()
+        parts.append(f"{st.getPath()}:{st.getLen()}:{st.getModificationTime()}")
     import hashlib
-    return hashlib.sha256("|".join(parts).encode()).hexdigest()[:16]
+    return hashlib.sha256("|".join(sorted(parts)).encode()).hexdigest()[:16]
 
 
 class Gold:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -78,8 +77,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared lineage-cut / staging folder.
 
     Read from the session (``spark.checkpoint.dir`` given at cluster or
-    session start, or an earlier ``setCheckpointDir``). Only when none is
-    named — local tests — a private temp folder is registered.
+    session start, or an earlier ``setCheckpointDir``). Where none is named,
+    a folder of the session's warehouse is used, on any master: the
+    warehouse is shared by the driver and the executors.
     ``spark.checkpoint.dir`` is a core setting and cannot be changed at
     runtime, so this never calls ``spark.conf.set`` on it.
     """
@@ -88,10 +88,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not path:
         named = sc.getConf().get("spark.checkpoint.dir", None)
         if not named:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors; "
-                                   "a machine-local temp folder does not survive executor loss")
-            named = tempfile.mkdtemp(prefix="formbook-ckpt-")  # local[...] runs only
+            named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoint"
         sc.setCheckpointDir(named)
         path = sc.getCheckpointDir()
     return path

@@ -81,7 +81,7 @@ def read_competitions(spark: SparkSession, root: str, config: DataFrame,
             frames.append(df)
             status.append((code, True, None))
         except Exception as exc:  # isolate one source
-            status.append((code, False, f"{type(exc).__name__}: {str(exc)[:200]}"))
+            status.append((code, False, f"{type(exc).__name__}: {exc}"))
     out = None
     for f in frames:
         out = f if out is None else out.unionByName(f)
