@@ -4,8 +4,8 @@ Learning. Of the labelled documents (``max_docs`` at most, by hash of
 doc_id; equal texts once) the words' document counts by class give log-odds
 with an informative Dirichlet prior, alpha proportional to a word's count in
 both classes together; a word whose log-odds lie ``z`` deviations above zero
-scores what is left of them after ``z`` deviations, any other word a small
-loss, so that clean text loses on average.
+scores its log-odds less one deviation, any other word a small loss, so that
+clean text loses on average.
 
 Scanning. One linear pass over a text's words finds all maximal scoring
 segments (Ruzzo and Tompa). Under the clean word distribution the best score
@@ -166,7 +166,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxi
     odds = (F.log(in_toxic / (F.lit(n_toxic + a0) - in_toxic)) - F.log(in_clean / (F.lit(n_clean + a0) - in_clean)))
     spread = F.sqrt(1 / in_toxic + 1 / in_clean)
     top = (counts.select("word", odds.alias("odds"), spread.alias("spread"), (in_clean / F.lit(n_clean + a0)).alias("share"))
-           .where(F.col("odds") > z * F.col("spread")).withColumn("score", F.col("odds") - z * F.col("spread"))
+           .where(F.col("odds") > z * F.col("spread")).withColumn("score", F.col("odds") - F.col("spread"))
            .orderBy(F.desc(F.col("odds") / F.col("spread")), "word").limit(max_words).collect())
     scores = np.array([r["score"] for r in top])
     shares = np.array([r["share"] for r in top])
