@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from formbook.functions.exprs import lower_trim
-from formbook.operators.names import resolve_and_attach, resolve_names
+from formbook.operators.names import resolve_and_attach, resolve_names, salted, salted_lookup
 from formbook.operators.textsearch import substring_join
 
 ROLE_COUNTS = {"batters": "batter", "bowlers": "bowler", "all_rounders": "all-rounder",
@@ -119,18 +119,19 @@ def _gold_name_hit(names: DataFrame, name_col: str, profiles: DataFrame, out: st
     else exactly one distinct name with the surname, else exactly one
     with surname + first initial."""
     pn = profiles.select(F.col("player_name").alias("_n")).distinct()
-    exact = pn.select(F.col("_n").alias("_exact"))
+    exact = pn.select(F.col("_n").alias("_name"), F.lit(True).alias("_exact"))
     words = F.split(F.lower(F.col("_n")), r"\s+")
     pk = pn.withColumn("_sur", F.element_at(words, -1)).withColumn("_ini", F.substring(lower_trim("_n"), 1, 1))
     sur = pk.groupBy("_sur").agg(F.count("*").alias("_ns"))
     si = pk.groupBy("_sur", "_ini").agg(F.count("*").alias("_nsi"))
     qw = F.split(lower_trim(name_col), r"\s+")
-    q = (names.withColumn("_sur", F.element_at(qw, -1)).withColumn("_ini", F.substring(qw[0], 1, 1))
-         .join(exact, F.col(name_col) == F.col("_exact"), "left")
-         .join(sur, "_sur", "left").join(si, ["_sur", "_ini"], "left"))
+    q = salted(names.withColumn("_sur", F.element_at(qw, -1)).withColumn("_ini", F.substring(qw[0], 1, 1))
+               .withColumn("_name", F.col(name_col)))
+    q = salted_lookup(q, exact, ["_name"])
+    q = salted_lookup(salted_lookup(q, sur, ["_sur"]), si, ["_sur", "_ini"])
     blank = F.length(F.trim(F.col(name_col))) == 0
     hit = ~blank & (F.col("_exact").isNotNull() | (F.col("_ns") == 1) | (F.col("_nsi") == 1))
-    return q.withColumn(out, F.coalesce(hit, F.lit(False))).drop("_sur", "_ini", "_exact", "_ns", "_nsi")
+    return q.withColumn(out, F.coalesce(hit, F.lit(False))).drop("_salt", "_sur", "_ini", "_name", "_exact", "_ns", "_nsi")
 
 
 def role_inference(roster: DataFrame, pool: DataFrame, batter_profile: DataFrame,

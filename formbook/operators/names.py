@@ -7,7 +7,8 @@
     surname + initial candidates, else all surname candidates (first k).
 
 All tiers are equi-joins against per-key indexes (at most one row per
-key, or at most k rows per key), so a hot surname never multiplies rows.
+key, or at most k rows per key), so a hot surname never multiplies rows;
+the index joins are salted, so it never lands in one task either.
 """
 
 from __future__ import annotations
@@ -29,17 +30,34 @@ def _index(profiles: DataFrame, name_col: str, key_col: str) -> dict[str, DataFr
     return {"exact": exact, "sur": sur, "si": si}
 
 
+SALTS = 16
+
+
+def salted(rows: DataFrame) -> DataFrame:
+    """``rows`` plus a ``_salt`` by the hash of the whole row."""
+    hashed = [f.name for f in rows.schema if "map<" not in f.dataType.simpleString()]
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(*hashed), F.lit(SALTS)).cast("int"))
+
+
+def salted_lookup(rows: DataFrame, index: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join of :func:`salted` rows with an index of one row a key. The
+    index is repeated for each salt, so the rows of a key that a third of
+    them share are dealt over ``SALTS`` tasks."""
+    every = index.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.join(every, [*keys, "_salt"], "left")
+
+
 def resolve_names(names: DataFrame, name_col: str, profiles: DataFrame, *,
                   profile_name_col: str = "player_name", key_col: str = "batter_key",
                   out_key: str = "matched_key", out_tier: str | None = "match_tier") -> DataFrame:
     """Add ``out_key`` (NULL when no unique match) and the tier used."""
     idx = _index(profiles, profile_name_col, key_col)
-    n = (names.withColumn("_lname", lower_trim(name_col))
-         .withColumn("_sur", surname(name_col))
-         .withColumn("_ini", first_initial(name_col)))
-    n = (n.join(idx["exact"], "_lname", "left")
-         .join(idx["sur"], "_sur", "left")
-         .join(idx["si"], ["_sur", "_ini"], "left"))
+    n = salted(names.withColumn("_lname", lower_trim(name_col))
+               .withColumn("_sur", surname(name_col))
+               .withColumn("_ini", first_initial(name_col)))
+    n = salted_lookup(n, idx["exact"], ["_lname"])
+    n = salted_lookup(n, idx["sur"], ["_sur"])
+    n = salted_lookup(n, idx["si"], ["_sur", "_ini"])
     blank = F.col(name_col).isNull() | (F.length(F.trim(F.col(name_col))) == 0)
     key = (F.when(blank, F.lit(None))
            .when(F.col("_exact_key").isNotNull(), F.col("_exact_key"))
@@ -52,7 +70,7 @@ def resolve_names(names: DataFrame, name_col: str, profiles: DataFrame, *,
     out = n.withColumn(out_key, key)
     if out_tier:
         out = out.withColumn(out_tier, tier)
-    return out.drop("_lname", "_sur", "_ini", "_exact_key", "_n_sur", "_sur_key", "_n_si", "_si_key")
+    return out.drop("_salt", "_lname", "_sur", "_ini", "_exact_key", "_n_sur", "_sur_key", "_n_si", "_si_key")
 
 
 def resolve_and_attach(names: DataFrame, name_col: str, profiles: DataFrame, key_col: str,

@@ -211,3 +211,19 @@ def text_embed_topk(docs: DataFrame, doc_id: str, doc_text: str, queries: DataFr
     q = embed(queries.select(query_id, F.col(query_text).alias(doc_text)))
     return sparse_cosine_topk(corpus, q, corpus_id=doc_id, query_id=query_id, vec_col="embedding",
                               width=num_features, k=k)
+
+
+def search_articles(articles: DataFrame, questions: DataFrame, query_id: str, query_text: str, k: int = 5,
+                    num_features: int = 1 << 12) -> DataFrame:
+    """The ``k`` articles (player_key, title, url) of the whole index
+    nearest to each question, usually "player: what to know"; an article is
+    embedded as its player, title and text without tags."""
+    a = with_article_id(articles)
+    title = F.regexp_extract("content", r"(?is)<title>(.*?)</title>", 1)
+    plain = F.regexp_replace("content", r"(?is)<(script|style|title)\b.*?</\1>|<[^>]*>", " ")
+    a = a.withColumn("title", F.coalesce(title, F.lit("")))
+    index = a.select("article_id", F.concat_ws(" ", "player_key", "title", plain).alias("body"))
+    asked = questions.select(query_id, F.coalesce(F.col(query_text), F.lit("")).alias("asked"))
+    best = text_embed_topk(index, "article_id", "body", asked, query_id, "asked", k, num_features)
+    return best.join(a.select("article_id", "player_key", "title", "url"), "article_id").select(
+        query_id, "rank", "score", "player_key", "title", "url")

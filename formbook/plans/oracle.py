@@ -612,6 +612,8 @@ cte("auction_targets", ("targets_both",), """
   LEFT JOIN batter_profile b ON b.batter_key = t.bat_k
   LEFT JOIN bowler_profile w ON w.bowler_key = t.bowl_k
   ORDER BY has_data DESC, sr_no, pool_id LIMIT 12""")
+cte("targets_filtered", ("targets_both",), CTES["auction_targets"][1].replace(
+    "ORDER BY", "WHERE lower(t.role) = 'bowler' AND t.is_overseas\n  ORDER BY"))
 
 cte("fv", ("franchises", "bat_venue", "bowl_venue"), """
   SELECT DISTINCT f.franchise_id, v.venue

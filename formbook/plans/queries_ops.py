@@ -116,6 +116,20 @@ def sync_lag_q(spark, sf_dir):
     return sync.sync_lag(live, target)
 
 
+@query("tool_call_log", with_ctes(["change_log"], """
+  SELECT CASE WHEN result_status = 'success' THEN 'data_change' ELSE 'tool_call' END AS event_type,
+         CASE WHEN tool_name = 'save_strategy_note' THEN 'strategy_notes' ELSE 'auction' END AS table_name,
+         tool_name, franchise_id, json_object('event_id', event_id, 'tool', tool_name)::VARCHAR AS payload, result_status
+  FROM change_log"""))
+def tool_call_log_q(spark, sf_dir):
+    """Every tool call as a row of the change log."""
+    calls = _log(Gold(spark, sf_dir)).select(
+        F.when(F.col("tool_name") == "save_strategy_note", "strategy_notes").otherwise("auction").alias("table_name"),
+        "tool_name", "franchise_id", F.struct("event_id", F.col("tool_name").alias("tool")).alias("payload"),
+        "result_status")
+    return audit.log_tool_calls(calls)
+
+
 # ------------------------------------------------------------------ news / vectors
 def _articles(g):
     return fx.articles(g.table("pages"))
@@ -168,6 +182,16 @@ def text_embed_topk_q(spark, sf_dir):
     return news.text_embed_topk(g.table("documents"), "doc_id", "text", g.table("benchmark"), "item_id", "text")
 
 
+@query("news_search")
+def news_search_q(spark, sf_dir):
+    """Five articles of the whole index for each "player: question";
+    rows-only check, the search itself against brute force in the tests."""
+    g = Gold(spark, sf_dir)
+    asked = g.table("benchmark").select("item_id", F.concat_ws(
+        ": ", F.concat(F.lit("r"), (F.col("item_id") % 150).cast("string")), "text").alias("question"))
+    return news.search_articles(_articles(g), asked, "item_id", "question")
+
+
 # ------------------------------------------------------------------ quality
 @query("kind_histogram", with_ctes(["kind_hist"], "SELECT * FROM kind_hist"))
 def kind_histogram_q(spark, sf_dir):
@@ -405,3 +429,23 @@ def quality_report_q(spark, sf_dir):
     vol = long(volume_check_q(spark, sf_dir), "competition", ["matches", "deliveries", "avg_deliveries_per_match"])
     cov = long(key_coverage_q(spark, sf_dir), "competition", ["batter_id_coverage_pct"])
     return kinds.unionByName(vol).unionByName(cov)
+
+
+@query("squad_counts", with_ctes(["franchises", "roster"], """
+  SELECT f.franchise_id, f.name, count(*) AS squad_size
+  FROM franchises f JOIN roster r ON r.franchise_id = f.franchise_id AND r.status = 'active' GROUP BY 1, 2"""))
+def squad_counts_q(spark, sf_dir):
+    """J15 + S15: active players of the teams that have any, over temporary views."""
+    g = Gold(spark, sf_dir)
+    g.franchises.createOrReplaceTempView("formbook_franchises")
+    league.active_roster(g.roster).createOrReplaceTempView("formbook_active_roster")
+    return spark.sql("""SELECT f.franchise_id, f.name, count(*) AS squad_size
+                        FROM formbook_franchises f JOIN formbook_active_roster r USING (franchise_id)
+                        GROUP BY f.franchise_id, f.name""")
+
+
+@query("auction_targets_filtered", with_ctes(["targets_filtered"], "SELECT * FROM targets_filtered"))
+def auction_targets_filtered_q(spark, sf_dir):
+    """B5 with its optional filters (P26): overseas bowlers."""
+    g = Gold(spark, sf_dir, staged=True)
+    return league.auction_targets(g.pool, g.roster, g.batter_profile, g.bowler_profile, role="Bowler ", overseas=True)

@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from formbook.operators import news
 from formbook.plans.gold import Gold
 from formbook.plans.oracle import with_ctes
 from formbook.plans.registry import query
@@ -127,8 +128,7 @@ def snapshot_diff_q(spark, sf_dir):
     return T.snapshot_diff(g.roster, _roster_new(g), ["roster_id"])
 
 
-@query("case_folded_upsert", with_ctes(["case_folded_upsert"], "SELECT * FROM case_folded_upsert"))
-def case_folded_upsert_q(spark, sf_dir):
+def _case_folded(spark, sf_dir):
     """Update-or-insert on (team, lower(name), acquisition, status)."""
     g = Gold(spark, sf_dir)
     c = g.table("customer").select(F.col("c_custkey").alias("roster_id"), "c_mktsegment")
@@ -141,17 +141,88 @@ def case_folded_upsert_q(spark, sf_dir):
                    F.lit("pace").alias("bowling_style"), F.lit(False).alias("is_overseas"),
                    F.lit("auction").alias("acquisition_type"), F.lit(2).cast("decimal(10,2)").alias("price_cr"),
                    F.lit("active").alias("status"))
-    _table, counts = T.upsert_case_folded(g.roster, upd.unionByName(new),
-                                          ["franchise_id", "player_name", "acquisition_type", "status"],
-                                          ["player_name"], id_col="roster_id")
-    return counts
+    return T.upsert_case_folded(g.roster, upd.unionByName(new),
+                                ["franchise_id", "player_name", "acquisition_type", "status"],
+                                ["player_name"], id_col="roster_id")
 
 
-@query("manifest_skip")
+@query("case_folded_upsert", with_ctes(["case_folded_upsert"], "SELECT * FROM case_folded_upsert"))
+def case_folded_upsert_q(spark, sf_dir):
+    """How many rows were inserted and updated."""
+    return _case_folded(spark, sf_dir)[1]
+
+
+@query("case_folded_table", with_ctes(["roster", "cf_src"], """
+  SELECT * FROM roster r WHERE NOT EXISTS (
+    SELECT 1 FROM cf_src s WHERE r.franchise_id = s.franchise_id AND lower(r.player_name) = lower(s.player_name)
+                             AND r.acquisition_type = s.acquisition_type AND r.status = s.status)
+  UNION ALL
+  SELECT r.roster_id, s.franchise_id, s.player_name, s.role, s.bowling_style, s.is_overseas, s.acquisition_type,
+         s.price_cr, s.status
+  FROM cf_src s LEFT JOIN roster r
+    ON r.franchise_id = s.franchise_id AND lower(r.player_name) = lower(s.player_name)
+   AND r.acquisition_type = s.acquisition_type AND r.status = s.status"""))
+def case_folded_table_q(spark, sf_dir):
+    """The table after the upsert."""
+    return _case_folded(spark, sf_dir)[0]
+
+
+@query("manifest_skip", with_ctes(["roster", "franchises"], """
+  SELECT CAST(r.franchise_id AS VARCHAR) AS "group", NOT f.is_active AS rebuild
+  FROM (SELECT DISTINCT franchise_id FROM roster) r JOIN franchises f ON f.franchise_id = r.franchise_id"""))
 def manifest_skip_q(spark, sf_dir):
-    """Signature per table from file metadata; a second pass
-    against the stored manifest finds nothing to rebuild. Rows-only."""
-    cur = T.file_manifest(spark, f"{sf_dir.rstrip('/')}/*.parquet", r"/([a-z_]+)\.parquet$")
-    stored = cur  # what the previous run recorded
-    return cur.join(T.groups_to_rebuild(cur, stored).withColumn("rebuild", F.lit(True)), "group", "left") \
-        .withColumn("rebuild", F.coalesce("rebuild", F.lit(False)))
+    """Squads landed a folder a team; after the inactive teams
+    received more files, the stored manifest has exactly those rebuilt."""
+    g = Gold(spark, sf_dir)
+    landing, stored = _root(spark, "landing"), _root(spark, "manifest")
+    files, pattern = f"{landing}/franchise_id=*/*.parquet", r"/franchise_id=([0-9]+)/"
+    T.write_counted(g.roster, landing, partition_by=["franchise_id"])
+    T.write_counted(T.file_manifest(spark, files, pattern), stored)
+    inactive = g.franchises.where(~F.col("is_active")).select("franchise_id")
+    T.write_counted(g.roster.join(inactive, "franchise_id", "left_semi"), landing, mode="append",
+                    partition_by=["franchise_id"])
+    cur = T.file_manifest(spark, files, pattern)
+    todo = T.groups_to_rebuild(cur, spark.read.parquet(stored)).withColumn("rebuild", F.lit(True))
+    return cur.join(todo, "group", "left").select("group", F.coalesce("rebuild", F.lit(False)).alias("rebuild"))
+
+
+@query("partition_listing", with_ctes(["roster"], "SELECT DISTINCT franchise_id FROM roster"))
+def partition_listing_q(spark, sf_dir):
+    """The partitions of the squad table."""
+    g = Gold(spark, sf_dir)
+    path = _root(spark, "roster")
+    T.write_counted(g.roster, path, partition_by=["franchise_id"])
+    return T.partition_values(spark.read.schema(g.roster.schema).parquet(path), "franchise_id")
+
+
+@query("articles_append", with_ctes(["articles"], """
+  SELECT player_key, url, ingested_on, sha256(concat_ws('|', player_key, url)) AS article_id,
+         md5(CASE WHEN ingested_on >= DATE '2024-01-15' AND score >= 0.5 AND length(trim(content)) > 0 THEN content
+                  ELSE concat_ws(': ', player_key, url) END) AS body_md5
+  FROM (SELECT *, row_number() OVER (PARTITION BY player_key, url ORDER BY ingested_on DESC, score DESC) AS rn
+        FROM articles) t
+  WHERE rn = 1"""))
+def articles_append_q(spark, sf_dir):
+    """S7 + P28: early articles were stored without a raw body; the later
+    ones are appended with that column, each article once, and the body
+    falls back to the summary where the raw one is blank or missing."""
+    g = Gold(spark, sf_dir)
+    a = news.with_article_id(fx.articles(g.table("pages"))).select(
+        "player_key", "url", "ingested_on", "article_id", F.concat_ws(": ", "player_key", "url").alias("summary"),
+        F.when(F.col("score") >= 0.5, F.col("content")).otherwise("  ").alias("raw_content"))
+    path = _root(spark, "articles")
+    T.write_counted(a.where(F.col("ingested_on") < F.lit("2024-01-15").cast("date")).drop("raw_content"), path)
+    T.write_counted(T.append_new(spark.read.parquet(path), a, ["article_id"]), path, mode="append")
+    table = spark.read.schema(a.schema).parquet(path)
+    return table.select("player_key", "url", "ingested_on", "article_id",
+                        F.md5(news.article_text("raw_content", "summary")).alias("body_md5"))
+
+
+@query("column_backfill", with_ctes(["roster", "franchises"], """
+  SELECT r.*, f.home_venue FROM roster r
+  LEFT JOIN franchises f ON f.franchise_id = r.franchise_id AND f.is_active"""))
+def column_backfill_q(spark, sf_dir):
+    """The squad table gains a column, filled from a keyed mapping."""
+    g = Gold(spark, sf_dir)
+    venues = g.franchises.where("is_active").select("franchise_id", "home_venue")
+    return T.add_column_backfill(g.roster, "home_venue", venues, "franchise_id")

@@ -59,7 +59,7 @@ class VersionedTable:
     def exists(self) -> bool:
         return bool(self.versions())
 
-    def read(self, version: int | None = None, merge_schema: bool = True) -> DataFrame:
+    def read(self, version: int | None = None, merge_schema: bool = False) -> DataFrame:
         v = version if version is not None else self.versions()[-1]
         return self.spark.read.option("mergeSchema", str(merge_schema).lower()).parquet(f"{self.root}/v={v}")
 
@@ -183,12 +183,19 @@ def snapshot_diff(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFr
             .select(*keys, "change_type", img.alias("_img")).select(*keys, "change_type", "_img.*"))
 
 
-def replace_partition(df: DataFrame, path: str, partition_col: str) -> int:
+def replace_partition(df: DataFrame, path: str, partition_col: str, values: Sequence = ()) -> int:
     """Overwrite only the partitions present in ``df`` (dynamic
-    partition overwrite on a path); other partitions stay untouched."""
+    partition overwrite on a path); other partitions stay untouched. Of the
+    replaced partition ``values``, those without rows in ``df`` are emptied."""
+    present = {r[0] for r in df.select(partition_col).distinct().collect()} if values else set()
     obs = Observation("replace_partition")
     (df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic").partitionBy(partition_col).parquet(path))
+    utils = df.sparkSession.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    for value in set(values) - present:
+        name = utils.getPartitionPathString(partition_col, None if value is None else str(value))
+        fs, folder = _fs(df.sparkSession, f"{path.rstrip('/')}/{name}")
+        fs.delete(folder, True)
     return int(obs.get.get("rows", 0))
 
 
@@ -203,13 +210,14 @@ def file_manifest(spark: SparkSession, path: str, group_pattern: str) -> DataFra
     """Per-group source signature from file metadata only
     (``binaryFile`` with the content column pruned): file count, bytes,
     latest modification, and an order-independent hash (sum of per-file
-    xxhash64) — mergeable, no file list is collected."""
+    xxhash64, in decimals that cannot overflow) — mergeable, no file list
+    is collected."""
     files = spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime")
     return (files.withColumn("group", F.regexp_extract("path", group_pattern, 1))
             .groupBy("group").agg(
                 F.count("*").alias("files"), F.sum("length").alias("bytes"),
                 F.max("modificationTime").alias("last_modified"),
-                F.sum(F.xxhash64("path", "length", "modificationTime")).alias("signature")))
+                F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")).alias("signature")))
 
 
 def groups_to_rebuild(current: DataFrame, stored: DataFrame | None, present: DataFrame | None = None,

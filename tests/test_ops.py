@@ -155,6 +155,10 @@ def test_replace_one_partition_and_flip_and_backfill(spark, tmp_dir):
     T.write_counted(df, path, partition_by=["part"])
     T.replace_partition(spark.createDataFrame([(1, "z")], "part long, v string"), path, "part")
     assert sorted(spark.read.parquet(path).select("v", "part").collect()) == [("c", 2), ("z", 1)]
+    T.replace_partition(df.where("part = 1"), path, "part", values=[1, 2])  # nothing replaces 2
+    assert sorted(spark.read.parquet(path).select("v", "part").collect()) == [("a", 1), ("b", 1)]
+    T.replace_partition(df.where("false"), path, "part", values=[2])
+    assert spark.read.parquet(path).count() == 2
     rules = spark.createDataFrame([(1, True)], "rule_version long, is_current boolean")
     flipped = T.flip_current(rules, spark.createDataFrame([(2,)], "rule_version long"))
     assert sorted(flipped.collect()) == [(1, False), (2, True)]
@@ -217,3 +221,47 @@ def test_hot_surname_resolution_is_exact_and_row_preserving(spark):
     assert all(rows[i] == (None, None) for i in range(50))          # 'Hot' + 'q': no unique candidate
     assert all(rows[100 + i] == (f"c{i}", "surname") for i in range(50))
     assert rows[200] == ("k0", "exact")
+
+
+def test_hot_surname_is_dealt_over_tasks(spark):
+    profiles = spark.createDataFrame([("k1", "Al Hot"), ("k2", "Bo Hot"), ("k3", "Cy Rare")],
+                                     "batter_key string, player_name string")
+    rows = spark.createDataFrame([(i, "Alan Hot" if i % 3 else "Cy Rare") for i in range(3000)], "i long, name string")
+    salts = names.salted(rows).groupBy("_salt").count().collect()
+    assert len(salts) == names.SALTS and max(r["count"] for r in salts) < 300
+    got = names.resolve_names(rows, "name", profiles)
+    assert got.columns == ["i", "name", "matched_key", "match_tier"] and got.count() == 3000
+    assert {(r.name, r.matched_key) for r in got.collect()} == {("Alan Hot", "k1"), ("Cy Rare", "k3")}
+
+
+def test_article_search_equals_brute_force(spark):
+    import math
+    import re
+    from collections import Counter
+
+    from formbook.operators import news
+    pages = [("r1", "u1", "<title>Injury news</title><p>knee injury rules him out</p>"),
+             ("r1", "u2", "<title>Form</title><p>runs and more runs</p>"),
+             ("r2", "u3", "<title>Transfer</title><script>injury injury</script><p>moves to a new club</p>"),
+             ("r2", "u4", None), ("r3", "u5", "<p>knee brace, no title, long injury</p>"), ("r1", "u1", "<title>old</title>")]
+    a = spark.createDataFrame([(p, u, c, 0.5, 2 if i < 5 else 1) for i, (p, u, c) in enumerate(pages)],
+                              "player_key string, url string, content string, score double, ingested_on int")
+    asked = spark.createDataFrame([(1, "r1: knee injury"), (2, "r2: new club"), (3, None)], "q long, text string")
+
+    def tokens(x):
+        return [t for t in re.split(r"\W+", x.lower()) if t]
+
+    texts = {u: tokens(f"{p} " + re.sub(r"<script>.*?</script>|<[^>]*>", " ", c or "")) for p, u, c in pages[:5]}
+    df = Counter(t for ts in texts.values() for t in set(ts))
+
+    def vector(ts):
+        v = {t: n * math.log(6 / (df[t] + 1)) for t, n in Counter(ts).items()}
+        norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
+        return {t: x / norm for t, x in v.items()}
+
+    got = news.search_articles(a, asked, "q", "text", k=2, num_features=1 << 16).collect()
+    assert len(got) == 6 and {r.title for r in got if r.url == "u1"} <= {"Injury news"}
+    for q, text in ((1, "r1: knee injury"), (2, "r2: new club")):
+        ask = vector([t for t in tokens(text)])
+        want = sorted((sum(x * ask.get(t, 0) for t, x in vector(ts).items()) for ts in texts.values()), reverse=True)[:2]
+        assert [r.score for r in sorted((r for r in got if r.q == q), key=lambda r: r["rank"])] == [round(w, 6) for w in want]
