@@ -81,7 +81,7 @@ def cuts(mask: int, parts: int) -> list[int]:
 def under_patterns(fps: DataFrame, distance: int) -> DataFrame:
     """(mask, pattern, fp): every fingerprint below its upper nodes, none of
     which has more than ``NODE_ROWS``."""
-    spark, parts, old = fps.sparkSession, distance + 1, 0
+    spark, parts = fps.sparkSession, distance + 1
 
     def hang(table, masks):
         """Rows of ``table`` under every part of the mask they came from."""
@@ -91,7 +91,8 @@ def under_patterns(fps: DataFrame, distance: int) -> DataFrame:
                 .withColumn("pattern", F.col("fp").bitwiseAND(F.col("mask"))))
 
     done, keys = None, ["mask", "pattern"]
-    nodes = hang(fps.select("fp", F.lit(old).cast("long").alias("old")), [old])
+    first = F.explode(F.array(*[F.lit(signed(m)) for m in cuts(0, parts)])).alias("mask")
+    nodes = fps.select("fp", first).withColumn("pattern", F.col("fp").bitwiseAND(F.col("mask")))
     while True:
         hot = stage(nodes.groupBy(keys).count().where(F.col("count") > NODE_ROWS).select(keys), "hot")
         masks = [r[0] & (1 << 64) - 1 for r in hot.select("mask").distinct().collect()]
