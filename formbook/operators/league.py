@@ -304,3 +304,12 @@ def franchise_status(franchise_names: DataFrame, name_col: str, franchises: Data
                     .alias("squad_size"),
                     F.when(F.col("franchise_id").isNotNull(), F.coalesce("overseas_count", F.lit(0)))
                     .alias("overseas_count")))
+
+
+def franchise_squads(franchise_names: DataFrame, name_col: str, franchises: DataFrame, roster: DataFrame) -> DataFrame:
+    """B2: the active players of each requested team, looked up
+    case-insensitively, one row a player."""
+    q = franchise_names.select(F.col(name_col).alias("query")).distinct().withColumn("_lname", F.lower("query"))
+    f = franchises.select("franchise_id", F.lower("name").alias("_lname"))
+    return q.join(f, "_lname").join(active_roster(roster), "franchise_id").select(
+        "query", "franchise_id", "roster_id", "player_name", "role", "bowling_style", "is_overseas", "price_cr")

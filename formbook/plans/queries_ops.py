@@ -449,3 +449,33 @@ def auction_targets_filtered_q(spark, sf_dir):
     """B5 with its optional filters (P26): overseas bowlers."""
     g = Gold(spark, sf_dir, staged=True)
     return league.auction_targets(g.pool, g.roster, g.batter_profile, g.bowler_profile, role="Bowler ", overseas=True)
+
+
+@query("franchise_squads", with_ctes(["franchises", "roster"], """
+  SELECT q.query, f.franchise_id, r.roster_id, r.player_name, r.role, r.bowling_style, r.is_overseas, r.price_cr
+  FROM (SELECT DISTINCT c_mktsegment AS query FROM customer UNION SELECT DISTINCT n_name FROM nation) q
+  JOIN franchises f ON lower(f.name) = lower(q.query)
+  JOIN roster r ON r.franchise_id = f.franchise_id AND r.status = 'active'"""))
+def franchise_squads_q(spark, sf_dir):
+    """B2: the squads behind the status of each asked team."""
+    g = Gold(spark, sf_dir)
+    asked = g.table("customer").select(F.col("c_mktsegment").alias("q")).union(
+        g.table("nation").select(F.col("n_name").alias("q")))
+    return league.franchise_squads(asked, "q", g.franchises, g.roster)
+
+
+@query("competition_ingest", with_ctes(["roundtrip"], """
+  SELECT competition, true AS ok, count(DISTINCT match_id) AS documents FROM roundtrip GROUP BY 1
+  UNION ALL SELECT 'no such league', false, NULL"""))
+def competition_ingest_q(spark, sf_dir):
+    """Each competition is written on its own; one without a folder
+    fails alone."""
+    from formbook.sources import bronze as br
+    g = Gold(spark, sf_dir)
+    root = f"{checkpoint_dir(spark).rstrip('/')}/ingest-{uuid.uuid4().hex}"
+    br.write_documents(br.nested_documents(g.d1), f"{root}/landing")
+    config = (g.d1.select(F.col("competition").alias("competition_code")).distinct()
+              .unionByName(spark.range(1).select(F.lit("no such league").alias("competition_code")))
+              .withColumn("is_active", F.lit(True)))
+    return br.ingest_competitions(spark, f"{root}/landing", config, f"{root}/bronze", r"match_id=([0-9]+)/",
+                                  "competition={code}/*/*.json").drop("error")

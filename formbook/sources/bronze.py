@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formbook.schema import MATCH_SCHEMA
+from formbook.sources.tables import write_counted
 
 DEFAULT_ID_PATTERN = r"([0-9]+)\.json$"
 
@@ -88,6 +89,24 @@ def read_competitions(spark: SparkSession, root: str, config: DataFrame,
     return out, spark.createDataFrame(status, "competition string, ok boolean, error string")
 
 
+def ingest_competitions(spark: SparkSession, root: str, config: DataFrame, target: str,
+                        id_pattern: str = DEFAULT_ID_PATTERN, folder: str = "{code}/*.json") -> DataFrame:
+    """Write the documents of every active competition to its partition
+    of ``target``, each on its own: an unreadable file or a missing folder
+    fails that competition only, and what it held before stays. Returns
+    (competition, ok, documents, error)."""
+    codes = [r[0] for r in config.where(F.col("is_active")).select("competition_code").distinct().collect()]
+    status = []
+    for code in sorted(codes):
+        try:
+            docs = read_match_documents(spark, f"{root}/{folder.format(code=code)}", code, id_pattern)
+            rows = write_counted(docs.drop("competition"), f"{target}/competition={code}")
+            status.append((code, True, rows, None))
+        except Exception as exc:  # isolate one source
+            status.append((code, False, None, f"{type(exc).__name__}: {exc}"))
+    return spark.createDataFrame(status, "competition string, ok boolean, documents long, error string")
+
+
 def nested_documents(d: DataFrame) -> DataFrame:
     """Pack ball rows back into one nested document per match.
 

@@ -32,13 +32,11 @@ def read_watermark(spark: SparkSession, watermark_path: str) -> int:
 
 
 def sync_change_log(spark: SparkSession, source: str, schema: StructType, target: str, watermark: str,
-                    checkpoint: str, key: str = "event_id", max_files_per_trigger: int | None = None) -> None:
+                    checkpoint: str, key: str = "event_id", max_files_per_trigger: int = 1000) -> None:
     """Copy new log rows from ``source`` (a directory of Parquet files that
-    only grows) into ``target``; idempotent and restartable."""
-    reader = spark.readStream.schema(schema)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    stream = reader.parquet(source)
+    only grows) into ``target``; idempotent and restartable. A micro-batch
+    holds at most ``max_files_per_trigger`` files."""
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(source)
 
     def apply_batch(batch: DataFrame, epoch_id: int) -> None:
         # the micro-batch (bounded by the trigger) is read once: persisted for

@@ -11,7 +11,8 @@ CORE = ["deliveries_enriched", "batting_innings", "bowling_innings", "batting_fo
         "bowling_form_t20_leagues", "bowler_profile", "batter_profile", "resolve_names", "league_summary",
         "bid_validation", "notes_validate", "activity_over_time", "similar_topk", "bronze_silver_roundtrip",
         "snapshot_diff", "log_sync", "manifest_skip", "partition_listing", "articles_append", "column_backfill",
-        "case_folded_table", "tool_call_log", "squad_counts", "auction_targets_filtered", "role_inference"]
+        "case_folded_table", "tool_call_log", "squad_counts", "auction_targets_filtered", "role_inference",
+        "franchise_squads", "competition_ingest"]
 
 
 def test_entry_smoke(spark):

@@ -265,3 +265,34 @@ def test_article_search_equals_brute_force(spark):
         ask = vector([t for t in tokens(text)])
         want = sorted((sum(x * ask.get(t, 0) for t, x in vector(ts).items()) for ts in texts.values()), reverse=True)[:2]
         assert [r.score for r in sorted((r for r in got if r.q == q), key=lambda r: r["rank"])] == [round(w, 6) for w in want]
+
+
+def test_a_bad_competition_fails_alone(spark, tmp_dir):
+    import os
+
+    from formbook.sources import bronze
+    for code, name, body in (("a", "1.json", b'{"info": {"season": "2024"}, "innings": []}'),
+                             ("b", "2.json.gz", b'{"info": {}}')):  # not in gzip format
+        os.makedirs(f"{tmp_dir}/in/{code}")
+        with open(f"{tmp_dir}/in/{code}/{name}", "wb") as f:
+            f.write(body)
+    config = spark.createDataFrame([("a", True), ("b", True), ("c", True), ("d", False)], "competition_code string, is_active boolean")
+    got = {r.competition: r for r in bronze.ingest_competitions(spark, f"{tmp_dir}/in", config, f"{tmp_dir}/out", folder="{code}/*").collect()}
+    assert {c: (r.ok, r.documents) for c, r in got.items()} == {"a": (True, 1), "b": (False, None), "c": (False, None)}
+    assert got["b"].error and [r.match_id for r in spark.read.parquet(f"{tmp_dir}/out/competition=a").collect()] == ["1"]
+
+
+def test_nested_retention_and_venue_keywords(spark):
+    from formbook.operators import league
+    flat = spark.sql("""SELECT 1L AS franchise_id, 'X' AS franchise_name, 'V' AS home_venue, 'p' AS player_name,
+        'batter' AS role, false AS is_overseas, 3 AS bat_recent_innings, 120.0 AS bat_recent_strike_rate,
+        30.0 AS bat_recent_average, CAST(NULL AS INT) AS bowl_recent_innings, CAST(NULL AS DOUBLE) AS bowl_recent_economy,
+        CAST(NULL AS INT) AS bowl_recent_wickets, CAST(NULL AS INT) AS venue_bat_innings,
+        CAST(NULL AS DOUBLE) AS venue_bat_strike_rate, CAST(NULL AS DOUBLE) AS venue_bat_average,
+        CAST(NULL AS INT) AS venue_bowl_innings, CAST(NULL AS DOUBLE) AS venue_bowl_economy,
+        CAST(NULL AS INT) AS venue_bowl_wickets""")
+    row = league.nest_retention(flat).first()
+    assert row.recent_form.batting.innings == 3 and row.recent_form.bowling is None and row.home_venue_form is None
+    teams = spark.createDataFrame([(1, "Alpha"), (2, "beta"), (3, "Gamma")], "franchise_id long, name string")
+    words = league.venue_keyword_table(teams, {"ALPHA": ("east", "park"), "Beta": ("lake",)})
+    assert sorted(map(tuple, words.collect())) == [(1, "east"), (1, "park"), (2, "lake")]
