@@ -100,7 +100,9 @@ def ingest_competitions(spark: SparkSession, root: str, config: DataFrame, targe
     for code in sorted(codes):
         try:
             docs = read_match_documents(spark, f"{root}/{folder.format(code=code)}", code, id_pattern)
-            rows = write_counted(docs.drop("competition"), f"{target}/competition={code}")
+            staged = f"{target}/_staged/competition={code}"  # an overwrite empties its target before it reads
+            rows = write_counted(docs.drop("competition"), staged)
+            write_counted(spark.read.parquet(staged), f"{target}/competition={code}")
             status.append((code, True, rows, None))
         except Exception as exc:  # isolate one source
             status.append((code, False, None, f"{type(exc).__name__}: {exc}"))

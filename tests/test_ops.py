@@ -276,9 +276,11 @@ def test_a_bad_competition_fails_alone(spark, tmp_dir):
         os.makedirs(f"{tmp_dir}/in/{code}")
         with open(f"{tmp_dir}/in/{code}/{name}", "wb") as f:
             f.write(body)
+    spark.range(3).write.parquet(f"{tmp_dir}/out/competition=b")  # what it held before
     config = spark.createDataFrame([("a", True), ("b", True), ("c", True), ("d", False)], "competition_code string, is_active boolean")
     got = {r.competition: r for r in bronze.ingest_competitions(spark, f"{tmp_dir}/in", config, f"{tmp_dir}/out", folder="{code}/*").collect()}
     assert {c: (r.ok, r.documents) for c, r in got.items()} == {"a": (True, 1), "b": (False, None), "c": (False, None)}
+    assert spark.read.parquet(f"{tmp_dir}/out/competition=b").count() == 3
     assert got["b"].error and [r.match_id for r in spark.read.parquet(f"{tmp_dir}/out/competition=a").collect()] == ["1"]
 
 
