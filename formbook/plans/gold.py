@@ -19,6 +19,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from formbook.operators import enrich, form, innings, league, phases, profiles
+from formbook.operators.measures import BATTING, BOWLING
 from formbook.session import apply_plan_confs, checkpoint_dir, shuffle_partitions_for
 from formbook.sources import fixtures as fx
 
@@ -146,61 +147,61 @@ class Gold:
     # ------------------------------------------------------------ form
     @property
     def bat_career(self) -> DataFrame:
-        return form.batting_form_career(self.bat)
+        return form.career(self.bat, BATTING)
 
     @property
     def bowl_career(self) -> DataFrame:
-        return form.bowling_form_career(self.bowl)
+        return form.career(self.bowl, BOWLING)
 
     @property
     def bat_t20(self) -> DataFrame:
-        return form.batting_form_t20(self.bat)
+        return form.t20(self.bat, BATTING)
 
     @property
     def bowl_t20(self) -> DataFrame:
-        return form.bowling_form_t20(self.bowl)
+        return form.t20(self.bowl, BOWLING)
 
     @property
     def bat_recent(self) -> DataFrame:
-        return form.batting_form_recent(self.bat)
+        return form.recent(self.bat, BATTING)
 
     @property
     def bowl_recent(self) -> DataFrame:
         # the reference anchors both windows on the batting facts' max date
-        return form.bowling_form_recent(self.bowl, anchor=self.bat)
+        return form.recent(self.bowl, BOWLING, anchor=self.bat)
 
     @property
     def bat_venue(self) -> DataFrame:
-        return self.stage("bat_venue", lambda: form.batting_form_by_venue(self.bat))
+        return self.stage("bat_venue", lambda: form.by_venue(self.bat, BATTING))
 
     @property
     def bowl_venue(self) -> DataFrame:
-        return self.stage("bowl_venue", lambda: form.bowling_form_by_venue(self.bowl))
+        return self.stage("bowl_venue", lambda: form.by_venue(self.bowl, BOWLING))
 
     # ------------------------------------------------------------ phases / situational
     @property
     def bat_phase(self) -> DataFrame:
-        return phases.batting_phase_splits(self.enriched)
+        return phases.phase_splits(self.enriched, BATTING)
 
     @property
     def bowl_phase(self) -> DataFrame:
-        return phases.bowling_phase_splits(self.enriched)
+        return phases.phase_splits(self.enriched, BOWLING)
 
     @property
     def bat_phase_wide(self) -> DataFrame:
-        return phases.batting_phase_wide(self.bat_phase)
+        return phases.phase_wide(self.bat_phase, BATTING)
 
     @property
     def bowl_phase_wide(self) -> DataFrame:
-        return phases.bowling_phase_wide(self.bowl_phase)
+        return phases.phase_wide(self.bowl_phase, BOWLING)
 
     @property
     def bat_sit(self) -> DataFrame:
-        return phases.batting_situational(self.bat)
+        return phases.situational(self.bat, BATTING)
 
     @property
     def bowl_sit(self) -> DataFrame:
-        return phases.bowling_situational(self.bowl)
+        return phases.situational(self.bowl, BOWLING)
 
     @property
     def allrounders(self) -> DataFrame:

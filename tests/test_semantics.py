@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from formbook.functions.exprs import credited_wickets, nan_to_default
 from formbook.operators import enrich, form, innings, profiles
+from formbook.operators.measures import BATTING
 
 WK = "array<struct<kind:string,player_out:string,fielders:array<struct<name:string,substitute:boolean>>>>"
 
@@ -113,7 +114,7 @@ def test_never_out_average_null_and_situational_flags(spark):
     d = spark.createDataFrame([ball(seq=i, rb=1, target=150) for i in range(6)], SCHEMA)
     en = enrich.enrich_deliveries(d, matches(spark, by_runs=10))
     bat = innings.batting_innings(en)
-    s = form.summarize_batting(bat, ["batter_key"]).first()
+    s = form.summarize(bat, BATTING).first()
     assert s.average is None and s.dismissals == 0 and s.not_out_pct == 100.0
     row = bat.first()
     assert row.is_chase and row.is_close_match and not row.is_knockout
@@ -158,7 +159,7 @@ def test_shrinkage_between_raw_and_prior(spark):
                                       "competition string, match_date string, runs long, balls_faced long, "
                                       "fours long, sixes long, pp_runs long, pp_balls long, death_runs long, "
                                       "death_balls long, is_out boolean")
-    out = {r.batter_key: r for r in form.batting_form_t20(bat, min_balls=1).collect()}
+    out = {r.batter_key: r for r in form.t20(bat, BATTING, floor=1).collect()}
     prior = 130 / 110 * 100
     for r in out.values():
         lo, hi = sorted([r.strike_rate, prior])
@@ -170,4 +171,4 @@ def test_empty_inputs(spark):
     en = enrich.enrich_deliveries(d, matches(spark))
     assert innings.batting_innings(en).count() == 0
     assert innings.bowling_innings(en).count() == 0
-    assert form.batting_form_recent(innings.batting_innings(en)).count() == 0
+    assert form.recent(innings.batting_innings(en), BATTING).count() == 0
