@@ -55,6 +55,7 @@ def running_count(df: DataFrame, order_col: str, tiebreak: str, partitions: int
     from pyspark.sql import Window
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).select("_pid", "_off")
-    return (local.join(offsets, "_pid")
+    # one row a partition: at most n rows, so the broadcast is bounded by the partition count
+    return (local.join(F.broadcast(offsets), "_pid")
             .withColumn("running_count", (F.col("_off") + F.col("_pos") + 1).cast("bigint"))
             .drop("_pid", "_mid", "_pos", "_off"))

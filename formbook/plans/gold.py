@@ -86,6 +86,11 @@ class Gold:
         path = f"{self.sf_dir.rstrip('/')}/events.parquet"
         return fx.deliveries(self.table("events"), partitions=shuffle_partitions_for(self.spark, path))
 
+    @cached_property
+    def scanned_deliveries(self) -> DataFrame:
+        """The ball view for counts: no exchange ahead of the aggregate."""
+        return fx.silver_deliveries(fx.deliveries(self.table("events"), by_match=False))
+
     @cached_property
     def deliveries(self) -> DataFrame:
         return fx.silver_deliveries(self.d1)

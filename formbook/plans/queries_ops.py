@@ -195,25 +195,33 @@ def news_search_q(spark, sf_dir):
 # ------------------------------------------------------------------ quality
 @query("kind_histogram", with_ctes(["kind_hist"], "SELECT * FROM kind_hist"))
 def kind_histogram_q(spark, sf_dir):
-    d = Gold(spark, sf_dir).deliveries
-    return (d.where(F.col("is_wicket")).select(F.explode("wickets").alias("wk"))
-            .groupBy(F.col("wk.kind").alias("dismissal_kind")).agg(F.count("*").alias("dismissals")))
+    d = Gold(spark, sf_dir).scanned_deliveries
+    return (d.where(F.col("is_wicket")).select(F.explode("wickets.kind").alias("dismissal_kind"))
+            .groupBy("dismissal_kind").agg(F.count("*").alias("dismissals")))
+
+
+def ball_summary(spark, sf_dir):
+    """One row a competition from one pass over the balls: counts a match
+    first (the distinct matches are then rows), then a competition."""
+    per_match = Gold(spark, sf_dir).scanned_deliveries.groupBy("competition", "match_id").agg(
+        F.count("*").alias("balls"), F.count("batter_id").alias("keyed"))
+    share = F.col("deliveries_with_batter_id") * 100.0 / F.col("deliveries")
+    return (per_match.groupBy("competition")
+            .agg(F.count("*").alias("matches"), F.sum("balls").alias("deliveries"),
+                 F.sum("keyed").alias("deliveries_with_batter_id"))
+            .withColumn("avg_deliveries_per_match", F.round(F.col("deliveries") * 1.0 / F.col("matches"), 1))
+            .withColumn("batter_id_coverage_pct", F.round(share, 2)))
 
 
 @query("volume_check", with_ctes(["volume"], "SELECT * FROM volume"))
 def volume_check_q(spark, sf_dir):
-    d = Gold(spark, sf_dir).deliveries
-    return d.groupBy("competition").agg(
-        F.count_distinct("match_id").alias("matches"), F.count("*").alias("deliveries"),
-        F.round(F.count("*") * 1.0 / F.count_distinct("match_id"), 1).alias("avg_deliveries_per_match"))
+    return ball_summary(spark, sf_dir).select("competition", "matches", "deliveries", "avg_deliveries_per_match")
 
 
 @query("key_coverage", with_ctes(["coverage"], "SELECT * FROM coverage"))
 def key_coverage_q(spark, sf_dir):
-    d = Gold(spark, sf_dir).deliveries
-    return d.groupBy("competition").agg(
-        F.count("*").alias("deliveries"), F.count("batter_id").alias("deliveries_with_batter_id"),
-        F.round(F.count("batter_id") * 100.0 / F.count("*"), 2).alias("batter_id_coverage_pct"))
+    return ball_summary(spark, sf_dir).select(
+        "competition", "deliveries", "deliveries_with_batter_id", "batter_id_coverage_pct")
 
 
 # ------------------------------------------------------------------ boards
@@ -416,19 +424,13 @@ def top_quality_q(spark, sf_dir):
 @query("quality_report", with_ctes(["quality_report"], "SELECT * FROM quality_report"))
 def quality_report_q(spark, sf_dir):
     """The data-quality gates as one long table (check, subject, value)."""
-    def long(df, subject, metrics):
-        parts = [df.select(F.lit(m).alias("check_name"), F.col(subject).alias("subject"),
-                           F.col(m).cast("double").alias("value")) for m in metrics]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+    gates = ["matches", "deliveries", "avg_deliveries_per_match", "batter_id_coverage_pct"]
+    summary = ball_summary(spark, sf_dir).select(
+        F.col("competition").alias("subject"), *[F.col(g).cast("double").alias(g) for g in gates])
     kinds = kind_histogram_q(spark, sf_dir).select(
         F.lit("dismissal_kind").alias("check_name"), F.col("dismissal_kind").alias("subject"),
         F.col("dismissals").cast("double").alias("value"))
-    vol = long(volume_check_q(spark, sf_dir), "competition", ["matches", "deliveries", "avg_deliveries_per_match"])
-    cov = long(key_coverage_q(spark, sf_dir), "competition", ["batter_id_coverage_pct"])
-    return kinds.unionByName(vol).unionByName(cov)
+    return kinds.unionByName(summary.unpivot("subject", gates, "check_name", "value"))
 
 
 @query("squad_counts", with_ctes(["franchises", "roster"], """

@@ -46,13 +46,15 @@ def person_id(user: Column) -> Column:
         F.concat(F.lit("r"), user.cast("string")))
 
 
-def deliveries(events: DataFrame, partitions: int | None = None) -> DataFrame:
+def deliveries(events: DataFrame, partitions: int | None = None, by_match: bool = True) -> DataFrame:
     """One row per ball, hash-partitioned by ``match_id`` (into
     ``partitions`` when given, sized from the input by the caller).
 
     240 events form one match (2 innings x 20 overs x 6 balls). The
     match-level window is evaluated on the same ``match_id`` partitioning
     as the innings/over windows, so the whole view costs one shuffle.
+    Without ``by_match`` that exchange is left to the windows: a reader of
+    none of their columns (a count a competition) shuffles no ball.
     """
     e = events.select(
         "event_id", "user_id", "event_type", "ts",
@@ -62,7 +64,8 @@ def deliveries(events: DataFrame, partitions: int | None = None) -> DataFrame:
         F.floor((F.col("event_id") % 120) / 6).cast("bigint").alias("over_number"),
         (F.col("event_id") % 6).alias("delivery_seq"),
     ).withColumn("match_id", F.concat(F.lit("1"), F.lpad(F.col("match_no").cast("string"), 6, "0")))
-    e = e.repartition(partitions, "match_id") if partitions else e.repartition("match_id")
+    if by_match:
+        e = e.repartition(partitions, "match_id") if partitions else e.repartition("match_id")
     w_match = Window.partitionBy("match_id").orderBy("event_id")
     w_inn = Window.partitionBy("match_id", "innings_seq").orderBy("event_id")
     w_over = Window.partitionBy("match_id", "innings_seq", "over_number").orderBy("event_id")

@@ -22,6 +22,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from formbook.operators import bids as B
+from formbook.operators.audit import running_count
 from formbook.session import checkpoint_dir
 
 LEDGER_SCHEMA = StructType([
@@ -84,22 +85,24 @@ def stage_arrivals(ctx: DataFrame, root: str, chunks: int = 8,
                    max_rows_per_arrival: int = 1_000_000) -> tuple[str, StructType]:
     """Land the bid contexts as sequential arrivals in bid_id order.
 
-    The number of arrivals grows with the data (at most
-    ``max_rows_per_arrival`` bids each), so every micro-batch stays bounded.
-    The contexts are written once, partitioned by arrival; each arrival is
-    then copied from its own (pruned) partition into one landing file, in
-    order, so the file stream sees them in bid order."""
+    The number of arrivals grows with the data. Bids are dealt by their
+    place in bid_id order, not by id ranges, so an arrival never holds more
+    than ``max_rows_per_arrival`` of them, however the ids lie. The contexts
+    are written once, partitioned by arrival; each arrival is then copied
+    from its own (pruned) partition into one landing file, in order, so the
+    file stream sees them in bid order."""
     ctx = ctx.withColumn("bid_id", F.col("bid_id").cast("bigint"))
-    stats = ctx.agg(F.min("bid_id").alias("lo"), F.max("bid_id").alias("hi"), F.count("*").alias("n")).first()
-    lo, hi, n = int(stats["lo"] or 0), int(stats["hi"] or 0), int(stats["n"] or 0)
-    arrivals = max(chunks, -(-n // max_rows_per_arrival))
-    width = max(1, (hi - lo + arrivals) // arrivals)
+    placed = running_count(ctx, "bid_id", "auction_id")
+    n = placed.count()
+    size = max(1, min(max_rows_per_arrival, -(-n // chunks)))
+    arrivals = max(1, -(-n // size))
     staged = f"{root}/_by_arrival"
-    ctx.withColumn("_arrival", ((F.col("bid_id") - lo) / width).cast("int")) \
-        .write.mode("overwrite").partitionBy("_arrival").parquet(staged)
+    dealt = placed.withColumn("_arrival", F.floor((F.col("running_count") - 1) / size).cast("int")) \
+        .drop("running_count")
+    dealt.write.mode("overwrite").partitionBy("_arrival").parquet(staged)
     spark = ctx.sparkSession
     for i in range(arrivals):
-        part = spark.read.parquet(staged).where(F.col("_arrival") == i).select(*ctx.columns)
+        part = spark.read.schema(dealt.schema).parquet(staged).where(F.col("_arrival") == i).select(*ctx.columns)
         part.coalesce(1).write.mode("overwrite").parquet(f"{root}/arrival={i:05d}")
     return f"{root}/arrival=*/*.parquet", ctx.schema
 
