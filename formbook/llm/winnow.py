@@ -1,13 +1,11 @@
 """Document fingerprints by winnowing.
 
 Rolling hashes of all k-grams of a text; of every w consecutive ones the
-least is chosen, the rightmost of equals, and kept with its position. Long
-texts have the last of ``WINDOWS`` as w, shorter ones a smaller w for a like
-number of choices. What a wide window chooses a narrow one chooses too, so
-two texts that share k + w - 1 characters, w being the wider one, share a
-chosen hash. A fingerprint is written as 24 hex digits a choice, 16 of the
-hash and 8 of the position. Likeness is the Jaccard index of the sets of
-hashes.
+least is chosen, the rightmost of equals, and kept with its position. One w
+serves all texts, whatever their length, so two texts that share k + w - 1
+characters (19) share a chosen hash, and any two fingerprints compare. A
+fingerprint is written as 24 hex digits a choice, 16 of the hash and 8 of
+the position. Likeness is the Jaccard index of the sets of hashes.
 
 ``edited_fingerprints`` compares each document with the one after it in
 descending doc_id order. Ranges of doc_id are sorted apart; the first
@@ -16,7 +14,8 @@ once and no task sees more than its ranges.
 
 Defined results: null texts are empty; an empty text has the empty
 fingerprint, alike (1.0) to another empty one only; texts shorter than k
-have one hash, of the whole; null doc_ids come last in descending order;
+have one hash, of the whole; texts of fewer than w k-grams have the least of
+them; null doc_ids come last in descending order;
 equal doc_ids stand in the order of a hash of their texts; a table of one
 document is its own next; an empty table gives no rows.
 """
@@ -33,32 +32,29 @@ from pyspark.sql import functions as F
 from formbook.llm.common import Rolling, record_batch, width
 
 K = 12
-WINDOWS = (8, 16, 32, 64, 85)
-CHOICES = 24  # windows that fit side by side in a text, for a window to be used
+WINDOW = 8
+WINDOWS, CHOICES = (WINDOW,), 1  # as the tests' plain loop reads it: that window from the first character on
 RANGES = 4  # ranges a shuffle partition
 LEAST = -(1 << 63)
 
 
-def winnow(texts: list[str], k: int = K, windows: tuple[int, ...] = WINDOWS) -> list[tuple[np.ndarray, np.ndarray]]:
+def winnow(texts: list[str], k: int = K, window: int = WINDOW) -> list[tuple[np.ndarray, np.ndarray]]:
     """(hashes, positions) chosen in each text."""
     symbols = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     starts = np.cumsum(sizes) - sizes
     rolling = Rolling(symbols)
     grams = rolling.grams(k)
-    least, at, have, choice = grams, np.arange(len(grams), dtype=np.int32), 1, {}
-    for window in windows:  # the place of the least gram of every window, from those of the window before
-        while have < window and len(least) > window - have:
-            step = min(have, window - have)
-            right = least[step:] <= least[:-step]
-            least, at = np.where(right, least[step:], least[:-step]), np.where(right, at[step:], at[:-step])
-            have += step
-        choice[window] = at
+    least, at, have = grams, np.arange(len(grams), dtype=np.int32), 1
+    while have < window and len(least) > window - have:  # the place of the least gram of every window
+        step = min(have, window - have)
+        right = least[step:] <= least[:-step]
+        least, at = np.where(right, least[step:], least[:-step]), np.where(right, at[step:], at[:-step])
+        have += step
     out = []
     for a, n in zip(starts.tolist(), sizes.tolist()):
-        window = max((w for w in windows if w * CHOICES <= n), default=windows[0])
         if n >= k + window - 1:
-            chosen = choice[window][a:a + n - k - window + 2]
+            chosen = at[a:a + n - k - window + 2]
             chosen = chosen[np.concatenate([[True], chosen[1:] != chosen[:-1]])]
         elif n >= k:
             own = grams[a:a + n - k + 1]
@@ -86,20 +82,20 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def fingerprints(docs: DataFrame, k: int = K, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
+def fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
     """(doc_id, fingerprint) of every document."""
     def make(batches):
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([text_of(c) for c in winnow(texts, k, windows)], pa.string())],
+                [batch.column("doc_id"), pa.array([text_of(c) for c in winnow(texts, k, window)], pa.string())],
                 ["doc_id", "fingerprint"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         make, "doc_id long, fingerprint string")
 
 
-def edited_fingerprints(docs: DataFrame, k: int = K, windows: tuple[int, ...] = WINDOWS, chunk: int = 1 << 20) -> DataFrame:
+def edited_fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW, chunk: int = 1 << 20) -> DataFrame:
     n = width(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"),
                        F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("key"))
@@ -147,7 +143,7 @@ def edited_fingerprints(docs: DataFrame, k: int = K, windows: tuple[int, ...] =
         for own, after in zip(texts, texts[1:]):
             third = len(own) // 3
             edited.append(own[:len(own) - third] + after[:third])
-        made = winnow(texts + edited, k, windows)
+        made = winnow(texts + edited, k, window)
         sets = [np.unique(c[0]) for c in made]
         m = len(texts)
         out = []

@@ -81,3 +81,31 @@ def test_fingerprints_of_documents(spark):
     got = {r.doc_id: r.fingerprint for r in W.fingerprints(df).collect()}
     assert got[1] == "" and got[2] == got[3] != ""
     assert df.where(F.col("doc_id") < 0).count() == 0
+
+
+def letters(rng, n):
+    return "".join(map(chr, rng.integers(97, 123, n)))
+
+
+@pytest.mark.parametrize("n", [384, 768, 1536, 2040])
+def test_near_equal_texts_of_any_two_lengths_are_alike(n):
+    text = letters(np.random.default_rng(n), n + 1)
+    a, b = [np.unique(c[0]) for c in W.winnow([text[:n - 1], text])]
+    assert W.likeness(a, b) > 0.95
+
+
+def test_a_short_passage_is_found_in_long_texts():
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        passage = letters(rng, W.K + 7)
+        a, b = W.winnow([letters(rng, 5000) + passage + letters(rng, 90), letters(rng, 30) + passage])
+        assert set(a[0].tolist()) & set(b[0].tolist())
+
+
+def test_texts_cut_by_a_third_keep_two_thirds_of_their_choices(spark):
+    rng = np.random.default_rng(7)
+    sizes = (400, 800, 1600, 3000)
+    rows = [(i * 2 + j, t) for i, n in enumerate(sizes) for j, t in ((1, letters(rng, n)), (0, "end"))]
+    got = W.edited_fingerprints(spark.createDataFrame([(*r, "en", "9") for r in rows], SCHEMA)).collect()
+    near = {r.n_chars: r.near_edited for r in got}
+    assert all(0.58 < near[n] < 0.72 for n in sizes)
