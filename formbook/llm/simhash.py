@@ -17,8 +17,9 @@ accumulate, and beyond ``distance`` the two groups are dropped whole.
 
 A task gives out a spanning forest of its links, and the components come
 from those. Defined results: null and empty texts have fingerprint zero,
-linked like any other; equal doc_ids count as one document; a component of
-null doc_ids only has a null component_id; an empty table gives no rows.
+linked like any other; a component of null doc_ids only has a null
+component_id; of each component ``one_of_each`` keeps one row, whatever
+doc_ids are null or repeated; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -53,18 +54,20 @@ def fingerprint(text: bytes, shingle: int) -> int:
     return int.from_bytes(np.packbits(2 * votes > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, fp long) of every document."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+def fingerprints(docs: DataFrame, shingle: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp long) of every document, and its string columns ``carry``."""
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), *[(c, pa.string()) for c in carry]])
 
     def make(batches):
         for chunk in chunks(batches):
             data, offsets = utf8(chunk.column("text"))
             raw = data.tobytes()
             fps = [fingerprint(raw[a:b], shingle) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-            yield record_batch(schema, [chunk.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64))])
+            yield record_batch(schema, [chunk.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64)),
+                                        *[chunk.column(c) for c in carry]])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry).mapInArrow(
+        make, ", ".join(["doc_id long", "fp long", *[f"{c} string" for c in carry]]))
 
 
 def signed(x: int) -> int:
@@ -168,11 +171,11 @@ def join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = up
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
-    """(doc_id, fp long, component_id long) of every document."""
-    fps = stage(fingerprints(docs, shingle), "fingerprints")
+def linked_codes(fps: DataFrame, distance: int) -> DataFrame:
+    """(fp long, root long, component_id long) of every fingerprint, root
+    being the component's least."""
     distinct = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "codes")
-    n = max(width(docs.sparkSession), (distance + 1) * distinct.count() // 1_000_000)
+    n = max(width(fps.sparkSession), (distance + 1) * distinct.count() // 1_000_000)
 
     def link(group: pa.Table) -> pa.Table:
         codes = group.column("fp").to_numpy()
@@ -188,10 +191,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3) -> Dat
     root = components(edges)
     tied = root.join(distinct, root.node == distinct.fp).select("fp", "root", "least")
     named = tied.groupBy("root").agg(F.min("least").alias("component_id"))
-    far = tied.join(named, "root").select("fp", "component_id")
-    all_codes = (distinct.join(far, "fp", "left")
-                 .select("fp", F.coalesce("component_id", "least").alias("component_id")))
-    return fps.join(all_codes, "fp").select("doc_id", "fp", "component_id")
+    far = tied.join(named, "root").select("fp", "root", "component_id")
+    return (distinct.join(far, "fp", "left")
+            .select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id")))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
+    """(doc_id, fp long, component_id long) of every document."""
+    fps = stage(fingerprints(docs, shingle), "fingerprints")
+    return fps.join(linked_codes(fps, distance), "fp").select("doc_id", "fp", "component_id")
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -200,7 +208,15 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
-    """The document with the smallest doc_id of each component."""
-    keep = near_duplicates(docs, shingle, distance).where("doc_id <=> component_id").select(
-        F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(keep, docs.doc_id.eqNullSafe(keep._kept), "left_semi").dropDuplicates(["doc_id"])
+    """One row of each component: that of the smallest doc_id, nulls last, of
+    those the one with the smallest hash of its text, then of the rest."""
+    rest = [c for c in docs.columns if c != "text"]
+    keyed = docs.withColumn("_key", F.concat_ws(  # the same in equal rows only
+        "-", F.col("doc_id").cast("long").cast("string"), F.coalesce(F.sha2("text", 256), F.lit("")),
+        F.hex(F.xxhash64(*rest, *map(F.isnull, rest)))))
+    fps = stage(fingerprints(keyed, shingle, ("_key",)), "fingerprints")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")
+    first = fps.groupBy("fp").agg(F.min(row).alias("row"))  # copies meet in aggregates only
+    keep = (first.join(linked_codes(fps, distance), "fp").groupBy("root").agg(F.min("row").alias("row"))
+            .select("row._key"))
+    return keyed.join(keep, "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)

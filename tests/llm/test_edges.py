@@ -100,6 +100,19 @@ def test_simhash(docs, empty):
     assert kept.columns == docs.columns and kept.count() == len(set(group))
 
 
+def test_one_row_of_each_component_whatever_the_ids(spark):
+    a, b, c, d, e = (prose(80) for _ in range(5))
+    rows = [(None, a), (None, b), (None, b), (7, c), (7, d), (None, c), (9, d), (9, e), (5, e), (5, e)]
+    want = Counter([(None, a), (None, b), (7, c), (7, d), (5, e)])
+    for parts in (1, 6):
+        df = spark.createDataFrame([(i, t, str(k % 2)) for k, (i, t) in enumerate(rows)],
+                                   "doc_id long, text string, source string").repartition(parts)
+        kept = simhash.one_of_each(df).collect()
+        assert Counter((r.doc_id, r.text) for r in kept) == want
+        assert parts == 1 or Counter(map(tuple, kept)) == before
+        before = Counter(map(tuple, kept))
+
+
 def test_hot_patterns_are_cut_again(spark, monkeypatch):
     monkeypatch.setattr(simhash, "NODE_ROWS", 20)
     codes = {0}
