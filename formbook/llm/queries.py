@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from formbook.llm import bestfit, bfd, knn, mixing, sharding, simhash, substring, suffix, toxicity, winnow
+from formbook.llm import (bestfit, bfd, filters, knn, licenses, mixing, periodic, sharding, simhash, substring, suffix,
+                          toxicity, winnow)
 from formbook.llm.common import table
 
 
@@ -46,6 +47,18 @@ def op10_suffix_dedup(spark, sf_dir):
     return suffix.digest(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark, sf_dir):
+    return filters.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_license_scan(spark, sf_dir):
+    return licenses.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark, sf_dir):
+    return periodic.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_histogram_shards": op1_histogram_shards,
     "op2_toxic_passages": op2_toxic_passages,
@@ -57,6 +70,9 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_winnowing": op9_winnowing,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_license_scan": op12_license_scan,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLES = {
@@ -115,4 +131,42 @@ r AS (SELECT doc_id, list(j) AS js FROM c GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(js), 0) AS BIGINT) AS n_removed,
        sha256(array_to_string(CASE WHEN js IS NULL THEN ws
               ELSE list_filter(ws, lambda x, k: NOT list_contains(js, k)) END, ' ')) AS kept_sha256
-FROM d LEFT JOIN r USING (doc_id)"""}
+FROM d LEFT JOIN r USING (doc_id)""",
+    "op11_filter_audit": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+l AS (SELECT doc_id AS id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good,
+             max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+m AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         CASE WHEN len(ws) < 50 THEN 1 ELSE 0 END
+         + CASE WHEN 100 * len(list_distinct(ws)) < 65 * len(ws) THEN 2 ELSE 0 END
+         + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 4 ELSE 0 END
+         + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+         + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS mask
+  FROM w LEFT JOIN l ON doc_id = id),
+c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, mask),
+f AS (SELECT substr('ABCDE', i + 1, 1) AS letter, 1 << i AS bit FROM range(5) t(i)),
+p AS (
+  SELECT '' AS prefix, 0 AS applied, '' AS letter, 0 AS bit, 0 AS before
+  UNION ALL
+  SELECT p.prefix || f.letter, p.applied | f.bit, f.letter, f.bit, p.applied FROM p JOIN f ON p.applied & f.bit = 0),
+s AS (
+  SELECT part, prefix, letter, length(prefix) AS step,
+         sum(CASE WHEN mask & applied = 0 THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN mask & before = 0 AND mask & bit <> 0 THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN mask & before <> 0 AND mask & bit <> 0 THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN mask & before = 0 AND mask & bit <> 0 THEN good ELSE 0 END) AS good_lost,
+         sum(CASE WHEN mask & before = 0 AND mask & bit <> 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM p, c WHERE prefix <> '' GROUP BY part, prefix, letter),
+o AS (SELECT part, prefix AS filter_order, unnest(range(1, 6)) AS step FROM s WHERE step = 5),
+r AS (SELECT o.part, o.filter_order, s.* EXCLUDE (part, prefix)
+      FROM o JOIN s ON o.part = s.part AND s.prefix = substr(o.filter_order, 1, o.step))
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+FROM r"""}
