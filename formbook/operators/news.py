@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 import datetime as dt
-from itertools import islice
+import uuid
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from formbook.operators.search import build_index, search
 from formbook.operators.textsearch import top_k
 from formbook.schema import QUALITY_MIN_BALLS, REFRESH_WINDOW_DAYS, TOP_N_BY_ACTIVITY, TOP_N_BY_QUALITY
+from formbook.session import checkpoint_dir
 
 # Link pattern of the reference UI (a bare http(s) url, not already inside
 # "(" or 'href="'); the guard is captured as group 1 instead of a
 # look-behind so both Java and RE2 engines agree.
 URL_PATTERN = r'(href="|\()?(https?://[^\s<>")\]]+)'
+# Tags, and what stands inside scripts, styles and the title.
+MARKUP = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<title\b.*?</title>|<[^>]*>"
 
 
 def news_shortlist(batter_profile: DataFrame, bowler_profile: DataFrame,
@@ -94,136 +98,73 @@ def label_centroids(vectors: DataFrame, vec_col: str = "embedding", label_col: s
         F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("centroid"))
 
 
-def _blocked_topk(corpus: DataFrame, queries: DataFrame, corpus_id: str, query_id: str, vec_col: tuple[str, str],
-                  block_of, score, k: int, block: int, digits: int, slice_rows: int) -> DataFrame:
-    """Exact top-k of every query, ``block`` queries a pass.
+def cosine_topk(corpus: DataFrame, queries: DataFrame, *, corpus_id: str, corpus_vec: str,
+                query_id: str, query_vec: str, k: int = 5, block: int = 1024, rows: int = 4096,
+                digits: int = 6) -> DataFrame:
+    """Exact cosine top-k of every query over the whole corpus.
 
-    A pass ships one block of queries (``block_of`` a list of vectors) to
-    the executors; a task scores its corpus rows a slice at a time
-    (``score(vectors, block)``: rows x queries) and keeps one running top-k
-    a query, so it gives out at most k rows a query. Scores are compared at
-    12 decimals and ties go to the smaller corpus id, in the slice, in the
-    task and in the final ranking alike."""
-    cols = corpus.select(F.col(corpus_id).alias("cid"), F.col(vec_col[0]).alias("v"))
-    schema = (f"qid {queries.schema[query_id].dataType.simpleString()}, "
-              f"cid {corpus.schema[corpus_id].dataType.simpleString()}, score double")
-    sc = corpus.sparkSession.sparkContext
-
-    def scan(shipped):
-        def run(batches):
-            ids, mat = shipped.value
-            best = [[] for _ in ids]
-            for pdf in batches:
-                for lo in range(0, len(pdf), slice_rows):
-                    part = pdf.iloc[lo:lo + slice_rows]
-                    s, cids = np.round(score(list(part["v"]), mat), 12) + 0.0, part["cid"].tolist()
-                    for j in range(len(ids)):
-                        col = s[:, j]
-                        least = np.partition(col, len(col) - k)[len(col) - k] if len(col) > k else -np.inf
-                        found = [(-float(col[i]), cids[i]) for i in np.flatnonzero(col >= least)]
-                        best[j] = sorted(best[j] + found)[:k]
-            rows = [(q, c, -x) for q, top in zip(ids, best) for x, c in top]
-            if rows:
-                yield pd.DataFrame(rows, columns=["qid", "cid", "score"])
-        return run
-
-    local = corpus.sparkSession.createDataFrame([], schema)
-    rows = queries.select(F.col(query_id).alias("qid"), F.col(vec_col[1]).alias("v")).toLocalIterator()
-    while part := list(islice(rows, block)):
-        shipped = sc.broadcast(([r["qid"] for r in part], block_of([r["v"] for r in part])))
-        local = local.unionByName(cols.mapInPandas(scan(shipped), schema))
-    best = top_k(local, ["qid"], [F.desc("score"), F.col("cid")], k, rank_col="rank")
-    return best.select(F.col("qid").alias(query_id), F.col("cid").alias(corpus_id),
-                       F.round("score", digits).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+    Queries and rows are dealt into blocks of about ``block`` and ``rows`` by
+    a hash of their ids; each pair of blocks meets in one task, is scored as
+    a matrix product and gives at most k rows a query, which ``top_k``
+    merges. Scores are compared at 12 decimals, ties by corpus id. Null
+    vectors take no part."""
+    q = queries.select(F.col(query_id).alias("qid"), F.col(query_vec).cast("array<double>").alias("v")).where("v IS NOT NULL")
+    c = corpus.select(F.col(corpus_id).alias("cid"), F.col(corpus_vec).cast("array<double>").alias("v")).where("v IS NOT NULL")
 
+    def blocks(df, size):
+        return df.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / size)).cast("int").alias("n")).scalar()
+
+    nq, nc = blocks(q, block), blocks(c, rows)
+    left = q.withColumn("qb", F.pmod(F.xxhash64("qid"), nq).cast("int")).withColumn("cb", F.explode(F.sequence(F.lit(0), nc - 1)))
+    right = c.withColumn("cb", F.pmod(F.xxhash64("cid"), nc).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), nq - 1)))
 
-def cosine_topk(corpus: DataFrame, queries: DataFrame, *, corpus_id: str, corpus_vec: str,
-                query_id: str, query_vec: str, k: int = 5, block: int = 10_000,
-                digits: int = 6) -> DataFrame:
-    """Exact cosine top-k of every query over the whole corpus, for any
-    number of queries: blocks of ``block`` queries are scored as matrix
-    products, ties by corpus id (see ``_blocked_topk``)."""
     def unit(vectors):
         x = np.vstack([np.asarray(v, dtype=np.float64) for v in vectors])
         norm = np.linalg.norm(x, axis=1)
         return x / np.where(norm == 0, 1.0, norm)[:, None]
 
-    return _blocked_topk(corpus, queries, corpus_id, query_id, (corpus_vec, query_vec), unit,
-                         lambda vectors, mat: unit(vectors) @ mat.T, k, block, digits, 1000)
-
-
-def tfidf_vectors(docs: DataFrame, text_col: str, num_features: int = 1 << 12,
-                  dense: bool = False) -> tuple[DataFrame, object]:
-    """Deterministic offline text embedding — RegexTokenizer ->
-    HashingTF -> IDF (fitted distributed) -> L2 Normalizer. The column
-    ``embedding`` stays a sparse ML vector (only the document's terms are
-    stored); ``dense=True`` exposes it as ``array<double>`` instead."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
-    from pyspark.ml.functions import vector_to_array
-    pipe = Pipeline(stages=[
-        RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"\W+", toLowercase=True),
-        HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features),
-        IDF(inputCol="_tf", outputCol="_idf"),
-        Normalizer(inputCol="_idf", outputCol="_vec", p=2.0),
-    ])
-    model = pipe.fit(docs)
-
-    def embed(df: DataFrame) -> DataFrame:
-        out = model.transform(df)
-        vec = vector_to_array("_vec") if dense else F.col("_vec")
-        return out.withColumn("embedding", vec).drop("_tok", "_tf", "_idf", "_vec")
-    return embed(docs), embed
-
-
-def _densify(vectors, width: int) -> np.ndarray:
-    """ML vectors (Arrow struct dicts: type 0 sparse, 1 dense; or vector
-    objects) -> a dense (n, width) block for one slice of a batch."""
-    out = np.zeros((len(vectors), width))
-    for r, v in enumerate(vectors):
-        if isinstance(v, dict):                      # Arrow batches carry the vector struct
-            if v["type"] == 0:
-                out[r, np.asarray(v["indices"], dtype=np.int64)] = v["values"]
-            else:
-                out[r, :] = v["values"]
-        else:                                        # driver-side ML vector objects
-            out[r, :] = v.toArray()
-    return out
-
-
-def sparse_cosine_topk(corpus: DataFrame, queries: DataFrame, *, corpus_id: str, query_id: str,
-                       vec_col: str, width: int, k: int = 5, block: int = 10_000,
-                       digits: int = 6, slice_rows: int = 1000) -> DataFrame:
-    """B21 over L2-normalised sparse vectors: like ``cosine_topk`` but the
-    corpus rows carry only their non-zero terms; each Arrow batch is
-    densified a slice of ``slice_rows`` documents at a time."""
-    return _blocked_topk(corpus, queries, corpus_id, query_id, (vec_col, vec_col),
-                         lambda vectors: _densify(vectors, width),
-                         lambda vectors, mat: _densify(vectors, width) @ mat.T, k, block, digits, slice_rows)
+    def meet(asked: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(asked) and len(stored):
+            stored = stored.sort_values("cid", kind="stable", ignore_index=True)  # ties: the smaller id first
+            score = np.round(unit(asked["v"]) @ unit(stored["v"]).T, 12) + 0.0
+            take = min(k, score.shape[1])
+            least = -np.partition(-score, take - 1, axis=1)[:, take - 1]
+            for i, (qid, row) in enumerate(zip(asked["qid"], score)):
+                reach = np.flatnonzero(row >= least[i])
+                out += [(qid, stored["cid"][j], row[j]) for j in reach[np.argsort(-row[reach], kind="stable")][:take]]
+        return pd.DataFrame(out, columns=["qid", "cid", "score"])
+
+    schema = (f"qid {queries.schema[query_id].dataType.simpleString()}, "
+              f"cid {corpus.schema[corpus_id].dataType.simpleString()}, score double")
+    local = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(meet, schema)
+    best = top_k(local, ["qid"], [F.desc("score"), F.col("cid")], k, rank_col="rank")
+    return best.select(F.col("qid").alias(query_id), F.col("cid").alias(corpus_id),
+                       F.round("score", digits).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 def text_embed_topk(docs: DataFrame, doc_id: str, doc_text: str, queries: DataFrame, query_id: str,
-                    query_text: str, k: int = 5, num_features: int = 1 << 12) -> DataFrame:
+                    query_text: str, k: int = 5, path: str | None = None) -> DataFrame:
     """B21 over B22 embeddings: for each query text, the k most similar
-    documents of the whole corpus (IDF fitted on the corpus); vectors stay
-    sparse in the rows."""
-    corpus, embed = tfidf_vectors(docs.select(doc_id, doc_text), doc_text, num_features)
-    q = embed(queries.select(query_id, F.col(query_text).alias(doc_text)))
-    return sparse_cosine_topk(corpus, q, corpus_id=doc_id, query_id=query_id, vec_col="embedding",
-                              width=num_features, k=k)
+    documents of the whole corpus, from an inverted index written to ``path``."""
+    path = path or f"{checkpoint_dir(docs.sparkSession).rstrip('/')}/text-index-{uuid.uuid4().hex}"
+    return search(build_index(docs, doc_id, doc_text, path), queries, query_id, query_text, k, doc_id)
+
+
+def article_bodies(articles: DataFrame) -> DataFrame:
+    """(article_id, player_key, title, url, body), one row an article id; the
+    body is the player, the title and the text without tags."""
+    a = with_article_id(articles)
+    title = F.coalesce(F.regexp_extract("content", r"(?is)<title>(.*?)</title>", 1), F.lit(""))
+    plain = F.regexp_replace("content", MARKUP, " ")
+    return a.withColumn("title", title).select("article_id", "player_key", "title", "url",
+                                               F.concat_ws(" ", "player_key", "title", plain).alias("body"))
 
 
 def search_articles(articles: DataFrame, questions: DataFrame, query_id: str, query_text: str, k: int = 5,
-                    num_features: int = 1 << 12) -> DataFrame:
+                    path: str | None = None) -> DataFrame:
     """The ``k`` articles (player_key, title, url) of the whole index
-    nearest to each question, usually "player: what to know"; an article is
-    embedded as its player, title and text without tags."""
-    a = with_article_id(articles)
-    title = F.regexp_extract("content", r"(?is)<title>(.*?)</title>", 1)
-    plain = F.regexp_replace("content", r"(?is)<(script|style|title)\b.*?</\1>|<[^>]*>", " ")
-    a = a.withColumn("title", F.coalesce(title, F.lit("")))
-    index = a.select("article_id", F.concat_ws(" ", "player_key", "title", plain).alias("body"))
-    asked = questions.select(query_id, F.coalesce(F.col(query_text), F.lit("")).alias("asked"))
-    best = text_embed_topk(index, "article_id", "body", asked, query_id, "asked", k, num_features)
-    return best.join(a.select("article_id", "player_key", "title", "url"), "article_id").select(
-        query_id, "rank", "score", "player_key", "title", "url")
+    nearest to each question, usually "player: what to know"."""
+    bodies = article_bodies(articles)
+    best = text_embed_topk(bodies, "article_id", "body", questions, query_id, query_text, k, path)
+    return best.join(bodies.drop("body"), "article_id").select(query_id, "rank", "score", "player_key", "title", "url")

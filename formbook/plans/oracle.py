@@ -1062,3 +1062,45 @@ cte("quality_report", ("kind_hist", "volume", "coverage"), """
   UNION ALL SELECT 'deliveries', competition, CAST(deliveries AS DOUBLE) FROM volume
   UNION ALL SELECT 'avg_deliveries_per_match', competition, avg_deliveries_per_match FROM volume
   UNION ALL SELECT 'batter_id_coverage_pct', competition, batter_id_coverage_pct FROM coverage""")
+
+
+def text_topk_sql(docs: str, doc_id: str, doc_text: str, queries: str, qid: str, qtext: str, k: int = 5) -> str:
+    """B21 + B22 over every pair: CTEs ``ranked (qid, id, points, rank)``."""
+    def tf(src, key, text):
+        return f"""SELECT id, term, count(*) AS tf FROM (
+    SELECT {key} AS id, unnest(list_filter(regexp_split_to_array(lower({text}), '\\W+'), lambda x: x <> '')) AS term
+    FROM {src} WHERE {key} IS NOT NULL) t GROUP BY 1, 2"""
+
+    def impact(src):
+        return f"""SELECT id, term, CAST(floor(1000000 * (tf * idf) / sqrt(sum((tf * idf) * (tf * idf)) OVER (PARTITION BY id)))
+    AS BIGINT) AS impact FROM {src}"""
+
+    return f"""
+dtf AS ({tf(docs, doc_id, doc_text)}),
+qtf AS ({tf(queries, qid, qtext)}),
+dsize AS (SELECT count(DISTINCT {doc_id}) AS n FROM {docs}),
+dfs AS (SELECT term, count(*) AS df FROM dtf GROUP BY 1),
+dw AS ({impact("(SELECT d.*, ln(CAST(n + 1 AS DOUBLE) / (df + 1)) AS idf FROM dtf d JOIN dfs USING (term), dsize)")}),
+qw AS ({impact("(SELECT q.*, ln(CAST(n + 1 AS DOUBLE) / (coalesce(df, 0) + 1)) AS idf FROM qtf q LEFT JOIN dfs USING (term), dsize)")}),
+points AS (SELECT q.id AS qid, d.id, sum(q.impact * d.impact) AS points
+           FROM qw q JOIN dw d USING (term) WHERE q.impact > 0 AND d.impact > 0 GROUP BY 1, 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY points DESC, id) AS rank FROM points
+           QUALIFY rank <= {k})"""
+
+
+SCORE = "CAST((points + 500000) // 1000000 AS DOUBLE) / 1000000.0"
+TEXT_EMBED_TOPK = "WITH " + text_topk_sql("documents", "doc_id", "text", "benchmark", "item_id", "text") + f"""
+SELECT qid AS item_id, id AS doc_id, {SCORE} AS score, rank FROM ranked"""
+
+cte("bodies", ("articles",), """
+  SELECT article_id, player_key, title, url, concat_ws(' ', player_key, title, plain) AS body FROM (
+    SELECT sha256(concat_ws('|', player_key, url)) AS article_id, player_key, url,
+           coalesce(regexp_extract(content, '(?is)<title>(.*?)</title>', 1), '') AS title,
+           regexp_replace(content, '(?is)<script\\b.*?</script>|<style\\b.*?</style>|<title\\b.*?</title>|<[^>]*>', ' ', 'g') AS plain,
+           row_number() OVER (PARTITION BY concat_ws('|', player_key, url) ORDER BY ingested_on DESC, score DESC) AS rn
+    FROM articles) t WHERE rn = 1""")
+cte("asked", (), """
+  SELECT item_id, concat_ws(': ', concat('r', CAST(item_id % 150 AS VARCHAR)), text) AS question FROM benchmark""")
+NEWS_SEARCH = with_ctes(["bodies", "asked"], "") + "," + text_topk_sql(
+    "bodies", "article_id", "body", "asked", "item_id", "question") + f"""
+SELECT qid AS item_id, rank, {SCORE} AS score, player_key, title, url FROM ranked JOIN bodies ON id = article_id"""

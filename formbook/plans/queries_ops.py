@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from formbook.operators import audit, bids, news, notes
 from formbook.plans.gold import Gold
-from formbook.plans.oracle import with_ctes
+from formbook.plans.oracle import NEWS_SEARCH, TEXT_EMBED_TOPK, with_ctes
 from formbook.plans.registry import query
 from formbook.session import checkpoint_dir
 from formbook.sources import fixtures as fx
@@ -174,18 +174,17 @@ def similar_topk_q(spark, sf_dir):
                             query_vec="centroid", k=5)
 
 
-@query("text_embed_topk")
+@query("text_embed_topk", TEXT_EMBED_TOPK)
 def text_embed_topk_q(spark, sf_dir):
     """B22 + B21: TF-IDF embedding of every document, top-5 documents per
-    benchmark passage; rows-only check."""
+    benchmark passage."""
     g = Gold(spark, sf_dir)
     return news.text_embed_topk(g.table("documents"), "doc_id", "text", g.table("benchmark"), "item_id", "text")
 
 
-@query("news_search")
+@query("news_search", NEWS_SEARCH)
 def news_search_q(spark, sf_dir):
-    """Five articles of the whole index for each "player: question";
-    rows-only check, the search itself against brute force in the tests."""
+    """Five articles of the whole index for each "player: question"."""
     g = Gold(spark, sf_dir)
     asked = g.table("benchmark").select("item_id", F.concat_ws(
         ": ", F.concat(F.lit("r"), (F.col("item_id") % 150).cast("string")), "text").alias("question"))

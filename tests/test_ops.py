@@ -259,7 +259,7 @@ def test_article_search_equals_brute_force(spark):
         norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
         return {t: x / norm for t, x in v.items()}
 
-    got = news.search_articles(a, asked, "q", "text", k=2, num_features=1 << 16).collect()
+    got = news.search_articles(a, asked, "q", "text", k=2).collect()
     assert len(got) == 6 and {r.title for r in got if r.url == "u1"} <= {"Injury news"}
     for q, text in ((1, "r1: knee injury"), (2, "r2: new club")):
         ask = vector([t for t in tokens(text)])

@@ -59,18 +59,6 @@ def test_ledger_never_breaks_a_cap(spark, tmp_dir):
     assert acc.groupBy("auction_id", "pool_id").count().where("count > 1").count() == 0
 
 
-def test_sparse_text_topk_equals_dense(spark):
-    from formbook.operators import news
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
-    sparse = sorted(tuple(r) for r in news.text_embed_topk(docs, "doc_id", "text", bench, "item_id", "text").collect())
-    corpus, embed = news.tfidf_vectors(docs.select("doc_id", "text"), "text", dense=True)
-    q = embed(bench.select("item_id", "text"))
-    dense = sorted(tuple(r) for r in news.cosine_topk(corpus, q, corpus_id="doc_id", corpus_vec="embedding",
-                                                      query_id="item_id", query_vec="embedding", k=5).collect())
-    assert sparse == dense and len(sparse) > 0
-
-
 def test_match_dimension_from_events_equals_ball_view(spark):
     from formbook.sources import fixtures as fx
     ev = spark.read.parquet(f"{SF}/events.parquet")
@@ -95,10 +83,15 @@ def test_innings_fact_plan_shape(spark):
 
 
 def test_topk_ties_and_query_blocks(spark):
-    """Equal vectors rank by id, and more queries than one block all get answers."""
+    """Equal vectors rank by id, more queries and rows than one block all
+    get answers, and null vectors take no part."""
     from formbook.operators import news
-    corpus = spark.createDataFrame([(i, [1.0, 2.0, 0.5]) for i in range(200)] + [(500, [0.0, 0.0, 0.0])],
+    corpus = spark.createDataFrame([(i, [1.0, 2.0, 0.5]) for i in range(200)] + [(500, [0.0, 0.0, 0.0]), (501, None)],
                                    "id long, v array<double>").repartition(6)
-    queries = spark.createDataFrame([(q, [float(q), 1.0, 1.0]) for q in range(7)], "q long, v array<double>")
-    rows = news.cosine_topk(corpus, queries, corpus_id="id", corpus_vec="v", query_id="q", query_vec="v", k=5, block=3).collect()
-    assert sorted((r.q, r["rank"], r.id) for r in rows) == [(q, i + 1, i) for q in range(7) for i in range(5)]
+    queries = spark.createDataFrame([(q, [float(q), 1.0, 1.0]) for q in range(7)] + [(9, None)], "q long, v array<double>")
+    for block, size in ((3, 50), (1024, 4096), (2, 1)):
+        rows = news.cosine_topk(corpus, queries, corpus_id="id", corpus_vec="v", query_id="q", query_vec="v", k=5,
+                                block=block, rows=size).collect()
+        assert sorted((r.q, r["rank"], r.id) for r in rows) == [(q, i + 1, i) for q in range(7) for i in range(5)]
+    none = news.cosine_topk(corpus.limit(0), queries, corpus_id="id", corpus_vec="v", query_id="q", query_vec="v")
+    assert none.count() == 0
