@@ -31,15 +31,14 @@ def bid_context(bids: DataFrame, franchises: DataFrame, pool: DataFrame, roster:
         "max_squad_size", "max_overseas", F.lit(True).alias("_f_known"))
     owned = active_roster(roster).select(F.lower("player_name").alias("_lname")).distinct() \
         .withColumn("owned_at_snapshot", F.lit(True))
+    # ownership is a fact of the pool row, so no bid is joined by name
     p = pool.select("pool_id", "player_name", "role", "is_overseas",
                     (F.col("base_price_lakh").cast("double") / 100.0).alias("base_price_cr"),
-                    F.lit(True).alias("_p_known"))
+                    F.lit(True).alias("_p_known"), F.lower("player_name").alias("_lname")).join(owned, "_lname", "left")
     return (
         bids.join(f, "franchise_id", "left")
         .join(counts, "franchise_id", "left")
         .join(p, "pool_id", "left")
-        .withColumn("_lname", F.lower("player_name"))
-        .join(owned, "_lname", "left")
         .select(
             "bid_id", "auction_id", "franchise_id", "pool_id", "price_cr", "franchise_name", "player_name",
             "role", "is_overseas", "base_price_cr", "purse_remaining_cr", "max_squad_size", "max_overseas",
@@ -84,7 +83,7 @@ def bid_effects(outcomes: DataFrame, franchises: DataFrame) -> dict[str, DataFra
     acc = outcomes.where(F.col("accepted"))
     roster_rows = acc.select("auction_id", "franchise_id", "player_name", "price_cr",
                              F.lit("auction").alias("acquisition_type"), F.lit("active").alias("status"))
-    spent = acc.groupBy("auction_id", "franchise_id").agg(F.sum("price_cr").alias("spent_cr"),
+    spent = acc.groupBy("auction_id", "franchise_id").agg(F.round(F.sum("price_cr"), 2).alias("spent_cr"),
                                                          F.count("*").alias("players_bought"))
     purse = spent.join(franchises.select("franchise_id", F.col("purse_remaining_cr").cast("double")
                                          .alias("purse_before_cr")), "franchise_id") \

@@ -254,7 +254,7 @@ class Gold:
 
     @cached_property
     def bids(self) -> DataFrame:
-        return fx.bids(self.table("orders"))
+        return fx.bids(self.table("orders"), self.table("supplier"))
 
     @property
     def league_summary(self) -> DataFrame:

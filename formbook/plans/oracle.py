@@ -428,7 +428,8 @@ cte("franchises", (), """
   SELECT CAST(n_nationkey AS BIGINT) AS franchise_id, n_name AS name,
          CAST(125 AS DECIMAL(10,2)) AS purse_total_cr,
          CAST(5 + n_nationkey % 20 AS DECIMAL(10,2)) AS purse_remaining_cr,
-         25 AS max_squad_size, 8 AS max_overseas,
+         CASE WHEN n_nationkey % 2 = 1 THEN 1000000 ELSE 25 END AS max_squad_size,
+         CASE WHEN n_nationkey % 4 = 1 THEN 1000000 ELSE 8 END AS max_overseas,
          concat('Venue ', CAST(n_nationkey % 7 AS VARCHAR)) AS home_venue,
          n_nationkey % 12 <> 11 AS is_active
   FROM nation""")
@@ -458,8 +459,9 @@ cte("pool", (), """
          s_suppkey % 13 <> 12 AS is_current_reference
   FROM supplier""")
 cte("bids", (), """
-  SELECT o_orderkey AS bid_id, o_orderkey % 4 AS auction_id, o_custkey % 27 AS franchise_id,
-         o_orderkey % 110 AS pool_id, CAST(floor(o_totalprice / 1000) AS DOUBLE) / 100 AS price_cr
+  SELECT o_orderkey AS bid_id, CAST(floor(o_orderkey / 500) AS BIGINT) AS auction_id, o_custkey % 27 AS franchise_id,
+         o_orderkey % (SELECT count(*) + count(*) // 10 FROM supplier) AS pool_id,
+         CAST(floor(o_totalprice / 1000) AS DOUBLE) / 100 AS price_cr
   FROM orders""")
 
 SUR = "list_extract(string_split_regex(lower(trim({x})), '\\s+'), -1)"
@@ -1004,13 +1006,14 @@ cte("ledger_in", ("bid_ctx",), """
   SELECT bid_id, auction_id, franchise_id, pool_id, price_cr, player_name, franchise_known, player_known,
          coalesce(is_overseas, false) AS is_overseas, base_price_cr, purse_remaining_cr, max_squad_size,
          max_overseas, squad_size, overseas_count, coalesce(owned, false) AS owned,
+         CAST(round(price_cr * 100) AS BIGINT) AS price_c, CAST(round(purse_remaining_cr * 100) AS BIGINT) AS purse_c,
          row_number() OVER (PARTITION BY auction_id ORDER BY bid_id) AS rn
   FROM bid_ctx""")
 
 _LEDGER_STEP = """
     SELECT auction_id, rn, bid_id, franchise_id, pool_id, price_cr, player_name, accepted, result_status,
            purse_after_cr,
-           CASE WHEN accepted THEN map_concat(sp, MAP([franchise_id], [spent_f + price_cr])) ELSE sp END AS sp,
+           CASE WHEN accepted THEN map_concat(sp, MAP([franchise_id], [spent_f + price_c])) ELSE sp END AS sp,
            CASE WHEN accepted THEN map_concat(bo, MAP([franchise_id], [bought_f + 1])) ELSE bo END AS bo,
            CASE WHEN accepted THEN map_concat(ov, MAP([franchise_id],
                                                        [os_f + CASE WHEN is_overseas THEN 1 ELSE 0 END]))
@@ -1023,21 +1026,21 @@ _LEDGER_STEP = """
                   WHEN NOT player_known THEN 'blocked: unknown player'
                   WHEN reasons = '' THEN 'success' ELSE concat('blocked: ', reasons) END AS result_status,
              CASE WHEN NOT franchise_known OR NOT player_known THEN NULL
-                  WHEN reasons = '' THEN round(purse_remaining_cr - spent_f - price_cr, 2)
-                  ELSE round(purse_remaining_cr - spent_f, 2) END AS purse_after_cr
+                  WHEN reasons = '' THEN (purse_c - spent_f - price_c) / 100.0
+                  ELSE (purse_c - spent_f) / 100.0 END AS purse_after_cr
       FROM (
         SELECT x.*, concat_ws('; ',
                  CASE WHEN owned OR list_contains(own, lower(player_name)) THEN 'already on an active roster' END,
-                 CASE WHEN price_cr > purse_remaining_cr - spent_f THEN 'bid exceeds remaining purse' END,
+                 CASE WHEN price_c > purse_c - spent_f THEN 'bid exceeds remaining purse' END,
                  CASE WHEN squad_size + bought_f >= max_squad_size THEN 'squad at max size' END,
                  CASE WHEN is_overseas AND overseas_count + os_f >= max_overseas THEN 'overseas cap reached' END,
                  CASE WHEN price_cr < base_price_cr THEN 'bid below base price' END) AS reasons
         FROM (
-          SELECT z.*, coalesce(sp[franchise_id], 0.0) AS spent_f, coalesce(bo[franchise_id], 0) AS bought_f,
+          SELECT z.*, coalesce(sp[franchise_id], 0) AS spent_f, coalesce(bo[franchise_id], 0) AS bought_f,
                  coalesce(ov[franchise_id], 0) AS os_f
           FROM {src} z) x) y) w"""
 
-_LEDGER_FIRST = """(SELECT i.*, MAP()::MAP(BIGINT, DOUBLE) AS sp, MAP()::MAP(BIGINT, BIGINT) AS bo,
+_LEDGER_FIRST = """(SELECT i.*, MAP()::MAP(BIGINT, BIGINT) AS sp, MAP()::MAP(BIGINT, BIGINT) AS bo,
                           MAP()::MAP(BIGINT, BIGINT) AS ov, []::VARCHAR[] AS own
                    FROM ledger_in i WHERE i.rn = 1)"""
 _LEDGER_NEXT = """(SELECT i.*, r.sp, r.bo, r.ov, r.own
@@ -1056,6 +1059,15 @@ cte("bid_effects", ("bid_ledger",), """
          END::VARCHAR AS payload,
          result_status
   FROM bid_ledger""")
+cte("bid_roster_rows", ("bid_ledger",), """
+  SELECT auction_id, franchise_id, player_name, price_cr, 'auction' AS acquisition_type, 'active' AS status
+  FROM bid_ledger WHERE accepted""")
+cte("bid_purse", ("bid_ledger", "franchises"), f"""
+  SELECT auction_id, franchise_id, spent_cr, players_bought, purse_before_cr,
+         {r("purse_before_cr - spent_cr")} AS purse_after_cr
+  FROM (SELECT auction_id, franchise_id, {r("sum(price_cr)")} AS spent_cr, count(*) AS players_bought
+        FROM bid_ledger WHERE accepted GROUP BY 1, 2) s
+  JOIN (SELECT franchise_id, CAST(purse_remaining_cr AS DOUBLE) AS purse_before_cr FROM franchises) f USING (franchise_id)""")
 cte("quality_report", ("kind_hist", "volume", "coverage"), """
   SELECT 'dismissal_kind' AS check_name, dismissal_kind AS subject, CAST(dismissals AS DOUBLE) AS value FROM kind_hist
   UNION ALL SELECT 'matches', competition, CAST(matches AS DOUBLE) FROM volume

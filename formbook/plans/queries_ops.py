@@ -32,12 +32,29 @@ def bid_ledger_q(spark, sf_dir):
     return ledger.run_bid_ledger(spark, bids.bid_context(g.bids, g.franchises, g.pool, g.roster))
 
 
-@query("bid_effects", with_ctes(["bid_effects"], "SELECT * FROM bid_effects"))
-def bid_effects_q(spark, sf_dir):
-    """Purse after the auction per (auction, franchise) from the ledger."""
+def _effects(spark, sf_dir):
+    """B4 from the whole ledger."""
     g = Gold(spark, sf_dir)
     led = ledger.run_bid_ledger(spark, bids.bid_context(g.bids, g.franchises, g.pool, g.roster))
-    return bids.bid_effects(led, g.franchises)["audit"]
+    return bids.bid_effects(led, g.franchises)
+
+
+@query("bid_effects", with_ctes(["bid_effects"], "SELECT * FROM bid_effects"))
+def bid_effects_q(spark, sf_dir):
+    """An audit event for each bid."""
+    return _effects(spark, sf_dir)["audit"]
+
+
+@query("bid_roster_rows", with_ctes(["bid_roster_rows"], "SELECT * FROM bid_roster_rows"))
+def bid_roster_rows_q(spark, sf_dir):
+    """A roster row for each accepted bid."""
+    return _effects(spark, sf_dir)["roster_rows"]
+
+
+@query("bid_purse", with_ctes(["bid_purse"], "SELECT * FROM bid_purse"))
+def bid_purse_q(spark, sf_dir):
+    """Purse after the auction per (auction, franchise)."""
+    return _effects(spark, sf_dir)["purse"]
 
 
 # ------------------------------------------------------------------ notes

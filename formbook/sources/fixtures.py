@@ -204,8 +204,9 @@ def franchises(nation: DataFrame) -> DataFrame:
         F.col("n_name").alias("name"),
         F.lit(125).cast("decimal(10,2)").alias("purse_total_cr"),
         (5 + F.col("n_nationkey") % 20).cast("decimal(10,2)").alias("purse_remaining_cr"),
-        F.lit(25).alias("max_squad_size"),
-        F.lit(8).alias("max_overseas"),
+        # every roster row stands in a squad, so odd keys get room for more
+        F.when(F.col("n_nationkey") % 2 == 1, 1_000_000).otherwise(25).alias("max_squad_size"),
+        F.when(F.col("n_nationkey") % 4 == 1, 1_000_000).otherwise(8).alias("max_overseas"),
         F.concat(F.lit("Venue "), (F.col("n_nationkey") % 7).cast("string")).alias("home_venue"),
         (F.col("n_nationkey") % 12 != 11).alias("is_active"),
     )
@@ -247,15 +248,16 @@ def player_pool(supplier: DataFrame) -> DataFrame:
     )
 
 
-def bids(orders: DataFrame) -> DataFrame:
-    """Every order is a bid; franchise ids 25/26 and pool ids past the
-    pool size are unknown on purpose."""
+def bids(orders: DataFrame, supplier: DataFrame) -> DataFrame:
+    """Every order is a bid, 500 order keys an auction; franchise ids 25/26
+    and one pool id in eleven are unknown on purpose."""
     k = F.col("o_orderkey")
+    pool = supplier.agg((F.count("*") + F.floor(F.count("*") / 10)).alias("n")).scalar()
     return orders.select(
         k.alias("bid_id"),
-        (k % 4).alias("auction_id"),
+        F.floor(k / 500).cast("bigint").alias("auction_id"),
         (F.col("o_custkey") % 27).alias("franchise_id"),
-        (k % 110).alias("pool_id"),
+        (k % pool).alias("pool_id"),
         (F.floor(F.col("o_totalprice") / 1000).cast("double") / 100).alias("price_cr"),
     )
 

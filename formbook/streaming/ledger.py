@@ -1,24 +1,31 @@
 """T5: the sequential bid ledger as a Structured Streaming stateful job.
 
-Every accepted bid changes the purse / squad / ownership seen by later
-bids of the same auction, so the ledger is keyed by ``auction_id`` and
-run with ``applyInPandasWithState``. Snapshot counters are joined onto
-each bid beforehand (``bids.bid_context``), so the state only holds the
-auction's *deltas* (spend, players and overseas bought per franchise and
-names bought) — bounded by the squad caps, not by the number of bids.
-Each micro-batch brings a bounded slice of bids (``maxFilesPerTrigger``),
-so no auction passes through one call whole.
+Every accepted bid changes the purse, squad and ownership that later bids of
+its auction are judged by. A bid carries its place in its auction (``seq``,
+1 to n without gaps), so the order lies in the data: files may arrive in any
+order and any number of times. The ledger is keyed by ``auction_id`` and
+runs as ``transformWithStateInPandas`` with typed state:
+
+* ``expected``: the place the auction waits for;
+* ``franchise``: what each franchise spent and bought in the auction;
+* ``owned``: names bought in the auction;
+* ``waiting``: bids that came before their turn, by place.
+
+A bid whose place is past is a re-delivery and gives no row. Snapshot
+counters are joined onto each bid beforehand (``bids.bid_context``), so the
+state holds the auction's own purchases only, which purses and squad caps
+bound. Money is counted in whole hundredths.
 """
 
 from __future__ import annotations
 
-import json
 import uuid
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from formbook.operators import bids as B
@@ -32,93 +39,134 @@ LEDGER_SCHEMA = StructType([
     StructField("accepted", BooleanType()), StructField("result_status", StringType()),
     StructField("purse_after_cr", DoubleType()),
 ])
-STATE_SCHEMA = StructType([StructField("json", StringType())])
-
-
-def _judge(row, st) -> tuple[bool, str, float | None]:
-    if not row.franchise_known:
-        return False, "blocked: " + B.R_UNKNOWN_TEAM, None
-    if not row.player_known:
-        return False, "blocked: " + B.R_UNKNOWN_PLAYER, None
-    f = str(int(row.franchise_id))
-    name = (row.player_name or "").lower()
-    spent = st["spent"].get(f, 0.0)
-    purse_left = float(row.purse_remaining_cr) - spent
-    squad = int(row.squad_size) + st["bought"].get(f, 0)
-    overseas = int(row.overseas_count) + st["overseas"].get(f, 0)
-    reasons = []
-    if bool(row.owned_at_snapshot) or name in st["owned"]:
-        reasons.append(B.R_OWNED)
-    if row.price_cr > purse_left:
-        reasons.append(B.R_PURSE)
-    if squad >= int(row.max_squad_size):
-        reasons.append(B.R_SQUAD)
-    if bool(row.is_overseas) and overseas >= int(row.max_overseas):
-        reasons.append(B.R_OVERSEAS)
-    if row.price_cr < float(row.base_price_cr):
-        reasons.append(B.R_BASE)
-    if reasons:
-        return False, "blocked: " + "; ".join(reasons), round(purse_left, 2)
-    st["spent"][f] = spent + float(row.price_cr)
-    st["bought"][f] = st["bought"].get(f, 0) + 1
-    st["overseas"][f] = st["overseas"].get(f, 0) + (1 if row.is_overseas else 0)
-    st["owned"][name] = True
-    return True, "success", round(purse_left - float(row.price_cr), 2)
-
-
-def _ledger_step(key, pdfs, state):
-    st = json.loads(state.get[0]) if state.exists else {"spent": {}, "bought": {}, "overseas": {}, "owned": {}}
-    frames = [p for p in pdfs if len(p)]
-    if not frames:
-        return
-    rows = pd.concat(frames).sort_values("bid_id")
-    out = []
-    for row in rows.itertuples(index=False):
-        accepted, status, purse_after = _judge(row, st)
-        out.append((int(row.bid_id), int(row.auction_id), int(row.franchise_id), int(row.pool_id),
-                    float(row.price_cr), row.player_name, accepted, status, purse_after))
-    state.update((json.dumps(st),))
-    yield pd.DataFrame(out, columns=[f.name for f in LEDGER_SCHEMA.fields])
-
-
-def stage_arrivals(ctx: DataFrame, root: str, chunks: int = 8,
-                   max_rows_per_arrival: int = 1_000_000) -> tuple[str, StructType]:
-    """Land the bid contexts as sequential arrivals in bid_id order.
-
-    The number of arrivals grows with the data. Bids are dealt by their
-    place in bid_id order, not by id ranges, so an arrival never holds more
-    than ``max_rows_per_arrival`` of them, however the ids lie. The contexts
-    are written once, partitioned by arrival; each arrival is then copied
-    from its own (pruned) partition into one landing file, in order, so the
-    file stream sees them in bid order."""
-    ctx = ctx.withColumn("bid_id", F.col("bid_id").cast("bigint"))
-    placed = running_count(ctx, "bid_id", "auction_id")
-    n = placed.count()
-    size = max(1, min(max_rows_per_arrival, -(-n // chunks)))
-    arrivals = max(1, -(-n // size))
-    staged = f"{root}/_by_arrival"
-    dealt = placed.withColumn("_arrival", F.floor((F.col("running_count") - 1) / size).cast("int")) \
-        .drop("running_count")
-    dealt.write.mode("overwrite").partitionBy("_arrival").parquet(staged)
-    spark = ctx.sparkSession
-    for i in range(arrivals):
-        part = spark.read.schema(dealt.schema).parquet(staged).where(F.col("_arrival") == i).select(*ctx.columns)
-        part.coalesce(1).write.mode("overwrite").parquet(f"{root}/arrival={i:05d}")
-    return f"{root}/arrival=*/*.parquet", ctx.schema
+#: What a bid is judged by; a bid that waits is kept whole.
+BID_COLUMNS = ("seq long, bid_id long, franchise_id long, pool_id long, price_cr double, player_name string, "
+               "franchise_known boolean, player_known boolean, owned_at_snapshot boolean, purse_remaining_cr double, "
+               "squad_size long, max_squad_size long, is_overseas boolean, overseas_count long, max_overseas long, "
+               "base_price_cr double")
+BID_NAMES = [c.split()[0] for c in BID_COLUMNS.split(", ")]
+BID_KINDS = [{"long": int, "double": float, "string": str, "boolean": bool}[c.split()[1]] for c in BID_COLUMNS.split(", ")]
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def hundredths(amount: float) -> int:
+    return round(float(amount) * 100)
+
+
+class AuctionLedger(StatefulProcessor):
+    """Judges the bids of an auction one after the other."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.expected = handle.getValueState("expected", "seq long")
+        self.franchise = handle.getMapState("franchise", "franchise_id long", "spent long, bought long, overseas long")
+        self.owned = handle.getMapState("owned", "name string", "bid_id long")
+        self.waiting = handle.getMapState("waiting", "seq long", ", ".join(BID_COLUMNS.split(", ")[1:]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        turn = self.expected.get()[0] if self.expected.exists() else 1
+        counts: dict[int, list[int]] = {}
+        out, early = [], {}
+        for frame in rows:
+            for bid in frame[BID_NAMES].sort_values("seq").itertuples(index=False):
+                seq = int(bid.seq)
+                if seq > turn:
+                    early[seq] = bid
+                elif seq == turn:
+                    out.append(self.judged(key[0], bid, counts))
+                    turn += 1
+            while turn in early or self.waiting.containsKey((turn,)):
+                out.append(self.judged(key[0], early.pop(turn) if turn in early else self.recalled(turn), counts))
+                turn += 1
+        for seq, bid in early.items():
+            if seq > turn:
+                # a frame holds whole numbers beside nulls as doubles
+                self.waiting.updateValue((seq,), tuple(None if pd.isna(v) else kind(v) for v, kind in zip(bid[1:], BID_KINDS[1:])))
+        for franchise_id, count in counts.items():
+            self.franchise.updateValue((franchise_id,), tuple(count))
+        self.expected.update((turn,))
+        if out:
+            yield pd.DataFrame(out, columns=LEDGER_SCHEMA.names)
+
+    def recalled(self, seq: int):
+        bid = self.waiting.getValue((seq,))
+        self.waiting.removeKey((seq,))
+        return pd.Series((seq, *bid), index=BID_NAMES)
+
+    def counted(self, franchise_id: int, counts: dict[int, list[int]]) -> list[int]:
+        if franchise_id not in counts:
+            held = self.franchise.containsKey((franchise_id,))
+            counts[franchise_id] = list(self.franchise.getValue((franchise_id,))) if held else [0, 0, 0]
+        return counts[franchise_id]
+
+    def judged(self, auction_id: int, bid, counts: dict[int, list[int]]) -> tuple:
+        """The bid's ledger row; an accepted one enters the state."""
+        accepted, status, after = False, None, None
+        if not bid.franchise_known:
+            status = "blocked: " + B.R_UNKNOWN_TEAM
+        elif not bid.player_known:
+            status = "blocked: " + B.R_UNKNOWN_PLAYER
+        else:
+            count = self.counted(int(bid.franchise_id), counts)
+            spent, bought, overseas = count
+            name = (bid.player_name or "").lower()
+            price, left = hundredths(bid.price_cr), hundredths(bid.purse_remaining_cr) - spent
+            broken = [reason for reason, holds in (
+                (B.R_OWNED, bid.owned_at_snapshot or self.owned.containsKey((name,))),
+                (B.R_PURSE, price > left),
+                (B.R_SQUAD, bid.squad_size + bought >= bid.max_squad_size),
+                (B.R_OVERSEAS, bid.is_overseas and bid.overseas_count + overseas >= bid.max_overseas),
+                (B.R_BASE, price < hundredths(bid.base_price_cr))) if holds]
+            accepted, status = not broken, "blocked: " + "; ".join(broken) if broken else "success"
+            if accepted:
+                left -= price
+                count[:] = [spent + price, bought + 1, overseas + int(bool(bid.is_overseas))]
+                self.owned.updateValue((name,), (int(bid.bid_id),))
+            after = left / 100
+        name = None if pd.isna(bid.player_name) else bid.player_name
+        return (int(bid.bid_id), auction_id, int(bid.franchise_id), int(bid.pool_id), float(bid.price_cr), name,
+                accepted, status, after)
+
+    def close(self) -> None:
+        pass
+
+
+def sequenced(ctx: DataFrame) -> DataFrame:
+    """``ctx`` plus ``seq``, the bid's place in its auction by bid_id; an
+    auction of any size is numbered by ranges."""
+    placed = running_count(ctx.withColumn("bid_id", F.col("bid_id").cast("bigint")), "auction_id", "bid_id")
+    first = placed.groupBy(F.col("auction_id").alias("_auction")).agg(F.min("running_count").alias("_first"))
+    return (placed.join(first, F.col("auction_id") == F.col("_auction"))
+            .withColumn("seq", F.col("running_count") - F.col("_first") + 1).drop("_auction", "_first", "running_count"))
+
+
+def land_bids(ctx: DataFrame, folder: str, rows_per_file: int = 1_000_000) -> StructType:
+    """Write the sequenced bids in files of about equal places and at most
+    ``rows_per_file`` rows, in one job; returns their schema."""
+    kinds = dict(c.split() for c in BID_COLUMNS.split(", ")) | {"auction_id": "long"}
+    rows = sequenced(ctx).select(*[F.col(c).cast(kind).alias(c) for c, kind in kinds.items()])
+    rows.repartitionByRange("seq").write.option("maxRecordsPerFile", rows_per_file).mode("append").parquet(folder)
+    return rows.schema
+
+
+def judge_landed(spark: SparkSession, folder: str, schema: StructType, target: str, checkpoint: str,
+                 files_per_trigger: int = 64) -> None:
+    """Judge what has landed in ``folder`` since the last call and append the
+    ledger rows to ``target``. The state store is a setting of the stream's
+    own session, so the caller's other streams keep theirs."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    stream = own.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+    judged = stream.groupBy("auction_id").transformWithStateInPandas(AuctionLedger(), LEDGER_SCHEMA, "append", "none")
+    (judged.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint)
+     .outputMode("append").trigger(availableNow=True).start().awaitTermination())
 
 
 def run_bid_ledger(spark: SparkSession, ctx: DataFrame, work_dir: str | None = None,
-                   chunks: int = 8) -> DataFrame:
-    """Stage arrivals, run the stateful stream to completion
-    (``availableNow``), return the ledger table."""
+                   rows_per_file: int = 1_000_000, files_per_trigger: int = 64) -> DataFrame:
+    """Land the bids, judge them all, return the ledger table."""
     root = work_dir or f"{checkpoint_dir(spark).rstrip('/')}/ledger-{uuid.uuid4().hex}"
-    src_glob, schema = stage_arrivals(ctx, f"{root}/bids", chunks)
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src_glob)
-              .withColumn("auction_id", F.col("auction_id").cast("bigint")))
-    ledger = stream.groupBy("auction_id").applyInPandasWithState(
-        _ledger_step, LEDGER_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
-    q = (ledger.writeStream.format("parquet").option("path", f"{root}/ledger")
-         .option("checkpointLocation", f"{root}/_checkpoint").outputMode("append")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    schema = land_bids(ctx, f"{root}/bids", rows_per_file)
+    judge_landed(spark, f"{root}/bids", schema, f"{root}/ledger", f"{root}/_checkpoint", files_per_trigger)
     return spark.read.schema(LEDGER_SCHEMA).parquet(f"{root}/ledger")

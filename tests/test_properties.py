@@ -44,7 +44,7 @@ def test_ledger_never_breaks_a_cap(spark, tmp_dir):
     b = spark.createDataFrame([(i, i % 2, rnd.randint(0, 4), rnd.randint(0, 41), round(rnd.uniform(0.1, 6), 2))
                                for i in range(300)],
                               "bid_id long, auction_id long, franchise_id long, pool_id long, price_cr double")
-    led = ledger.run_bid_ledger(spark, bids.bid_context(b, fr, pool, roster), work_dir=tmp_dir, chunks=5)
+    led = ledger.run_bid_ledger(spark, bids.bid_context(b, fr, pool, roster), work_dir=tmp_dir, rows_per_file=17)
     acc = led.where("accepted")
     limits = {r.franchise_id: r for r in fr.collect()}
     per = acc.join(pool.select("pool_id", "is_overseas"), "pool_id").groupBy("auction_id", "franchise_id").agg(
