@@ -7,8 +7,9 @@ bundle), the bucket compares the payloads, and the answers come back to the
 bundle by its number. Texts cross the network once; keys that all documents
 share make no hot task.
 
-Bundles are made inside the scan's tasks, so a lost executor's bundles come
-out the same when they are made again.
+Bundles are made inside the scan's tasks and written once by their users: all
+rounds read the same numbers and contents, also after a lost executor and
+for an input whose rows come in another order when it is read again.
 """
 
 from __future__ import annotations

@@ -12,17 +12,18 @@ running sums by range (a source with a third of all rows is many ranges);
 only (id, source, size) rows move, no text.
 
 Defined results: null texts have size 0; null sources are one source, last;
-sources without words have target 0; equal rows are each a document; an
-empty table gives no rows. Reruns agree: the shuffle is by a hash of the
-doc_id, then the doc_id, then the text.
+sources without words have target 0; equal rows are each a document; rows
+of one doc_id that differ anywhere are different documents; an empty table
+gives no rows. Reruns agree: the shuffle is by a hash of the doc_id, then
+the doc_id, then the text (in ``mix``: the whole row).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from formbook.llm.common import running_sum, stage
+from formbook.llm.common import running_sum, set_aside, stage
 
 WEIGHTS = (5, 2, 1)
 EPOCHS = 3
@@ -50,15 +51,18 @@ def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = E
     return ranks.select("source", "source_size", F.when(above, most.cast("double")).otherwise(share).alias("target"))
 
 
-def schedule(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
-    """(doc_id, source, text_hash, size, source_size, target, copies): one
-    row a document, with how often the mix takes it."""
+def schedule(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS,
+             key: Column | None = None) -> DataFrame:
+    """(doc_id, source, row_key, size, source_size, target, copies): one row
+    a document, with how often the mix takes it. ``key``: settles the order
+    of rows of one doc_id, a hash of the text by default."""
+    key = F.xxhash64("text") if key is None else key
     rows = stage(docs.select(
-        "doc_id", F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("text_hash"),
+        "doc_id", F.col("source").cast("string").alias("source"), key.alias("row_key"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("shuffle")), "sizes")
     goal = stage(targets(rows, weights, epochs), "goals")
-    order = ["shuffle", "doc_id", "text_hash"]
+    order = ["shuffle", "doc_id", "row_key"]
     queued = running_sum(rows, ["source"], order, "size", "before", "queues")
     queued = queued.join(goal.withColumnRenamed("source", "_source"),
                          queued.source.eqNullSafe(F.col("_source"))).drop("_source")
@@ -77,7 +81,7 @@ def schedule(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int =
     for e in range(epochs if end else 0):
         key = F.struct(finish(F.lit(e)).alias("finish"), F.col("shuffle"), F.lit(e).alias("epoch"))
         taken = taken + (key <= F.struct(F.lit(end["finish"]), F.lit(end["shuffle"]), F.lit(end["epoch"]))).cast("int")
-    return queued.select("doc_id", "source", "text_hash", "size", "source_size", "target", taken.alias("copies"))
+    return queued.select("doc_id", "source", "row_key", "size", "source_size", "target", taken.alias("copies"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -86,12 +90,13 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS) -> DataFrame:
-    """The documents of the mix, each as often as it takes them."""
-    times = (schedule(docs, weights, epochs).groupBy("doc_id", "source", "text_hash")
-             .agg(F.sum("copies").alias("_copies")).where("_copies > 0"))
-    own = docs.withColumn("_hash", F.xxhash64("text"))
-    first = own.dropDuplicates(["doc_id", "source", "_hash"])
-    on = (first.doc_id.eqNullSafe(times.doc_id) & first.source.eqNullSafe(times.source)
-          & (first["_hash"] == times.text_hash))
-    return (first.join(times, on).select(*[first[c] for c in docs.columns], "_copies")
-            .withColumn("_copies", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns))
+    """The documents of the mix, each as often as it takes them, with all
+    their columns whatever these are called. Rows are told apart by all of
+    their columns; only rows equal in every one stand for each other."""
+    plain, back = set_aside(docs, "doc_id", "source", "text")
+    rest = F.to_json(F.struct(*[c for c in plain.columns if c != "text"], F.isnull("text").alias("_no_text")))
+    own = plain.withColumn("_row", F.sha2(F.concat(rest, F.coalesce("text", F.lit(""))), 256))
+    times = (schedule(own, weights, epochs, F.col("_row")).groupBy("row_key").agg(F.sum("copies").alias("_copies"))
+             .where("_copies > 0"))
+    taken = own.dropDuplicates(["_row"]).join(times, F.col("_row") == F.col("row_key"))
+    return back(taken.withColumn("_copies", F.explode(F.sequence(F.lit(1), F.col("_copies")))))

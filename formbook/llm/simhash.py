@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formbook.llm.common import chunks, record_batch, stage, utf8, width
+from formbook.llm.common import chunks, record_batch, set_aside, stage, utf8, width
 from formbook.llm.components import components
 
 NODE_ROWS = 4096
@@ -210,8 +210,9 @@ def digest(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
     """One row of each component: that of the smallest doc_id, nulls last, of
     those the one with the smallest hash of its text, then of the rest."""
-    rest = [c for c in docs.columns if c != "text"]
-    keyed = docs.withColumn("_key", F.concat_ws(  # the same in equal rows only
+    plain, back = set_aside(docs, "doc_id", "text")
+    rest = [c for c in plain.columns if c != "text"]
+    keyed = plain.withColumn("_key", F.concat_ws(  # the same in equal rows only
         "-", F.col("doc_id").cast("long").cast("string"), F.coalesce(F.sha2("text", 256), F.lit("")),
         F.hex(F.xxhash64(*rest, *map(F.isnull, rest)))))
     fps = stage(fingerprints(keyed, shingle, ("_key",)), "fingerprints")
@@ -219,4 +220,4 @@ def one_of_each(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFra
     first = fps.groupBy("fp").agg(F.min(row).alias("row"))  # copies meet in aggregates only
     keep = (first.join(linked_codes(fps, distance), "fp").groupBy("root").agg(F.min("row").alias("row"))
             .select("row._key"))
-    return keyed.join(keep, "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)
+    return back(keyed.join(keep, "_key", "left_semi").dropDuplicates(["_key"]))

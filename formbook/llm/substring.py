@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from formbook.llm import bundles as B
-from formbook.llm.common import Rolling, mix64, release, sliding_min, text_bytes, width, word_bounds
+from formbook.llm.common import Rolling, mix64, release, set_aside, sliding_min, stage, text_bytes, width, word_bounds
 
 H2 = np.uint64(0xA5A5B4C3D2E1F00F)
 
@@ -128,10 +128,11 @@ def substring_dedup(docs: DataFrame, min_words: int = 13, carry: tuple[str, ...]
     """(doc_id, n_words, n_removed, kept, text, removed, *carry): ``kept`` is
     the kept words joined by single blanks, ``text`` the same but for texts
     that keep all words, which stand as they are; ``removed`` lists spans of
-    words."""
+    words. ``carry`` are columns of ``docs`` whose names are not among the
+    first six."""
     spark = docs.sparkSession
     n = max(width(spark), text_bytes(docs) * 2 // B.BUCKET_BYTES)
-    table = B.bundles(docs, carry)
+    table = stage(B.bundles(docs, carry), "bundles")  # three rounds read them
 
     def seeds(row, n):
         return Windows(row, min_words).seeds(n)
@@ -182,3 +183,16 @@ def digest(docs: DataFrame) -> DataFrame:
     out = substring_dedup(docs)
     return out.select("doc_id", "n_words", "n_removed",
                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def clean(docs: DataFrame, min_words: int = 13) -> DataFrame:
+    """The documents without passages that a smaller doc_id has too, with all
+    their columns whatever these are called; where words go, ``n_chars``, if
+    there is one, is that of the text left."""
+    plain, back = set_aside(docs, "doc_id", "text", "n_chars")
+    others = tuple(c for c in plain.columns if c not in ("doc_id", "text"))
+    out = substring_dedup(plain, min_words, others)
+    if "n_chars" in others:
+        chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+        out = out.withColumn("n_chars", chars.cast(plain.schema["n_chars"].dataType))
+    return back(out)

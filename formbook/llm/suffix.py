@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from formbook.llm import bundles as B
-from formbook.llm.common import Rolling, mix64, release, sliding_min, text_bytes, width
+from formbook.llm.common import Rolling, mix64, release, sliding_min, stage, text_bytes, width
 
 GRAM = 32
 
@@ -277,7 +277,7 @@ def suffix_dedup(docs: DataFrame, min_bytes: int = 400) -> DataFrame:
     bytes)."""
     spark = docs.sparkSession
     n = max(width(spark), text_bytes(docs) * 2 // B.BUCKET_BYTES)
-    table = B.bundles(docs)
+    table = stage(B.bundles(docs), "bundles")  # three rounds read them
 
     def seeds(row, n):
         return Samples(row, min_bytes).seeds(n)

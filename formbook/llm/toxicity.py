@@ -33,10 +33,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from formbook.llm.common import chunks, record_batch, stage
+from formbook.llm.common import chunks, record_batch, set_aside, stage
 
 MAX_DOCS = 20_000
-MAX_WORDS = 20_000
 Z = 1.96
 SIGNIFICANT = 0.05
 WORD = re.compile(r"\w+")
@@ -129,7 +128,7 @@ def calibrate(x: np.ndarray, y: np.ndarray, start: np.ndarray) -> np.ndarray:
 
 
 def learn(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", max_docs: int = MAX_DOCS,
-          max_words: int = MAX_WORDS, z: float = Z) -> Model:
+          z: float = Z) -> Model:
     """Fit on the labelled documents for which ``usable`` (an expression of
     ``doc_id``) holds."""
     ids = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
@@ -167,7 +166,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxi
     spread = F.sqrt(1 / in_toxic + 1 / in_clean)
     top = (counts.select("word", odds.alias("odds"), spread.alias("spread"), (in_clean / F.lit(n_clean + a0)).alias("share"))
            .where(F.col("odds") > z * F.col("spread")).withColumn("score", F.col("odds") - F.col("spread"))
-           .orderBy(F.desc(F.col("odds") / F.col("spread")), "word").limit(max_words).collect())
+           .orderBy("word").collect())  # of the words of max_docs documents
     scores = np.array([r["score"] for r in top])
     shares = np.array([r["share"] for r in top])
     loss = 0.05 + 2 * float((scores * shares).sum())
@@ -197,7 +196,8 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxi
 
 def scored(docs: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, score, predicted, n_passages, passages, *carry); a passage
-    is a range of words and its significance."""
+    is a range of words and its significance. ``carry`` are columns of
+    ``docs`` whose names are not among the first five."""
     line = -math.log(-math.log1p(-SIGNIFICANT))
     passage = pa.struct([("first", pa.int32()), ("last", pa.int32()), ("p_value", pa.float64())])
     fields = [docs.schema[c] for c in carry]
@@ -231,7 +231,8 @@ def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the model does not reject."""
-    others = tuple(c for c in docs.columns if c != "doc_id")
-    out = scored(docs, learn(docs, labels, in_training()), others)
-    return out.where("predicted = 0").select(*docs.columns)
+    """The documents that the model does not reject, with all their columns
+    whatever these are called."""
+    plain, back = set_aside(docs, "doc_id", "text")
+    others = tuple(c for c in plain.columns if c != "doc_id")
+    return back(scored(plain, learn(plain, labels, in_training()), others).where("predicted = 0"))

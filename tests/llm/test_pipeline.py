@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from formbook.llm import bundles, queries, simhash, toxicity
+from formbook.llm import bundles, mixing, queries, simhash, toxicity
 from formbook.llm.tokens import default_tokenizer
 from tests.llm.test_edges import PASSAGE, prose, words
 from tests.oracle_check import compare, duck
@@ -26,7 +26,7 @@ def test_sql(spark, name):
 
 def test_registered():
     assert {"pipeline", *queries.QUERIES} <= set(entry.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 def test_stages(spark, tmp_dir):
@@ -126,3 +126,42 @@ def test_each_stage_against_brute_force(spark, tmp_dir):
         for k, at in enumerate(range(0, len(ids), 4096)):
             pieces[d, k, at, len(ids[at:at + 4096]), zlib.crc32(np.array(ids[at:at + 4096], "<u4").tobytes())] += 1
     assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packed.collect()) == pieces
+
+
+CLASHES = ["predicted", "score", "passages", "n_passages", "kept", "n_words", "n_removed", "removed", "bid", "docs", "size",
+           "copies", "row_key", "_row", "_copies", "_key", "fp", "root", "target", "finish", "my col", "a.b", "`q`", "_column_3"]
+
+
+def test_stages_with_clashing_columns_and_messy_rows(spark, tmp_dir):
+    """Every stage but the last keeps all columns under their own names."""
+    base = [(i, prose(20 + i % 30), "en", ["a", None, "b"][i % 3], i) for i in range(60)]
+    base += [(100, None, "en", "a", 0), (101, "", None, None, None), (102, " \n", "en", "b", 3), (None, prose(40), "en", "a", 1),
+             (None, prose(40), "en", "a", 1), (103, PASSAGE, "en", "a", 1), (104, f"x {PASSAGE} y", "fr", "b", 1),
+             (105, prose(6000), "en", "b", 1), (7, base[7][1], "fr", "b", 7), base[3], base[3]]
+    rows = [(*r, *(f"{c}{i % 5}" for c in CLASHES)) for i, r in enumerate(base)]
+    names = ["doc_id", "text", "lang", "source", "n_chars", *CLASHES]
+    kinds = ["long", "string", "string", "string", "long"] + ["string"] * len(CLASHES)
+    docs = spark.createDataFrame(rows, ", ".join(f"`{n.replace('`', '``')}` {k}" for n, k in zip(names, kinds))).repartition(3)
+    for k, (_, step) in enumerate(corpus_pipeline.STAGES[:-1]):
+        step(spark, docs, SF).write.parquet(f"{tmp_dir}/{k}")
+        after = spark.read.parquet(f"{tmp_dir}/{k}")
+        assert after.columns == names and after.count() > 40
+        column = names.index("my col")
+        assert {r[column] for r in after.collect()} <= {f"my col{i}" for i in range(5)}
+        docs = after
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() > 40
+
+
+def test_stages_on_an_empty_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for _, step in corpus_pipeline.STAGES:
+        assert step(spark, docs, SF).count() == 0
+
+
+def test_mix_keeps_rows_that_differ_anywhere(spark):
+    """Rows of one doc_id, source and text that differ in another column."""
+    text = prose(30)
+    rows = [(1, text, lang, "s", 1) for lang in ("en", "fr", None)] + [(2, prose(30), "en", "s", 1), (None, text, "en", "s", 1)]
+    docs = spark.createDataFrame(rows + [rows[3]], "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = Counter(map(tuple, mixing.mix(docs).collect()))
+    assert mixed == Counter(map(tuple, docs.collect()))  # one source: its target is its size, each row comes once
