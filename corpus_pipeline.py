@@ -2,7 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is
 written as Parquet and read back as the next one's ``docs``; all but the
-last return the columns of documents.
+last return the columns of documents, whatever these are called.
+
+Defined results of all stages: an empty table gives no rows; null texts are
+empty and stay null; null doc_ids rank above all others; equal rows are each
+a document, but for the near-duplicate stage, where they are a group.
 """
 
 from __future__ import annotations
@@ -10,19 +14,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from formbook.llm import bestfit, mixing, simhash, substring, toxicity
 from formbook.llm.common import stage, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model rejects go; labels only train it."""
+    """Documents that the toxicity model rejects go; labels only train it.
+    Null and empty texts score as texts without passages."""
     return toxicity.clean(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays, that of the smallest doc_id."""
+    """One document of each SimHash group stays, that of the smallest doc_id,
+    of equal ids the one with the least hash of its text. Null, empty and
+    blank texts are one group."""
     return simhash.one_of_each(docs)
 
 
@@ -30,19 +36,19 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Words of passages that a smaller doc_id has too go. A text without
     such passages stays as it is; one that loses words has the rest joined
     by single blanks, n_chars with it."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    out = substring.substring_dedup(docs, carry=(*others, "n_chars"))
-    chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return out.withColumn("n_chars", chars).select(*docs.columns)
+    return substring.clean(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources in proportion to their weights, documents repeated where it takes that."""
+    """Sources in proportion to their weights, documents repeated where it
+    takes that; texts without words have no size and are in no mix. A null
+    source is a source, the last."""
     return mixing.mix(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of each document and their places in sequences."""
+    """The pieces of each document and their places in sequences; a text
+    longer than a sequence is cut, an empty one is its end mark."""
     return bestfit.digest(docs, cache_words=150_000)  # workers also hold what earlier stages left
 
 
