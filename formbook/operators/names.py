@@ -92,7 +92,7 @@ def search_names(terms: DataFrame, term_col: str, term_id: str, profiles: DataFr
     t = (terms.select(F.col(term_id).alias("_tid"), lower_trim(term_col).alias("_term"))
          .where(F.col("_term").isNotNull() & (F.length("_term") > 0)))
     p = profiles.select(F.col(key_col).alias("_k"), F.col(profile_name_col).alias("_pname"))
-    hits = (substring_join(t, "_term", ["_tid"], p, "_pname", ["_k"])
+    hits = (substring_join(t, "_term", ["_tid"], p, "_pname", ["_k"], first=max_matches)
             .join(p, "_k").withColumn("_tier", F.lit("substring")))
     no_hit = t.join(hits.select("_tid").distinct(), "_tid", "left_anti")
     words = F.split(F.col("_term"), r"\s+")

@@ -2,19 +2,26 @@
 
 * ``top_k`` — k rows per group in two stages (salted, then merged), so a
   hot group is split over many tasks before its last k are picked.
-* ``substring_join`` — exact "pattern is a substring of text" join via an
-  n-gram inverted index: each pattern is joined only on its rarest gram
-  (an equi-join), and every candidate is verified with ``contains``.
+* ``substring_join`` — exact "pattern is a substring of text" join by a
+  multi-pattern automaton (Aho-Corasick). Patterns and texts are dealt into
+  blocks of bounded bytes by a hash; each pair of blocks meets in one task,
+  which builds the automaton of the patterns and runs it along each text
+  once. No key is a gram or a word, so a part that all patterns share makes
+  no hot task; what a task holds is bounded, and the work is texts x pattern
+  blocks.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
+import ahocorasick
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-GRAM = 3
+from pyspark.sql.types import StructType
 
 
 def top_k(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[Column | str], k: int,
@@ -34,43 +41,50 @@ def top_k(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[Column
     return out.withColumnRenamed("_rk", rank_col) if rank_col else out.drop("_rk")
 
 
-def _grams(text: Column, n: int) -> Column:
-    """All substrings of length n (empty array when text is shorter)."""
-    return F.when(
-        F.length(text) >= n,
-        F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n)),
-    ).otherwise(F.array().cast("array<string>"))
+def substring_join(patterns: DataFrame, pattern_col: str, pattern_ids: Sequence[str],
+                   texts: DataFrame, text_col: str, text_ids: Sequence[str], *, first: int | None = None,
+                   pattern_bytes: int = 1 << 20, text_bytes: int = 8 << 20) -> DataFrame:
+    """Pairs (pattern ids, text ids) where lower(pattern) is a substring of
+    lower(text); empty and null patterns match nothing. With ``first`` at
+    least the first so many texts of each pattern come, in the order of text
+    and ids, and at most so many from each block of texts."""
+    p = (patterns.select(*pattern_ids, F.lower(F.col(pattern_col)).alias("_pat")).where(F.length("_pat") > 0))
+    t = (texts.select(*text_ids, F.col(text_col).alias("_raw"), F.lower(F.col(text_col)).alias("_txt"))
+         .where(F.length("_txt") > 0))
 
+    def blocks(df: DataFrame, col: str, size: int) -> Column:
+        return df.agg(F.greatest(F.lit(1), F.ceil(F.sum(F.octet_length(col)) / size)).cast("int").alias("n")).scalar()
 
-def gram_index(df: DataFrame, text_col: str, id_cols: Sequence[str], max_gram: int = GRAM) -> DataFrame:
-    """(gram, n, ids...) rows for all grams of length 1..max_gram."""
-    t = F.lower(F.col(text_col))
-    parts = [df.select(*id_cols, F.lit(n).alias("n"), F.explode(_grams(t, n)).alias("gram"))
-             for n in range(1, max_gram + 1)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.distinct()
+    np_, nt = blocks(p, "_pat", pattern_bytes), blocks(t, "_txt", text_bytes)
+    left = (p.withColumn("_pb", F.pmod(F.xxhash64(*pattern_ids, "_pat"), np_).cast("int"))
+            .withColumn("_tb", F.explode(F.sequence(F.lit(0), nt - 1))))
+    right = (t.withColumn("_tb", F.pmod(F.xxhash64(*text_ids, "_raw"), nt).cast("int"))
+             .withColumn("_pb", F.explode(F.sequence(F.lit(0), np_ - 1))))
+    schema = StructType([patterns.schema[c] for c in pattern_ids] + [texts.schema[c] for c in text_ids])
+    order = [("_raw", "ascending"), *[(c, "ascending") for c in text_ids]]
 
+    def meet(asked: pa.Table, searched: pa.Table) -> pa.Table:
+        rows_of: dict[str, list[int]] = {}
+        for i, pattern in enumerate(asked.column("_pat").to_pylist()):
+            rows_of.setdefault(pattern, []).append(i)
+        if first:
+            searched = searched.sort_by(order)
+        hits: list[tuple[str, int]] = []
+        if rows_of:
+            automaton = ahocorasick.Automaton()
+            for pattern in rows_of:
+                automaton.add_word(pattern, pattern)
+            automaton.make_automaton()
+            count: Counter[str] = Counter()
+            for j, text in enumerate(searched.column("_txt").to_pylist()):
+                found = {pattern for _, pattern in automaton.iter(text)}
+                if first:
+                    found = {pattern for pattern in found if count[pattern] < first}
+                    count.update(found)
+                hits += [(pattern, j) for pattern in found]
+        mine = np.array([i for pattern, _ in hits for i in rows_of[pattern]], np.int64)
+        theirs = np.array([j for pattern, j in hits for _ in rows_of[pattern]], np.int64)
+        return pa.Table.from_arrays(asked.select(list(pattern_ids)).take(mine).columns
+                                    + searched.select(list(text_ids)).take(theirs).columns, names=schema.names)
 
-def substring_join(patterns: DataFrame, pattern_col: str, pattern_ids: Sequence[str],
-                   texts: DataFrame, text_col: str, text_ids: Sequence[str],
-                   max_gram: int = GRAM) -> DataFrame:
-    """Pairs (pattern ids, text ids) where lower(pattern) is a substring
-    of lower(text). Empty patterns match nothing."""
-    idx = gram_index(texts, text_col, text_ids, max_gram)
-    freq = idx.groupBy("n", "gram").agg(F.count("*").alias("_freq"))
-    p = patterns.select(*pattern_ids, F.lower(F.col(pattern_col)).alias("_pat")).where(F.length("_pat") > 0)
-    p = p.withColumn("n", F.least(F.length("_pat"), F.lit(max_gram)))
-    pg = p.select(*pattern_ids, "_pat", "n", F.explode(F.array_distinct(_grams(F.col("_pat"), max_gram)))
-                  .alias("gram")).unionByName(
-        p.where(F.col("n") < max_gram).select(*pattern_ids, "_pat", "n", F.col("_pat").alias("gram")))
-    pg = pg.join(freq, ["n", "gram"], "left").fillna({"_freq": 0})
-    # the rarest gram of each pattern (a gram with no postings => no match)
-    w = Window.partitionBy(*pattern_ids).orderBy("_freq", "gram")
-    best = pg.withColumn("_r", F.row_number().over(w)).where((F.col("_r") == 1) & (F.col("_freq") > 0))
-    cand = best.join(idx, ["n", "gram"], "inner").select(*pattern_ids, "_pat", *text_ids)
-    t = texts.select(*text_ids, F.lower(F.col(text_col)).alias("_txt"))
-    return (cand.join(t, list(text_ids), "inner")
-            .where(F.col("_txt").contains(F.col("_pat")))
-            .select(*pattern_ids, *text_ids))
+    return left.groupBy("_pb", "_tb").cogroup(right.groupBy("_pb", "_tb")).applyInArrow(meet, schema)

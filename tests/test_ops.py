@@ -58,6 +58,33 @@ def test_substring_join_matches_brute_force(spark):
     assert got == want
 
 
+def test_substring_join_with_a_shared_part(spark):
+    """A third of the patterns are one text, most share a part; small blocks
+    on both sides; plan without a gram or pattern key."""
+    rnd = random.Random(2)
+    pats = [(i, "Surname") for i in range(40)] + [(100 + i, f"rname{i % 30}") for i in range(60)]
+    pats += [(200, ""), (201, None), (202, "É"), (203, "x" * 300), (204, " s")]
+    txts = [(i, rnd.choice(["", "A ", "é"]) + f"Surname{rnd.randint(0, 99)}" + rnd.choice(["", "X" * 400])) for i in range(150)]
+    txts += [(900, None), (901, ""), (7, "surname7 again")]
+    p = spark.createDataFrame(pats, "pid long, pat string").repartition(3)
+    t = spark.createDataFrame(txts, "tid long, txt string").repartition(5)
+    want = sorted((a, b) for a, x in pats for b, y in txts if x and y and x.lower() in y.lower())
+    for sizes in ({}, {"pattern_bytes": 64, "text_bytes": 200}):
+        out = textsearch.substring_join(p, "pat", ["pid"], t, "txt", ["tid"], **sizes)
+        assert sorted(map(tuple, out.collect())) == want and len(want) > 6000
+        exchanges = [ln for ln in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in ln]
+        assert all("_pat" not in ln and "_txt" not in ln for ln in exchanges)
+    few = textsearch.substring_join(p, "pat", ["pid"], t, "txt", ["tid"], first=3, pattern_bytes=64, text_bytes=200)
+    got = {}
+    for a, b in map(tuple, few.collect()):
+        got.setdefault(a, set()).add(b)
+    for a, x in pats:
+        best = sorted((y, b) for b, y in txts if x and y and x.lower() in y.lower())[:3]
+        assert {b for _, b in best} <= got.get(a, set())
+    none = textsearch.substring_join(p.limit(0), "pat", ["pid"], t, "txt", ["tid"])
+    assert none.count() == 0 and none.columns == ["pid", "tid"]
+
+
 def test_top_k_matches_row_number(spark):
     rnd = random.Random(5)
     rows = [(rnd.choice(["hot"] * 8 + ["a", "b"]), i, rnd.randint(0, 50)) for i in range(500)]
