@@ -136,11 +136,12 @@ def _gold_name_hit(names: DataFrame, name_col: str, profiles: DataFrame, out: st
 
 def role_inference(roster: DataFrame, pool: DataFrame, batter_profile: DataFrame,
                    bowler_profile: DataFrame) -> DataFrame:
-    """Pool role first, then gold evidence, then default, with the
-    provenance of each answer."""
+    """Role and bowling style from the pool first, then from gold
+    evidence, then default, with the provenance of each answer. Gold tells
+    no style: who only bowls is taken for pace."""
     p = (current_pool(pool).withColumn("_lname", F.lower("player_name"))
          .withColumn("_rn", F.row_number().over(Window.partitionBy("_lname").orderBy("pool_id")))
-         .where("_rn = 1").select("_lname", F.col("role").alias("_prole"), F.col("capped_status").alias("_cap")))
+         .where("_rn = 1").select("_lname", F.col("role").alias("_prole"), F.col("bowling_style").alias("_pstyle")))
     r = roster.select("roster_id", "franchise_id", "player_name").withColumn("_lname", F.lower("player_name"))
     r = r.join(p, "_lname", "left")
     r = _gold_name_hit(r, "player_name", batter_profile, "has_bat")
@@ -151,6 +152,8 @@ def role_inference(roster: DataFrame, pool: DataFrame, batter_profile: DataFrame
         "roster_id", "franchise_id", "player_name",
         F.when(pool_hit, F.col("_prole")).when(both, "all-rounder").when(bowl_only, "bowler")
         .otherwise("batter").alias("inferred_role"),
+        F.when(pool_hit, F.col("_pstyle")).when(both, "na").when(bowl_only, "pace").otherwise("na")
+        .alias("inferred_bowling_style"),
         F.when(pool_hit, "player_pool").when(both, "gold (bat+bowl)").when(bowl_only, "gold (bowl only)")
         .when(bat_only, "gold (bat only)").otherwise("default").alias("role_source"),
         (~pool_hit & ~F.col("has_bat") & ~F.col("has_bowl")).alias("needs_review"),

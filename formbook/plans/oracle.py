@@ -39,7 +39,7 @@ def cte(name: str, deps: tuple[str, ...], body: str) -> None:
 
 # ------------------------------------------------------------------ D1
 cte("e", (), """
-  SELECT event_id, user_id, event_type, ts,
+  SELECT event_id, CASE WHEN user_id % 3 = 0 THEN user_id % 4 ELSE user_id END AS user_id, event_type, ts,
          CAST(round(value * 100) AS BIGINT) AS v,
          CAST(floor(event_id / 240) AS BIGINT) AS match_no,
          CAST(floor((event_id % 240) / 120) AS BIGINT) + 1 AS innings_seq,
@@ -454,6 +454,7 @@ cte("pool", (), """
          CASE s_suppkey % 4 WHEN 0 THEN 'batter' WHEN 1 THEN 'bowler' WHEN 2 THEN 'all-rounder'
               ELSE 'wicketkeeper' END AS role,
          CASE WHEN s_suppkey % 2 = 0 THEN 'capped' ELSE 'uncapped' END AS capped_status,
+         CASE s_suppkey % 3 WHEN 0 THEN 'spin' WHEN 1 THEN 'pace' ELSE 'na' END AS bowling_style,
          s_suppkey % 3 = 0 AS is_overseas,
          CAST(30 + (s_suppkey % 5) * 40 AS DECIMAL(10,2)) AS base_price_lakh,
          s_suppkey % 13 <> 12 AS is_current_reference
@@ -770,15 +771,18 @@ cte("refresh", ("shortlist", "articles"), """
 cte("freshness", ("articles",), """
   SELECT player_key, count(*) AS articles, max(ingested_on) AS last_fetched FROM articles
   GROUP BY 1 ORDER BY last_fetched DESC, articles DESC, player_key LIMIT 20""")
-cte("urls", (), """
+cte("cited", (), """
+  SELECT conv_id, turn, concat_ws(' ', text, url, concat('(', url, ')')) AS text
+  FROM conversations LEFT JOIN pages ON page_id = conv_id""")
+cte("urls", ("cited",), """
   SELECT conv_id * 100 + turn AS msg_id, CAST(i - 1 AS INTEGER) AS pos, u AS url FROM (
     SELECT conv_id, turn,
            unnest(regexp_extract_all(text, '(href="|\\()?(https?://[^\\s<>")\\]]+)', 1)) AS g,
            unnest(regexp_extract_all(text, '(href="|\\()?(https?://[^\\s<>")\\]]+)', 2)) AS u,
            unnest(generate_series(1, len(regexp_extract_all(text, '(href="|\\()?(https?://[^\\s<>")\\]]+)', 2))))
              AS i
-    FROM conversations) t
-  WHERE g = ''""")
+    FROM cited) t
+  WHERE coalesce(g, '') = ''""")
 
 # ------------------------------------------------------------ vectors
 cte("centroid_dims", (), """
@@ -861,7 +865,7 @@ cte("config_upsert", ("franchises", "cfg_src"), """
   UNION ALL SELECT * FROM cfg_src""")
 cte("pool_candidates", ("roster",), """
   SELECT 1000000 + roster_id AS pool_id, 1000000 + roster_id AS sr_no, player_name, 'Unknown' AS country,
-         CAST(NULL AS BIGINT) AS age, role, 'uncapped' AS capped_status, is_overseas,
+         CAST(NULL AS BIGINT) AS age, role, 'uncapped' AS capped_status, bowling_style, is_overseas,
          CAST(30 AS DECIMAL(10,2)) AS base_price_lakh, true AS is_current_reference
   FROM roster""")
 cte("insert_absent", ("pool", "pool_candidates"), """
@@ -931,15 +935,17 @@ cte("role_inf", ("roster", "pool", "batter_profile", "bowler_profile"), f"""
   SELECT roster_id, franchise_id, player_name,
          CASE WHEN prole IS NOT NULL THEN prole WHEN hb AND hw THEN 'all-rounder' WHEN hw THEN 'bowler'
               ELSE 'batter' END AS inferred_role,
+         CASE WHEN prole IS NOT NULL THEN pstyle WHEN hw AND NOT hb THEN 'pace' ELSE 'na' END AS inferred_bowling_style,
          CASE WHEN prole IS NOT NULL THEN 'player_pool' WHEN hb AND hw THEN 'gold (bat+bowl)'
               WHEN hw THEN 'gold (bowl only)' WHEN hb THEN 'gold (bat only)' ELSE 'default' END AS role_source,
          prole IS NULL AND NOT hb AND NOT hw AS needs_review
   FROM (
-    SELECT r.roster_id, r.franchise_id, r.player_name, p.prole,
+    SELECT r.roster_id, r.franchise_id, r.player_name, p.prole, p.pstyle,
            coalesce({gold_hit('r.player_name', 'batter_profile')}, false) AS hb,
            coalesce({gold_hit('r.player_name', 'bowler_profile')}, false) AS hw
     FROM roster r
-    LEFT JOIN (SELECT lower(player_name) AS l, arg_min(role, pool_id) AS prole FROM pool
+    LEFT JOIN (SELECT lower(player_name) AS l, arg_min(role, pool_id) AS prole,
+                      arg_min(bowling_style, pool_id) AS pstyle FROM pool
                WHERE is_current_reference GROUP BY 1) p ON p.l = lower(r.player_name)) t""")
 cte("universe_names", ("batter_profile", "bowler_profile", "pool"), """
   SELECT DISTINCT player_name FROM (

@@ -178,8 +178,13 @@ def article_freshness_q(spark, sf_dir):
 
 @query("url_extract", with_ctes(["urls"], "SELECT * FROM urls"))
 def url_extract_q(spark, sf_dir):
-    conv = Gold(spark, sf_dir).table("conversations").withColumn(
-        "msg_id", F.col("conv_id") * 100 + F.col("turn"))
+    """Bare links of messages that cite the page of their number, once bare
+    and once in brackets."""
+    g = Gold(spark, sf_dir)
+    pages = g.table("pages").select(F.col("page_id").alias("conv_id"), "url")
+    conv = g.table("conversations").join(pages, "conv_id", "left").select(
+        (F.col("conv_id") * 100 + F.col("turn")).alias("msg_id"),
+        F.concat_ws(" ", "text", "url", F.concat(F.lit("("), "url", F.lit(")"))).alias("text"))
     return news.extract_urls(conv, "text", "msg_id")
 
 

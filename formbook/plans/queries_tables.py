@@ -58,7 +58,7 @@ def insert_absent_q(spark, sf_dir):
     cand = g.roster.select(
         (1000000 + F.col("roster_id")).alias("pool_id"), (1000000 + F.col("roster_id")).alias("sr_no"),
         "player_name", F.lit("Unknown").alias("country"), F.lit(None).cast("bigint").alias("age"), "role",
-        F.lit("uncapped").alias("capped_status"), "is_overseas",
+        F.lit("uncapped").alias("capped_status"), "bowling_style", "is_overseas",
         F.lit(30).cast("decimal(10,2)").alias("base_price_lakh"), F.lit(True).alias("is_current_reference"))
     vt = T.VersionedTable(spark, _root(spark, "pool"))
     vt.commit(g.pool)

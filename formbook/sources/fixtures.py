@@ -32,6 +32,12 @@ def _case(expr: Column, values) -> Column:
     return out
 
 
+def player(user: Column) -> Column:
+    """Every third user plays as one of four persons, who so have enough
+    balls for every sample floor at every venue (and are hot keys)."""
+    return F.when(user % 3 == 0, user % 4).otherwise(user)
+
+
 def person_name(user: Column) -> Column:
     """``<letter> Surname<n>`` where the letter is user mod 26 and n = user div 4."""
     return F.concat(
@@ -57,7 +63,7 @@ def deliveries(events: DataFrame, partitions: int | None = None, by_match: bool
     none of their columns (a count a competition) shuffles no ball.
     """
     e = events.select(
-        "event_id", "user_id", "event_type", "ts",
+        "event_id", player(F.col("user_id")).alias("user_id"), "event_type", "ts",
         F.round(F.col("value") * 100).cast("bigint").alias("v"),
         F.floor(F.col("event_id") / 240).cast("bigint").alias("match_no"),
         (F.floor((F.col("event_id") % 240) / 120).cast("bigint") + 1).alias("innings_seq"),
@@ -242,6 +248,7 @@ def player_pool(supplier: DataFrame) -> DataFrame:
         (20 + k % 20).alias("age"),
         _case(k % 4, ROLE_BY_MOD4).alias("role"),
         F.when(k % 2 == 0, "capped").otherwise("uncapped").alias("capped_status"),
+        F.when(k % 3 == 0, "spin").when(k % 3 == 1, "pace").otherwise("na").alias("bowling_style"),
         (k % 3 == 0).alias("is_overseas"),
         (30 + (k % 5) * 40).cast("decimal(10,2)").alias("base_price_lakh"),
         (k % 13 != 12).alias("is_current_reference"),
