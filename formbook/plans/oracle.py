@@ -1122,3 +1122,25 @@ cte("asked", (), """
 NEWS_SEARCH = with_ctes(["bodies", "asked"], "") + "," + text_topk_sql(
     "bodies", "article_id", "body", "asked", "item_id", "question") + f"""
 SELECT qid AS item_id, rank, {SCORE} AS score, player_key, title, url FROM ranked JOIN bodies ON id = article_id"""
+
+# ------------------------------------------------------------ T6 rolling figures
+_LAST = "(PARTITION BY batter_key ORDER BY match_date, match_id, innings_seq ROWS BETWEEN {} PRECEDING AND CURRENT ROW)"
+cte("rolling_batting", ("bat",), f"""
+  SELECT *, {rate("runs_last_5", "balls_last_5", "100")} AS strike_rate_last_5,
+         {rate("runs_last_10", "balls_last_10", "100")} AS strike_rate_last_10
+  FROM (SELECT batter_key, match_id, innings_seq, runs, balls_faced,
+               row_number() OVER (PARTITION BY batter_key ORDER BY match_date, match_id, innings_seq) AS innings_no,
+               CAST(sum(runs) OVER {_LAST.format(4)} AS BIGINT) AS runs_last_5,
+               CAST(sum(balls_faced) OVER {_LAST.format(4)} AS BIGINT) AS balls_last_5,
+               CAST(sum(runs) OVER {_LAST.format(9)} AS BIGINT) AS runs_last_10,
+               CAST(sum(balls_faced) OVER {_LAST.format(9)} AS BIGINT) AS balls_last_10 FROM bat) t""")
+cte("bid_trajectory", ("bids",), f"""
+  SELECT bid_id, auction_id, pool_id, price_cr, bid_no,
+         {r("cents / least(bid_no, 5) / 100.0", 4)} AS mean_price_last_5
+  FROM (SELECT *, row_number() OVER (PARTITION BY auction_id, pool_id ORDER BY bid_id) AS bid_no,
+               CAST(sum(CAST(round(price_cr * 100) AS BIGINT)) OVER (PARTITION BY auction_id, pool_id ORDER BY bid_id
+                    ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS DOUBLE) AS cents FROM bids) t""")
+cte("purse_burn_down", ("bid_ledger",), """
+  SELECT auction_id, franchise_id, bid_id,
+         row_number() OVER (PARTITION BY auction_id, franchise_id ORDER BY bid_id) AS purchase_no, price_cr, purse_after_cr
+  FROM bid_ledger WHERE accepted""")

@@ -502,3 +502,26 @@ def competition_ingest_q(spark, sf_dir):
               .withColumn("is_active", F.lit(True)))
     return br.ingest_competitions(spark, f"{root}/landing", config, f"{root}/bronze", r"match_id=([0-9]+)/",
                                   "competition={code}/*/*.json").drop("error")
+
+
+# ------------------------------------------------------------------ T6
+from formbook.operators import rolling  # noqa: E402
+
+
+@query("rolling_batting_form", with_ctes(["rolling_batting"], "SELECT * FROM rolling_batting"))
+def rolling_batting_form_q(spark, sf_dir):
+    """Form over the last 5 and 10 innings, innings by innings."""
+    return rolling.rolling_batting(Gold(spark, sf_dir, staged=True).bat)
+
+
+@query("bid_trajectory", with_ctes(["bid_trajectory"], "SELECT * FROM bid_trajectory"))
+def bid_trajectory_q(spark, sf_dir):
+    """How the bids for a player develop."""
+    return rolling.bid_trajectory(Gold(spark, sf_dir).bids)
+
+
+@query("purse_burn_down", with_ctes(["purse_burn_down"], "SELECT * FROM purse_burn_down"))
+def purse_burn_down_q(spark, sf_dir):
+    """Purses over the purchases of an auction."""
+    g = Gold(spark, sf_dir)
+    return rolling.purse_burn_down(ledger.run_bid_ledger(spark, bids.bid_context(g.bids, g.franchises, g.pool, g.roster)))
