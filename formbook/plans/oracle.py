@@ -997,7 +997,18 @@ cte("activity_feed", ("change_log", "franchises"), """
   ORDER BY c.event_id DESC LIMIT 25""")
 cte("message_text", (), """
   SELECT conv_id, turn, concat_ws(' ', text, role) AS message FROM conversations""")
-cte("index_refresh", ("article_ids",), "SELECT article_id, player_key, url FROM article_ids")
+cte("index_terms", ("articles",), """
+  SELECT article_id, player_key, url, term, count(*) AS tf FROM (
+    SELECT article_id, player_key, url,
+           unnest(list_filter(regexp_split_to_array(lower(content), '\\W+'), lambda x: x <> '')) AS term
+    FROM (SELECT sha256(concat_ws('|', player_key, url)) AS article_id, player_key, url, content,
+                 row_number() OVER (PARTITION BY concat_ws('|', player_key, url) ORDER BY ingested_on DESC, score DESC) AS rn
+          FROM articles) a WHERE rn = 1) t GROUP BY 1, 2, 3, 4""")
+cte("index_refresh", ("index_terms",), """
+  SELECT article_id, player_key, url, count(*) AS terms,
+         md5(string_agg(concat(term, ':', CAST(weight AS VARCHAR)), ',' ORDER BY term)) AS vector_md5
+  FROM (SELECT *, CAST(floor(1000000 * tf / sqrt(sum(tf * tf) OVER (PARTITION BY article_id))) AS BIGINT) AS weight
+        FROM index_terms) t GROUP BY 1, 2, 3""")
 cte("bowler_roles", ("bowler_profile",), "SELECT bowler_type, count(*) AS bowlers FROM bowler_profile GROUP BY 1")
 cte("top_activity", ("batter_profile",), """
   SELECT batter_key, player_name, recent_innings FROM batter_profile

@@ -415,7 +415,9 @@ def index_refresh_q(spark, sf_dir):
     index.refresh_index(spark, **args)
     a.write.parquet(f"{root}/landing/arrival=2")
     index.refresh_index(spark, **args)
-    return spark.read.parquet(f"{root}/index").select("article_id", "player_key", "url")
+    listed = F.array_join(F.transform("vector", lambda x: F.concat_ws(":", x["term"], x["weight"])), ",")
+    return spark.read.parquet(f"{root}/index").select(
+        "article_id", "player_key", "url", F.size("vector").cast("bigint").alias("terms"), F.md5(listed).alias("vector_md5"))
 
 
 @query("bowler_roles", with_ctes(["bowler_roles"], "SELECT * FROM bowler_roles"))
