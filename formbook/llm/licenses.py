@@ -48,6 +48,7 @@ from formbook.llm.wordarrays import Words
 
 SHARE = 0.8
 EPSILON = 1e-9
+SLICE_WORDS = 1 << 20
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -165,8 +166,9 @@ class Index:
                 postings += [(word, t, int(at)) for at in own]
         self.postings = np.array(sorted(postings), np.int64).reshape(-1, 3)
 
-    def look_up(self, ids: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, float]]:
-        """(text, template, start, share) of all places in the texts."""
+    def look_up(self, ids: np.ndarray, first: np.ndarray, slice_words: int = SLICE_WORDS) -> list[tuple[int, int, int, float]]:
+        """(text, template, start, share) of all places in the texts; about
+        ``slice_words`` words are compared at a time."""
         out = []
         low = np.searchsorted(self.postings[:, 0], ids, "left")
         rare = np.flatnonzero((ids >= 0) & (low < np.searchsorted(self.postings[:, 0], ids, "right")))
@@ -177,16 +179,18 @@ class Index:
             if not len(at):
                 continue
             text = np.searchsorted(first, at, side="right") - 1
-            text, begin = np.unique(np.stack([text, begin]), axis=1)
-            at = begin[:, None] + np.arange(len(words))
-            inside = (at >= first[text][:, None]) & (at < first[text + 1][:, None])
-            same = inside & (ids[np.clip(at, 0, len(ids) - 1)] == words)
-            share = same @ self.weight[words] / self.total[t]
-            good = share >= self.templates[t].share - EPSILON
-            for a, n in self.keys[t]:
-                good &= same[:, a:a + n].all(1)
-            out += [(int(d), t, int(b - first[d]), min(1.0, float(s)))
-                    for d, b, s in zip(text[good], begin[good], share[good])]
+            pairs = np.unique(np.stack([text, begin]), axis=1)
+            for i in range(0, pairs.shape[1], slice_words // len(words) + 1):
+                text, begin = pairs[:, i:i + slice_words // len(words) + 1]
+                at = begin[:, None] + np.arange(len(words))
+                inside = (at >= first[text][:, None]) & (at < first[text + 1][:, None])
+                same = inside & (ids[np.clip(at, 0, len(ids) - 1)] == words)
+                share = same @ self.weight[words] / self.total[t]
+                good = share >= self.templates[t].share - EPSILON
+                for a, n in self.keys[t]:
+                    good &= same[:, a:a + n].all(1)
+                out += [(int(d), t, int(b - first[d]), min(1.0, float(s)))
+                        for d, b, s in zip(text[good], begin[good], share[good])]
         return sorted(out)
 
     def score(self, template: int, share: float) -> float:

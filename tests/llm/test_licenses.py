@@ -93,3 +93,13 @@ def test_own_templates(spark):
     got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), own).collect()
     assert sorted((r.doc_id, p.template, p.start, round(p.share, 6)) for r in got for p in r.places) == sorted(
         plain_places(texts, own))
+
+
+def test_small_slices_find_the_same():
+    """Look-ups of a very common rare word, some words at a time."""
+    vocabulary = licenses.Vocabulary(TEMPLATES)
+    ids = np.array([vocabulary.number["mit"], vocabulary.number["license"], -1] * 500, np.int64)
+    first = np.array([0, 0, 700, 1500])
+    index = licenses.Index(TEMPLATES, vocabulary, 3, np.ones(len(vocabulary.words), np.int64))
+    whole = index.look_up(ids, first)
+    assert len(whole) == 499 and whole == index.look_up(ids, first, 5)
