@@ -73,6 +73,17 @@ def shuffle_partitions_for(spark: SparkSession, path: str, target_bytes: int = 2
     return max(floor, -(-int(input_bytes(spark, path) * expansion) // target_bytes))
 
 
+def session_with(spark: SparkSession, settings: dict[str, str]) -> SparkSession:
+    """A session on the same context with the caller's runtime settings and
+    ``settings`` on top, so that a scan or stream can have its own without
+    changing the caller's other queries."""
+    own = spark.newSession()
+    for name, value in (spark.conf.getAll | settings).items():
+        if own.conf.isModifiable(name):
+            own.conf.set(name, value)
+    return own
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared lineage-cut / staging folder.
 

@@ -7,14 +7,23 @@ time) and takes lineage + id from the hidden ``_metadata.file_path``.
 
 from __future__ import annotations
 
+import re
+import uuid
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 from formbook.schema import MATCH_SCHEMA
-from formbook.sources.tables import write_counted
+from formbook.session import session_with
+from formbook.sources.tables import any_file, move_folder, partition_folder, remove_folder
 
 DEFAULT_ID_PATTERN = r"([0-9]+)\.json$"
+OPEN_COST = 64 << 10  # bytes that a file counts on top of its own when files are packed into tasks
+MALFORMED = "malformed"  # column of a scan that keeps what the parser cannot read
+NO_FILES = "no files"
+INGEST_STATUS = "competition string, ok boolean, documents long, error string"
 
 
 # Bronze columns and where they stand in a document (fixed values).
@@ -42,73 +51,152 @@ DOCUMENT_COLUMNS = {
 }
 
 
-def field_or_null(df: DataFrame, path: str) -> Column:
-    """The field at a dotted ``path``, or NULL where the schema (an inferred
-    one holds only what the files carry) lacks it."""
-    level = df.schema
-    for name in path.split("."):
-        if not isinstance(level, StructType) or name not in level.names:
-            return F.lit(None)
-        level = level[name].dataType
-    return F.col(path)
+def declared_field(df: DataFrame, path: str) -> Column:
+    """The field at a dotted ``path`` with its declared type. An inferred
+    schema holds only what the files carry, so there a missing field is NULL
+    and a nested one of another shape is read again as declared."""
+    def kind(level: DataType) -> DataType | None:
+        for name in path.split("."):
+            if not isinstance(level, StructType) or name not in level.names:
+                return None
+            level = level[name].dataType
+        return level
+
+    found, declared = kind(df.schema), kind(StructType.fromDDL(MATCH_SCHEMA))
+    if found is None:
+        return F.lit(None).cast(declared)
+    if found == declared:
+        return F.col(path)
+    if isinstance(found, (StructType, ArrayType)):
+        return F.from_json(F.to_json(path), declared)
+    return F.col(path).cast(declared)
+
+
+def _packed(spark: SparkSession, open_cost: int) -> SparkSession:
+    """A session whose scans pack files into tasks by their bytes: a file
+    counts ``open_cost`` bytes on top of its own, so a task of the usual 128
+    MB takes up to two thousand small documents (32 with Spark's default)."""
+    return session_with(spark, {"spark.sql.files.openCostInBytes": str(open_cost)})
+
+
+def _bronze_columns(docs: DataFrame, id_pattern: str, competition: Column) -> list[Column]:
+    file = F.col("_metadata.file_path")
+    return [file.alias("source_file"), F.regexp_extract(file, id_pattern, 1).alias("match_id"),
+            competition.alias("competition"),
+            *[declared_field(docs, at).alias(name) for name, at in DOCUMENT_COLUMNS.items()]]
 
 
 def read_match_documents(spark: SparkSession, path: str, competition: str | None = None,
-                         id_pattern: str = DEFAULT_ID_PATTERN, infer_schema: bool = False) -> DataFrame:
+                         id_pattern: str = DEFAULT_ID_PATTERN, infer_schema: bool = False,
+                         open_cost: int = OPEN_COST) -> DataFrame:
     """S1 + S3 + P1: bronze rows (one per match document). ``infer_schema``
     is the superseded inferred scan (S2) — a sampling pass over the files
     whose result drifts between sources; the declared schema is the default."""
-    reader = spark.read.option("multiLine", True)
+    reader = _packed(spark, open_cost).read.option("multiLine", True)
     docs = (reader if infer_schema else reader.schema(MATCH_SCHEMA)).json(path)
-    file = F.col("_metadata.file_path")
-    return docs.select(
-        file.alias("source_file"), F.regexp_extract(file, id_pattern, 1).alias("match_id"),
-        F.lit(competition).cast("string").alias("competition"),
-        *[field_or_null(docs, at).alias(name) for name, at in DOCUMENT_COLUMNS.items()])
+    return docs.select(*_bronze_columns(docs, id_pattern, F.lit(competition).cast("string")))
+
+
+@dataclass(frozen=True)
+class Sources:
+    """The active competitions of a configuration and where their documents
+    lie. ``present`` have at least one file (file-system metadata only)."""
+
+    codes: list[str]
+    present: list[str]
+    root: str
+    folder: str
+
+    def paths(self) -> list[str]:
+        return [f"{self.root}/{self.folder.format(code=code)}" for code in self.present]
+
+    def code_of_file(self) -> Column:
+        """The competition in a file's path; paths come URL-encoded."""
+        file = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+        parts = [re.escape(part) for part in re.split(r"(\*|\{code\})", self.folder)]
+        named = "".join({re.escape("*"): "[^/]*", re.escape("{code}"): "([^/]+)"}.get(p, p) for p in parts)
+        return F.regexp_extract(file, f"/{named}$", 1)
+
+
+def active_sources(spark: SparkSession, root: str, config: DataFrame, folder: str) -> Sources:
+    """The active competitions of ``config`` (competition_code,
+    is_active; a handful of rows)."""
+    rows = config.where(F.col("is_active")).select("competition_code").distinct().collect()
+    codes = sorted(r["competition_code"] for r in rows)
+    return Sources(codes, [c for c in codes if any_file(spark, f"{root}/{folder.format(code=c)}")], root, folder)
 
 
 def read_competitions(spark: SparkSession, root: str, config: DataFrame,
-                      id_pattern: str = DEFAULT_ID_PATTERN,
-                      folder: str = "{code}/*.json") -> tuple[DataFrame | None, DataFrame]:
-    """S19 + S18: scan every active competition of ``config``
-    (competition_code, is_active; a handful of rows) under
-    ``root/<folder>``; a competition that fails is recorded and the others
-    go on. Returns the union of the scans and a status DataFrame."""
-    codes = [r["competition_code"] for r in
-             config.where(F.col("is_active")).select("competition_code").orderBy("competition_code").collect()]
-    frames, status = [], []
-    for code in codes:
-        try:
-            df = read_match_documents(spark, f"{root}/{folder.format(code=code)}", code, id_pattern)
-            df.schema  # resolve paths now so a missing folder fails here
-            frames.append(df)
-            status.append((code, True, None))
-        except Exception as exc:  # isolate one source
-            status.append((code, False, f"{type(exc).__name__}: {exc}"))
-    out = None
-    for f in frames:
-        out = f if out is None else out.unionByName(f)
-    return out, spark.createDataFrame(status, "competition string, ok boolean, error string")
+                      id_pattern: str = DEFAULT_ID_PATTERN, folder: str = "{code}/*.json",
+                      infer_schema: bool = False, open_cost: int = OPEN_COST) -> tuple[DataFrame | None, DataFrame]:
+    """S19 + S18: one scan of every active competition of ``config`` under
+    ``root/<folder>``; the competition comes from the path, so the number of
+    tasks follows the bytes and not the competitions or matches. Returns the
+    scan (None where there is nothing) and a status DataFrame; a competition
+    without files is recorded and the others go on."""
+    sources = active_sources(spark, root, config, folder)
+    status = spark.createDataFrame([(c, c in sources.present, None if c in sources.present else NO_FILES)
+                                    for c in sources.codes], "competition string, ok boolean, error string")
+    if not sources.present:
+        return None, status
+    reader = _packed(spark, open_cost).read.option("multiLine", True)
+    docs = (reader if infer_schema else reader.schema(MATCH_SCHEMA)).json(sources.paths())
+    return docs.select(*_bronze_columns(docs, id_pattern, sources.code_of_file())), status
 
 
 def ingest_competitions(spark: SparkSession, root: str, config: DataFrame, target: str,
-                        id_pattern: str = DEFAULT_ID_PATTERN, folder: str = "{code}/*.json") -> DataFrame:
-    """Write the documents of every active competition to its partition
-    of ``target``, each on its own: an unreadable file or a missing folder
-    fails that competition only, and what it held before stays. Returns
-    (competition, ok, documents, error)."""
-    codes = [r[0] for r in config.where(F.col("is_active")).select("competition_code").distinct().collect()]
+                        id_pattern: str = DEFAULT_ID_PATTERN, folder: str = "{code}/*.json",
+                        open_cost: int = OPEN_COST) -> DataFrame:
+    """One scan and one write for all active competitions, each of them
+    in its partition of ``target``.
+
+    Malformed documents are kept as such by the PERMISSIVE parser, files that
+    cannot be read at all (a broken archive) give no row and so differ from
+    the listing. A competition with either, or without files, fails alone:
+    its new partition is not published and what it held before stays.
+    Publishing moves the written folders, so each document is written once.
+    Returns (competition, ok, documents, error).
+    """
+    sources = active_sources(spark, root, config, folder)
+    if not sources.present:
+        return spark.createDataFrame([(c, False, None, NO_FILES) for c in sources.codes], INGEST_STATUS)
+    own = _packed(spark, open_cost)
+    docs = (own.read.option("multiLine", True).schema(f"{MATCH_SCHEMA}, {MALFORMED} string")
+            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", MALFORMED)
+            .option("ignoreCorruptFiles", True).json(sources.paths()))
+    load = f"{target.rstrip('/')}/_load-{uuid.uuid4().hex}"
+    (docs.select(*_bronze_columns(docs, id_pattern, sources.code_of_file()), F.col(MALFORMED).isNotNull().alias(MALFORMED))
+     .write.partitionBy("competition").parquet(f"{load}/new"))
+
+    listed = own.read.format("binaryFile").load(sources.paths()).select(
+        F.col("_metadata.file_path").alias("source_file"), sources.code_of_file().alias("competition"))
+    written = own.read.parquet(f"{load}/new").groupBy("source_file").agg(
+        F.count("*").alias("documents"), F.count_if(MALFORMED).alias("malformed"))
+    figures = listed.join(written, "source_file", "left").groupBy("competition").agg(
+        F.count("*").alias("files"), F.count_if(F.col("documents").isNull()).alias("unreadable"),
+        F.sum("malformed").alias("malformed"), F.sum("documents").alias("documents"))
+    found = {r["competition"]: r for r in figures.collect()}  # a row for each competition of the configuration
     status = []
-    for code in sorted(codes):
-        try:
-            docs = read_match_documents(spark, f"{root}/{folder.format(code=code)}", code, id_pattern)
-            staged = f"{target}/_staged/competition={code}"  # an overwrite empties its target before it reads
-            rows = write_counted(docs.drop("competition"), staged)
-            write_counted(spark.read.parquet(staged), f"{target}/competition={code}")
-            status.append((code, True, rows, None))
-        except Exception as exc:  # isolate one source
-            status.append((code, False, None, f"{type(exc).__name__}: {exc}"))
-    return spark.createDataFrame(status, "competition string, ok boolean, documents long, error string")
+    for code in sources.codes:
+        got = found.get(code)
+        if got is None:
+            status.append((code, False, None, NO_FILES))
+        elif got["malformed"] or got["unreadable"]:
+            status.append((code, False, None, f"{got['malformed'] or 0} malformed and {got['unreadable']} unreadable "
+                                              f"of {got['files']} files"))
+        else:
+            publish(spark, f"{load}/new", f"{load}/old", target, code)
+            status.append((code, True, got["documents"], None))
+    remove_folder(spark, load)
+    return spark.createDataFrame(status, INGEST_STATUS)
+
+
+def publish(spark: SparkSession, new: str, old: str, target: str, code: str) -> None:
+    """Put a competition's written partition in the place of its present one,
+    which waits in ``old`` until the new one stands."""
+    place = f"competition={partition_folder(code)}"
+    move_folder(spark, f"{target}/{place}", f"{old}/{place}")
+    move_folder(spark, f"{new}/{place}", f"{target}/{place}")
 
 
 def nested_documents(d: DataFrame) -> DataFrame:

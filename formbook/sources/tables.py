@@ -26,6 +26,35 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def any_file(spark: SparkSession, pattern: str) -> bool:
+    """Whether a path pattern matches anything (file-system metadata only)."""
+    fs, p = _fs(spark, pattern)
+    return bool(fs.globStatus(p))
+
+
+def partition_folder(value: str) -> str:
+    """A partition value as Spark names its folder: characters that a path
+    cannot hold are percent-encoded."""
+    kept = "".join(f"%{ord(c):02X}" if c in '"#%\'*/:=?\\{[]^' or ord(c) < 32 or ord(c) == 127 else c for c in value)
+    return kept or "__HIVE_DEFAULT_PARTITION__"
+
+
+def move_folder(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a folder, its new parents made first; a missing one is none to
+    move."""
+    fs, a = _fs(spark, source)
+    b = _fs(spark, target)[1]
+    if fs.exists(a):
+        fs.mkdirs(b.getParent())
+        if not fs.rename(a, b):
+            raise OSError(f"cannot move {source} to {target}")
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
 def write_counted(df: DataFrame, path: str, mode: str = "overwrite", partition_by: Sequence[str] = (),
                   fmt: str = "parquet") -> int:
     """Write and report the row count from an ``Observation`` taken

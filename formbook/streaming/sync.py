@@ -8,20 +8,25 @@ appended, and the one-row watermark is rewritten from an ``Observation``
 taken during that same write — the batch is evaluated once. Re-running,
 re-delivered rows and a crash between append and watermark all end with
 each event exactly once in the target.
+
+``sync_by_event_time`` is the same copy with state bounded by event time:
+ids are remembered only as long as an event may be late, so a batch never
+reads the target. What arrives later than that is settled afterwards against
+the part of the target that is as old.
 """
 
 from __future__ import annotations
 
+import datetime as dt
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-
-def _path_exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(conf).exists(p)
+from formbook.session import session_with
+from formbook.sources.tables import path_exists as _path_exists
+from formbook.sources.tables import remove_folder
 
 
 def read_watermark(spark: SparkSession, watermark_path: str) -> int:
@@ -66,6 +71,98 @@ def sync_change_log(spark: SparkSession, source: str, schema: StructType, target
     q.awaitTermination()
 
 
+@dataclass(frozen=True)
+class SyncProgress:
+    """What one call of :func:`sync_by_event_time` did. ``watermark`` is the
+    event time up to which nothing more is expected (None before any event),
+    ``behind`` the delivered rows at or before it when they came, first-time
+    and repeated ones alike, and ``settled`` those of them that were new."""
+
+    watermark: dt.datetime | None
+    taken: int
+    behind: int
+    settled: int
+
+
+#: How many batches of one call keep their progress in the driver.
+PROGRESS_KEPT = 1_000_000
+
+
+def sync_by_event_time(spark: SparkSession, source: str, schema: StructType, target: str, checkpoint: str,
+                       event_time: str, lateness: str = "1 hour", key: str = "event_id",
+                       max_files_per_trigger: int = 1000, settle: bool = True) -> SyncProgress:
+    """Copy new log rows from ``source`` (a folder of Parquet files that only
+    grows) into ``target``, each ``key`` once.
+
+    The stream drops repeats with ``dropDuplicatesWithinWatermark``: its state
+    holds the keys of the last ``lateness`` only. It also drops rows at or
+    before the watermark, repeats or not, and counts them in its progress.
+    Where there are any, :func:`settle_behind` appends those that the target
+    lacks. A marker beside the checkpoint stands from before the stream
+    starts until that is done, so a call that died in between is made good by
+    the next one. With ``settle`` false the marker stays and the next call
+    settles.
+
+    Defined results: rows of a null key are one event; rows of a null event
+    time are not given to the stream but settled, as if they were behind. An
+    event keeps its time: a repeat of another time counts as that of the key
+    only while the key is in the state.
+    """
+    own = session_with(spark, {"spark.sql.streaming.numRecentProgressUpdates": str(PROGRESS_KEPT)})
+    marker = f"{checkpoint.rstrip('/')}-unsettled"
+    owed = _path_exists(spark, marker)
+    if not owed:
+        spark.range(1).write.parquet(marker)
+    rows = own.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(source)
+    timed = rows.observe("landed", F.count_if(F.col(event_time).isNull()).alias("timeless")).where(F.col(event_time).isNotNull())
+    query = (timed.withWatermark(event_time, lateness).dropDuplicatesWithinWatermark([key])
+             .writeStream.format("parquet").option("path", f"{target}/stream")
+             .option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start())
+    query.awaitTermination()
+    watermark, taken, behind = None, 0, 0
+    for progress in query.recentProgress:
+        taken += progress.numInputRows
+        behind += sum(op.numRowsDroppedByWatermark for op in progress.stateOperators)
+        landed = progress.observedMetrics.get("landed")
+        behind += landed["timeless"] if landed else 0
+        at = progress.eventTime.get("watermark")
+        if at and not at.startswith("1970-01-01T00:00:00.000"):
+            read = dt.datetime.strptime(at, "%Y-%m-%dT%H:%M:%S.%f%z")
+            watermark = read if watermark is None else max(watermark, read)
+    settled = 0
+    if settle:
+        if owed or behind:
+            settled = settle_behind(spark, source, schema, target, event_time, key, watermark)
+        remove_folder(spark, marker)
+    return SyncProgress(watermark, taken, behind, settled)
+
+
+def settle_behind(spark: SparkSession, source: str, schema: StructType, target: str, event_time: str,
+                  key: str = "event_id", watermark: dt.datetime | None = None) -> int:
+    """Append the delivered rows at or before ``watermark`` (all, where none
+    is known) that the target lacks, each key once; returns their number.
+    Both sides are cut at the watermark, which Parquet statistics prune."""
+    def old(df: DataFrame) -> DataFrame:
+        at = F.col(event_time)
+        return df if watermark is None else df.where((at <= F.lit(watermark)) | at.isNull())
+
+    landed = old(spark.read.schema(schema).parquet(source))
+    held = old(read_synced(spark, target, schema)).select(F.col(key).alias("_held"))
+    lacking = landed.join(held, F.col(key).eqNullSafe(F.col("_held")), "left_anti").dropDuplicates([key])
+    seen = Observation("settled")
+    lacking.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("append").parquet(f"{target}/settled")
+    return int(seen.get["rows"])
+
+
+def read_synced(spark: SparkSession, target: str, schema: StructType) -> DataFrame:
+    """The table that :func:`sync_by_event_time` writes."""
+    parts = [spark.read.schema(schema).parquet(f"{target}/{part}") for part in ("stream", "settled")
+             if _path_exists(spark, f"{target}/{part}")]
+    if not parts:
+        return spark.createDataFrame([], schema)
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
 def read_change_log_jdbc(spark: SparkSession, url: str, table: str, last_id: int, *, key: str = "event_id",
                          upper_id: int | None = None, partitions: int = 8,
                          properties: dict[str, str] | None = None) -> DataFrame:

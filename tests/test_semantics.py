@@ -67,6 +67,30 @@ def test_dismissal_dedupe_keeps_last(spark):
     assert len(rows) == 1 and rows[0].dismissal_kind == "bowled"
 
 
+def test_batting_facts_equal_a_join_with_dismissals(spark):
+    """Wickets in the roll-up give what facts joined with the last wicket of
+    each name give: also for one out at the other end, one who faced nothing,
+    a name with two ids, a nameless wicket and two wickets on a ball."""
+    def out(*pairs):
+        return [Row(kind=k, player_out=p, fielders=None) for k, p in pairs]
+    d = spark.createDataFrame([
+        ball(over=0, seq=0, batter="A", bid="r1", rb=4),
+        ball(over=0, seq=1, batter="A", bid="r2", rb=1, wickets=out(("run out", "B"), ("bowled", "A"))),
+        ball(over=1, seq=0, batter="B", bid=None, rb=2),
+        ball(over=1, seq=1, batter="C", bid="r3", wickets=out(("run out", "never faced"), ("caught", None))),
+        ball(over=2, seq=0, batter="C", bid="r3", wickets=out(("retired hurt", "A"), ("caught", "A"), (None, "C"))),
+        ball(inn=2, over=0, seq=0, batter="A", bid="r1", rb=6)], SCHEMA)
+    en = enrich.enrich_deliveries(d, matches(spark))
+    got = innings.batting_innings(en)
+    ended = innings.dismissals(en).withColumnRenamed("player_out", "batter")
+    want = (innings.innings_facts(en, BATTING).join(ended, ["match_id", "innings_seq", "batter"], "left")
+            .withColumn("is_out", F.col("dismissal_kind").isNotNull()).select(*got.columns))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert {(r.innings_seq, r.batter_id, r.runs): r.dismissal_kind for r in got.collect()} == {
+        (1, "r1", 4): "retired hurt", (1, "r2", 1): "retired hurt", (1, None, 2): "run out", (1, "r3", 0): None,
+        (2, "r1", 6): None}
+
+
 def test_death_threshold_by_innings_length_and_test(spark):
     def phase_of(n_overs, mtype):
         d = spark.createDataFrame([ball(over=o, pp=None) for o in range(n_overs)], SCHEMA)
