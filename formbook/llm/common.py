@@ -168,6 +168,28 @@ def ranged(df: DataFrame, order: list, name: str) -> DataFrame:
     return stage(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), name)
 
 
+#: A key with more than one part in so many of all rows is hot: there are fewer hot keys than this, whatever the data.
+HOT_SHARES = 1000
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with ``facts`` (one row a key) where one key may hold
+    any share of the rows. A hot key is dealt over as many parts as it holds
+    shares, its row of facts repeated for each; the hot keys, fewer than
+    ``HOT_SHARES``, are listed and sent to all tasks, and their parts are at
+    most twice as many. ``rows`` is read twice; null keys meet nothing."""
+    total = rows.count()
+    parts = F.least(F.col("count"), F.ceil(F.col("count") * HOT_SHARES / max(1, total))).cast("int")
+    counts = rows.groupBy(key).count().where(F.col(key).isNotNull() & (F.col("count") * HOT_SHARES > total))
+    hot = counts.select(key, parts.alias("_parts"))
+    hot = F.broadcast(rows.sparkSession.createDataFrame(hot.collect(), hot.schema))
+    count = F.coalesce("_parts", F.lit(1))
+    dealt = rows.withColumn("_row", F.monotonically_increasing_id()).join(hot, key, "left")
+    dealt = dealt.withColumn("_part", F.pmod(F.xxhash64("_row"), count).cast("int")).drop("_row", "_parts")
+    spread = facts.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), count - 1))).drop("_parts")
+    return dealt.join(spread, [key, "_part"]).drop("_part")
+
+
 def running_sum(df: DataFrame, group: list[str], order: list[str], value: str, out: str, name: str) -> DataFrame:
     """``df`` plus the running sum of ``value`` in ``order`` within ``group``,
     the row included. Ranges are summed first and their offsets added, so no

@@ -18,7 +18,8 @@ Queries and candidates meet in blocks of bounded size; pivots are a bounded
 sample and only steer the pruning. Defined results: null ids, null vectors
 and vectors with null or non-finite components take no part; shorter
 vectors count as filled with zeros; equal rows are a row each, and a query
-skips one row, its own; an empty table gives no rows.
+skips one row, its own; scores are ranked as whole numbers of any size, and
+one beyond 64 bits is shown as the nearest long; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -52,12 +53,25 @@ def matrix(vectors: list[bytes], dims: int | None = None) -> np.ndarray:
     return out
 
 
-def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer inner products, kept within 64 bits."""
+def products(a: np.ndarray, b: np.ndarray, whole_numbers: bool = False) -> np.ndarray:
+    """Exact integer inner products, kept within 64 bits or, as
+    ``whole_numbers``, of any size."""
     if not a.size or not b.size or np.abs(a).max() * np.abs(b).max() * a.shape[1] < EXACT:
         return (a @ b.T).astype(np.int64)
     whole = np.vectorize(int, otypes=[object])
-    return np.clip(whole(a) @ whole(b).T, -(1 << 63), (1 << 63) - 1).astype(np.int64)
+    exact = whole(a) @ whole(b).T
+    return exact if whole_numbers else np.vectorize(as_long, otypes=[np.int64])(exact)
+
+
+def order_key(score: int) -> bytes:
+    """Bytes that sort as the integers do, of any size."""
+    size = abs(score).to_bytes((score.bit_length() + 7) // 8, "big")
+    body = len(size).to_bytes(2, "big") + size
+    return b"\1" + body if score >= 0 else b"\0" + bytes(255 - x for x in body)
+
+
+def as_long(score: int) -> int:
+    return max(-(1 << 63), min(score, (1 << 63) - 1))
 
 
 def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: float) -> DataFrame:
@@ -160,19 +174,20 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_i
     sent = (known.join(bound, "cell").where(F.col("room") + F.col("norm") * F.col("far") * (1 + 1e-9) >= 0)
             .select("grp", F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int").alias("block"), "v", "ids"))
     posed = queries.select("grp", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "v")
-    answer = pa.schema([("v", pa.binary()), ("id", pa.int64()), ("score", pa.int64()), ("same", pa.bool_())])
+    answer = pa.schema([("v", pa.binary()), ("id", pa.int64()), ("score", pa.int64()), ("key", pa.binary()),
+                        ("same", pa.bool_())])
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         qs, xs = left.column("v").to_pylist(), right.column("v").to_pylist()
         ids = right.column("ids").to_pylist()
-        out_v, out_id, out_score, out_same = [], [], [], []
+        out_v, out_id, out_score, out_key, out_same = [], [], [], [], []
         if qs and xs:
             x = matrix(xs)
             for at in range(0, len(qs), 256):
                 part = qs[at:at + 256]
                 wide = max([x.shape[1], *[(len(v) - 1) // 4 for v in part]])
                 q = matrix(part, wide)
-                scores = products(q, np.pad(x, ((0, 0), (0, wide - x.shape[1]))))
+                scores = products(q, np.pad(x, ((0, 0), (0, wide - x.shape[1]))), whole_numbers=True)
                 for v, row in zip(part, scores):
                     if len(row) > need:
                         row_ids = np.flatnonzero(row >= np.partition(row, len(row) - need)[len(row) - need])
@@ -181,13 +196,14 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_i
                     best = sorted((-int(row[j]), i, xs[j] == v) for j in row_ids.tolist() for i in ids[j])[:need]
                     out_v += [v] * len(best)
                     out_id += [b[1] for b in best]
-                    out_score += [-b[0] for b in best]
+                    out_score += [as_long(-b[0]) for b in best]
+                    out_key += [order_key(-b[0]) for b in best]
                     out_same += [b[2] for b in best]
-        return pa.table([out_v, out_id, out_score, out_same], schema=answer)
+        return pa.table([out_v, out_id, out_score, out_key, out_same], schema=answer)
 
     met = (posed.groupBy("grp", "block").cogroup(sent.groupBy("grp", "block"))
-           .applyInArrow(meet, "v binary, id long, score long, same boolean"))
-    rank = Window.partitionBy("v").orderBy(F.desc("score"), "id", F.desc("same"))
+           .applyInArrow(meet, "v binary, id long, score long, key binary, same boolean"))
+    rank = Window.partitionBy("v").orderBy(F.desc("key"), "id", F.desc("same"))
     best = (met.withColumn("n", F.row_number().over(rank)).where(F.col("n") <= need).groupBy("v")
             .agg(F.array_sort(F.collect_list(F.struct("n", "id", "score", "same"))).alias("best")))
     # a query's own row: the first with its id and vector

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formbook.llm.common import chunks, record_batch, set_aside, stage, utf8, width
+from formbook.llm.common import chunks, join_hot, record_batch, set_aside, stage, utf8, width
 from formbook.llm.components import components
 
 NODE_ROWS = 4096
@@ -199,7 +199,7 @@ def linked_codes(fps: DataFrame, distance: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 3) -> DataFrame:
     """(doc_id, fp long, component_id long) of every document."""
     fps = stage(fingerprints(docs, shingle), "fingerprints")
-    return fps.join(linked_codes(fps, distance), "fp").select("doc_id", "fp", "component_id")
+    return join_hot(fps, linked_codes(fps, distance), "fp").select("doc_id", "fp", "component_id")
 
 
 def digest(docs: DataFrame) -> DataFrame:

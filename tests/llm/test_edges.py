@@ -204,6 +204,29 @@ def test_search(spark):
     assert [tuple(r) for r in few] == [(0, 1, 7, 64 * 128)]
 
 
+def test_scores_beyond_64_bits_rank_as_whole_numbers(spark):
+    big = 2.0 ** 40
+    df = spark.createDataFrame([(0, [big, 1.0]), (1, [big, 1.0]), (2, [2 * big, 1.0]), (3, [2 * big, 2.0]), (4, [4 * big, 0.0]),
+                                (5, [-2 * big, 0.0]), (6, [-4 * big, 0.0]), (7, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in knn.top_k(df).orderBy("rank").collect()]
+    top, low = 2 ** 63 - 1, -2 ** 63
+    assert got == [(4, top), (3, top), (2, top), (1, top), (7, 64 * 64), (5, low), (6, low)]
+    numbers = [0, 1, -1, 255, 256, -255, -256, 2 ** 63, -2 ** 63, 2 ** 64 + 1, 10 ** 40, -10 ** 40, 10 ** 400, 7, 8]
+    assert sorted(numbers) == sorted(numbers, key=knn.order_key)
+
+
+def test_join_with_hot_keys_is_the_plain_join(spark):
+    from formbook.llm.common import join_hot
+    rows = spark.createDataFrame([(i, 7 if i % 3 else i % 1500) for i in range(6000)] + [(i, None) for i in range(5)] + [(1, 7)] * 3,
+                                 "doc_id long, fp long").repartition(5)
+    facts = spark.createDataFrame([(k, k * 10) for k in range(1400)], "fp long, root long")
+    joined = join_hot(rows, facts, "fp")
+    assert Counter(map(tuple, joined.select("doc_id", "fp", "root").collect())) == Counter(
+        map(tuple, rows.join(facts, "fp").select("doc_id", "fp", "root").collect()))
+    assert join_hot(rows.where("false"), facts, "fp").count() == 0
+    assert join_hot(rows.limit(2), facts, "fp").count() <= 2
+
+
 def test_products_beyond_doubles():
     a = np.array([[2.0 ** 40, 3.0]])
     assert knn.products(a, np.array([[2.0 ** 20, 1.0]])).tolist() == [[2 ** 60 + 3]]
