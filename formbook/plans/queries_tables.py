@@ -50,6 +50,19 @@ def config_upsert_q(spark, sf_dir):
     return vt.read()
 
 
+@query("typed_table", with_ctes(["roster"], "SELECT * FROM roster WHERE status = 'active'"))
+def typed_table_q(spark, sf_dir):
+    """S12 + S13: a named table of a database that is made where it is not
+    there; a NULL in a required column would fail the write."""
+    g = Gold(spark, sf_dir)
+    T.ensure_database(spark, "formbook")
+    T.ensure_database(spark, "formbook")  # as every run does
+    name = f"formbook.squads_{uuid.uuid4().hex}"
+    rows = T.with_not_null(g.roster.where(F.col("status") == "active"), ["roster_id", "franchise_id", "player_name"])
+    rows.write.option("path", _root(spark, "squads")).saveAsTable(name)
+    return spark.table(name)
+
+
 @query("insert_absent", with_ctes(["insert_absent"], "SELECT * FROM insert_absent"))
 def insert_absent_q(spark, sf_dir):
     """Roster players offered to the pool, inserted only when the

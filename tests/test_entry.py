@@ -12,7 +12,8 @@ CORE = ["deliveries_enriched", "batting_innings", "bowling_innings", "batting_fo
         "bid_validation", "notes_validate", "activity_over_time", "similar_topk", "bronze_silver_roundtrip",
         "snapshot_diff", "log_sync", "manifest_skip", "partition_listing", "articles_append", "column_backfill",
         "case_folded_table", "tool_call_log", "squad_counts", "auction_targets_filtered", "role_inference",
-        "franchise_squads", "competition_ingest"]
+        "franchise_squads", "competition_ingest", "inferred_matches", "event_time_sync", "event_time_progress",
+        "typed_table"]
 
 
 def test_entry_smoke(spark):
