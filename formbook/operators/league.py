@@ -221,7 +221,8 @@ def venue_keywords_from_home(franchises: DataFrame) -> DataFrame:
 def venue_form_resolved(roster: DataFrame, franchise_venues: DataFrame, venue_form: DataFrame,
                         key_col: str, columns: dict[str, str], prefix: str) -> DataFrame:
     """Resolve each roster name inside the venue-restricted form rows
-    of its own franchise (uniqueness counted within that subset)."""
+    of its own franchise (uniqueness counted within that subset). Lookups are
+    salted: one squad or surname may hold any share of the roster."""
     sub = venue_form.join(franchise_venues, "venue").select(
         "franchise_id", "venue", F.col(key_col).alias("_k"), "player_name", *set(columns.values()))
     sub = sub.withColumn("_rowid", F.concat_ws("|", "_k", "venue"))
@@ -232,15 +233,14 @@ def venue_form_resolved(roster: DataFrame, franchise_venues: DataFrame, venue_fo
     sur = sk.groupBy("franchise_id", "_sur").agg(F.count("*").alias("_ns"), F.min("_rowid").alias("_s"))
     si = sk.groupBy("franchise_id", "_sur", "_ini").agg(F.count("*").alias("_nsi"), F.min("_rowid").alias("_si"))
     qw = F.split(lower_trim("player_name"), r"\s+")
-    r = (roster.withColumn("_lname", lower_trim("player_name"))
-         .withColumn("_sur", F.element_at(qw, -1)).withColumn("_ini", F.substring(qw[0], 1, 1))
-         .join(exact, ["franchise_id", "_lname"], "left")
-         .join(sur, ["franchise_id", "_sur"], "left")
-         .join(si, ["franchise_id", "_sur", "_ini"], "left"))
+    r = salted(roster.withColumn("_lname", lower_trim("player_name"))
+               .withColumn("_sur", F.element_at(qw, -1)).withColumn("_ini", F.substring(qw[0], 1, 1)))
+    for index, keys in ((exact, ["_lname"]), (sur, ["_sur"]), (si, ["_sur", "_ini"])):
+        r = salted_lookup(r, index, ["franchise_id", *keys])
     pick = F.coalesce(F.col("_e"), F.when(F.col("_ns") == 1, F.col("_s")), F.when(F.col("_nsi") == 1, F.col("_si")))
     r = r.withColumn("_rowid", pick).drop("_lname", "_sur", "_ini", "_e", "_ns", "_s", "_nsi", "_si")
     vals = sub.select("franchise_id", "_rowid", *[F.col(src).alias(prefix + alias) for alias, src in columns.items()])
-    return r.join(vals, ["franchise_id", "_rowid"], "left").drop("_rowid")
+    return salted_lookup(r, vals, ["franchise_id", "_rowid"]).drop("_rowid", "_salt")
 
 
 def retention_analysis(franchises: DataFrame, roster: DataFrame, batter_profile: DataFrame,
