@@ -154,17 +154,19 @@ def text_embed_topk(docs: DataFrame, doc_id: str, doc_text: str, queries: DataFr
 def article_bodies(articles: DataFrame) -> DataFrame:
     """(article_id, player_key, title, url, body), one row an article id; the
     body is the player, the title and the text without tags."""
-    a = with_article_id(articles)
+    # texts are cut out first: what picks the row of an id moves them and not the markup
     title = F.coalesce(F.regexp_extract("content", r"(?is)<title>(.*?)</title>", 1), F.lit(""))
     plain = F.regexp_replace("content", MARKUP, " ")
-    return a.withColumn("title", title).select("article_id", "player_key", "title", "url",
-                                               F.concat_ws(" ", "player_key", "title", plain).alias("body"))
+    a = articles.withColumn("title", title).withColumn("body", F.concat_ws(" ", "player_key", "title", plain)).drop("content")
+    return with_article_id(a).select("article_id", "player_key", "title", "url", "body")
 
 
 def search_articles(articles: DataFrame, questions: DataFrame, query_id: str, query_text: str, k: int = 5,
                     path: str | None = None) -> DataFrame:
     """The ``k`` articles (player_key, title, url) of the whole index
     nearest to each question, usually "player: what to know"."""
-    bodies = article_bodies(articles)
-    best = text_embed_topk(bodies, "article_id", "body", questions, query_id, query_text, k, path)
+    path = path or f"{checkpoint_dir(articles.sparkSession).rstrip('/')}/articles-{uuid.uuid4().hex}"
+    article_bodies(articles).write.parquet(f"{path}/bodies")
+    bodies = articles.sparkSession.read.parquet(f"{path}/bodies")
+    best = text_embed_topk(bodies, "article_id", "body", questions, query_id, query_text, k, f"{path}/index")
     return best.join(bodies.drop("body"), "article_id").select(query_id, "rank", "score", "player_key", "title", "url")

@@ -5,13 +5,18 @@ ln((N + 1) / (df + 1)), scaled to length one. Weights are kept as whole
 millionths (*impacts*), so scores are exact integer sums: equal in any
 order of addition, and ties are real ties.
 
-``build_index`` writes three tables:
+``build_index`` takes the documents in blocks as they lie and turns each block
+into lists, a list being the documents of a block that hold a term. Lists and
+not single postings go through the shuffles, and documents are numbers in
+their block there. It writes
 
+* ``lists`` (block, ids; block, term, docs, tfs): the ids of each block's
+  documents, in a row of its own, and the counted terms,
 * ``terms`` (term, df, idf),
-* ``postings`` (term, block, id, impact), in term order, a document's block
-  being a hash of its id, so that a term in every document still is one
-  bounded list a block,
-* ``blocks`` (term, block, top): the greatest impact of each such list.
+* ``postings`` (term, block, docs, impacts, top): the weighted lists, so that a
+  term in every document still is one bounded list a block; a table bucketed
+  by block, so that a search shuffles none of it,
+* ``blocks`` (term, block, top): the greatest impact of each list.
 
 ``search`` answers all queries at once, on tables only:
 
@@ -32,15 +37,27 @@ with a query are no answers to it.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from formbook.operators.textsearch import top_k
+from formbook.session import apply_plan_confs
 
 SCALE = 1_000_000
 BLOCK_DOCS = 1024
+BLOCK_BYTES = 16 << 20
+BUCKET_BLOCKS = 8
+MOST_DOCS = 1 << 15  # documents of a block are numbers of 16 bits
+GROUP_ROWS = 1 << 20  # queries' terms that meet a block in one group
 
 
 def term_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -54,7 +71,7 @@ def _impacts(weighted: DataFrame) -> DataFrame:
     """(id, term, tf, idf) -> (id, term, impact), unit length a document."""
     w = F.col("tf") * F.col("idf")
     norm = F.sqrt(F.sum(w * w).over(Window.partitionBy("id")))
-    out = weighted.withColumn("impact", F.floor(F.lit(SCALE) * w / norm).cast("long"))
+    out = weighted.withColumn("impact", F.floor(F.try_divide(F.lit(SCALE) * w, norm)).cast("long"))
     return out.where("impact > 0").select("id", "term", "impact")
 
 
@@ -69,31 +86,129 @@ class Index:
     spark: SparkSession
     path: str
 
+    @property
+    def bucketed(self) -> str:
+        """Name of the postings in the session's catalog."""
+        return f"formbook_postings_{hashlib.md5(self.path.encode()).hexdigest()}"
+
     def table(self, name: str) -> DataFrame:
+        if name == "postings" and self.spark.catalog.tableExists(self.bucketed):
+            return self.spark.table(self.bucketed)
         return self.spark.read.parquet(f"{self.path}/{name}")
 
+    def ids(self) -> DataFrame:
+        """(block, doc, id) of every document."""
+        return self.table("lists").where("term IS NULL").select("block", F.posexplode("ids").alias("doc", "id"))
+
+
+def counted_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, terms, tfs) with one row an id: the text itself where no id
+    repeats, else the counted terms."""
+    known = docs.where(F.col(id_col).isNotNull())
+    rows, ids = known.agg(F.count("*"), F.count_distinct(F.col(id_col))).first()
+    if rows == ids:
+        return known.select(F.col(id_col).alias("id"), F.lower(F.col(text_col)).alias("text"),
+                            F.lit(None).cast("array<string>").alias("terms"), F.lit(None).cast("array<long>").alias("tfs"))
+    counts = term_counts(docs, id_col, text_col).groupBy("id").agg(F.collect_list("term").alias("terms"),
+                                                                   F.collect_list("tf").alias("tfs"))
+    return known.select(F.col(id_col).alias("id")).distinct().join(counts, "id", "left").select(
+        "id", F.lit(None).cast("string").alias("text"), "terms", "tfs")
+
+
+def slices(batch: pa.RecordBatch, rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most ``rows`` rows and ``size`` bytes of text
+    (or one row)."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        base = ends[at - 1] if at else 0
+        to = min(at + rows, max(at + 1, int(np.searchsorted(ends, base + size, side="right"))))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def inverted(rows: DataFrame, block_docs: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """:func:`counted_rows` as the ``lists`` of blocks."""
+    id_type = rows.schema["id"].dataType
+    schema = pa.schema([("block", pa.int64()), ("ids", pa.list_(to_arrow_type(id_type))), ("term", pa.string()),
+                        ("docs", pa.list_(pa.int16())), ("tfs", pa.list_(pa.int32()))])
+
+    def words_of(part: pa.RecordBatch) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        """Document, word and count of each word."""
+        terms, tfs = part.column("terms"), part.column("tfs")
+        if terms.null_count == len(terms):
+            terms = pc.split_pattern_regex(pc.fill_null(part.column("text"), ""), r"\W+")
+            tfs = None
+        doc = np.repeat(np.arange(len(terms)), pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False))
+        flat = terms.flatten()
+        keep = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+        times = np.ones(len(flat), np.int64) if tfs is None else tfs.flatten().to_numpy(zero_copy_only=False)
+        return doc[keep], flat.filter(pa.array(keep)), times[keep]
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for part in slices(batch, min(block_docs, MOST_DOCS), block_bytes):
+                n = part.num_rows
+                doc, words, times = words_of(part)
+                coded = words.dictionary_encode()
+                key, of = np.unique(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) * n + doc, return_inverse=True)
+                tf = np.bincount(of, times, len(key)).astype(np.int64)
+                starts = np.flatnonzero(np.diff(key // n, prepend=-1))
+                cuts = pa.array(np.append(starts, len(key)), pa.int32())
+                held = len(starts)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([block]), pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), part.column("id"), type=schema.field("ids").type),
+                    *[pa.nulls(1, f.type) for f in list(schema)[2:]]], schema=schema)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(held, block)), pa.nulls(held, schema.field("ids").type),
+                    coded.dictionary.take(pa.array(key[starts] // n)).cast(pa.string()),
+                    pa.ListArray.from_arrays(cuts, pa.array(key % n, pa.int16())),
+                    pa.ListArray.from_arrays(cuts, pa.array(tf, pa.int32()))], schema=schema)
+                block += 1
+
+    return rows.mapInArrow(make, f"block long, ids array<{id_type.simpleString()}>, term string, docs array<smallint>, tfs array<int>")
+
+
+def weighted(block: pa.Table) -> pa.Table:
+    """The postings of one block from its lists and the terms' idf: impacts
+    at unit length a document, lists without any left out."""
+    block = block.combine_chunks().sort_by("term")
+    docs, tfs = block.column("docs").combine_chunks(), block.column("tfs").combine_chunks()
+    sizes = pc.list_value_length(docs).to_numpy(zero_copy_only=False)
+    doc = docs.flatten().to_numpy(zero_copy_only=False)
+    w = tfs.flatten().to_numpy(zero_copy_only=False) * np.repeat(block.column("idf").to_numpy(), sizes)
+    norm = np.sqrt(np.bincount(doc, w * w))
+    impact = np.floor(np.divide(SCALE * w, norm[doc], out=np.zeros(len(w)), where=norm[doc] > 0)).astype(np.int64)
+    keep = impact > 0
+    of = np.repeat(np.arange(len(sizes)), sizes)[keep]
+    starts = np.flatnonzero(np.diff(of, prepend=-1))
+    cuts, impact, rows = pa.array(np.append(starts, len(of)), pa.int32()), impact[keep], of[starts]
+    top = np.maximum.reduceat(impact, starts) if len(starts) else impact
+    return pa.table({
+        "term": block.column("term").take(rows), "block": block.column("block").take(rows),
+        "docs": pa.ListArray.from_arrays(cuts, pa.array(doc[keep], pa.int16())),
+        "impacts": pa.ListArray.from_arrays(cuts, pa.array(impact, pa.int32())), "top": pa.array(top)})
+
 
 def build_index(docs: DataFrame, id_col: str, text_col: str, path: str, block_docs: int = BLOCK_DOCS) -> Index:
     """Write the index of ``docs`` to ``path`` (rows of one id are one
     document, null ids are left out, null texts are empty)."""
     spark = docs.sparkSession
     index = Index(spark, path)
-    known = docs.where(F.col(id_col).isNotNull())
-    (known.agg(F.count_distinct(F.col(id_col)).alias("documents"))
-     .withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("documents") / block_docs)).cast("long"))
-     .write.parquet(f"{path}/size"))
+    inverted(counted_rows(docs, id_col, text_col), block_docs).write.parquet(f"{path}/lists")
+    (index.table("lists").where("term IS NULL")
+     .agg(F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("documents"), F.count("*").alias("blocks")).write.parquet(f"{path}/size"))
     size = index.table("size")
-    counts = term_counts(docs, id_col, text_col)
-    counts.write.parquet(f"{path}/counts")
-    counts = index.table("counts")
-    (counts.groupBy("term").agg(F.count("*").alias("df"))
+    lists = index.table("lists").where("term IS NOT NULL").select("block", "term", "docs", "tfs")
+    (lists.groupBy("term").agg(F.sum(F.size("docs")).alias("df"))
      .select("term", "df", idf_of(F.col("df"), size.select("documents").scalar()).alias("idf"))
      .write.parquet(f"{path}/terms"))
-    postings = _impacts(counts.join(index.table("terms"), "term"))
-    block = F.pmod(F.xxhash64("id"), size.select("blocks").scalar())
-    (postings.select("term", block.alias("block"), "id", "impact").repartitionByRange("term", "block")
-     .sortWithinPartitions("term", "block").write.parquet(f"{path}/postings"))
-    (index.table("postings").groupBy("term", "block").agg(F.max("impact").alias("top")).write.parquet(f"{path}/blocks"))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size.first()["blocks"] // BUCKET_BLOCKS)
+    postings = (lists.join(index.table("terms"), "term").repartition(buckets, "block").groupBy("block").applyInArrow(
+        weighted, "term string, block long, docs array<smallint>, impacts array<int>, top long"))
+    postings.write.bucketBy(buckets, "block").option("path", f"{path}/postings").saveAsTable(index.bucketed)
+    index.table("postings").select("term", "block", "top").write.parquet(f"{path}/blocks")
     return index
 
 
@@ -117,9 +232,10 @@ def thresholds(index: Index, lists: DataFrame, k: int, seed_blocks: int) -> Data
     ``seed_blocks`` blocks of highest bound."""
     bounds = lists.groupBy("qid", "block").agg(F.sum("bound").alias("bound"))
     seeds = top_k(bounds, ["qid"], [F.desc("bound"), F.col("block")], seed_blocks).select("qid", "block")
-    scored = (lists.join(seeds, ["qid", "block"]).join(index.table("postings"), ["term", "block"])
-              .groupBy("qid", "id").agg(F.sum(F.col("weight") * F.col("impact")).alias("score")))
-    best = top_k(scored, ["qid"], [F.desc("score"), F.col("id")], k)
+    scored = (lists.join(seeds, ["qid", "block"]).join(index.table("postings").drop("top"), ["term", "block"])
+              .select("qid", "block", "weight", F.inline(F.arrays_zip("docs", "impacts")).alias("doc", "impact"))
+              .groupBy("qid", "block", "doc").agg(F.sum(F.col("weight") * F.col("impact")).alias("score")))
+    best = top_k(scored, ["qid"], [F.desc("score"), F.col("block"), F.col("doc")], k)
     return (best.groupBy("qid").agg(F.count("*").alias("n"), F.min("score").alias("least"))
             .select("qid", F.when(F.col("n") >= k, F.col("least")).otherwise(F.lit(0)).alias("threshold")))
 
@@ -135,14 +251,49 @@ def split_lists(lists: DataFrame, limits: DataFrame) -> DataFrame:
     return out.withColumn("weak", F.sum(F.when(~F.col("strong"), F.col("bound")).otherwise(0)).over(of))
 
 
+def reached(index: Index, split: DataFrame, whole: bool, parts: Column | None = None) -> DataFrame:
+    """(qid, block, doc, score): documents that can still reach the threshold,
+    with their score by strong lists or by all. The lists that the queries
+    read in a block meet its postings there; ``parts`` deals the queries."""
+    def meet(asked: pa.Table, held: pa.Table) -> pa.Table:
+        asked = asked.sort_by([("qid", "ascending"), ("strong", "descending")])
+        at = pc.index_in(asked.column("term"), held.column("term").combine_chunks()).to_pylist()
+        docs, impacts = held.column("docs").combine_chunks(), held.column("impacts").combine_chunks()
+        cuts = np.append(0, np.cumsum(pc.list_value_length(docs).to_numpy(zero_copy_only=False))).astype(np.int64).tolist()
+        docs, impacts = (x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in (docs, impacts))
+        weight, strong = asked.column("weight").to_pylist(), asked.column("strong").to_pylist()
+        limit = (asked.column("threshold").to_numpy() - asked.column("weak").to_numpy()).tolist()
+        starts = np.flatnonzero(np.diff(asked.column("qid").combine_chunks().dictionary_encode().indices.to_numpy(), prepend=-1)).tolist()
+        out = [(np.zeros(0, np.int64),) * 3]
+        for first, last in zip(starts, [*starts[1:], len(at)]):
+            score, found = np.zeros(MOST_DOCS, np.int64), None
+            for i in range(first, last):
+                if found is None and not strong[i]:
+                    found = np.flatnonzero((score > 0) & (score >= limit[first]))
+                if found is not None and not (whole and len(found)):
+                    break
+                if at[i] is not None:
+                    own = slice(cuts[at[i]], cuts[at[i] + 1])
+                    score[docs[own]] += weight[i] * impacts[own]
+            if found is None:
+                found = np.flatnonzero((score > 0) & (score >= limit[first]))
+            out.append((np.full(len(found), first), found, score[found]))
+        rows, doc, points = (np.concatenate(x) for x in zip(*out))
+        return pa.table({"qid": asked.column("qid").take(pa.array(rows, pa.int64())),
+                         "block": asked.column("block").take(pa.array(rows, pa.int64())),
+                         "doc": pa.array(doc, pa.int32()), "score": pa.array(points, pa.int64())})
+
+    parts = F.lit(1) if parts is None else parts
+    asked = split.select("qid", "block", "term", "weight", "strong", "weak", "threshold",
+                         F.pmod(F.xxhash64("qid"), parts).cast("int").alias("part"))
+    held = index.table("postings").select("term", "block", "docs", "impacts", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    return asked.groupBy("block", "part").cogroup(held.groupBy("block", "part")).applyInArrow(
+        meet, f"qid {split.schema['qid'].dataType.simpleString()}, block long, doc int, score long")
+
+
 def candidates(index: Index, split: DataFrame) -> DataFrame:
-    """(qid, block, id, score): documents that can still reach the threshold,
-    with their score by strong lists."""
-    found = split.where("strong").join(index.table("postings"), ["term", "block"])
-    return (found.groupBy("qid", "block", "id").agg(
-        F.sum(F.col("weight") * F.col("impact")).alias("score"), F.first("weak").alias("weak"),
-        F.first("threshold").alias("threshold"))
-        .where(F.col("score") + F.col("weak") >= F.col("threshold")).select("qid", "block", "id", "score"))
+    """The documents that :func:`reached` finds, by strong lists only."""
+    return reached(index, split, whole=False)
 
 
 def search(index: Index, queries: DataFrame, query_id: str, query_text: str, k: int = 5, doc_id: str = "id",
@@ -150,14 +301,13 @@ def search(index: Index, queries: DataFrame, query_id: str, query_text: str, k:
     """(query_id, doc_id, score, rank): the ``k`` documents nearest to each
     query by cosine, shown in millionths, ties by id. Rows of one query id
     are one query."""
-    lists = list_bounds(index, query_terms(index, queries, query_id, query_text))
+    apply_plan_confs(index.spark)  # else the postings would be shuffled by all keys
+    terms = query_terms(index, queries, query_id, query_text)
+    lists = list_bounds(index, terms)
+    parts = terms.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / GROUP_ROWS)).cast("int").alias("n")).scalar()
     split = split_lists(lists, thresholds(index, lists, k, seed_blocks))
-    found = candidates(index, split)
-    weak = split.where("NOT strong").select("qid", "block", "term", "weight")
-    rest = (found.select("qid", "block", "id").join(weak, ["qid", "block"])
-            .join(index.table("postings"), ["term", "block", "id"])
-            .select("qid", "id", (F.col("weight") * F.col("impact")).alias("score")))
-    whole = found.select("qid", "id", "score").unionByName(rest).groupBy("qid", "id").agg(F.sum("score").alias("points"))
+    whole = (reached(index, split, whole=True, parts=parts).withColumnRenamed("score", "points")
+             .join(index.ids(), ["block", "doc"]))
     best = top_k(whole, ["qid"], [F.desc("points"), F.col("id")], k, rank_col="rank")
     score = F.expr(f"(points + {SCALE // 2}L) div {SCALE}L") / F.lit(float(SCALE))
     return best.select(F.col("qid").alias(query_id), F.col("id").alias(doc_id), score.alias("score"),

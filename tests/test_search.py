@@ -86,3 +86,28 @@ def test_empty_tables(spark, tmp_dir):
     assert search.search(empty, one, "id", "text", doc_id="doc").count() == 0
     full = search.build_index(one.union(one.select(F.lit(2), F.lit("c"))), "id", "text", f"{tmp_dir}/{uuid.uuid4().hex}")
     assert search.search(full, none, "id", "text", doc_id="doc").count() == 0
+
+
+def test_postings_are_shuffled_by_no_search(spark, tmp_dir):
+    """Postings are lists of a block, bucketed by it: one row a term and block,
+    and no exchange over them in a search."""
+    docs = [(i, " ".join(WORDS[(i + j) % 60] for j in range(20))) for i in range(2000)]
+    index = search.build_index(spark.createDataFrame(docs, "id long, text string"), "id", "text",
+                               f"{tmp_dir}/{uuid.uuid4().hex}", 100)
+    lists = index.table("postings")
+    assert lists.count() == lists.select("term", "block").distinct().count() < 20 * 2000 / 10
+    asked = spark.createDataFrame([(1, "w1 w2 w3"), (2, "w59")], "q long, ask string")
+    got = search.search(index, asked, "q", "ask", k=5)
+    lines = got._jdf.queryExecution().executedPlan().toString().split("\n")
+    deep = [len(line) - len(line.lstrip(" :+-")) for line in lines]
+    read = [i for i, line in enumerate(lines) if "formbook_postings" in line]
+    assert read
+    for i in read:
+        at = deep[i]
+        for j in range(i - 1, -1, -1):
+            if deep[j] < at:
+                at = deep[j]
+                if "Join" in lines[j] or "CoGroups" in lines[j]:
+                    break
+                assert "Exchange hashpartitioning" not in lines[j]
+    assert sorted(map(tuple, got.collect())) == plain(docs, [tuple(r) for r in asked.collect()], 5)
