@@ -8,7 +8,8 @@ runs as ``transformWithStateInPandas`` with typed state:
 
 * ``expected``: the place the auction waits for;
 * ``franchise``: what each franchise spent and bought in the auction;
-* ``owned``: names bought in the auction;
+* ``owned``: names bought in the auction (both are lists, read and written in
+  one call each: a call to the state costs more than judging a bid);
 * ``waiting``: bids that came before their turn, by place.
 
 A bid whose place is past is a re-delivery and gives no row. Snapshot
@@ -22,15 +23,17 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
 from formbook.operators import bids as B
-from formbook.operators.audit import running_count
-from formbook.session import checkpoint_dir
+from formbook.session import checkpoint_dir, cut_lineage
 
 LEDGER_SCHEMA = StructType([
     StructField("bid_id", LongType()), StructField("auction_id", LongType()),
@@ -58,13 +61,16 @@ class AuctionLedger(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.expected = handle.getValueState("expected", "seq long")
-        self.franchise = handle.getMapState("franchise", "franchise_id long", "spent long, bought long, overseas long")
-        self.owned = handle.getMapState("owned", "name string", "bid_id long")
+        self.franchise = handle.getListState("franchise", "franchise_id long, spent long, bought long, overseas long")
+        self.owned = handle.getListState("owned", "name string")
         self.waiting = handle.getMapState("waiting", "seq long", ", ".join(BID_COLUMNS.split(", ")[1:]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        turn = self.expected.get()[0] if self.expected.exists() else 1
-        counts: dict[int, list[int]] = {}
+        begun = self.expected.exists()
+        turn = self.expected.get()[0] if begun else 1
+        self.counts = {row[0]: list(row[1:]) for row in self.franchise.get()} if begun else {}
+        self.taken = {row[0] for row in self.owned.get()} if begun else set()
+        self.bought: list[tuple[str]] = []
         out, early = [], {}
         for frame in rows:
             for bid in frame[BID_NAMES].sort_values("seq").itertuples(index=False):
@@ -72,17 +78,18 @@ class AuctionLedger(StatefulProcessor):
                 if seq > turn:
                     early[seq] = bid
                 elif seq == turn:
-                    out.append(self.judged(key[0], bid, counts))
+                    out.append(self.judged(key[0], bid))
                     turn += 1
-            while turn in early or self.waiting.containsKey((turn,)):
-                out.append(self.judged(key[0], early.pop(turn) if turn in early else self.recalled(turn), counts))
+            while turn in early or begun and self.waiting.containsKey((turn,)):
+                out.append(self.judged(key[0], early.pop(turn) if turn in early else self.recalled(turn)))
                 turn += 1
         for seq, bid in early.items():
             if seq > turn:
                 # a frame holds whole numbers beside nulls as doubles
                 self.waiting.updateValue((seq,), tuple(None if pd.isna(v) else kind(v) for v, kind in zip(bid[1:], BID_KINDS[1:])))
-        for franchise_id, count in counts.items():
-            self.franchise.updateValue((franchise_id,), tuple(count))
+        if self.bought:
+            self.owned.appendList(self.bought)
+            self.franchise.put([(franchise_id, *count) for franchise_id, count in self.counts.items() if count[1]])
         self.expected.update((turn,))
         if out:
             yield pd.DataFrame(out, columns=LEDGER_SCHEMA.names)
@@ -92,13 +99,7 @@ class AuctionLedger(StatefulProcessor):
         self.waiting.removeKey((seq,))
         return pd.Series((seq, *bid), index=BID_NAMES)
 
-    def counted(self, franchise_id: int, counts: dict[int, list[int]]) -> list[int]:
-        if franchise_id not in counts:
-            held = self.franchise.containsKey((franchise_id,))
-            counts[franchise_id] = list(self.franchise.getValue((franchise_id,))) if held else [0, 0, 0]
-        return counts[franchise_id]
-
-    def judged(self, auction_id: int, bid, counts: dict[int, list[int]]) -> tuple:
+    def judged(self, auction_id: int, bid) -> tuple:
         """The bid's ledger row; an accepted one enters the state."""
         accepted, status, after = False, None, None
         if not bid.franchise_known:
@@ -106,12 +107,12 @@ class AuctionLedger(StatefulProcessor):
         elif not bid.player_known:
             status = "blocked: " + B.R_UNKNOWN_PLAYER
         else:
-            count = self.counted(int(bid.franchise_id), counts)
+            count = self.counts.setdefault(int(bid.franchise_id), [0, 0, 0])
             spent, bought, overseas = count
             name = (bid.player_name or "").lower()
             price, left = hundredths(bid.price_cr), hundredths(bid.purse_remaining_cr) - spent
             broken = [reason for reason, holds in (
-                (B.R_OWNED, bid.owned_at_snapshot or self.owned.containsKey((name,))),
+                (B.R_OWNED, bid.owned_at_snapshot or name in self.taken),
                 (B.R_PURSE, price > left),
                 (B.R_SQUAD, bid.squad_size + bought >= bid.max_squad_size),
                 (B.R_OVERSEAS, bid.is_overseas and bid.overseas_count + overseas >= bid.max_overseas),
@@ -120,7 +121,8 @@ class AuctionLedger(StatefulProcessor):
             if accepted:
                 left -= price
                 count[:] = [spent + price, bought + 1, overseas + int(bool(bid.is_overseas))]
-                self.owned.updateValue((name,), (int(bid.bid_id),))
+                self.taken.add(name)
+                self.bought.append((name,))
             after = left / 100
         name = None if pd.isna(bid.player_name) else bid.player_name
         return (int(bid.bid_id), auction_id, int(bid.franchise_id), int(bid.pool_id), float(bid.price_cr), name,
@@ -130,21 +132,47 @@ class AuctionLedger(StatefulProcessor):
         pass
 
 
+def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a range sorted by auction plus ``_range`` and the place in the
+    auction within the range."""
+    here, last, count = TaskContext.get().partitionId(), None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        auction = batch.column("auction_id").to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(np.append(True, auction[1:] != auction[:-1]))
+        sizes = np.diff(np.append(starts, len(auction)))
+        place = np.arange(1, len(auction) + 1) - np.repeat(starts, sizes)
+        if auction[0] == last:
+            place[:sizes[0]] += count
+        last, count = auction[-1], int(place[-1])
+        yield batch.append_column("_range", pa.array(np.full(len(auction), here))).append_column("seq", pa.array(place))
+
+
 def sequenced(ctx: DataFrame) -> DataFrame:
     """``ctx`` plus ``seq``, the bid's place in its auction by bid_id; an
-    auction of any size is numbered by ranges."""
-    placed = running_count(ctx.withColumn("bid_id", F.col("bid_id").cast("bigint")), "auction_id", "bid_id")
-    first = placed.groupBy(F.col("auction_id").alias("_auction")).agg(F.min("running_count").alias("_first"))
-    return (placed.join(first, F.col("auction_id") == F.col("_auction"))
-            .withColumn("seq", F.col("running_count") - F.col("_first") + 1).drop("_auction", "_first", "running_count"))
+    auction of any size is numbered by ranges. Only auctions that go on from
+    an earlier range, one a range at most, are counted on, so no bid is
+    joined by its auction."""
+    rows = ctx.withColumns({c: F.col(c).cast("bigint") for c in ("auction_id", "bid_id")}).where("auction_id IS NOT NULL")
+    ranges = int(ctx.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    schema = StructType([*rows.schema.fields, StructField("_range", LongType()), StructField("seq", LongType())])
+    local = cut_lineage(rows.repartitionByRange(ranges, "auction_id", "bid_id").sortWithinPartitions("auction_id", "bid_id")
+                        .mapInArrow(placed, schema))
+    before = F.sum("_n").over(Window.partitionBy("auction_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    earlier = (local.groupBy("auction_id", "_range").agg(F.max("seq").alias("_n")).withColumn("_before", before)
+               .where("_before > 0").select("auction_id", "_range", "_before"))
+    return (local.join(F.broadcast(earlier), ["auction_id", "_range"], "left")
+            .withColumn("seq", F.col("seq") + F.coalesce("_before", F.lit(0))).drop("_range", "_before"))
 
 
 def land_bids(ctx: DataFrame, folder: str, rows_per_file: int = 1_000_000) -> StructType:
-    """Write the sequenced bids in files of about equal places and at most
-    ``rows_per_file`` rows, in one job; returns their schema."""
+    """Write the sequenced bids as they lie, in ranges of auctions and of at
+    most ``rows_per_file`` rows a file, so that an auction's bids come in one
+    file or in following ones; returns their schema."""
     kinds = dict(c.split() for c in BID_COLUMNS.split(", ")) | {"auction_id": "long"}
     rows = sequenced(ctx).select(*[F.col(c).cast(kind).alias(c) for c, kind in kinds.items()])
-    rows.repartitionByRange("seq").write.option("maxRecordsPerFile", rows_per_file).mode("append").parquet(folder)
+    rows.write.option("maxRecordsPerFile", rows_per_file).mode("append").parquet(folder)
     return rows.schema
 
 

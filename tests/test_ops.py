@@ -358,3 +358,23 @@ def test_empty_ledger(spark, tmp_dir):
     assert ledger.run_bid_ledger(spark, bids.bid_context(none, fr, pool, roster), work_dir=tmp_dir).count() == 0
 
 
+
+
+def test_bids_of_an_auction_lie_together(spark, tmp_dir):
+    """An auction is judged in one call, or in a few if it is large: its bids
+    land in one file or in two, and places have no gaps over the ranges."""
+    from pyspark.sql import functions as F
+
+    from formbook.streaming import ledger
+    kinds = dict(c.split() for c in ledger.BID_COLUMNS.split(", ")) | {"auction_id": "long"}
+    known = {"bid_id": F.col("id") * 3, "auction_id": F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 40)}
+    ctx = spark.range(3000).select(*[known.get(c, F.lit(None)).cast(k).alias(c) for c, k in kinds.items() if c != "seq"])
+    ctx = ctx.union(ctx.where("bid_id < 0")).repartition(9)
+    ledger.land_bids(ctx, f"{tmp_dir}/bids")
+    rows = spark.read.parquet(f"{tmp_dir}/bids").select("auction_id", "bid_id", "seq", F.input_file_name().alias("file"))
+    files = {r.auction_id: r.n for r in rows.groupBy("auction_id").agg(F.count_distinct("file").alias("n")).collect()}
+    assert len(files) == 40 and all(n <= 2 for a, n in files.items() if a != 7) and files[7] > 1
+    places = {}
+    for r in rows.orderBy("bid_id").collect():
+        places.setdefault(r.auction_id, []).append(r.seq)
+    assert all(seqs == list(range(1, len(seqs) + 1)) for seqs in places.values())
