@@ -7,13 +7,14 @@ time) and takes lineage + id from the hidden ``_metadata.file_path``.
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, StructType
+from pyspark.sql.types import ArrayType, DataType, MapType, StructField, StructType
 
 from formbook.schema import MATCH_SCHEMA
 from formbook.session import session_with
@@ -72,11 +73,50 @@ def declared_field(df: DataFrame, path: str) -> Column:
     return F.col(path).cast(declared)
 
 
+def inferred_schema(own: SparkSession, paths: str | list[str]) -> StructType:
+    """The schema of the documents as their values show it. What is
+    declared as a map keeps that type: its keys are data, and as fields they
+    would grow with the people of all documents. Every document is read."""
+    declared = StructType.fromDDL(MATCH_SCHEMA)
+    places = [at.split(".") for at in DOCUMENT_COLUMNS.values()]
+
+    def kind(place: list[str]) -> DataType:
+        level = declared
+        for name in place:
+            level = level[name].dataType
+        return level
+
+    maps = [place for place in places if isinstance(kind(place), MapType)]
+    parts = {place[0]: len(place) > 1 for place in places}
+    loose = ", ".join(f"{name} {'map<string,variant>' if nested else 'variant'}" for name, nested in parts.items())
+    docs = own.read.option("multiLine", True).schema(loose).json(paths)
+
+    def kept(name: str) -> Column:
+        keys = [place[1] for place in maps if place[0] == name]
+        return F.map_filter(name, lambda key, _: ~key.isin(keys)).alias(name) if keys else F.col(name)
+
+    texts = docs.select(F.to_json(F.struct(*[kept(name) for name in parts])).alias("value"))
+    strings = getattr(texts._jdf, "as")(own._jvm.org.apache.spark.sql.Encoders.STRING())
+    found = StructType.fromJson(json.loads(own._jsparkSession.read().json(strings).schema().json()))
+
+    def with_field(level: StructType, place: list[str], field: DataType) -> StructType:
+        rest = {f.name: f.dataType for f in level.fields}
+        inner = rest.get(place[0])
+        rest[place[0]] = field if len(place) == 1 else with_field(
+            inner if isinstance(inner, StructType) else StructType(), place[1:], field)
+        return StructType([StructField(name, of) for name, of in rest.items()])
+
+    for place in maps:
+        found = with_field(found, place, kind(place))
+    return found
+
+
 def _packed(spark: SparkSession, open_cost: int) -> SparkSession:
     """A session whose scans pack files into tasks by their bytes: a file
     counts ``open_cost`` bytes on top of its own, so a task of the usual 128
     MB takes up to two thousand small documents (32 with Spark's default)."""
-    return session_with(spark, {"spark.sql.files.openCostInBytes": str(open_cost)})
+    return session_with(spark, {"spark.sql.files.openCostInBytes": str(open_cost),
+                                "spark.sql.variant.allowDuplicateKeys": "true"})
 
 
 def _bronze_columns(docs: DataFrame, id_pattern: str, competition: Column) -> list[Column]:
@@ -92,8 +132,9 @@ def read_match_documents(spark: SparkSession, path: str, competition: str | None
     """S1 + S3 + P1: bronze rows (one per match document). ``infer_schema``
     is the superseded inferred scan (S2) — a sampling pass over the files
     whose result drifts between sources; the declared schema is the default."""
-    reader = _packed(spark, open_cost).read.option("multiLine", True)
-    docs = (reader if infer_schema else reader.schema(MATCH_SCHEMA)).json(path)
+    own = _packed(spark, open_cost)
+    schema = inferred_schema(own, path) if infer_schema else MATCH_SCHEMA
+    docs = own.read.option("multiLine", True).schema(schema).json(path)
     return docs.select(*_bronze_columns(docs, id_pattern, F.lit(competition).cast("string")))
 
 
@@ -139,8 +180,9 @@ def read_competitions(spark: SparkSession, root: str, config: DataFrame,
                                     for c in sources.codes], "competition string, ok boolean, error string")
     if not sources.present:
         return None, status
-    reader = _packed(spark, open_cost).read.option("multiLine", True)
-    docs = (reader if infer_schema else reader.schema(MATCH_SCHEMA)).json(sources.paths())
+    own = _packed(spark, open_cost)
+    schema = inferred_schema(own, sources.paths()) if infer_schema else MATCH_SCHEMA
+    docs = own.read.option("multiLine", True).schema(schema).json(sources.paths())
     return docs.select(*_bronze_columns(docs, id_pattern, sources.code_of_file())), status
 
 
@@ -270,5 +312,7 @@ def nested_documents(d: DataFrame) -> DataFrame:
 
 def write_documents(docs: DataFrame, root: str) -> None:
     """One JSON document per file: ``root/competition=<c>/match_id=<id>/part-*.json``
-    (each file holds exactly one match)."""
-    docs.write.mode("overwrite").partitionBy("competition", "match_id").json(root)
+    (each file holds exactly one match). Tasks put their files in place
+    themselves; moved by the driver, they would go one after the other."""
+    (docs.write.mode("overwrite").option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+     .partitionBy("competition", "match_id").json(root))

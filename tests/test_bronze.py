@@ -64,3 +64,22 @@ def test_nothing_to_read(spark, tmp_dir):
     assert docs is None and [tuple(r) for r in status.collect()] == [("a", False, "no files")]
     assert [tuple(r) for r in bronze.ingest_competitions(spark, tmp_dir, config(spark, "a"), f"{tmp_dir}/o").collect()] == [
         ("a", False, None, "no files")]
+
+
+def test_inferred_scan_keeps_people_a_map(spark, tmp_dir):
+    """The people of all documents are keys of a map and no fields of the
+    inferred schema; other fields are as the documents have them."""
+    docs = {f"{i}.json": json.dumps({"info": {"season": str(2000 + i), "overs": i, "dates": [f"2024-01-{i + 10}"],
+                                              "registry": {"people": {f"P{i} Ü.\"x": f"id{i}", "Q": "q"}}},
+                                     "innings": [{"team": "A", "overs": []}], "meta": {"k": 1}}, indent=1) for i in range(20)}
+    land(f"{tmp_dir}/in/a", docs | {"99.json": '{"info": {"season": "20'})
+    schema = bronze.inferred_schema(spark, [f"{tmp_dir}/in/a/*.json"])
+    assert schema["info"].dataType["registry"].dataType["people"].dataType.simpleString() == "map<string,string>"
+    assert len(schema.json()) < 2000 and schema["info"].dataType["overs"].dataType.simpleString() == "bigint"
+    columns = ["match_id", "season", "overs_per_innings", "dates", "player_registry", "teams", "outcome_by_runs"]
+    got, want = (bronze.read_competitions(spark, f"{tmp_dir}/in", config(spark, "a"), infer_schema=infer)[0].select(*columns)
+                 for infer in (True, False))
+    assert got.schema == want.schema or [f.dataType for f in got.schema] == [f.dataType for f in want.schema]
+    key = lambda r: r.match_id
+    assert sorted(got.collect(), key=key) == sorted(want.collect(), key=key)
+    assert next(r for r in got.collect() if r.match_id == "3").player_registry == {"P3 Ü.\"x": "id3", "Q": "q"}
