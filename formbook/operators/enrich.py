@@ -33,17 +33,20 @@ def enrich_deliveries(deliveries: DataFrame, matches: DataFrame, *,
     The innings length (highest over + 1, since overs count from 0) is a
     window over ``(match_id, innings_seq)``: balls partitioned by
     ``match_id`` need no further shuffle for it, nor for the join with the
-    match dimension, of which only the small side moves. A ball whose match
-    is unknown keeps its row, with both match flags false.
+    match dimension, of which only the small side moves. The window comes
+    before the join, which keeps the order of its own key only: balls that
+    lie in the order of their innings are not sorted again. A ball whose
+    match is unknown keeps its row, with both match flags false.
     """
     innings = Window.partitionBy("match_id", "innings_seq")
     balls = deliveries if include_super_overs else deliveries.where(~F.col("is_super_over"))
-    known = balls.join(match_context(matches, close_runs, close_wickets), "match_id", "left") \
+    context = match_context(matches, close_runs, close_wickets)
+    known = balls.withColumn("innings_overs", F.max("over_number").over(innings) + 1).join(context, "match_id", "left") \
         .na.fill({"is_close_match": False, "is_knockout": False})
-    length = F.max("over_number").over(innings) + 1
     return (
         known.select(
-            "*", length.alias("innings_overs"), F.col("innings_target_runs").isNotNull().alias("is_chase"),
+            *[name for name in known.columns if name != "innings_overs"],
+            "innings_overs", F.col("innings_target_runs").isNotNull().alias("is_chase"),
             *[entity_key(f"{p}_id", p).alias(f"{p}_key") for p in ("batter", "bowler")])
         .withColumn("death_over_threshold", death_threshold())
         .withColumn("phase", phase_label())

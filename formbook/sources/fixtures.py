@@ -58,9 +58,12 @@ def deliveries(events: DataFrame, partitions: int | None = None, by_match: bool
 
     240 events form one match (2 innings x 20 overs x 6 balls). The
     match-level window is evaluated on the same ``match_id`` partitioning
-    as the innings/over windows, so the whole view costs one shuffle.
-    Without ``by_match`` that exchange is left to the windows: a reader of
-    none of their columns (a count a competition) shuffles no ball.
+    as the innings/over windows, so the whole view costs one shuffle, and
+    one sort of narrow rows: the windows ask for no order of their own (the
+    first event is the least ``event_id``), and match, innings, over is an
+    order that serves all three and the readers' windows over an innings.
+    Without ``by_match`` exchange and sort are left to the windows: a reader
+    of none of their columns (a count a competition) shuffles no ball.
     """
     e = events.select(
         "event_id", player(F.col("user_id")).alias("user_id"), "event_type", "ts",
@@ -72,13 +75,15 @@ def deliveries(events: DataFrame, partitions: int | None = None, by_match: bool
     ).withColumn("match_id", F.concat(F.lit("1"), F.lpad(F.col("match_no").cast("string"), 6, "0")))
     if by_match:
         e = e.repartition(partitions, "match_id") if partitions else e.repartition("match_id")
-    w_match = Window.partitionBy("match_id").orderBy("event_id")
-    w_inn = Window.partitionBy("match_id", "innings_seq").orderBy("event_id")
-    w_over = Window.partitionBy("match_id", "innings_seq", "over_number").orderBy("event_id")
+        e = e.sortWithinPartitions("match_id", "innings_seq", "over_number")
+
+    def of_first_event(name: str, *within: str) -> Column:
+        return F.min(F.struct("event_id", name)).over(Window.partitionBy(*within)).getField(name)
+
     k = (
-        e.withColumn("match_date", F.first("ts").over(w_match).cast("date").cast("string"))
-        .withColumn("keeper_user", F.first("user_id").over(w_inn))
-        .withColumn("bowler_user", F.first("user_id").over(w_over))
+        e.withColumn("match_date", of_first_event("ts", "match_id").cast("date").cast("string"))
+        .withColumn("keeper_user", of_first_event("user_id", "match_id", "innings_seq"))
+        .withColumn("bowler_user", of_first_event("user_id", "match_id", "innings_seq", "over_number"))
     )
     v, mno = F.col("v"), F.col("match_no")
     is_error = F.col("event_type") == "error"
