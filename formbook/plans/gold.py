@@ -20,14 +20,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from formbook.operators import enrich, form, innings, league, phases, profiles
 from formbook.operators.measures import BATTING, BOWLING
-from formbook.session import apply_plan_confs, checkpoint_dir, shuffle_partitions_for
+from formbook.session import apply_plan_confs, checkpoint_dir, setting, shuffle_partitions_for
 from formbook.sources import fixtures as fx
 
 
 # Staged tables of this process, keyed by (input folder, input signature,
 # table name): app-level queries read gold tables built once, like the
-# reference's app reads the tables its batch job wrote.
-_SHARED: dict[tuple[str, str, str], str] = {}
+# reference's app reads the tables its batch job wrote. A table bucketed by
+# match also has a name in the session's catalog.
+_SHARED: dict[tuple[str, str, str], tuple[str, str | None]] = {}
 
 
 def input_signature(spark: SparkSession, sf_dir: str) -> str:
@@ -57,14 +58,21 @@ class Gold:
         self._stages: dict[str, DataFrame] = {}
         self._stage_root: str | None = None
 
-    def stage(self, name: str, build: Callable[[], DataFrame], partition_by: str | None = None) -> DataFrame:
+    def stage(self, name: str, build: Callable[[], DataFrame], partition_by: str | None = None,
+              by_match: bool = False) -> DataFrame:
         """Materialise ``build()`` once (when staging is on) and read it back;
-        a table already staged in this process for the same inputs is reused."""
+        a table already staged in this process for the same inputs is reused.
+
+        With ``by_match`` the table is bucketed by ``match_id``, as many
+        buckets as the balls have partitions: its readers' roll-ups, windows
+        and joins within a match move no row. Rows must lie by match already,
+        so that a bucket is written by one task. Where the catalog no longer
+        knows the table, its files are read without the buckets."""
         if not self.staged:
             return build()
         if name not in self._stages:
             key = (self.sf_dir, input_signature(self.spark, self.sf_dir), name)
-            path = _SHARED.get(key)
+            path, known_as = _SHARED.get(key, (None, None))
             if path is None:
                 if self._stage_root is None:
                     self._stage_root = f"{checkpoint_dir(self.spark).rstrip('/')}/formbook-{uuid.uuid4().hex}"
@@ -72,19 +80,29 @@ class Gold:
                 writer = build().write.mode("overwrite")
                 if partition_by:
                     writer = writer.partitionBy(partition_by)
-                writer.parquet(path)
-                _SHARED[key] = path
-            self._stages[name] = self.spark.read.parquet(path)
+                # a competition each is open at once, so wide rows are not sorted for the write
+                with setting(self.spark, "spark.sql.maxConcurrentOutputFileWriters", "16"):
+                    if by_match:
+                        known_as = f"formbook_{name}_{uuid.uuid4().hex}"
+                        writer.bucketBy(self.ball_partitions, "match_id").option("path", path).saveAsTable(known_as)
+                    else:
+                        writer.parquet(path)
+                _SHARED[key] = path, known_as
+            named = known_as is not None and self.spark.catalog.tableExists(known_as)
+            self._stages[name] = self.spark.table(known_as) if named else self.spark.read.parquet(path)
         return self._stages[name]
 
     def table(self, name: str) -> DataFrame:
         return fx.read_table(self.spark, self.sf_dir, name)
 
     # ------------------------------------------------------------ silver
+    @cached_property
+    def ball_partitions(self) -> int:
+        return shuffle_partitions_for(self.spark, f"{self.sf_dir.rstrip('/')}/events.parquet")
+
     @cached_property
     def d1(self) -> DataFrame:
-        path = f"{self.sf_dir.rstrip('/')}/events.parquet"
-        return fx.deliveries(self.table("events"), partitions=shuffle_partitions_for(self.spark, path))
+        return fx.deliveries(self.table("events"), partitions=self.ball_partitions)
 
     @cached_property
     def scanned_deliveries(self) -> DataFrame:
@@ -102,11 +120,12 @@ class Gold:
     @property
     def enriched(self) -> DataFrame:
         """Enriched balls; with staging on, written once (partitioned by
-        competition) and read back by every ball-grain consumer."""
+        competition, bucketed by match) and read back by every ball-grain
+        consumer."""
         if self._enriched is None:
             def build() -> DataFrame:
                 return enrich.enrich_deliveries(self.deliveries, self.matches)
-            self._enriched = self.stage("deliveries_enriched", build, "competition") if self.staged else build()
+            self._enriched = self.stage("deliveries_enriched", build, "competition", by_match=True) if self.staged else build()
         return self._enriched
 
     @property
@@ -119,9 +138,9 @@ class Gold:
 
     @property
     def by_match(self) -> DataFrame:
-        """Enriched balls that lie by match. Written balls have lost that;
-        dealt once again, the batting roll-up and its window over an innings
-        need no exchange of their own."""
+        """Enriched balls dealt by match. Balls written without buckets have
+        lost that order; dealt once again, the batting roll-up and its window
+        over an innings need no exchange of their own."""
         return self.enriched.repartition("match_id") if (self.staged or self._materialized) else self.enriched
 
     # ------------------------------------------------------------ innings facts
@@ -129,13 +148,13 @@ class Gold:
     def bat(self) -> DataFrame:
         if self._bat is not None:
             return self._bat
-        return self.stage("batting_innings", lambda: innings.batting_innings(self.by_match), "competition")
+        return self.stage("batting_innings", lambda: innings.batting_innings(self.enriched), "competition", by_match=True)
 
     @property
     def bowl(self) -> DataFrame:
         if self._bowl is not None:
             return self._bowl
-        return self.stage("bowling_innings", lambda: innings.bowling_innings(self.enriched), "competition")
+        return self.stage("bowling_innings", lambda: innings.bowling_innings(self.enriched), "competition", by_match=True)
 
     def materialize(self, path: str) -> "Gold":
         """The batch's write points: the enriched ball table (the one full

@@ -196,13 +196,11 @@ def silver_deliveries(d: DataFrame) -> DataFrame:
 
 def registry_from_deliveries(d: DataFrame) -> DataFrame:
     """Per-match name -> id map (the bronze ``player_registry``), built
-    from the resolved names seen in that match (bounded by match size)."""
-    pairs = (
-        d.select("match_id", F.col("batter").alias("name"), F.col("batter_id").alias("id"))
-        .unionByName(d.select("match_id", F.col("bowler").alias("name"), F.col("bowler_id").alias("id")))
-        .where(F.col("id").isNotNull())
-        .distinct()
-    )
+    from the resolved names seen in that match (bounded by match size).
+    Both persons of a ball come from one scan, which keeps balls that lie
+    by match there."""
+    persons = [F.struct(F.col(p).alias("name"), F.col(f"{p}_id").alias("id")) for p in ("batter", "bowler")]
+    pairs = d.select("match_id", F.inline(F.array(*persons))).where(F.col("id").isNotNull()).distinct()
     return pairs.groupBy("match_id").agg(
         F.map_from_entries(F.collect_list(F.struct("name", "id"))).alias("player_registry"))
 
