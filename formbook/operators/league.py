@@ -87,10 +87,11 @@ def current_pool(pool: DataFrame) -> DataFrame:
 
 
 def unowned_pool(pool: DataFrame, roster: DataFrame) -> DataFrame:
-    """Current pool players not on any active roster (case-folded)."""
+    """Current pool players not on any active roster (case-folded). The
+    owned names grow with the roster: merged, not broadcast."""
     owned = active_roster(roster).select(F.lower("player_name").alias("_lname")).distinct()
     return (current_pool(pool).withColumn("_lname", F.lower("player_name"))
-            .join(owned, "_lname", "left_anti").drop("_lname"))
+            .join(owned.hint("merge"), "_lname", "left_anti").drop("_lname"))
 
 
 def pool_composition(pool: DataFrame) -> DataFrame:

@@ -42,9 +42,11 @@ def salted(rows: DataFrame) -> DataFrame:
 def salted_lookup(rows: DataFrame, index: DataFrame, keys: list[str]) -> DataFrame:
     """Left join of :func:`salted` rows with an index of one row a key. The
     index is repeated for each salt, so the rows of a key that a third of
-    them share are dealt over ``SALTS`` tasks."""
+    them share are dealt over ``SALTS`` tasks. It grows with the players and
+    its size is guessed from compressed files, before it is repeated, so it
+    is merged and never sent whole through the driver."""
     every = index.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.join(every, [*keys, "_salt"], "left")
+    return rows.join(every.hint("merge"), [*keys, "_salt"], "left")
 
 
 def resolve_names(names: DataFrame, name_col: str, profiles: DataFrame, *,
@@ -76,13 +78,14 @@ def resolve_names(names: DataFrame, name_col: str, profiles: DataFrame, *,
 def resolve_and_attach(names: DataFrame, name_col: str, profiles: DataFrame, key_col: str,
                        columns: dict[str, str], prefix: str = "") -> DataFrame:
     """J20/J21 building block: resolve, then left-join selected profile
-    columns (renamed ``prefix + alias``) on the matched key."""
+    columns (renamed ``prefix + alias``) on the matched key. The join is
+    salted: names without a match share the null key."""
     out_key = f"_{prefix}key"
     r = resolve_names(names, name_col, profiles, profile_name_col="player_name", key_col=key_col,
                       out_key=out_key, out_tier=None)
     cols = profiles.select(F.col(key_col).alias(out_key),
                            *[F.col(src).alias(prefix + alias) for alias, src in columns.items()])
-    return r.join(cols, out_key, "left").drop(out_key)
+    return salted_lookup(salted(r), cols, [out_key]).drop(out_key, "_salt")
 
 
 def search_names(terms: DataFrame, term_col: str, term_id: str, profiles: DataFrame, *,

@@ -378,3 +378,34 @@ def test_bids_of_an_auction_lie_together(spark, tmp_dir):
     for r in rows.orderBy("bid_id").collect():
         places.setdefault(r.auction_id, []).append(r.seq)
     assert all(seqs == list(range(1, len(seqs) + 1)) for seqs in places.values())
+
+
+def test_auction_targets_send_no_index_through_the_driver(spark):
+    # small rows pass for small tables: only the plan shows what copies of them would broadcast
+    from formbook.operators import league
+    pool = spark.createDataFrame(
+        [(1, 9, "A Singh", "bowler", "X", 20, True, "capped", 50, True), (2, 8, "B Singh", "Bowler", "X", 21, True, "capped", 50, True),
+         (3, 7, "Nobody Known", "bowler", "Y", 22, True, "uncapped", 50, True), (4, 6, None, "bowler", "Y", 23, True, "uncapped", 50, True),
+         (5, 5, "C Owned", "bowler", "Y", 24, True, "capped", 50, True), (6, 4, "D Bat", "batter", "Y", 25, True, "capped", 50, True)],
+        "pool_id long, sr_no long, player_name string, role string, country string, age int, is_overseas boolean, "
+        "capped_status string, base_price_lakh int, is_current_reference boolean")
+    roster = spark.createDataFrame([("c owned", "active"), ("A Singh", "released"), (None, "active")], "player_name string, status string")
+    bat = spark.createDataFrame([("r1", "A Singh", 4, 120.0, 30.0), ("r2", "B Singh", 5, 110.0, 20.0)],
+                                "batter_key string, player_name string, recent_innings long, recent_strike_rate double, recent_average double")
+    bowl = spark.createDataFrame([("r3", "Alex Singh", 6, 7.5, 3, "balanced")],
+                                 "bowler_key string, player_name string, recent_innings long, recent_economy double, recent_wickets long, "
+                                 "bowler_type string")
+    got = league.auction_targets(pool, roster, bat, bowl, role="Bowler ", overseas=True)
+    assert [(r.pool_id, r.bat_innings, r.bowl_innings, r.has_data) for r in got.collect()] == [
+        (2, 5, 6, True), (1, 4, 6, True), (4, None, None, False), (3, None, None, False)]
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_unmatched_names_are_dealt_over_tasks(spark):
+    people = spark.createDataFrame([("b1", "A Known", 3)], "batter_key string, player_name string, n int")
+    q = spark.range(200).select("id", F.concat(F.lit("Q Nobody"), F.col("id").cast("string")).alias("name"))
+    r = names.resolve_and_attach(q, "name", people, "batter_key", {"n": "n"}, prefix="bat_")
+    assert r.columns == ["id", "name", "bat_n"]
+    assert r.where("bat_n IS NULL").count() == 200
+    joins = [x for x in r._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x]
+    assert len(joins) == 4 and all("_salt" in x for x in joins)  # three indexes and the columns, of a null key here
