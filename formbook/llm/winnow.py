@@ -4,13 +4,17 @@ Rolling hashes of all k-grams of a text; of every w consecutive ones the
 least is chosen, the rightmost of equals, and kept with its position. One w
 serves all texts, whatever their length, so two texts that share k + w - 1
 characters (19) share a chosen hash, and any two fingerprints compare. A
-fingerprint is written as 24 hex digits a choice, 16 of the hash and 8 of
-the position. Likeness is the Jaccard index of the sets of hashes.
+fingerprint is written as 11 base-85 digits a choice: ten of its hash, and
+its distance from the choice before (or the start), which no window exceeds.
+Nothing is lost by that (``choices_of``), and a fingerprint is several times
+its text, so its digits are what a result weighs. Likeness is the Jaccard
+index of the sets of hashes.
 
 ``edited_fingerprints`` compares each document with the one after it in
 descending doc_id order. Ranges of doc_id are sorted apart; the first
 document of a range is also sent to the range before it, so a text moves
-once and no task sees more than its ranges.
+once, compressed, and no task sees more than its ranges. There are as many
+tasks as the bytes of the texts ask for, so that a sort needs no disk.
 
 Defined results: null texts are empty; an empty text has the empty
 fingerprint, alike (1.0) to another empty one only; texts shorter than k
@@ -29,13 +33,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formbook.llm.common import Rolling, record_batch, width
+from formbook.llm.common import Rolling, record_batch, text_bytes, width
 
 K = 12
 WINDOW = 8
 WINDOWS, CHOICES = (WINDOW,), 1  # as the tests' plain loop reads it: that window from the first character on
 RANGES = 4  # ranges a shuffle partition
+TASK_BYTES = 32 << 20  # of text in a shuffle partition
 LEAST = -(1 << 63)
+DIGITS = np.frombuffer(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz!#$%&()*+-;<=>?@^_`{|}~", np.uint8)
+PAIRS = np.stack([np.repeat(DIGITS, 85), np.tile(DIGITS, 85)], 1).copy().view(np.uint16).ravel()
 
 
 def winnow(texts: list[str], k: int = K, window: int = WINDOW) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -67,11 +74,49 @@ def winnow(texts: list[str], k: int = K, window: int = WINDOW) -> list[tuple[np.
     return out
 
 
-def text_of(choice: tuple[np.ndarray, np.ndarray]) -> str:
-    out = np.empty((len(choice[0]), 12), np.uint8)
-    out[:, :8] = choice[0].astype(">u8").view(np.uint8).reshape(-1, 8)
-    out[:, 8:] = choice[1].astype(">u4").view(np.uint8).reshape(-1, 4)
-    return out.tobytes().hex()
+def gap_digits(window: int) -> int:
+    digits = 1
+    while 85 ** digits <= window:
+        digits += 1
+    return digits
+
+
+def texts_of(choices: list[tuple[np.ndarray, np.ndarray]], window: int = WINDOW) -> list[str]:
+    """The fingerprint of each text's choices."""
+    more = gap_digits(window)
+    hashes = np.concatenate([np.zeros(0, np.uint64), *[c[0].astype(np.uint64) for c in choices]])
+    gaps = np.concatenate([np.zeros(0, np.int64), *[np.diff(c[1], prepend=0) for c in choices]]).astype(np.uint32)
+    out = np.empty((len(hashes), 10 + more), np.uint8)
+    for half, at in (((hashes >> np.uint64(32)).astype(np.uint32), 0), (hashes.astype(np.uint32), 5)):
+        for end in (at + 5, at + 3):
+            rest = half // np.uint32(7225)
+            out[:, end - 2:end] = PAIRS[half - rest * np.uint32(7225)].view(np.uint8).reshape(-1, 2)
+            half = rest
+        out[:, at] = DIGITS[half]
+    for at in range(9 + more, 9, -1):
+        rest = gaps // np.uint32(85)
+        out[:, at] = DIGITS[gaps - rest * np.uint32(85)]
+        gaps = rest
+    whole = out.tobytes().decode("ascii")
+    ends = np.cumsum([0, *[len(c[0]) for c in choices]]) * (10 + more)
+    return [whole[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
+
+
+def text_of(choice: tuple[np.ndarray, np.ndarray], window: int = WINDOW) -> str:
+    return texts_of([choice], window)[0]
+
+
+def choices_of(fingerprint: str, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, positions) that ``text_of`` has written."""
+    value = np.zeros(256, np.uint64)
+    value[DIGITS] = np.arange(85)
+    more = gap_digits(window)
+    digits = value[np.frombuffer(fingerprint.encode("ascii"), np.uint8)].reshape(-1, 10 + more)
+
+    def number(first: int, count: int) -> np.ndarray:
+        return digits[:, first:first + count] @ np.uint64(85) ** np.arange(count - 1, -1, -1, dtype=np.uint64)
+
+    return number(0, 5) << np.uint64(32) | number(5, 5), np.cumsum(number(10, more).astype(np.int64))
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -88,7 +133,7 @@ def fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([text_of(c) for c in winnow(texts, k, window)], pa.string())],
+                [batch.column("doc_id"), pa.array(texts_of(winnow(texts, k, window), window), pa.string())],
                 ["doc_id", "fingerprint"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
@@ -96,10 +141,10 @@ def fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame
 
 
 def edited_fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW, chunk: int = 1 << 20) -> DataFrame:
-    n = width(docs.sparkSession)
+    parts = max(width(docs.sparkSession), -(-text_bytes(docs) // TASK_BYTES))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"),
-                       F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("key"))
-    marks = n * RANGES
+                       F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("key")).withColumn("tie", F.xxhash64("text"))
+    marks = parts * RANGES
     cuts = rows.select("key").stat.approxQuantile("key", [i / marks for i in range(1, marks)], 0.25 / marks)
     edges = np.unique(np.array(cuts, np.float64))
 
@@ -120,7 +165,11 @@ def edited_fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW, chunk
     before = {p: filled[i - 1] for i, p in enumerate(filled)}
 
     def deal(batches):
+        codec = pa.Codec("zstd")
         for batch in batches:
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            batch = record_batch(packed, [batch.column("doc_id"), [codec.compress(t, asbytes=True) for t in texts],
+                                          [len(t) for t in texts], batch.column("key"), batch.column("tie")])
             keys = np.asarray(batch.column("key"))
             part = range_of(keys)
             yield record_batch(dealt, [part, np.zeros(len(part), bool), *batch.columns])
@@ -130,8 +179,9 @@ def edited_fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW, chunk
                 yield record_batch(dealt, [[before[p] for p in part[head].tolist()], np.ones(int(head.sum()), bool),
                                            *also.columns])
 
-    dealt = pa.schema([("part", pa.int32()), ("halo", pa.bool_()), ("doc_id", pa.int64()), ("text", pa.string()),
-                       ("key", pa.int64())])
+    packed = pa.schema([("doc_id", pa.int64()), ("packed", pa.binary()), ("size", pa.int64()), ("key", pa.int64()),
+                        ("tie", pa.int64())])
+    dealt = pa.schema([("part", pa.int32()), ("halo", pa.bool_()), *packed])
     result = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()),
                         ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()),
                         ("near_edited", pa.float64()), ("near_next", pa.float64())])
@@ -143,23 +193,25 @@ def edited_fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW, chunk
         for own, after in zip(texts, texts[1:]):
             third = len(own) // 3
             edited.append(own[:len(own) - third] + after[:third])
+        m, n = len(texts), len(edited)
         made = winnow(texts + edited, k, window)
+        written = texts_of(made[:n] + made[m:], window)  # the last text's is in the next chain
         sets = [np.unique(c[0]) for c in made]
-        m = len(texts)
         out = []
         for i, e in enumerate(edited):
-            out.append((chain[i][0], len(texts[i]), hashlib.sha256(e.encode()).hexdigest(), text_of(made[i]),
-                        text_of(made[m + i]), likeness(sets[i], sets[m + i]), likeness(sets[i], sets[i + 1])))
+            out.append((chain[i][0], len(texts[i]), hashlib.sha256(e.encode()).hexdigest(), written[i],
+                        written[n + i], likeness(sets[i], sets[m + i]), likeness(sets[i], sets[i + 1])))
         return record_batch(result, list(zip(*out))) if out else None
 
     def walk(batches):
-        chain, held, part, closed = [], 0, None, False
+        chain, held, part, closed, codec = [], 0, None, False, pa.Codec("zstd")
         for batch in batches:
-            for p, halo, doc_id, text in zip(*[batch.column(c).to_pylist() for c in ("part", "halo", "doc_id", "text")]):
+            for p, halo, doc_id, packed, size in zip(*[c.to_pylist() for c in batch.columns]):
                 if p != part:
                     chain, held, part, closed = [], 0, p, False
                 if closed:
                     continue
+                text = codec.decompress(packed, size, asbytes=True).decode() if size else ""
                 chain.append((doc_id, text))
                 held += len(text)
                 closed = halo
@@ -169,9 +221,8 @@ def edited_fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW, chunk
                     if got is not None:
                         yield got
 
-    return (rows.select("doc_id", "text", "key").mapInArrow(deal, "part int, halo boolean, doc_id long, text string, key long")
-            .withColumn("tie", F.xxhash64("text")).repartition(n, "part")
-            .sortWithinPartitions("part", "halo", F.desc("key"), "tie")
-            .select("part", "halo", "doc_id", "text")
+    return (rows.mapInArrow(deal, "part int, halo boolean, doc_id long, packed binary, size long, key long, tie long")
+            .repartition(parts, "part").sortWithinPartitions("part", "halo", F.desc("key"), "tie")
+            .select("part", "halo", "doc_id", "packed", "size")
             .mapInArrow(walk, "doc_id long, n_chars long, edited_sha256 string, fingerprint string,"
                               "edited_fingerprint string, near_edited double, near_next double"))

@@ -1,6 +1,7 @@
 """Winnowing against a plain loop, and neighbours across ranges."""
 
 import hashlib
+import re
 
 import numpy as np
 import pytest
@@ -109,3 +110,33 @@ def test_texts_cut_by_a_third_keep_two_thirds_of_their_choices(spark):
     got = W.edited_fingerprints(spark.createDataFrame([(*r, "en", "9") for r in rows], SCHEMA)).collect()
     near = {r.n_chars: r.near_edited for r in got}
     assert all(0.58 < near[n] < 0.72 for n in sizes)
+
+
+@pytest.mark.parametrize("window", [W.WINDOW, 100])
+def test_a_fingerprint_weighs_eleven_characters_a_choice_and_loses_nothing(window):
+    texts = ["", "short", "abcdefghijklm", letters(np.random.default_rng(2), 3000), "x" * 500, "é😀 word " * 100]
+    made = W.winnow(texts, window=window)
+    written = W.texts_of(made, window)
+    for (hashes, places), fingerprint in zip(made, written):
+        assert len(fingerprint) == (11 if window == W.WINDOW else 12) * len(hashes)
+        got = W.choices_of(fingerprint, window)
+        assert got[0].tolist() == hashes.tolist() and got[1].tolist() == places.tolist()
+        assert fingerprint == W.text_of((hashes, places), window)
+    ends = np.array([0, 1, 85 ** 5 - 1, 1 << 32, (1 << 64) - 1], np.uint64)
+    got = W.choices_of(W.text_of((ends, np.arange(5) * 8)))
+    assert got[0].tolist() == ends.tolist() and got[1].tolist() == [0, 8, 16, 24, 32]
+
+
+def test_more_text_makes_more_tasks_and_moves_compressed(spark, monkeypatch):
+    rows = [(i, f"text {i} of many words " * 300) for i in range(60)] + [(60, None), (None, "last")]
+    docs = spark.createDataFrame([(*r, "en", "9") for r in rows], SCHEMA).repartition(3)
+    def tasks(got):
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        return max(int(x) for x in re.findall(r"hashpartitioning\(part#\d+, (\d+)\)", plan)), plan
+    few, plan = tasks(W.edited_fingerprints(docs))
+    monkeypatch.setattr(W, "TASK_BYTES", 20_000)
+    got = W.edited_fingerprints(docs)
+    many, _ = tasks(got)
+    assert few == 8 and many > 15
+    assert re.search(r"MapInArrow deal.*packed", plan)
+    assert sorted([tuple(r)[:5] for r in got.collect()], key=str) == expected(rows)
